@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, sharding, url_filters
+from . import decontaminate, mixing, near_dup, quality_rules, sharding, url_filters
 from .common import shared_dir, table
 
 #: The rules that op3 judges by.
@@ -22,6 +22,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -35,7 +39,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filters, op6_mixing, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filters, op4_near_duplicates, op6_mixing, op9_sharding, op10_decontamination)}
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 HASH_SQL = "('0x' || substr(md5({}::VARCHAR), 1, 15))::BIGINT"
@@ -66,6 +70,17 @@ WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^[\s\S]*?://(
 r AS (SELECT v, rule, split_part(rule, '/', 1) h, substr(rule, instr(rule, '/')) p FROM (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')) t(v, rule)),
 m AS (SELECT k, v, rule, row_number() OVER (PARTITION BY k ORDER BY length(rule) DESC) n FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (k)""",
+    "op4_near_duplicates": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+1], ' ') g FROM d, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS seen FROM e2 UNION SELECT r.node, e2.b FROM r JOIN e2 ON e2.a = r.seen),
+c AS (SELECT node, min(seen) comp FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(comp, d.doc_id) AS component_id, coalesce(comp, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id""",
     "op6_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len({WORDS_SQL})::BIGINT size, {HASH_SQL.format("doc_id")} h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] w, row_number() OVER (ORDER BY source NULLS LAST) i FROM d GROUP BY source),
