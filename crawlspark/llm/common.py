@@ -69,3 +69,8 @@ def shingle_hashes(tokens: Column, width: int) -> Column:
 def hash01(*cols: Column) -> Column:
     """A 60-bit number that MD5 draws from the columns, the same in every engine with MD5."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 15), 16, 10).cast("bigint")
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``row``, so that no column of it clashes with a helper's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

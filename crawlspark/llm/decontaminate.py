@@ -24,7 +24,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, let, shingle_hashes
+from .common import broadcast_if_small, durable, let, packed, shingle_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 
@@ -75,5 +75,5 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshol
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that contain no item."""
-    bad = durable(contaminated(docs, items, width, threshold).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(broadcast_if_small(bad), F.col("doc_id") == F.col("_leak"), "left_anti")
+    bad = durable(contaminated(docs, items, width, threshold).select("doc_id").distinct())
+    return packed(docs).join(broadcast_if_small(bad), F.col("row.doc_id") == F.col("doc_id"), "left_anti").select("row.*")

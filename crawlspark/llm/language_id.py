@@ -23,14 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash01
+from .common import hash01, packed
 
 HIDDEN = 8
 PER_LANGUAGE, WINDOWS, WINDOW = 300, 4, 64
 MAX_LANGUAGES = 256
 STEPS, BATCH, RATE = 120, 256, 0.03
-PIECE, SIDE_BY_SIDE = 128, 4096  # bytes of a piece, pieces run at once
+PIECE, SIDE_BY_SIDE = 128, 1024  # bytes of a piece, pieces run at once
 UNKNOWN = "und"
 
 
@@ -60,12 +61,42 @@ class GatedNetwork:
             out[t] = h
         return out
 
+    def _reading(self, x: np.ndarray, mask: np.ndarray, d: str) -> np.ndarray:
+        """``states`` for prediction, as (time, H, row): the same numbers, computed in place."""
+        n, (steps, rows) = self.hidden, x.shape
+        table, u = self.w[f"I{d}"].T.copy(), self.w[f"U{d}"].T.copy()
+        table[: 2 * n] *= 0.5  # a gate is half of one plus tanh of half its input
+        u[: 2 * n] *= 0.5
+        out, h, full = np.empty((steps, n, rows), np.float32), np.zeros((n, rows), np.float32), mask.all(1)
+        i, r, gates, step = (np.empty((k * n, rows), np.float32) for k in (3, 3, 2, 1))
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.take(table, x[t], axis=1, out=i, mode="clip")
+            np.matmul(u, h, out=r)
+            np.add(i[: 2 * n], r[: 2 * n], out=gates)
+            np.tanh(gates, out=gates)
+            gates += 1
+            np.multiply(gates[n:], r[2 * n :], out=step)
+            step *= 0.5
+            step += i[2 * n :]
+            np.tanh(step, out=step)
+            step -= h
+            step *= np.subtract(2, gates[:n], out=gates[:n])
+            step *= 0.5
+            if not full[t]:
+                step *= mask[t]
+            h = np.add(h, step, out=out[t])
+        return out
+
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """(time, row, language): the label of every position."""
-        z = self.states(x, mask, "f") @ self.w["V"][: self.hidden] + self.states(x, mask, "b") @ self.w["V"][self.hidden :] + self.w["c"]
-        z -= z.max(-1, keepdims=True)
+        """(time, language, row): the label of every position."""
+        v = self.w["V"].T.copy()
+        x = x.astype(np.intp)
+        z = v[:, : self.hidden] @ self._reading(x, mask, "f")
+        z += v[:, self.hidden :] @ self._reading(x, mask, "b")
+        z += self.w["c"][:, None]
+        z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(-1, keepdims=True)
+        z /= z.sum(1, keepdims=True)
         return z
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -157,7 +188,7 @@ def _predicted(net: GatedNetwork):
             def flush() -> None:
                 x, mask = _pad(pieces, max(p.size for p in pieces))
                 p = net.probabilities(np.ascontiguousarray(x.T), np.ascontiguousarray(mask.T))
-                np.add.at(total, owner, np.einsum("tbl,tb->bl", p, mask.T))
+                np.add.at(total, owner, np.einsum("tlb,bt->bl", p, mask))
                 np.add.at(size, owner, mask.sum(1))
                 pieces.clear()
                 owner.clear()
@@ -194,9 +225,8 @@ def accepted(docs: DataFrame, net: GatedNetwork | None, least: float = 0.0) -> D
     """The rows of ``docs`` whose language is known with a score of at least ``least``."""
     if net is None:
         return docs.where(F.lit(False))
-    cols = docs.columns
-    kept = F.struct(*[F.col(f"`{c}`") for c in cols])
-    rows = docs.select(kept.alias("row"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).cast("string").alias("text"))
+    lettered = F.when(F.col("row.text").rlike(r"\p{L}"), F.col("row.text")).cast("string")
+    rows = packed(docs).select("row", lettered.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +235,4 @@ def accepted(docs: DataFrame, net: GatedNetwork | None, least: float = 0.0) -> D
             keep = [p != UNKNOWN and s >= least for p, s in zip(judged.column(2).to_pylist(), judged.column(3).to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["row"])
 
-    from pyspark.sql import types as T
-
     return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")

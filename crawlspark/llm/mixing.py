@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, hash01, words
+from .common import broadcast_if_small, durable, hash01, packed, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The mix itself: each document's row as many times as the mix takes it (documents of size 0: once)."""
-    keys = mix(docs, weights, share, cap).where("size > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    cols = docs.columns
-    return docs.join(keys.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1))).where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+    """The mix itself: each document's row as many times as the mix takes it (those without words or id: once)."""
+    keys = mix(docs, weights, share, cap).where("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    taken = packed(docs).join(keys, F.col("row.doc_id") == F.col("doc_id"), "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

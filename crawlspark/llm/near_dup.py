@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable
+from .common import broadcast_if_small, durable, packed
 
 PERMUTATIONS, ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // ROWS
@@ -287,6 +287,6 @@ def _rest(posts: DataFrame, held: DataFrame, width: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one of least id."""
-    gone = durable(near_duplicates(docs, width).where("not kept").select(F.col("doc_id").alias("_dup")).distinct())
-    one = docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_dup"), "left_anti")
+    gone = durable(near_duplicates(docs, width).where("not kept").select("doc_id").distinct())
+    one = packed(docs).join(broadcast_if_small(gone), F.col("row.doc_id") == F.col("doc_id"), "left_anti").select("row.*")
     return one.where("doc_id is null").unionByName(one.where("doc_id is not null").dropDuplicates(["doc_id"]))

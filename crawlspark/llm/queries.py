@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dup, quality_rules, sharding, url_filters
+from . import decontaminate, html_main_text, language_id, license_scan, mixing, near_dup, quality_rules, repeated_bytes, sharding, url_filters
 from .common import shared_dir, table
 
 #: The rules that op3 judges by.
@@ -18,6 +18,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_main_text.extract(pages, html_main_text.fit(pages))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
 
@@ -26,10 +31,23 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, version = sharding.shard(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/crawlspark/shards-{uuid.uuid4().hex}")
     return store.read(version).select("row.doc_id", F.col("_bytes").alias("n_bytes"), "shard", "tier", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), F.lit(version).cast("bigint").alias("version"))
@@ -39,7 +57,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filters, op4_near_duplicates, op6_mixing, op9_sharding, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_html_main_text,
+        op3_url_filters,
+        op4_near_duplicates,
+        op5_language_id,
+        op6_mixing,
+        op7_repeated_bytes,
+        op8_license_scan,
+        op9_sharding,
+        op10_decontamination,
+    )
+}
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 HASH_SQL = "('0x' || substr(md5({}::VARCHAR), 1, 15))::BIGINT"

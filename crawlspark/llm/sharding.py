@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small
+from .common import broadcast_if_small, shared_dir
 
 TARGET, ARRIVAL, FANOUT = 64 << 20, 8 << 20, 4
 MANIFEST = "shard string, run string, tier int, rows bigint, bytes bigint"
@@ -134,3 +134,12 @@ def shard(docs: DataFrame, root: str, arrivals: int = 4, target: int = TARGET, a
         version = new
     store.vacuum()
     return store, version
+
+
+def sharded(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` as stored in a new store in the shared folder, with the shard that each is in (``shard``, with underscores in front where that name is taken)."""
+    store, version = shard(docs, f"{shared_dir(docs.sparkSession)}/crawlspark/shards-{uuid.uuid4().hex}", **settings)
+    name = "shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    return store.read(version).select("row.*", F.col("shard").alias(name))
