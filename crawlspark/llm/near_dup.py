@@ -9,8 +9,8 @@ PERMUTATIONS`` values costs half the hash evaluations. Bands of ``ROWS`` values
 Documents with equal sets become one class first. In each bucket of several classes
 every class is compared with one centre; then, where a bucket still spans several
 components, with a centre drawn for that bucket; then what still is apart in a bucket
-is compared exactly: small buckets pair by pair, large ones in pairs of blocks of
-bounded size, each pair of blocks in a task of its own step. So no candidate pair of
+is compared exactly: small buckets pair by pair; in larger ones all that are outside the
+main component meet everyone, in pairs of blocks of bounded size. So no candidate pair of
 a bucket is left out unless both already are in one component, and no group is gathered
 in one task. A comparison computes the exact Jaccard similarity of the whole sets.
 Components grow by alternating large-star and small-star steps on written tables.
@@ -36,7 +36,8 @@ from .common import broadcast_if_small, durable, packed
 PERMUTATIONS, ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
-BLOCK = 128  # classes of a bucket that are compared at once
+PAIRS = 16  # buckets of up to so many classes are compared pair by pair
+BLOCK = 256  # classes on one side of a block of a larger bucket
 CHUNK = 4096  # shingles hashed at once
 
 _SPACE = np.zeros(256, bool)
@@ -186,7 +187,7 @@ def _block_pairs(width: int):
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
         sets = [shingle_set(r[3], width) for r in rows]
         forest, links = _Forest([r[2] for r in rows]), []
-        sides = [[i for i, r in enumerate(rows) if r[0] & side] for side in (1, 2)]
+        sides = [[i for i, r in enumerate(rows) if r[0] == side] for side in (1, 2)]
         for i in sides[0]:
             for j in sides[1]:
                 if rows[i][1] != rows[j][1] and forest.root(i) != forest.root(j) and similar(sets[i], sets[j]):
@@ -273,14 +274,19 @@ def _rest(posts: DataFrame, held: DataFrame, width: int) -> DataFrame:
     sizes = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"))
     once = sizes.groupBy("k", "members").agg(F.min("bucket").alias("bucket"))  # buckets with the same members are one
     posts = durable(posts.join(once.select("bucket", "k"), "bucket").select("bucket", "k", "rep", "n", "comp"))
-    small, large = posts.where(F.col("k") <= BLOCK), posts.where(F.col("k") > BLOCK)
+    small, large = posts.where(F.col("k") <= PAIRS), posts.where(F.col("k") > PAIRS)
     other = small.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
     pairs = small.withColumnRenamed("rep", "a").join(other, "bucket").where("a < b and comp <> c").where(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)").select("a", "b").distinct()
     found = _linked(pairs, held, width)
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    spread = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select(F.concat_ws("-", "bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), F.when(F.col("mine") == F.col("other"), 3).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"), "rep", "comp")
+    # in a larger bucket, all outside its main component meet everyone, in blocks of both sides
+    main = large.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"))
+    large = large.join(main.select("bucket", F.col("top.comp").alias("main"), (F.col("top.c")).alias("c")), "bucket")
+    many = lambda n: F.ceil(n / BLOCK).cast("int")
+    every, few = many(F.col("k")), many(F.greatest(F.col("k") - F.col("c"), F.lit(1)))
+    block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    left = large.where("comp <> main").select("bucket", block(few).alias("i"), F.explode(F.sequence(F.lit(0), every - 1)).alias("j"), F.lit(1).alias("side"), "rep", "comp")
+    right = large.select("bucket", F.explode(F.sequence(F.lit(0), few - 1)).alias("i"), block(every).alias("j"), F.lit(2).alias("side"), "rep", "comp")
+    spread = left.unionByName(right).select(F.concat_ws("/", "bucket", "i", "j").alias("key"), "side", "rep", "comp")
     spread = spread.join(held, "rep").select("key", "side", "rep", "comp", "text").repartition("key").sortWithinPartitions("key")
     return found.unionByName(spread.mapInArrow(_block_pairs(width), "a bigint, b bigint"))
 
