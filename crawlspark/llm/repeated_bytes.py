@@ -35,7 +35,7 @@ from .common import broadcast_if_small, durable
 
 LENGTH, K = 100, 24
 SPAN = LENGTH - K + 1  # strings of K bytes in one of LENGTH
-BUCKET = 1024
+BUCKET = 16_384  # pieces of at most 176 bytes, 2.9 MB
 BUFFER = 1 << 19  # bytes worked on at once; positions in a buffer must fit POS_BITS
 POS_BITS = np.uint64(20)
 IDS = 500_000  # ids that may be broadcast (8 bytes each)
