@@ -6,6 +6,7 @@ maximal run of anything else, in every operator of this subpackage.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does so when the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (cheap to read: durable or tiny) with a broadcast hint if it has at most ``rows`` rows."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df.hint("merge")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable
+from .common import broadcast_if_small, durable, release
 
 LENGTH, K = 100, 24
 SPAN = LENGTH - K + 1  # strings of K bytes in one of LENGTH
@@ -219,6 +219,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     runs = texts.mapInArrow(_runs, RUN)
     shared = durable(runs.groupBy("key").count().where("count > 1").select("key"))
     runs = durable(runs.join(shared, "key", "left_semi"))
+    release(runs)
     firsts = runs.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"))
     firsts = durable(firsts.select("key", "digest", F.col("f.doc_id").alias("d0"), F.col("f.start").alias("s0"), "n", "c"))
     copies = runs.join(firsts.where("c > 1").select("key", "digest", "d0", "s0"), ["key", "digest"]).where("doc_id <> d0 or start <> s0")
@@ -231,6 +232,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     own = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     pieces = own.join(by_doc, "doc_id").mapInArrow(_cut, "key bigint, doc_id bigint, start bigint, piece binary, k bigint")
     pieces = durable(pieces)
+    release(pieces)
     sorted_ = pieces.where(F.col("k") <= BUCKET).drop("k").repartition("key").sortWithinPartitions("key", "doc_id", "start")
     spans = spans.unionByName(sorted_.mapInArrow(_bucket_spans, SPAN_ROW))
     windows = durable(pieces.where(F.col("k") > BUCKET).drop("k").mapInArrow(_hashed, "h1 bigint, h2 bigint, doc_id bigint, at bigint"))
