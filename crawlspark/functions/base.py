@@ -19,3 +19,8 @@ def any_of(conditions: list[Column]) -> Column:
 
 def strings(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def named(**fields: Column) -> Column:
+    """A struct whose field names survive wherever the expression is moved."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])

@@ -14,7 +14,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import let, strings
+from .base import let, named, strings
 
 # Schemes with their default ports
 PORTS = {"http://": 80, "ftp://": 21, "https://": 443, "file://": 0}
@@ -80,13 +80,13 @@ def _located(protocol: Column, host: Column, port: Column | None, path: Column)
     filelike = (F.size(path) > 0) & _is_file(last) & ~directory
     default = F.coalesce(*[F.when(protocol == p, F.lit(n)) for p, n in PORTS.items()], F.lit(80))
     given = F.try_to_number(F.when(F.instr(host, ":") > 0, F.regexp_extract(host, r":(\d{1,5})$", 1)), F.lit("99999")).cast("int")
-    return F.struct(
-        protocol.alias("protocol"),
-        F.regexp_replace(host, r":\d*$", "").alias("domain"),
-        F.coalesce(given, port if port is not None else default).alias("port"),
-        F.transform(F.when(filelike, F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(path), lambda x: F.trim(x)).alias("dirpath"),
-        F.when(filelike, F.trim(last)).otherwise(F.lit(DEFAULT_FILE)).alias("filename"),
-        filelike.alias("filelike"),
+    return named(
+        protocol=protocol,
+        domain=F.regexp_replace(host, r":\d*$", ""),
+        port=F.coalesce(given, port if port is not None else default),
+        dirpath=F.transform(F.when(filelike, F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(path), lambda x: F.trim(x)),
+        filename=F.when(filelike, F.trim(last)).otherwise(F.lit(DEFAULT_FILE)),
+        filelike=filelike,
     )
 
 
@@ -118,7 +118,7 @@ def parse(url: Column) -> Column:
     """The struct of a URL that has no base."""
     cleaned = F.regexp_replace(decode_entities(url), "/$", "")
     scheme = F.coalesce(_scheme(cleaned), F.lit("http://"))
-    return let(F.struct(cleaned.alias("u"), scheme.alias("s")), lambda x: _absolute(F.regexp_replace(x["u"], r"(?i)^.*?(https?|ftp|file)://|^//", ""), x["s"]))
+    return let(named(u=cleaned, s=scheme), lambda x: _absolute(F.regexp_replace(x["u"], r"(?i)^.*?(https?|ftp|file)://|^//", ""), x["s"]))
 
 
 def resolve(url: Column, url_type: Column, base: Column) -> Column:
@@ -128,7 +128,7 @@ def resolve(url: Column, url_type: Column, base: Column) -> Column:
     pieces = F.split(cleaned, "#+")
     head = F.when(is_anchor, F.get(pieces, 0)).otherwise(cleaned)
     anchor = F.when(is_anchor, F.concat(F.lit("#"), F.array_join(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), "#"))).otherwise("")
-    from_base = let(parse(base), lambda b: F.struct(b.alias("b"), full_url(b).alias("full")))
+    from_base = let(parse(base), lambda b: named(b=b, full=full_url(b)))
 
     def with_base(x: Column) -> Column:
         b, h = x["base"]["b"], F.when((x["head"] == "") & (x["anchor"] != ""), x["base"]["full"]).otherwise(x["head"])
@@ -140,19 +140,19 @@ def resolve(url: Column, url_type: Column, base: Column) -> Column:
         relative = _located(F.coalesce(b["protocol"], F.lit("http://")), b["domain"], b["port"], collapsed(joined, F.lit(False)))
         u = F.when(absolute.isNotNull() | x["base"]["b"]["domain"].isNull(), _absolute(rest, F.coalesce(absolute, F.lit("http://")))).otherwise(relative)
         return let(
-            F.struct(u.alias("u"), (absolute.isNull() & b["domain"].isNotNull()).alias("rel"), h.alias("h"), x["anchor"].alias("anchor")),
-            lambda y: F.struct(
-                full_url(y["u"]).alias("full_url"),
-                *[y["u"][c].alias(c) for c in ("protocol", "domain", "port", "dirpath", "filename", "filelike")],
-                valid_filename(y["u"]["filename"]).alias("valid_filename"),
-                full_filename(y["u"]).alias("full_filename"),
-                y["rel"].alias("is_rel"),
-                (y["rel"] & y["h"].startswith("/")).alias("is_rel_server"),
-                y["anchor"].alias("anchor"),
+            named(u=u, rel=absolute.isNull() & b["domain"].isNotNull(), h=h, anchor=x["anchor"]),
+            lambda y: named(
+                full_url=full_url(y["u"]),
+                **{c: y["u"][c] for c in ("protocol", "domain", "port", "dirpath", "filename", "filelike")},
+                valid_filename=valid_filename(y["u"]["filename"]),
+                full_filename=full_filename(y["u"]),
+                is_rel=y["rel"],
+                is_rel_server=y["rel"] & y["h"].startswith("/"),
+                anchor=y["anchor"],
             ),
         )
 
-    return let(F.struct(head.alias("head"), anchor.alias("anchor"), from_base.alias("base")), with_base)
+    return let(named(head=head, anchor=anchor, base=from_base), with_base)
 
 
 def base_domain(domain: Column) -> Column:

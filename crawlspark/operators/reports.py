@@ -74,11 +74,13 @@ def localise(html: Column, children: Column) -> Column:
     """
     start = F.regexp_replace(html, r"(?i)<base\s+href=[^>]*>", "")
 
+    def pointed(acc: Column, c: Column, attr: str) -> Column:
+        new = F.concat(F.lit(f'{attr}="'), c["replacement"], F.lit('"'))
+        quoted = F.concat(F.lit(f'{attr}="'), c["original"], F.lit('"'))
+        return let(F.struct(acc.alias("a"), quoted.alias("q")), lambda x: replace_first(x["a"], x["q"], new))
+
     def one(acc: Column, c: Column) -> Column:
-        for attr in ("href", "src"):
-            quoted = F.concat(F.lit(f'{attr}="'), c["original"], F.lit('"'))
-            acc = let(F.struct(acc.alias("a"), quoted.alias("q")), lambda x, attr=attr: replace_first(x["a"], x["q"], F.concat(F.lit(f'{attr}="'), c["replacement"], F.lit('"'))))
-        return acc
+        return pointed(pointed(acc, c, "href"), c, "src")
 
     return F.aggregate(children, start, one)
 

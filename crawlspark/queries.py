@@ -1,6 +1,408 @@
-"""Registered queries of the crawl library and their SQL."""
+"""Registered queries of the crawl library and their SQL.
+
+Facts that the test tables lack (frames, robots files, junk, redirects) come from small
+inline tables, given to both engines as the same VALUES.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import links, urls
+from .operators import cache, dedupe, frontier, reports, robots, rules
+from .plans import crawl, stages
+from .streaming import frontier as streaming
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _values(spark: SparkSession, values: str, columns: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
+# Shared SQL: the parts of a page URL
+PARTS = r"""p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) host, regexp_extract(url, '^(.*?://)', 1) scheme FROM pages)"""
+HREFS = r"""a AS (SELECT page_id, host, scheme, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1)) href FROM pages JOIN p USING (page_id))"""
+
+
+@query(rf"""WITH {PARTS}, {HREFS}, u AS (SELECT DISTINCT host, scheme, href FROM a)
+SELECT host, count(*) AS n_links, count(*) FILTER (starts_with(href, '/')) AS n_internal FROM u GROUP BY host""")
+def link_summary_by_host(spark, d):
+    found = _t(spark, d, "pages").select(urls.parse(F.col("url")).alias("p"), "url", F.explode(links.hrefs(F.col("html"))).alias("href"))
+    done = found.select(F.col("p.domain").alias("host"), F.col("p.protocol").alias("scheme"), "href").distinct()
+    return done.groupBy("host").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("href").startswith("/")).alias("n_internal"))
+
+
+@query(rf"""WITH {PARTS} SELECT page_id, scheme AS protocol, host AS domain, CASE WHEN len(string_split(host, '.')) > 2 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS base_domain, CASE WHEN scheme = 'https://' THEN 443 ELSE 80 END AS port FROM p""")
+def url_parts(spark, d):
+    p = urls.parse(F.col("url"))
+    return _t(spark, d, "pages").select("page_id", p.alias("p")).select("page_id", "p.protocol", "p.domain", urls.base_domain(F.col("p.domain")).alias("base_domain"), "p.port")
+
+
+@query("SELECT page_id, md5(url) AS url_id, sha1(html) AS page_hash FROM pages")
+def url_hashes(spark, d):
+    return _t(spark, d, "pages").select("page_id", urls.url_hash(F.col("url")).alias("url_id"), F.sha1("html").alias("page_hash"))
+
+
+@query(rf"""WITH {PARTS}, h AS (SELECT *, substr(rtrim(url, '/'), length(scheme) + 1) rest FROM p), x AS (SELECT *, list_filter(string_split(CASE WHEN url LIKE '%/' THEN substr(url, length(scheme) + 1, length(url) - length(scheme) - 1) ELSE substr(url, length(scheme) + 1) END, '/'), lambda s: trim(s) <> '')[2:] q FROM h),
+f AS (SELECT *, len(q) > 0 AND (instr(q[-1], '.') = 0 OR (instr(q[-1], '.') > 1 AND instr(q[-1], '.') < length(q[-1]))) fl FROM x)
+SELECT page_id, scheme || host || '/' || array_to_string(list_transform(CASE WHEN fl THEN q[:-2] ELSE q END, lambda s: s || '/'), '') AS directory, len(CASE WHEN fl THEN q[:-2] ELSE q END) AS depth, CASE WHEN fl THEN q[-1] ELSE 'index.html' END AS filename FROM f""")
+def url_dirs_depth(spark, d):
+    return _t(spark, d, "pages").select("page_id", urls.parse(F.col("url")).alias("u")).select("page_id", urls.url_directory(F.col("u")).alias("directory"), F.size("u.dirpath").alias("depth"), F.col("u.filename").alias("filename"))
+
+
+RESOLVE = """(0, 'http://www.yahoo.com/photos/my photo.gif', 'generic', ''), (3, '/sports/2003/jun/25beck1.htm', 'generic', 'http://www.rediff.com'), (5, 'http://www.python.org/doc/2.3b2/', 'generic', ''),
+(6, '//images.sourceforge.net/div.png', 'image', 'http://sourceforge.net'), (13, '#anchor', 'anchor', 'http://www.foo.com/bar/index.html'), (15, '../icons/up.png', 'image', 'http://www.python.org/doc/current/tut/node2.html'),
+(17, 'fileadmin/dz.gov.si/templates/../../../index.php', 'generic', 'http://www.dz-rs.si'), (19, 'http://arstechnica.com/reviews/os/macosx-10.4.ars', 'generic', ''), (20, 'http://www.fylkesmannen.no/../fmt_hoved.asp', 'generic', 'http://www.fylkesmannen.no/osloogakershu')"""
+
+
+@query("""SELECT * FROM (VALUES (0, 'http://www.yahoo.com/photos/my%20photo.gif', false, true, ''), (3, 'http://www.rediff.com/sports/2003/jun/25beck1.htm', true, true, ''), (5, 'http://www.python.org/doc/2.3b2', false, true, ''), (6, 'http://images.sourceforge.net/div.png', false, true, ''), (13, 'http://www.foo.com/bar/index.html', false, true, '#anchor'), (15, 'http://www.python.org/doc/current/icons/up.png', true, true, ''), (17, 'http://www.dz-rs.si/index.php', true, true, ''), (19, 'http://arstechnica.com/reviews/os/macosx-10.4.ars/', false, false, ''), (20, 'http://www.fylkesmannen.no/fmt_hoved.asp', false, true, '')) t(id, full_url, is_rel, filelike, anchor)""")
+def url_resolve_relative(spark, d):
+    v = _values(spark, RESOLVE, "id, url, typ, base")
+    return v.select("id", urls.resolve(F.col("url"), F.col("typ"), F.nullif("base", F.lit(""))).alias("u")).select("id", "u.full_url", "u.is_rel", "u.filelike", "u.anchor")
+
+
+@query("SELECT id, replace(replace(replace(u, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS decoded FROM (VALUES (1, 'a?b=1&amp;c=2'), (2, 'x&lt;y&gt;'), (3, 'plain')) t(id, u)")
+def url_entities(spark, d):
+    return _values(spark, "(1, 'a?b=1&amp;c=2'), (2, 'x&lt;y&gt;'), (3, 'plain')", "id, u").select("id", urls.decode_entities(F.col("u")).alias("decoded"))
+
+
+@query("""SELECT page_id, translate(url, '?*"<>!:/\\', '') AS valid FROM pages""")
+def filename_sanitise(spark, d):
+    return _t(spark, d, "pages").select("page_id", urls.valid_filename(F.col("url")).alias("valid"))
+
+
+KINDS = "(1, 'a.GIF', 'generic'), (2, 'b.pdf', 'generic'), (3, 'c.css', 'generic'), (4, 'd', 'image'), (5, 'e.html', 'anchor'), (6, 'f.jpg', 'generic'), (7, 'g.xyz', 'generic')"
+
+
+@query(f"SELECT id, CASE WHEN typ = 'image' THEN 'image' WHEN typ = 'anchor' THEN 'webpage' WHEN regexp_matches(lower(name), '\\.(gif|jpg)$') THEN 'image' WHEN name LIKE '%.pdf' THEN 'document' ELSE 'webpage' END AS kind FROM (VALUES {KINDS}) t(id, name, typ)")
+def url_type_by_extension(spark, d):
+    return _values(spark, KINDS, "id, name, typ").select("id", urls.kind(F.col("name"), F.col("typ")).alias("kind"))
+
+
+MIMES = "(1, 'text/html; charset=utf-8'), (2, 'image/png'), (3, 'text/css'), (4, ''), (5, 'application/pdf'), (6, 'application/zip')"
+
+
+@query(f"SELECT id, CASE WHEN m = '' THEN 'webpage' WHEN m LIKE 'image/%' THEN 'image' WHEN m = 'text/css' THEN 'stylesheet' WHEN m LIKE '%html%' THEN 'webpage' WHEN m = 'application/pdf' THEN 'document' ELSE 'file' END AS kind FROM (VALUES {MIMES}) t(id, m)")
+def mime_type_classify(spark, d):
+    return _values(spark, MIMES, "id, m").select("id", urls.mime_kind(F.col("m"), F.lit("webpage")).alias("kind"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)) AS title FROM pages")
+def title_extract(spark, d):
+    return _t(spark, d, "pages").select("page_id", links.title(F.col("html")).alias("title"))
+
+
+HTML = """(1, '<a href="p.html#s">x</a><img src="i.png"><link rel="stylesheet" href="s.css"><a href="p.html#s">again</a>'), (2, '<meta http-equiv="refresh" content="5; URL=next.html"><meta name="robots" content="noindex,nofollow">'), (3, '<applet codebase="lib/" code="a.class"></applet><frame src="f.html">'), (4, '<script>location.href = "go.html"; window.location.replace("z.html"); location.replace("bad);</script>')"""
+
+
+@query("SELECT * FROM (VALUES (1, 'anchor', 'p.html#s', 0), (1, 'webpage', 'p.html', 1), (1, 'image', 'i.png', 2), (1, 'stylesheet', 's.css', 3), (3, 'frame', 'f.html', 0)) t(id, type, url, ordinal)")
+def anchor_split(spark, d):
+    return _values(spark, HTML, "id, html").select("id", F.posexplode(links.html_links(F.col("html"))).alias("ordinal", "l")).select("id", "l.type", "l.url", "ordinal")
+
+
+@query("SELECT * FROM (VALUES (2, 'next.html')) t(id, url)")
+def meta_refresh(spark, d):
+    return _values(spark, HTML, "id, html").select("id", links.meta_refresh(F.col("html")).alias("url")).where("url is not null")
+
+
+@query("SELECT * FROM (VALUES (1, false, false), (2, true, true), (3, false, false), (4, false, false)) t(id, nofollow, noindex)")
+def meta_robots(spark, d):
+    return _values(spark, HTML, "id, html").select("id", links.meta_robots(F.col("html")).alias("m")).select("id", "m.nofollow", "m.noindex")
+
+
+@query("SELECT * FROM (VALUES (4, 'go.html'), (4, 'z.html')) t(id, url)")
+def js_redirects(spark, d):
+    return _values(spark, HTML, "id, html").select("id", F.explode(links.js_redirects(F.col("html"))).alias("url"))
+
+
+@query("SELECT * FROM (VALUES (3, 'lib/a.class')) t(id, url)")
+def applet_links(spark, d):
+    return _values(spark, HTML, "id, html").select("id", F.explode(links.applet_links(F.col("html"))).alias("url"))
+
+
+@query("SELECT * FROM (VALUES ('a.css'), ('b.css'), ('b.css'), ('i.png')) t(url)")
+def css_urls(spark, d):
+    return _values(spark, """('@import "a.css"; @import url(b.css); p{background:url(i.png)}')""", "css").select(F.explode(links.css_urls(F.col("css"))).alias("url"))
+
+
+CONTEXTS = "(1, 'webpage', 'stylesheet'), (2, 'stylesheet', 'stylesheet'), (3, 'webpage', 'image'), (4, 'stylesheet', 'image'), (5, 'webpage', 'frame')"
+
+
+@query(f"SELECT id, CASE WHEN t = 'frame' THEN 'frame' WHEN t = 'stylesheet' AND s = 'stylesheet' THEN 'css2' WHEN t = 'stylesheet' THEN 'style' WHEN s = 'stylesheet' THEN 'css' ELSE 'page' END AS context FROM (VALUES {CONTEXTS}) v(id, s, t)")
+def link_contexts(spark, d):
+    return _values(spark, CONTEXTS, "id, s, t").select("id", reports.context(F.col("s"), F.col("t")).alias("context"))
+
+
+@query(r"SELECT page_id, NOT (regexp_matches(url, '(?i)example') AND NOT regexp_matches(url, '(?i)zzz')) AS include_only, regexp_matches(url, '(?i)/en/') AS exclude_only FROM pages")
+def url_filter_truth(spark, d):
+    u = F.col("url")
+    return _t(spark, d, "pages").select("page_id", rules.url_filter_blocks(u, "+example-/en/").alias("include_only"), rules.url_filter_blocks(u, "-/en/").alias("exclude_only"))
+
+
+JUNK = "(1, 'http://a.tribalfusion.com/images/1.gif', 'domain'), (2, 'http://stats.webtrendslive.com/cgi-bin/stats.pl', 'domain'), (3, 'http://stats.cyberclick.net/cgi-bin/stats.pl', 'base-domain'), (4, 'http://m.doubleclick.net/images/anim.gif', 'base-domain'), (5, 'http://www.foo.com/popupads/ad.gif', 'pattern'), (6, 'http://www.foo.com/htmlad/1.html', 'pattern'), (7, 'http://www.foo.com/logos/nbclogo.gif', 'pattern'), (8, 'http://www.foo.com/bar/siteads/1.ad', 'pattern'), (9, 'http://www.foo.com/banners/world-banners/banner.gif', 'pattern'), (10, 'http://ads.foo.com/', 'pattern'), (11, 'http://www.foo.com/doc/logo.gif', ''), (12, 'http://www.foo.org/bar/vodka/pattern.html', '')"
+
+
+@query(f"SELECT id, nullif(expected, '') AS reason FROM (VALUES {JUNK}) t(id, url, expected)")
+def junk_filter(spark, d):
+    v = _values(spark, JUNK, "id, url, expected").withColumn("p", urls.parse(F.col("url")))
+    return v.select("id", rules.junk_reason(F.col("url"), F.col("p.domain"), urls.base_domain(F.col("p.domain"))).alias("reason"))
+
+
+ROBOTS = r"""(1, '', 401, 'x', '/x/', false), (2, '', 404, 'x', '/x/', true), (3, 'User-agent: *\nDisallow: /search', 200, 'spam', '/search', false), (4, 'User-agent: *\nDisallow: /search', 200, 'spam', '/Musician/me', true), (5, 'User-agent: CherryPickerSE\nDisallow: /', 200, 'CherryPickerSE/1.0', '/cgi-bin/event-search', false), (6, 'User-agent: ExtractorPro\nDisallow: /', 200, 'extractorpro', '/blubba', false), (7, 'User-agent: *\nAllow: /a/b\nDisallow: /a', 200, 'x', '/a/b', true), (8, 'User-agent: foo\nDisallow: /', 200, 'bar', '/', true), (9, 'User-agent: *\nDisallow: /p # note', 200, 'x', '/p', false), (10, 'User-agent: *\nDisallow:', 200, 'x', '/', true), (11, 'User-agent: *\nAllow: /', 200, 'x', '/', true)"""
+
+
+@query(f"SELECT id, expected AS allowed FROM (VALUES {ROBOTS}) t(id, txt, status, agent, path, expected)")
+def robots_verdict(spark, d):
+    v = _values(spark, ROBOTS, "id, txt, status, agent, path, expected")
+    return v.select("id", robots.allowed(robots.parse(F.col("txt")), F.col("status"), F.col("agent"), F.col("path")).alias("allowed"))
+
+
+SCOPE = "(1, true, true, 'image'), (2, false, true, 'generic'), (3, false, false, 'generic'), (4, false, false, 'image'), (5, false, false, 'stylesheet')"
+
+
+def _scope(level: int):
+    def run(spark, d):
+        v = _values(spark, SCOPE, "id, under, same, typ")
+        yes = F.lit(True)
+        return v.select("id", rules.external(level, under_start=F.col("under"), same=F.col("same"), parent_same=yes, parent_in_start_dir=yes, typ=F.col("typ")).alias("is_external"))
+
+    return run
+
+
+for _level, (_same, _other) in enumerate([("true", "true"), ("false", "true"), ("false", "false"), ("false", "false"), ("false", "false")]):
+    QUERIES[f"scope_fetchlevel_{_level}"] = _scope(_level)
+    ORACLE[f"scope_fetchlevel_{_level}"] = f"SELECT id, CASE WHEN under OR typ IN ('image', 'stylesheet') THEN false WHEN same THEN {_same} ELSE {_other} END AS is_external FROM (VALUES {SCOPE}) t(id, under, same, typ)"
+
+
+@query(r"SELECT page_id, len(list_filter(string_split(regexp_replace(regexp_replace(url, '/$', ''), '^.*?://[^/]*', ''), '/'), lambda s: s <> '')) > 2 AS beyond FROM pages")
+def depth_limit(spark, d):
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace("url", "/$", ""), "^.*?://[^/]*", ""), "/"), lambda s: s != "")
+    return _t(spark, d, "pages").select("page_id", rules.beyond_depth(F.size(parts), 2).alias("beyond"))
+
+
+@query(rf"WITH {PARTS}, f AS (SELECT host, min(page_id) first FROM p GROUP BY host), r AS (SELECT host, row_number() OVER (ORDER BY first) n FROM f) SELECT page_id, n <= 10 AS admitted FROM p JOIN r USING (host)")
+def ext_server_limit(spark, d):
+    p = _t(spark, d, "pages").select("page_id", urls.parse(F.col("url"))["domain"].alias("host"))
+    return rules.admitted(p, "host", ["page_id"], 10).select("page_id", "admitted")
+
+
+@query("SELECT doc_id, regexp_matches(text, '(?i)idiot') AS blocked FROM documents")
+def word_filter(spark, d):
+    return _t(spark, d, "documents").select("doc_id", rules.word_filter(F.col("text"), "idiot").alias("blocked"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '(?i)[\s+<>]the') AND (regexp_matches(text, '(?i)[\s+<>]idiot') OR NOT regexp_matches(text, '(?i)[\s+<>]of')) AS matched FROM documents")
+def word_filter_bool(spark, d):
+    return _t(spark, d, "documents").select("doc_id", rules.boolean_word_filter(F.col("text"), "the & (idiot | !of)").alias("matched"))
+
+
+@query(r"""WITH x AS (SELECT unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1)) href, page_id FROM pages), y AS (SELECT DISTINCT page_id, href FROM x)
+SELECT CASE WHEN regexp_matches(href, '(?i)the') THEN 'url_filter' WHEN false THEN 'junk' ELSE 'accepted' END AS reason, count(*) AS n FROM y GROUP BY 1""")
+def reject_funnel(spark, d):
+    from .sources.config import CrawlConfig
+
+    found = crawl.page_links(_t(spark, d, "pages")).where("link_type = 'generic'").select("page_id", "page_url", "link_type", "link").distinct()
+    path_only = crawl.resolved_links(found).withColumn("u", F.col("u").withField("full_url", F.col("link")))
+    judged = crawl.judged_links(path_only, CrawlConfig.of(fetchlevel=4, urlfilter="-the", junkfilter=False, depth=-1))
+    return judged.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH h AS (SELECT doc_id, source, text FROM documents), f AS (SELECT text, min(doc_id) o, arg_min(source, doc_id) s FROM h GROUP BY text) SELECT doc_id, doc_id > o AND h.source IS NOT DISTINCT FROM f.s AS is_dup FROM h JOIN f USING (text)")
+def content_dup_same_domain(spark, d):
+    return dedupe.content_duplicates(_t(spark, d, "documents").select("doc_id", "source", "text"), "text", "source", "doc_id").select("doc_id", "is_dup")
+
+
+@query(rf"WITH {PARTS} SELECT host, count(*) AS n_urls FROM (SELECT DISTINCT host, url FROM p) GROUP BY host")
+def url_dedupe(spark, d):
+    p = _t(spark, d, "pages").select(urls.parse(F.col("url"))["domain"].alias("host"), F.col("url").alias("full_url"))
+    return dedupe.distinct_urls(p).groupBy("host").agg(F.count(F.lit(1)).alias("n_urls"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def seen_anti(spark, d):
+    return dedupe.unseen(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def saved_semi(spark, d):
+    return dedupe.already_saved(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query(rf"WITH {PARTS} SELECT page_id, 3 - 1 - CASE WHEN regexp_matches(lower(url), '\.html$') THEN 2 ELSE 0 END - CASE WHEN instr(host, 'blog') > 0 THEN 1 ELSE 0 END AS priority FROM p")
+def frontier_priority(spark, d):
+    p = _t(spark, d, "pages").withColumn("u", urls.parse(F.col("url")))
+    return p.select("page_id", frontier.priority(F.lit(3), F.lit(True), urls.extension(F.col("u.filename")), F.col("u.domain"), "html+2", "blog+1").alias("priority"))
+
+
+@query("SELECT page_id, length(url) AS priority FROM pages ORDER BY length(url), page_id LIMIT 20")
+def frontier_topk(spark, d):
+    return frontier.max_files(_t(spark, d, "pages").select("page_id", F.length("url").alias("priority")), ["priority", "page_id"], 20)
+
+
+BFS_SQL = """WITH RECURSIVE e AS (SELECT o_custkey src, o_custkey + 7 dst FROM orders WHERE o_custkey % 3 = 1 UNION SELECT o_custkey, o_custkey - 2 FROM orders WHERE o_custkey % 3 = 2 UNION SELECT o_custkey, o_custkey + 1 FROM orders WHERE o_custkey % 3 = 0),
+r AS (SELECT 1::BIGINT AS node, 0 AS generation UNION SELECT dst, generation + 1 FROM r JOIN e ON src = node WHERE generation < 12) SELECT node, min(generation) AS generation FROM r GROUP BY node"""
+
+
+@query(BFS_SQL)
+def bfs_levels(spark, d):
+    o = _t(spark, d, "orders").select("o_custkey")
+    step = lambda r, n: o.where(f"o_custkey % 3 = {r}").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + n).alias("dst"))
+    edges = step(1, 7).unionByName(step(2, -2)).unionByName(step(0, 1)).distinct()
+    return frontier.bfs(spark.range(1, 2).select(F.col("id").alias("node")), edges, 12)
+
+
+@query(rf"WITH {PARTS}, {HREFS}, o AS (SELECT host url, count(*) n_out FROM a GROUP BY host), i AS (SELECT href url, count(*) n_in FROM a GROUP BY href) SELECT url, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM o FULL JOIN i USING (url)")
+def link_in_out_degree(spark, d):
+    found = _t(spark, d, "pages").select(urls.parse(F.col("url"))["domain"].alias("src"), F.explode(links.hrefs(F.col("html"))).alias("dst"))
+    return reports.link_degrees(found)
+
+
+@query("""WITH n AS (SELECT o_orderkey k, o_orderstatus b, o_orderdate m FROM orders WHERE o_orderkey % 2 = 0), c AS (SELECT o_orderkey k, sha1(o_orderstatus) s, o_orderdate + INTERVAL 1 DAY m2 FROM orders WHERE o_orderkey % 3 = 0)
+SELECT k AS url, CASE WHEN s IS NULL THEN 'written' ELSE 'up_to_date' END AS outcome FROM n LEFT JOIN c USING (k)""")
+def cache_freshness(spark, d):
+    o = _t(spark, d, "orders")
+    fetched = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("url"), F.lit(200).alias("status"), F.col("o_orderdate").alias("modified"), F.col("o_orderstatus").alias("body"))
+    cached = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("url"), F.sha1("o_orderstatus").alias("cached_sha"), F.expr("o_orderdate + INTERVAL 1 DAY").alias("cached_modified"), F.lit(None).cast("string").alias("cached_data"))
+    return cache.freshness(fetched, cached, ["url"]).select("url", "outcome")
+
+
+@query("SELECT o_orderkey AS url, o_totalprice * 2 AS checksum FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 <> 0")
+def cache_upsert(spark, d):
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("url"), F.col("o_totalprice").alias("checksum"))
+    return cache.upsert(o, o.where("url % 5 = 0").withColumn("checksum", F.col("checksum") * 2), ["url"])
+
+
+@query("SELECT user_id AS url FROM events GROUP BY user_id HAVING bool_or(event_type = 'error') AND NOT bool_or(event_type = 'purchase') AND NOT bool_or(event_type = 'error' AND value > 90) AND user_id <> 0")
+def retry_set(spark, d):
+    e = _t(spark, d, "events")
+    log = e.select(F.col("user_id").alias("url"), F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False).alias("ok"), ((F.col("event_type") == "error") & (F.col("value") > 90)).alias("fatal"), (F.col("user_id") == 0).alias("seed"))
+    return cache.retry_set(log.where("ok is not null"), "url")
+
+
+STATUSES = "(200), (304), (401), (404), (407), (500), (503), (504), (418)"
+
+
+@query(f"SELECT status, status IN (401, 404, 407) OR status BETWEEN 500 AND 504 AS fatal, CASE WHEN status < 300 THEN 'ok' WHEN status = 304 THEN 'not_modified' WHEN status IN (404, 503, 504) THEN 'add_to_filter' WHEN status = 401 THEN 'stop' WHEN status = 407 THEN 'proxy' WHEN status BETWEEN 500 AND 502 THEN 'give_up' ELSE 'retry' END AS action FROM (VALUES {STATUSES}) t(status)")
+def error_classify(spark, d):
+    fatal, action = rules.error_action(F.col("status"))
+    return _values(spark, STATUSES, "status").select("status", fatal.alias("fatal"), action.alias("action"))
+
+
+@query("SELECT count(DISTINCT user_id) AS links, count(DISTINCT event_type) AS servers, count(DISTINCT user_id % 10) AS dirs, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error' AND value > 90) AS fatal, count(DISTINCT event_id) FILTER (event_id % 6 IN (1, 2)) AS files, count(*) FILTER (event_id % 6 = 3) AS repos, count(*) FILTER (event_id % 6 = 4) AS cache, sum(event_id) AS bytes FROM events")
+def crawl_stats(spark, d):
+    e = _t(spark, d, "events")
+    log = e.select(F.col("user_id").alias("url"), F.col("event_type").alias("server"), (F.col("user_id") % 10).alias("directory"), F.col("event_id").alias("filename"), (F.col("event_id") % 6).alias("code"), (F.col("event_type") != "error").alias("ok"), ((F.col("event_type") == "error") & (F.col("value") > 90)).alias("fatal"), F.col("event_id").alias("bytes"))
+    return reports.crawl_stats(log)
+
+
+@query("SELECT event_type, floor(count(*) / 60 * 100) / 100 AS fps, floor(sum(event_id) / 1024 / 60 * 100) / 100 AS kbps FROM events GROUP BY event_type")
+def crawl_rates(spark, d):
+    g = _t(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("b"))
+    fps, kbps = reports.rates(F.col("n"), F.col("b"), F.lit(60))
+    return g.select("event_type", fps.cast("double").alias("fps"), kbps.cast("double").alias("kbps"))
+
+
+@query("SELECT event_id, value FROM events ORDER BY ts, event_id LIMIT 500")
+def max_files_limit(spark, d):
+    return frontier.max_files(_t(spark, d, "events"), ["ts", "event_id"], 500).select("event_id", "value")
+
+
+@query("SELECT o_orderkey AS url, i AS part, i * ((o_orderkey + 10) // 4) AS start, CASE WHEN i = 3 THEN o_orderkey + 10 ELSE (i + 1) * ((o_orderkey + 10) // 4) END - 1 AS \"end\" FROM orders, unnest([0, 1, 2, 3]::BIGINT[]) AS u(i)")
+def range_split(spark, d):
+    o = _t(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("url"), F.explode(cache.range_parts(F.col("o_orderkey") + 10, F.lit(4))).alias("p")).select("url", "p.part", "p.start", "p.end")
+
+
+@query("SELECT l_orderkey AS url, string_agg(l_returnflag || l_linenumber, '' ORDER BY l_linenumber, l_returnflag) AS data FROM lineitem GROUP BY l_orderkey")
+def range_reassemble(spark, d):
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("url"), F.col("l_linenumber").alias("s"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("d"))
+    return cache.reassembled(li, "url", "s", "d")
+
+
+@query(r"""WITH x AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1) h FROM pages), y AS (SELECT page_id, url, unnest(h) c, generate_subscripts(h, 1) o FROM x), z AS (SELECT page_id, any_value(url) url, c, min(o) o FROM y GROUP BY page_id, c)
+SELECT any_value(url) AS url, any_value(url) || string_agg(chr(10) || chr(9) || c, '' ORDER BY o) AS tree FROM z GROUP BY page_id""")
+def url_tree_text(spark, d):
+    found = _t(spark, d, "pages").select("url", F.posexplode(links.hrefs(F.col("html"))).alias("o", "c"))
+    return reports.url_tree(found, "url", "c", "o")
+
+
+@query("SELECT 'url:' || source || ',files:' || count(*) || ',links:' || count(DISTINCT lang) AS line FROM documents GROUP BY source")
+def stats_line(spark, d):
+    g = _t(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("l"))
+    return g.select(reports.stats_line({"url": F.col("source"), "files": F.col("n"), "links": F.col("l")}).alias("line"))
+
+
+@query(r"WITH b AS (SELECT url, trim(regexp_replace(html, '[^\x00-\x7F]', '', 'g'), ' ') b FROM pages) SELECT 'Path-Name: ' || url || chr(10) || 'Content-Length: ' || length(b) || chr(10) || chr(10) || b AS record FROM b")
+def swish_feed(spark, d):
+    return _t(spark, d, "pages").select(reports.swish_feed(F.col("url"), F.col("html")).alias("record"))
+
+
+@query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term FROM documents), g AS (SELECT term, doc_id, count(*) uses FROM t GROUP BY ALL) SELECT term, count(*) AS n_docs, sum(uses)::BIGINT AS n_uses, min(doc_id) AS first_doc FROM g GROUP BY term")
+def inverted_index(spark, d):
+    return reports.inverted_index(_t(spark, d, "documents"), "doc_id", "text")
+
+
+@query("WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x IN ('license', 'mit')) t FROM documents) SELECT doc_id, len(t)::BIGINT AS uses FROM t WHERE len(list_distinct(t)) = 2")
+def term_search(spark, d):
+    return reports.term_search(_t(spark, d, "documents"), "doc_id", "text", ["license", "mit"])
+
+
+@query("""SELECT page_id, md5(CASE WHEN instr(html, 'href="/the"') > 0 THEN substr(html, 1, instr(html, 'href="/the"') - 1) || 'href="the.html"' || substr(html, instr(html, 'href="/the"') + 11) ELSE html END) AS html_md5 FROM pages""")
+def localise_links(spark, d):
+    child = F.array(F.struct(F.lit("/the").alias("original"), F.lit("the.html").alias("replacement")))
+    return _t(spark, d, "pages").select("page_id", F.md5(reports.localise(F.col("html"), child)).alias("html_md5"))
+
+
+@query(rf"WITH {PARTS}, q AS (SELECT string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] base_domain, host AS \"domain\" FROM p) SELECT base_domain, \"domain\", count(*) AS n FROM q GROUP BY ROLLUP (base_domain, \"domain\")".replace('\\"', '"'))
+def rollup_by_domain_type(spark, d):
+    p = _t(spark, d, "pages").select(urls.parse(F.col("url"))["domain"].alias("domain")).withColumn("base_domain", urls.base_domain(F.col("domain")))
+    return p.rollup("base_domain", "domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start_ts, count(*) AS n_events, count(*) FILTER (event_type = 'error') AS n_failed, sum(event_id)::DOUBLE AS bytes FROM events GROUP BY 1")
+def fetch_tumbling(spark, d):
+    return streaming.telemetry(_t(spark, d, "events").withColumn("value", F.col("event_id").cast("double")), "1 hour")
+
+
+@query("WITH w AS (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) start_ts, event_type, event_id FROM events) SELECT start_ts, count(*) AS n_events, count(*) FILTER (event_type = 'error') AS n_failed, sum(event_id)::DOUBLE AS bytes FROM w GROUP BY 1")
+def fetch_sliding(spark, d):
+    return streaming.telemetry(_t(spark, d, "events").withColumn("value", F.col("event_id").cast("double")), "2 hours", "1 hour")
+
+
+@query("WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) k FROM l) SELECT user_id, min(ts) AS start_ts, max(ts) + INTERVAL 30 MINUTE AS end_ts, count(*) AS n_events FROM s GROUP BY user_id, k")
+def fetch_sessions(spark, d):
+    return streaming.sessions(_t(spark, d, "events"))
+
+
+REDIRECTS = "('a', 'b'), ('b', 'c'), ('c', 'd'), ('x', 'y'), ('y', 'x'), ('s', 's')"
+
+
+@query("SELECT * FROM (VALUES ('a', 'd', 3, false), ('b', 'd', 2, false), ('c', 'd', 1, false), ('x', 'x', 2, true), ('y', 'y', 2, true), ('s', 's', 1, true)) t(url, target, hops, loop)")
+def redirect_chain(spark, d):
+    return frontier.redirect_chains(_values(spark, REDIRECTS, "src, dst"))
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 2 = 0 AND length(url) > 35")
+def hooked_stage(spark, d):
+    plan = stages.Plan([("scan", lambda df: df.select("page_id", "url")), ("keep", lambda df: df.where("length(url) > 20"))])
+    plan.before("keep", lambda df: df.where("page_id % 2 = 0")).replace("keep", lambda df: df.where("length(url) > 35")).after("keep", lambda out, given: out.select("page_id"))
+    return plan.run(_t(spark, d, "pages"))
