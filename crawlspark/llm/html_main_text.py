@@ -120,7 +120,7 @@ class Weights:
         words = (inside[""] + 1) / (inside[""] + outside[""] + 2)
         self.word = max(WORD_LEAST, math.log(words / 0.5) if words > 0.5 else 0)
         self.tag = {t: -min(TAG_MOST, max(TAG_LEAST, math.log((outside[t] + 0.5) / (inside[t] + 0.5)) + TAG_LEAST)) for t in {*inside, *outside} if t}
-        self.unknown = -1.0
+        self.unknown = -TAG_LEAST  # nothing is known against it
 
     @classmethod
     def learned(cls, pages: list[str]) -> Weights:
