@@ -6,8 +6,9 @@ and rewrites each run as one shard; every change is one new version of the manif
 written aside and then renamed, so a reader sees the old version or the new one whole.
 A rename onto a version that exists fails, so of two writers one has to retry.
 
-Rows go to shards by a hash of their id and content, never by source, so no source makes a shard
-large; a task writes one shard at a time and holds at most its size. The manifest is a
+An arrival is written as it lies, one shard for each of its partitions, without a shuffle;
+a compaction sends the rows of one run to one task, which holds about ``target`` bytes.
+No source or key decides where a row goes. The manifest is a
 table (one row per shard) and is planned as one.
 
 Layout under ``root``: ``data/run=<run>/shard=<id>/part-*.parquet`` and ``manifest/<version>``.
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, shared_dir
+from .common import broadcast_if_small, durable, release, shared_dir
 
 TARGET, ARRIVAL, FANOUT = 64 << 20, 8 << 20, 4
+FULL = 0.75  # a shard of this share of the target is left as it is
+STEPS = 4  # a compaction rewrites about so much of the store at most
 MANIFEST = "shard string, run string, tier int, rows bigint, bytes bigint"
 
 
@@ -65,55 +68,60 @@ class ShardStore:
 
     # --- data
 
-    def _write(self, rows: DataFrame, shards: int) -> tuple[str, DataFrame]:
-        """Rows of (row, _bytes, shard) as a new run, and the manifest rows of it."""
+    def _write(self, rows: DataFrame) -> DataFrame:
+        """Rows of (row, _bytes, shard) as a new run; returns the manifest rows of it."""
         run = uuid.uuid4().hex
-        rows.repartition(max(1, shards), "shard").write.partitionBy("shard").parquet(f"{self.root}/data/run={run}")
+        rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.root}/data/run={run}")
         stats = self._data([run]).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("_bytes").cast("bigint").alias("bytes"))
-        return run, stats.select("shard", F.lit(run).alias("run"), self._tier(F.col("bytes")).alias("tier"), "rows", "bytes")
+        return stats.select("shard", F.lit(run).alias("run"), self._tier(F.col("bytes")).alias("tier"), "rows", "bytes")
 
     def _data(self, runs: list[str]) -> DataFrame:
         schema = T.StructType([T.StructField("row", self.schema), T.StructField("_bytes", T.LongType()), T.StructField("shard", T.StringType()), T.StructField("run", T.StringType())])
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/run={r}" for r in runs]) if runs else self.spark.createDataFrame([], schema)
 
-    def append(self, df: DataFrame, total: int | None = None) -> int:
-        """Adds ``df`` as shards of about ``arrival`` bytes; returns the new version."""
+    def append(self, df: DataFrame) -> int:
+        """Adds ``df``, each of its partitions as one shard, so without a shuffle; returns the new version."""
         base = self.version()
-        weighed = df.select(F.struct(*[F.col(f"`{c}`") for c in self.schema.names]).alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("_bytes"), F.xxhash64("doc_id", "text").alias("_h"))
-        if total is None:
-            total = weighed.agg(F.sum("_bytes")).first()[0] or 0
-        n = max(1, round(total / self.arrival))
-        name = F.format_string("%s-%06d", F.lit(f"{base + 1:08d}"), F.pmod("_h", F.lit(n)))
-        _, added = self._write(weighed.select("row", "_bytes", name.alias("shard")), n)
+        name = F.format_string("%s-%06d", F.lit(f"{base + 1:08d}"), F.spark_partition_id())
+        added = self._write(df.select(F.struct(*[F.col(f"`{c}`") for c in self.schema.names]).alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("_bytes"), name.alias("shard")))
         return self._commit(self.manifest(base).unionByName(added), base)
 
     def plan(self, version: int) -> DataFrame:
-        """shard, into: the shards that compaction merges and the run they go to."""
+        """shard, run, into: the shards that one compaction merges and the run they go to.
+
+        Runs are taken in order until they hold ``1 / STEPS`` of the store, so that old and new shards together need little more room than the store.
+        """
+        shards = self.manifest(version)
         in_tier = Window.partitionBy("tier").orderBy("shard")
-        runs = self.manifest(version).where(F.col("bytes") < self.target).withColumn("before", F.sum("bytes").over(in_tier) - F.col("bytes"))
+        runs = shards.where(F.col("bytes") < FULL * self.target).withColumn("before", F.sum("bytes").over(in_tier) - F.col("bytes"))
         runs = runs.withColumn("into", F.format_string("%s-t%d-%06d", F.lit(f"{version + 1:08d}"), "tier", F.floor(F.col("before") / self.target)))
-        run = Window.partitionBy("into")
-        return runs.withColumn("members", F.count(F.lit(1)).over(run)).withColumn("size", F.sum("bytes").over(run)).where((F.col("members") >= self.fanout) | ((F.col("members") > 1) & (F.col("size") >= 0.75 * self.target))).select("shard", "run", "into")
+        sizes = runs.groupBy("into").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("size"))
+        sizes = sizes.where((F.col("members") >= self.fanout) | ((F.col("members") > 1) & (F.col("size") >= FULL * self.target)))
+        sizes = sizes.withColumn("sooner", F.sum("size").over(Window.orderBy("into")) - F.col("size"))
+        whole = F.broadcast(shards.agg((F.sum("bytes") / STEPS).alias("most")))
+        return runs.join(sizes.join(whole).where("sooner <= most").select("into"), "into").select("shard", "run", "into")
 
     def compact(self) -> int:
-        """Merges similarly sized shards once; returns the version then current."""
+        """Merges similarly sized shards, one step; returns the version then current."""
         base = self.version()
-        plan = self.plan(base)
+        plan = durable(self.plan(base))
         targets, merged = plan.agg(F.count_distinct("into"), F.count(F.lit(1))).first()
         if not merged:
             return base
         runs = [r[0] for r in plan.select("run").distinct().collect()]  # one per append or compaction still in use
         moved = self._data(runs).join(broadcast_if_small(plan.select("shard", "into")), "shard").select("row", "_bytes", F.col("into").alias("shard"))
-        _, added = self._write(moved, targets)
+        added = self._write(moved.repartition(targets, "shard"))
         return self._commit(self.manifest(base).join(plan.select("shard"), "shard", "left_anti").unionByName(added), base)
 
     def vacuum(self) -> None:
-        """Deletes runs that the newest version no longer names; readers of older versions must be done."""
-        used = {r[0] for r in self.manifest().select("run").distinct().collect()}
+        """Deletes shards that the newest version no longer names; readers of older versions must be done."""
+        used = {f"shard={r[0]}" for r in self.manifest().select("shard").collect()}
         at = self._path(f"{self.root}/data")
-        for s in self._fs.listStatus(at) if self._fs.exists(at) else []:
-            if s.getPath().getName().removeprefix("run=") not in used:
-                self._fs.delete(s.getPath(), True)
+        for run in self._fs.listStatus(at) if self._fs.exists(at) else []:
+            for s in self._fs.listStatus(run.getPath()):
+                name = s.getPath().getName()
+                if name.startswith("shard=") and name not in used:
+                    self._fs.delete(s.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version: (row, _bytes, shard, tier, rows, bytes)."""
@@ -126,13 +134,13 @@ def shard(docs: DataFrame, root: str, arrivals: int = 4, target: int = TARGET, a
     """Appends ``docs`` as ``arrivals`` batches (by hash), compacts until nothing merges, and drops what is superseded."""
     store = ShardStore(docs.sparkSession, root, docs.schema, target, arrival, fanout)
     batch = F.pmod(F.xxhash64("text", "doc_id"), F.lit(arrivals))
-    totals = {r[0]: r[1] for r in docs.groupBy(batch.alias("b")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).collect()}
     for b in range(arrivals):
-        store.append(docs.where(batch == b), totals.get(b, 0))
+        store.append(docs.where(batch == b))
     version = store.version()
     while (new := store.compact()) != version:
         version = new
-    store.vacuum()
+        store.vacuum()
+        release(docs)
     return store, version
 
 
