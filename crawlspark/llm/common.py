@@ -37,7 +37,16 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends in files that outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/crawlspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_.stored_at = path
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``durable`` whose every reader's result has been written by now."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(df: DataFrame) -> None:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable, release
+from .common import broadcast_if_small, discard, durable, release
 
 LENGTH, K = 100, 24
 SPAN = LENGTH - K + 1  # strings of K bytes in one of LENGTH
@@ -218,6 +218,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= LENGTH)
     runs = texts.mapInArrow(_runs, RUN)
     shared = durable(runs.groupBy("key").count().where("count > 1").select("key"))
+    release(shared)
     runs = durable(runs.join(shared, "key", "left_semi"))
     release(runs)
     firsts = runs.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"))
@@ -238,7 +239,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     windows = durable(pieces.where(F.col("k") > BUCKET).drop("k").mapInArrow(_hashed, "h1 bigint, h2 bigint, doc_id bigint, at bigint"))
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2", F.col("f.doc_id").alias("d0"), F.col("f.at").alias("s0"))
     later = windows.join(first, ["h1", "h2"]).where("doc_id <> d0 or at <> s0")
-    return spans.unionByName(later.select("doc_id", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b")))
+    spans = durable(spans.unionByName(later.select("doc_id", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))))
+    discard(shared, runs, firsts, open_, pieces, windows)
+    release(spans)
+    return spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
