@@ -253,16 +253,19 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
         near = posts.where(F.col("rep") != F.col(centre)).join(size, "bucket").where(fits).where("comp <> c")
         return near.select(F.least("rep", centre).alias("a"), F.greatest("rep", centre).alias("b")).distinct()
 
-    links = None
+    posts, comp = posted.withColumn("comp", F.col("rep")), None
     for centre in ("low", "drawn", None):
-        comp = components(links) if links is not None else None
-        posts = posted.withColumn("comp", F.col("rep")) if comp is None else posted.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        if comp is not None:
+        found = durable(_linked(star(posts, centre), held, width) if centre else _rest(posts, held, width))
+        if found.take(1):
+            comp = components(found if comp is None else found.unionByName(comp.toDF("a", "b")))
+        if centre and comp is not None:
+            # what is left: buckets that still span several components
+            posts = posts.drop("comp").join(comp.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
             apart = posts.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
             posts = durable(posts.join(apart, "bucket"))
-        found = _linked(star(posts, centre), held, width) if centre else _rest(posts, held, width)
-        links = durable(found if links is None else links.unionByName(found))
-    comp = components(links).withColumnRenamed("node", "rep")
+            if not posts.take(1):
+                break
+    comp = (posts.select("rep", "comp").limit(0) if comp is None else comp.toDF("rep", "comp"))
     named = classes.join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")))
