@@ -216,3 +216,18 @@ def http_date(text: Column) -> Column:
 
 def byte_label(n: Column) -> Column:
     return F.when(n >= 1024 * 1024, F.concat(F.round(n / (1024 * 1024), 2).cast("string"), F.lit("M"))).when(n >= 1024, F.concat(F.round(n / 1024, 2).cast("string"), F.lit("K"))).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
+
+
+def mirror_urls(full: Column, mirrors: dict[str, list[str]]) -> Column:
+    """array<string>: ``full`` under each mirror of the project whose prefix it has; empty where no prefix fits."""
+    found = F.array().cast("array<string>")
+    for prefix, others in mirrors.items():
+        rest = F.substring(full, len(prefix) + 1, 1 << 30)
+        found = F.when(full.startswith(prefix), F.array(*[F.concat(F.lit(m), rest) for m in others])).otherwise(found)
+    return found
+
+
+def pick_mirrors(candidates: Column, n: int, seed: Column) -> Column:
+    """``n`` of the mirrors in an order that depends on ``seed`` alone, so that reruns agree."""
+    drawn = F.array_sort(F.transform(candidates, lambda m: F.struct(F.md5(F.concat(seed, m)).alias("h"), m.alias("m"))))
+    return F.transform(F.slice(drawn, 1, n), lambda x: x["m"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import links, urls
 from .operators import cache, dedupe, frontier, reports, robots, rules
 from .plans import crawl, stages
+from .sources import tables
 from .streaming import frontier as streaming
 
 QUERIES: dict = {}
@@ -406,3 +407,19 @@ def hooked_stage(spark, d):
     plan = stages.Plan([("scan", lambda df: df.select("page_id", "url")), ("keep", lambda df: df.where("length(url) > 20"))])
     plan.before("keep", lambda df: df.where("page_id % 2 = 0")).replace("keep", lambda df: df.where("length(url) > 35")).after("keep", lambda out, given: out.select("page_id"))
     return plan.run(_t(spark, d, "pages"))
+
+
+@query(r"""WITH n AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS folder, page_id % 7 || '.html' AS filename FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder, filename ORDER BY page_id) - 1 k FROM n)
+SELECT page_id, folder, CASE WHEN k = 0 THEN filename ELSE filename || '.' || k END AS saved_name FROM r""")
+def saved_name_clash(spark, d):
+    named = _t(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("folder"), F.concat((F.col("page_id") % 7).cast("string"), F.lit(".html")).alias("filename"))
+    return tables.clash_free(named, ("folder",), "filename", "page_id").select("page_id", "folder", "saved_name")
+
+
+@query(r"""WITH c AS (SELECT page_id, url, unnest(['http://m1.net/a/', 'http://m2.net/b/', 'http://m3.net/']) m FROM pages WHERE starts_with(url, 'https://')),
+r AS (SELECT page_id, m || substr(url, 9) AS mirror_url, row_number() OVER (PARTITION BY page_id ORDER BY md5(url || m || substr(url, 9))) k FROM c)
+SELECT page_id, mirror_url FROM r WHERE k <= 2""")
+def mirror_pick(spark, d):
+    found = urls.mirror_urls(F.col("url"), {"https://": ["http://m1.net/a/", "http://m2.net/b/", "http://m3.net/"]})
+    return _t(spark, d, "pages").select("page_id", F.explode(urls.pick_mirrors(found, 2, F.col("url"))).alias("mirror_url"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import links, urls
@@ -40,9 +40,16 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
 
 
+def clash_free(df: DataFrame, folder: tuple[str, ...] = ("domain", "directory"), name: str = "filename", order: str = "url") -> DataFrame:
+    """``df`` with ``saved_name``: the first row of a name in its folder, by ``order``, keeps it; later ones get .1, .2, ..."""
+    nth = F.row_number().over(Window.partitionBy(*folder, name).orderBy(order)) - 1
+    return df.withColumn("saved_name", F.when(nth == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("."), nth.cast("string"))))
+
+
 def write_pages(df: DataFrame, path: str) -> None:
-    """Saved pages by domain; a file name that occurs again in its folder gets the suffix .1, .2, ..."""
-    df.write.mode("overwrite").partitionBy("domain").parquet(path)
+    """Pages with a body, by domain, under names that are free of clashes (``domain``, ``directory``, ``filename``, ``url``, ``html``)."""
+    named = clash_free(df.where(F.length("html") > 0))
+    named.write.mode("overwrite").partitionBy("domain").parquet(path)
 
 
 def write_cache(cache: DataFrame, path: str) -> None:

@@ -106,3 +106,10 @@ def test_streaming_frontier(spark, tmp_path):
     q = streaming.paced(stream.select("domain", "full_url")).writeStream.format("memory").queryName("turns").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.turn for r in spark.table("turns").collect()) == [0] * 5 + [1] * 5 + [2] * 4
+
+
+def test_saved_names_do_not_clash(spark, tmp_path):
+    rows = spark.createDataFrame([("d", "a", "x", "u1", "h"), ("d", "a", "x", "u2", "h"), ("d", "a", "x", "u3", ""), ("e", "a", "x", "u4", "h")], "domain string, directory string, filename string, url string, html string")
+    tables.write_pages(rows, str(tmp_path / "saved"))
+    saved = spark.read.parquet(str(tmp_path / "saved"))
+    assert {(r["url"], r["saved_name"]) for r in saved.collect()} == {("u1", "x"), ("u2", "x.1"), ("u4", "x")}
