@@ -214,23 +214,26 @@ def _block_pairs(width: int):
     return run
 
 
+def _open_nodes(edges: DataFrame) -> int:
+    """How many nodes of the edges (u, v), u > v, keep them from being stars around the least node."""
+    ends = edges.selectExpr("u AS node", "v", "false AS centre").unionByName(edges.selectExpr("v AS node", "CAST(NULL AS bigint) AS v", "true AS centre"))
+    ends = ends.groupBy("node").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.bool_or("centre").alias("centre"))
+    return ends.where("least <> most OR centre AND least IS NOT NULL").count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of the edges (a, b); comp is the least node that can be reached.
 
-    Large-star and small-star steps alternate until neither changes an edge; each round is a written table.
+    Large-star and small-star steps alternate until every component is a star; each round is a written table.
     """
     edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    while _open_nodes(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = durable(large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
