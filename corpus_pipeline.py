@@ -9,7 +9,7 @@ from crawlspark.llm.common import durable, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; null texts and texts without a letter go."""
+    """Documents in a learned language; null texts, texts without a letter and those the network rejects go."""
     return language_id.accepted(docs, language_id.fit(docs))
 
 

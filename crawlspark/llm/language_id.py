@@ -3,7 +3,10 @@
 Method: one recurrent layer reads the bytes of a text forwards, one backwards; their
 joined states label every byte position with language probabilities, and a document's
 probabilities are the mean over all its positions. The network is trained in numpy by
-backpropagation through time with Adam.
+backpropagation through time with Adam. One more label, ``und``, is trained on letters of
+no learned language (``foreign``): a document whose languages together have less than the
+network's ``least`` is ``und``. That threshold is the ``MISSED`` quantile of the sampled
+documents that are labelled rightly, ``MOST`` at most.
 
 Training sample (the documented bound): about ``PER_LANGUAGE`` documents of each language,
 drawn by a hash of their id, and ``WINDOWS`` windows spread over the whole of each, whatever
@@ -11,7 +14,8 @@ the size of the corpus. Prediction reads every byte of every text, in pieces of
 ``PIECE`` bytes that are run side by side. Letters are lower-cased beforehand.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no
-labelled text at all everything is ``und``; a null language teaches nothing. Rows keep
+labelled text at all everything is ``und``; a null language and ``und`` teach nothing; the
+score of a text rejected by the network is that of its best language. Rows keep
 their multiplicity; extra columns are ignored.
 """
 
@@ -33,6 +37,9 @@ MAX_LANGUAGES = 256
 STEPS, BATCH, RATE = 120, 256, 0.03
 PIECE, SIDE_BY_SIDE = 128, 1024  # bytes of a piece, pieces run at once
 UNKNOWN = "und"
+MISSED, MOST = 0.001, 0.1
+# First and last letter of scripts that foreign text is made of, as far as the sample does not use them
+SCRIPTS = ((0x100, 0x17F), (0x3B1, 0x3C9), (0x430, 0x44F), (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30F6), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 
 
 class GatedNetwork:
@@ -40,7 +47,7 @@ class GatedNetwork:
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.languages, self.hidden = languages, hidden
+        self.languages, self.hidden, self.least = languages, hidden, 0.0
         self.w = {f"I{d}": rng.normal(0, 0.3, (256, 3 * hidden)).astype(np.float32) for d in "fb"}
         self.w |= {f"U{d}": rng.normal(0, 0.3, (hidden, 3 * hidden)).astype(np.float32) for d in "fb"}
         self.w |= {"V": rng.normal(0, 0.3, (2 * hidden, len(languages))).astype(np.float32), "c": np.zeros(len(languages), np.float32)}
@@ -152,13 +159,40 @@ def _pad(pieces: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def foreign(sample: list[str], n: int, seed: int = 2) -> list[str]:
+    """``n`` windows of letters in no language of ``sample``: random words, codes, repeats, ciphers of the sample, scripts it does not use."""
+    rng = np.random.default_rng(seed)
+    seen = np.array([ord(c) for t in sample for c in t.lower() if c.isalpha()])
+    scripts = [s for s in SCRIPTS if ((seen >= s[0]) & (seen <= s[1])).sum() <= 0.001 * seen.size]
+    latin = "abcdefghijklmnopqrstuvwxyz"
+
+    def drawn(letters: str, k: int = WINDOW) -> str:
+        return "".join(letters[i] for i in rng.integers(0, len(letters), k))
+
+    def worded(letters: str) -> str:
+        return " ".join(drawn(letters, int(k)) for k in rng.integers(1, 11, WINDOW // 2))[:WINDOW]
+
+    def script() -> str:
+        if not scripts:
+            return worded(latin)
+        first, last = scripts[rng.integers(len(scripts))]
+        letters = "".join(map(chr, rng.integers(first, last + 1, WINDOW)))
+        return worded(letters + latin if first == 0x100 else letters)
+
+    def cipher() -> str:
+        return sample[rng.integers(len(sample))].lower().translate(str.maketrans(latin, "".join(rng.permutation(list(latin)))))
+
+    kinds = (lambda: worded(latin), lambda: drawn(latin + latin + "0123456789+/"), lambda: drawn("0123456789abcdef"), lambda: drawn(latin, int(rng.integers(1, 4))) * WINDOW, script, script, cipher)
+    return [kinds[i % len(kinds)]() for i in range(n)]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame) -> GatedNetwork | None:
     """A network trained on the bounded sample of labelled documents that are not held out; None without any."""
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    labelled = docs.where((F.col("lang") != UNKNOWN) & ~held_out(F.col("doc_id")) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return None
@@ -170,15 +204,34 @@ def fit(docs: DataFrame) -> GatedNetwork | None:
     languages = sorted({r[0] for r in sample})
     if not languages:
         return None
-    pieces = [(languages.index(r[0]), encoded(w)[:WINDOW]) for r in sample for w in r[2:] if w]
-    net = GatedNetwork(languages)
-    net.train(*_pad([p for _, p in pieces], WINDOW), np.array([k for k, _ in pieces]))
+    pieces = [(languages.index(r[0]), encoded(w)[:WINDOW], i) for i, r in enumerate(sample) for w in r[2:] if w]
+    others = [encoded(t)[:WINDOW] for t in foreign([w for r in sample for w in r[2:] if w], WINDOWS * PER_LANGUAGE)]
+    net = GatedNetwork([*languages, UNKNOWN])
+    net.train(*_pad([*(p for _, p, _ in pieces), *others], WINDOW), np.array([k for k, _, _ in pieces] + [len(languages)] * len(others)))
+    net.least = _least(net, pieces, len(sample))
     return net
 
 
+def _least(net: GatedNetwork, pieces: list[tuple[int, np.ndarray, int]], n: int) -> float:
+    """The threshold that all but ``MISSED`` of the ``n`` documents that are labelled rightly reach; pieces are (language, bytes, document)."""
+    total, size, label = np.zeros((n, len(net.languages))), np.zeros(n), np.zeros(n, int)
+    for at in range(0, len(pieces), SIDE_BY_SIDE):
+        k, parts, owner = (list(c) for c in zip(*pieces[at : at + SIDE_BY_SIDE], strict=True))
+        x, mask = _pad(parts, WINDOW)
+        p = net.probabilities(np.ascontiguousarray(x.T), np.ascontiguousarray(mask.T))
+        np.add.at(total, owner, np.einsum("tlb,bt->bl", p, mask))
+        np.add.at(size, owner, mask.sum(1))
+        label[owner] = k
+    p = total[:, :-1] / np.maximum(size, 1)[:, None]
+    right = p.sum(1)[(size > 0) & (p.argmax(1) == label)]
+    return min(MOST, float(np.quantile(right, MISSED))) if right.size else 0.0
+
+
 def _predicted(net: GatedNetwork):
     """(doc_id, held_out, text) -> (doc_id, held_out, lang_pred, score)."""
 
+    learned = [k for k, name in enumerate(net.languages) if name != UNKNOWN]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, size = np.zeros((batch.num_rows, len(net.languages))), np.zeros(batch.num_rows)
@@ -202,12 +255,12 @@ def _predicted(net: GatedNetwork):
                         flush()
             if pieces:
                 flush()
-            p = total / np.maximum(size, 1)[:, None]
+            p = total[:, learned] / np.maximum(size, 1)[:, None]
             best = p.argmax(1)
             score = np.clip(p[np.arange(best.size), best], 0, 1)
-            known = size > 0
+            known = (size > 0) & (p.sum(1) >= net.least)
             lang = [net.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(np.where(size > 0, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 

@@ -1,5 +1,6 @@
 """Operators against brute force, and the defined cases: nulls, empty and long texts, ties, repeats, clashing names."""
 
+import base64
 import hashlib
 import html
 import random
@@ -144,6 +145,19 @@ def test_language_is_learned_from_the_rest(spark):
     assert got.where("lang = lang_pred").count() > 0.98 * got.count()
 
 
+def test_letters_of_no_learned_language_go(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    net = language_id.fit(docs)
+    rnd = random.Random(4)
+    rows = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(400)) for _ in range(20)]
+    rows += [base64.b64encode(rnd.randbytes(300)).decode() for _ in range(20)] + [rnd.randbytes(200).hex() for _ in range(20)]
+    rows += ["q" * 300, "все люди рождаются свободными и равными в своем достоинстве и правах", "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心"]
+    odd = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")
+    assert language_id.accepted(odd, net).count() == 0
+    assert language_id.identify(odd, net).where("lang_pred <> 'und'").count() == 0
+    assert language_id.accepted(docs, net).count() == docs.count()
+
+
 def test_gradients_by_differences():
     import numpy as np
 
