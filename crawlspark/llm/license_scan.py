@@ -40,13 +40,64 @@ NOTICES = {
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0": "under the GNU General Public License, version 3",
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "reserved": "All rights reserved. No part of this publication may be reproduced",
+    "reserved-short": "All rights reserved.",
 }
+# Common wordings by family; of at most eight words, so that each word (a version, say) must be there
+WORDINGS = {
+    "MIT": ("under the MIT License", "under an MIT License", "under MIT License", "under the terms of the MIT License", "under the X11 License", "The MIT License (MIT)"),
+    "Apache-2.0": ("under the Apache License 2.0", "under the Apache 2.0 License", "under Apache License 2.0", "under Apache 2.0", "of the Apache License, Version 2.0", "under the Apache-2.0 License"),
+    "Apache-1.1": ("under the Apache License, Version 1.1", "The Apache Software License, Version 1.1"),
+    "BSD-2-Clause": ("under the BSD 2-Clause", "under the 2-Clause BSD", "BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("under the BSD 3-Clause", "under the 3-Clause BSD", "BSD 3-Clause License", "under the New BSD License", "under the modified BSD License"),
+    "BSD": ("under the BSD License", "under a BSD License", "under a BSD-style License", "under the terms of the BSD License"),
+    "ISC": ("under the ISC License", "of the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "Zlib": ("under the zlib License", "under the zlib/libpng License", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    "MPL-1.1": ("under the Mozilla Public License 1.1", "the Mozilla Public License Version 1.1", "under the MPL 1.1"),
+    "MPL-2.0": ("under the Mozilla Public License 2.0", "the Mozilla Public License, v. 2.0", "the Mozilla Public License, Version 2.0", "under the MPL 2.0"),
+    "EPL-1.0": ("the Eclipse Public License v1.0", "the Eclipse Public License 1.0", "the Eclipse Public License, Version 1.0"),
+    "EPL-2.0": ("the Eclipse Public License v2.0", "the Eclipse Public License 2.0", "the Eclipse Public License v. 2.0", "the Eclipse Public License, Version 2.0"),
+    "CDDL": ("the Common Development and Distribution License",),
+    "Artistic": ("under the Artistic License", "of the Artistic License"),
+    "BSL-1.0": ("the Boost Software License, Version 1.0", "under the Boost Software License"),
+    "Unlicense": ("under the Unlicense", "This is free and unencumbered software released into the public domain"),
+    "WTFPL": ("under the WTFPL", "Do What The Fuck You Want To Public License"),
+    "public-domain": ("released into the public domain", "dedicated to the public domain", "placed in the public domain", "This work is in the public domain"),
+    "CC0-1.0": ("CC0 1.0 Universal", "under CC0", "under the CC0", "under Creative Commons Zero", "under a Creative Commons CC0"),
+    "GFDL": ("the GNU Free Documentation License", "under the GFDL"),
+    "OFL-1.1": ("the SIL Open Font License", "under the Open Font License"),
+    "ODbL": ("the Open Database License", "under the ODbL"),
+    "Python": ("the Python Software Foundation License", "under the PSF License"),
+}
+# The GNU licenses, as named and with their versions
+GNU = {"GPL": ("General Public License", ("1", "2", "3")), "LGPL": ("Lesser General Public License", ("2.1", "3")), "AGPL": ("Affero General Public License", ("3",))}
+# The Creative Commons licenses, as named
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+# Further identifiers that SPDX lines name
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "BSL-1.0", "Unlicense", "WTFPL", "CC0-1.0", "OFL-1.1", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CDDL-1.0", "Artistic-2.0")
+
+
+def _wordings() -> dict[str, str]:
+    """Every wording as a template, named by its license and its number."""
+    found = {name: list(texts) for name, texts in WORDINGS.items()}
+    for short, (full, versions) in GNU.items():
+        found[short] = [f"under the GNU {full}", f"of the GNU {full}", f"under the GNU {short}", f"under the {short}"]
+        for v in versions:
+            found[f"{short}-{v if '.' in v else v + '.0'}"] = [f"{lead}{full}{at}{v}" for lead in ("the GNU ", "GNU ") for at in (", version ", " v", " v.", " ")] + [f"{at}{short}{sep}{v}" for at in ("under the ", "under ", "under the GNU ") for sep in (" version ", " v", "v", "-", "")]
+    for short, full in COMMONS.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            found[f"CC-{short}-{v}"] = [f"under CC {short} {v}", f"under a CC {short} {v}", f"under the CC {short} {v}", f"Commons {full} {v}", f"SPDX-License-Identifier: CC-{short}-{v}"]
+    for name in SPDX:
+        found.setdefault(name, []).append(f"SPDX-License-Identifier: {name}")
+    return {f"{name}-wording-{i}": text for name, texts in found.items() for i, text in enumerate(texts, 1)}
+
+
+NOTICES |= _wordings()
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True

@@ -214,6 +214,39 @@ def test_licenses_against_brute_force():
     assert index.scan(None) == index.scan("") == {}
 
 
+def test_licenses_by_notices_from_elsewhere():
+    index = license_scan.Index(license_scan.NOTICES)
+    cases = {
+        "Copyright 2020 A. Author. All rights reserved.": "reserved-short",
+        "This project is licensed under the MIT License - see the LICENSE file": "MIT",
+        "Distributed under the BSD 3-Clause License": "BSD-3-Clause",
+        "This program is free software under the GNU General Public License version 2": "GPL-2.0",
+        "This library is licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "Licensed under the AGPLv3 or later": "AGPL-3.0",
+        "subject to the terms of the Mozilla Public License, v. 2.0. If a copy": "MPL-2.0",
+        "To the extent possible, waived under CC0 by its author": "CC0-1.0",
+        "licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License": "CC-BY-SA-3.0",
+        "Licensed under the ISC License": "ISC",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "# SPDX-License-Identifier: EPL-2.0": "EPL-2.0",
+    }
+    words = lambda t: re.findall(r"[0-9a-z]+", t.lower())
+    for text, license_ in cases.items():
+        padded = " ".join(f"w{i}" for i in range(40)) + f" {text} " + " ".join(f"v{i}" for i in range(40))
+        own = words(padded)
+        want = set()
+        for name, notice in license_scan.NOTICES.items():
+            t = words(notice)
+            k = min(5, len(t))
+            grams = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+            if len(grams & {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}) >= 0.8 * len(grams):
+                want.add(name)
+        got = set(index.scan(padded))
+        assert got == want and any(n.startswith(license_) for n in got), (text, got, want)
+    assert not any(n.startswith("GPL-3") for n in index.scan("This work is licensed under the GNU General Public License, version 2."))
+    assert index.scan("the author reserved all seats by right of the house, under the mit of the glove") == {}
+
+
 def test_url_rules(spark):
     rules = url_filters.rule_table(spark, [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "a.org/pre")])
     rows = [(1, None), (2, "no scheme"), (3, "http://WWW.example.com/en/1?x"), (4, "http://m.example.com/en/1#f"), (5, "http://example.com"), (6, "http://a.org/prefix"), (7, "http://notexample.com/en/"), (7, "http://notexample.com/en/"), (8, "http://x.com?/en/")]
