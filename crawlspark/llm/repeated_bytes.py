@@ -9,16 +9,19 @@ the least hash among the ``K``-byte strings of its first ``LENGTH`` bytes (equal
 share it); neighbouring suffixes that share one occurrence of it form a run. Buckets
 with a single run hold no repeat and are dropped after a count. Within a bucket, runs with
 equal bytes collapse onto the first one (the rest repeats it whole), and what is left is
-suffix-sorted by prefix doubling to depth ``LENGTH``; ties stand in text order, so the
-previous smaller position of a suffix that shares ``LENGTH`` bytes with it is its
-neighbour in suffix order and ``LPF >= LENGTH`` can be read off. A bucket of more than
+suffix-sorted by prefix doubling to depth ``LENGTH``. In suffix order the previous and the
+next suffix that start earlier in the text are found as nearest smaller values, and the
+longer of the two common prefixes is ``LPF`` (up to ``LENGTH``, among the suffixes of the
+bucket: as equal strings share a bucket, ``LPF >= LENGTH`` is that of the corpus). A bucket of more than
 ``BUCKET`` different runs (a passage whose surroundings differ in very many documents)
 takes another exact way: its suffixes are grouped by a 128-bit hash of their ``LENGTH``
 bytes, with the first position as a combinable minimum, so no task gathers the bucket.
 
 Defined cases: null text is empty; texts under ``LENGTH`` bytes lose nothing; matches never
-cross documents; an id names one document (rows that repeat an id are the same document);
-rows without id take no part and lose nothing. Extra columns are ignored.
+cross documents; rows that repeat an id and its text are the same document; where rows
+repeat an id with other texts, the text of least hash stands for it and the others take
+no part and lose nothing; rows without id take no part and lose nothing. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, durable, release
+from .common import broadcast_if_small, discard, durable
 
 LENGTH, K = 100, 24
 SPAN = LENGTH - K + 1  # strings of K bytes in one of LENGTH
@@ -73,11 +76,12 @@ def _segments(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, bytes]]]:
     for i, doc in enumerate(batch.column(0).to_pylist()):
         raw = (texts[i].as_py() or "").encode("utf-8", "surrogatepass")
         for at in range(0, len(raw) - LENGTH + 1, BUFFER):
-            held.append((doc, at, raw[at : at + BUFFER + LENGTH - 1]))
-            size += len(held[-1][2])
-            if size >= BUFFER:
+            piece = raw[at : at + BUFFER + LENGTH - 1]
+            if held and size + len(piece) > BUFFER + LENGTH:
                 yield held
                 held, size = [], 0
+            held.append((doc, at, piece))
+            size += len(piece)
     if held:
         yield held
 
@@ -115,24 +119,58 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(k[anchor[new]].view(np.int64)), pa.array(_mix(digest).view(np.int64)), pa.array(doc[piece[new]]), pa.array(begun), pa.array(size.astype(np.int32))], ["key", "digest", "doc_id", "start", "n"])
 
 
-def lpf_reaches(raw: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each start (in text order): whether a start of its group before it begins the same LENGTH bytes."""
-    code = np.zeros(raw.size - 7, np.uint64)
+def previous_smaller(q: np.ndarray) -> np.ndarray:
+    """For each place of ``q`` the nearest one before it with a smaller value, -1 where there is none, by minima of power-of-two blocks."""
+    blocks = [q.astype(np.int32)]
+    while 2 << (len(blocks) - 1) <= q.size:
+        half = 1 << (len(blocks) - 1)
+        blocks.append(np.minimum(blocks[-1][:-half], blocks[-1][half:]))
+    end = np.arange(q.size)  # all from here to the place itself are larger
+    for k in reversed(range(len(blocks))):
+        begin = end - (1 << k)
+        larger = (begin >= 0) & (blocks[k][np.maximum(begin, 0)] > blocks[0])
+        end = np.where(larger, begin, end)
+    return end - 1
+
+
+def lpf(raw: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array of the starts, up to LENGTH: how many bytes from each also begin at an earlier start of its group.
+
+    ``starts`` are in text order within each group and have LENGTH bytes each.
+    """
+    code = np.zeros(raw.size, np.uint64)
+    ahead = np.concatenate((raw, np.zeros(7, np.uint8)))
     for j in range(8):
-        code = (code << np.uint64(8)) | raw[j : j + code.size]
-    rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
-    depth = 8
+        code = (code << np.uint64(8)) | ahead[j : j + raw.size]
+    depth, rank = 8, np.unique(code[: raw.size - 7], return_inverse=True)[1].astype(np.int64)
+    by = {8: rank}
     while depth < LENGTH:
         step = min(depth, LENGTH - depth)
-        code = rank[: rank.size - step] * (rank.size + 1) + rank[step:]
+        pair = rank[: rank.size - step] * (rank.size + 1) + rank[step:]
         if depth + step == LENGTH:
-            code = code[starts]
-        rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            pair = pair[starts]
+        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
         depth += step
-    order = np.lexsort((np.arange(starts.size), rank, group))  # suffix order within each group
-    before = np.zeros(starts.size, bool)
-    before[order[1:]] = (rank[order[1:]] == rank[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
-    return before
+        by[depth] = rank
+
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = np.zeros(a.size, np.int64)
+        for d in (64, 32, 16, 8):
+            at = np.where(n + d <= LENGTH, n, 0)
+            n += np.where(n + d <= LENGTH, d, 0) * (by[d][a + at] == by[d][b + at])
+        x = code[a + n] ^ code[b + n]
+        return np.minimum(LENGTH, n + sum((x >> np.uint64(64 - 8 * j) == 0).astype(np.int64) for j in range(1, 9)))
+
+    order = np.lexsort((np.arange(starts.size), rank, group))  # suffix order within each group, equal strings in text order
+    new = np.concatenate(([True], (rank[order[1:]] != rank[order[:-1]]) | (group[order[1:]] != group[order[:-1]])))[: starts.size]
+    found = np.full(starts.size, LENGTH, np.int64)  # all but the first of equal strings
+    first = order[new]
+    found[first] = 0
+    for near in (previous_smaller(first), first.size - 1 - previous_smaller(first[::-1])[::-1]):
+        mine = np.flatnonzero((near >= 0) & (near < first.size))
+        mine = mine[group[first[mine]] == group[first[near[mine]]]]
+        found[first[mine]] = np.maximum(found[first[mine]], common(starts[first[mine]], starts[first[near[mine]]]))
+    return found
 
 
 def _spans(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -149,7 +187,7 @@ def _bucket_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         raw, starts, piece = _joined([r[3] for r in rows])
         keys, docs, begun = (np.array([r[c] for r in rows]) for c in (0, 1, 2))
         sizes = np.array([len(r[3]) for r in rows])
-        hit = lpf_reaches(raw, starts, keys[piece])
+        hit = lpf(raw, starts, keys[piece]) >= LENGTH
         at = starts - (np.cumsum(sizes) - sizes)[piece] + begun[piece]
         return _spans(docs[piece][hit], at[hit])
 
@@ -213,41 +251,60 @@ RUN = "key bigint, digest bigint, doc_id bigint, start bigint, n int"
 SPAN_ROW = "doc_id bigint, a bigint, b bigint"
 
 
+def _odd(docs: DataFrame) -> DataFrame | None:
+    """doc_id, th: the text's hash that stands for each id that rows repeat with other texts; None where no id is."""
+    hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    odd = durable(hashed.groupBy("doc_id").agg(F.min("th").alias("th"), F.max("th").alias("most")).where("th <> most").select("doc_id", "th"))
+    return odd if odd.take(1) else None
+
+
+def _own(texts: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """``texts`` with ``own``: whether the row's text stands for its id."""
+    if odd is None:
+        return texts.withColumn("own", F.lit(True))
+    return texts.join(broadcast_if_small(odd), "doc_id", "left").withColumn("own", F.coalesce(F.col("th") == F.xxhash64("text"), F.lit(True))).drop("th")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, a, b: byte spans that a string of LENGTH bytes which occurs earlier covers (spans may overlap)."""
+    return _repeated_spans(docs, _odd(docs))
+
+
+def _repeated_spans(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= LENGTH)
+    texts = _own(texts, odd).where("own").drop("own")
     runs = texts.mapInArrow(_runs, RUN)
     shared = durable(runs.groupBy("key").count().where("count > 1").select("key"))
-    release(shared)
     runs = durable(runs.join(shared, "key", "left_semi"))
-    release(runs)
+    discard(shared)
     firsts = runs.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c"))
     firsts = durable(firsts.select("key", "digest", F.col("f.doc_id").alias("d0"), F.col("f.start").alias("s0"), "n", "c"))
     copies = runs.join(firsts.where("c > 1").select("key", "digest", "d0", "s0"), ["key", "digest"]).where("doc_id <> d0 or start <> s0")
-    spans = copies.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
+    copied = durable(copies.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b")))
+    discard(runs)
 
     mixed = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     open_ = durable(firsts.join(mixed, "key").select("key", "k", F.col("d0").alias("doc_id"), F.col("s0").alias("start"), "n"))
+    discard(firsts)
     by_doc = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", "k")).alias("runs"))  # at most the document's own runs
-    ids = broadcast_if_small(durable(open_.select("doc_id").distinct()), IDS)
-    own = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pieces = own.join(by_doc, "doc_id").mapInArrow(_cut, "key bigint, doc_id bigint, start bigint, piece binary, k bigint")
-    pieces = durable(pieces)
-    release(pieces)
+    ids = durable(open_.select("doc_id").distinct())
+    own = texts.join(broadcast_if_small(ids, IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    pieces = durable(own.join(by_doc, "doc_id").mapInArrow(_cut, "key bigint, doc_id bigint, start bigint, piece binary, k bigint"))
+    discard(open_, ids)
     sorted_ = pieces.where(F.col("k") <= BUCKET).drop("k").repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    spans = spans.unionByName(sorted_.mapInArrow(_bucket_spans, SPAN_ROW))
     windows = durable(pieces.where(F.col("k") > BUCKET).drop("k").mapInArrow(_hashed, "h1 bigint, h2 bigint, doc_id bigint, at bigint"))
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2", F.col("f.doc_id").alias("d0"), F.col("f.at").alias("s0"))
     later = windows.join(first, ["h1", "h2"]).where("doc_id <> d0 or at <> s0")
+    spans = copied.unionByName(sorted_.mapInArrow(_bucket_spans, SPAN_ROW))
     spans = durable(spans.unionByName(later.select("doc_id", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))))
-    discard(shared, runs, firsts, open_, pieces, windows)
-    release(spans)
+    discard(copied, pieces, windows)
     return spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    odd = _odd(docs)
+    spans = _repeated_spans(docs, odd).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = _own(texts, odd).join(spans, "doc_id", "left").select("doc_id", "text", F.when(F.col("own"), F.col("spans")).alias("spans"))
     return joined.mapInArrow(_removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

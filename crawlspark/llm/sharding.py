@@ -2,35 +2,44 @@
 
 Method: arrivals are appended as small immutable shards; compaction groups shards of
 similar size (tiers of a factor ``fanout``) in order into runs of about ``target`` bytes
-and rewrites each run as one shard; every change is one new version of the manifest,
-written aside and then renamed, so a reader sees the old version or the new one whole.
-A rename onto a version that exists fails, so of two writers one has to retry.
-
-An arrival is written as it lies, one shard for each of its partitions, without a shuffle;
-a compaction sends the rows of one run to one task, which holds about ``target`` bytes.
-No source or key decides where a row goes. The manifest is a
-table (one row per shard) and is planned as one.
-
-Layout under ``root``: ``data/run=<run>/shard=<id>/part-*.parquet`` and ``manifest/<version>``.
+and rewrites each run as one shard; every change is one new version of the manifest. A
+version is one small file that names its manifest table, created exclusively, so a reader
+sees the old version or the new one whole, and of two writers of one version exactly one
+wins; the other gets ``RuntimeError`` and has to retry. (The file system must create
+files exclusively: HDFS does, local ones do by ``O_EXCL``, object stores where they have
+conditional writes.)
+
+A shard is one file. An arrival is written as it lies, one shard for each of its
+partitions and batches, in one scan without a shuffle. A compaction sends the rows of one
+run to one task of its own; a shard of over ``SPLIT * target`` bytes is split by row
+number, so a task holds less than ``SPLIT * target`` bytes, or one row. No source or key
+decides where a row goes. The manifest is a table (one row per shard) and is planned as one;
+only numbers and the names of runs (one per append or compaction in use) come to the driver.
+
+Layout under ``root``: ``data/run=<run>/.../part-*.parquet``, ``manifest/<name>`` and ``versions/<version>``.
 
 Defined cases: any columns, nulls and repeated rows are carried through unchanged (the
 row is stored as a struct, so no name can clash); null text weighs 0 bytes; an empty
-arrival adds an empty run; a compaction with nothing to merge commits nothing.
+arrival adds no shard; a compaction with nothing to merge commits nothing; a version
+whose file is empty is being committed (or its writer died) and is refused.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, durable, release, shared_dir
+from .common import broadcast_if_small, durable, shared_dir
 
 TARGET, ARRIVAL, FANOUT = 64 << 20, 8 << 20, 4
 FULL = 0.75  # a shard of this share of the target is left as it is
-STEPS = 4  # a compaction rewrites about so much of the store at most
+SPLIT = 2  # a shard of so many targets is split (a run of shards under FULL never gets there)
+STEPS, RUNS = 4, 10_000  # a compaction rewrites about 1 / STEPS of the store and RUNS shards at most; the next one goes on
 MANIFEST = "shard string, run string, tier int, rows bigint, bytes bigint"
 
 
@@ -47,100 +56,139 @@ class ShardStore:
 
     def version(self) -> int:
         """The newest version; 0 before the first commit."""
-        at = self._path(f"{self.root}/manifest")
-        return max([0, *(int(s.getPath().getName()) for s in self._fs.listStatus(at))]) if self._fs.exists(at) else 0
+        at = self._path(f"{self.root}/versions")
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{v:08d}") if v else self.spark.createDataFrame([], MANIFEST)
+        if not v:
+            return self.spark.createDataFrame([], MANIFEST)
+        stream = self._fs.open(self._at(v))
+        try:
+            name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        if not name:
+            raise RuntimeError(f"version {v} is being committed by another writer; if that writer died, delete versions/{v:08d}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{name}")
+
+    def _at(self, version: int):
+        return self._path(f"{self.root}/versions/{version:08d}")
 
     def _commit(self, manifest: DataFrame, base: int) -> int:
-        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
-        manifest.select("shard", "run", "tier", "rows", "bytes").write.parquet(aside)
-        at = self._path(f"{self.root}/manifest/{base + 1:08d}")
+        name = uuid.uuid4().hex
+        manifest.select("shard", "run", "tier", "rows", "bytes").write.parquet(f"{self.root}/manifest/{name}")
+        at = self._at(base + 1)
         self._fs.mkdirs(at.getParent())
-        if self._fs.exists(at) or not self._fs.rename(self._path(aside), at):
-            raise RuntimeError(f"version {base + 1} was committed by another writer; read the manifest again and retry")
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                with os.fdopen(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                    f.write(name)
+            else:
+                out = self._fs.create(at, False)
+                out.write(name.encode())
+                out.close()
+        except (FileExistsError, Py4JJavaError) as e:
+            if isinstance(e, Py4JJavaError) and "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise RuntimeError(f"version {base + 1} was committed by another writer; read the manifest again and retry") from e
         return base + 1
 
-    def _tier(self, size):
+    def _tier(self, size: Column) -> Column:
         return F.when(size <= self.arrival, 0).otherwise(F.floor(F.log(float(self.fanout), size / self.arrival))).cast("int")
 
     # --- data
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        """Rows of (row, _bytes, shard) as a new run; returns the manifest rows of it."""
-        run = uuid.uuid4().hex
-        rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.root}/data/run={run}")
+    def _data(self, runs: list[str]) -> DataFrame:
+        """row, _bytes, shard (its file under ``data``) and i (its place there) of every row that some runs hold."""
+        schema = T.StructType([T.StructField("row", self.schema), T.StructField("_bytes", T.LongType())])
+        if not runs:
+            return self.spark.createDataFrame([], T.StructType([*schema, T.StructField("shard", T.StringType()), T.StructField("i", T.LongType())]))
+        read = self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*[f"{self.root}/data/run={r}" for r in runs])
+        return read.select("row", "_bytes", F.regexp_extract("_metadata.file_path", r"/(run=[0-9a-f]{32}/.*)$", 1).alias("shard"), F.col("_metadata.row_index").alias("i"))
+
+    def _stats(self, run: str) -> DataFrame:
         stats = self._data([run]).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("_bytes").cast("bigint").alias("bytes"))
         return stats.select("shard", F.lit(run).alias("run"), self._tier(F.col("bytes")).alias("tier"), "rows", "bytes")
 
-    def _data(self, runs: list[str]) -> DataFrame:
-        schema = T.StructType([T.StructField("row", self.schema), T.StructField("_bytes", T.LongType()), T.StructField("shard", T.StringType()), T.StructField("run", T.StringType())])
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/run={r}" for r in runs]) if runs else self.spark.createDataFrame([], schema)
+    def append(self, df: DataFrame, batch: Column | None = None, batches: int = 1) -> int:
+        """Adds ``df``, each of its partitions as one shard, so without a shuffle; returns the new version.
 
-    def append(self, df: DataFrame) -> int:
-        """Adds ``df``, each of its partitions as one shard, so without a shuffle; returns the new version."""
-        base = self.version()
-        name = F.format_string("%s-%06d", F.lit(f"{base + 1:08d}"), F.spark_partition_id())
-        added = self._write(df.select(F.struct(*[F.col(f"`{c}`") for c in self.schema.names]).alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("_bytes"), name.alias("shard")))
-        return self._commit(self.manifest(base).unionByName(added), base)
+        With ``batch`` (a number under ``batches``) the batches of one scan are committed one after the other.
+        """
+        base, run = self.version(), uuid.uuid4().hex
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in self.schema.names]).alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("_bytes"), (F.lit(0) if batch is None else batch).alias("batch"))
+        rows.write.option("compression", "zstd").partitionBy("batch").parquet(f"{self.root}/data/run={run}")
+        added = durable(self._stats(run).withColumn("batch", F.regexp_extract("shard", r"/batch=(\d+)/", 1).cast("int")))
+        before = self.manifest(base)
+        for b in range(batches):
+            self._commit(before.unionByName(added.where(F.col("batch") <= b).drop("batch")), base + b)
+        return base + batches
 
     def plan(self, version: int) -> DataFrame:
-        """shard, run, into: the shards that one compaction merges and the run they go to.
+        """shard, run, first, pieces: the shards that one compaction rewrites and the new shards (numbers from 0) they go to.
 
         Runs are taken in order until they hold ``1 / STEPS`` of the store, so that old and new shards together need little more room than the store.
         """
         shards = self.manifest(version)
+        large = (F.col("bytes") >= SPLIT * self.target) & (F.col("rows") > 1)
         in_tier = Window.partitionBy("tier").orderBy("shard")
-        runs = shards.where(F.col("bytes") < FULL * self.target).withColumn("before", F.sum("bytes").over(in_tier) - F.col("bytes"))
-        runs = runs.withColumn("into", F.format_string("%s-t%d-%06d", F.lit(f"{version + 1:08d}"), "tier", F.floor(F.col("before") / self.target)))
-        sizes = runs.groupBy("into").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("size"))
-        sizes = sizes.where((F.col("members") >= self.fanout) | ((F.col("members") > 1) & (F.col("size") >= FULL * self.target)))
-        sizes = sizes.withColumn("sooner", F.sum("size").over(Window.orderBy("into")) - F.col("size"))
+        merged = shards.where(F.col("bytes") < FULL * self.target).withColumn("before", F.sum("bytes").over(in_tier) - F.col("bytes"))
+        merged = merged.select("shard", "run", "bytes", F.concat_ws("/", "tier", F.floor(F.col("before") / self.target)).alias("into"), F.lit(1).alias("pieces"))
+        split = shards.where(large).select("shard", "run", "bytes", F.col("shard").alias("into"), F.least(F.col("rows"), F.ceil(F.col("bytes") / self.target)).cast("int").alias("pieces"))
+        runs = merged.unionByName(split)
+        sizes = runs.groupBy("into").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("size"), F.min("shard").alias("leads"), F.max("pieces").alias("pieces"))
+        sizes = sizes.where((F.col("pieces") > 1) | (F.col("members") >= self.fanout) | ((F.col("members") > 1) & (F.col("size") >= FULL * self.target)))
+        in_order = Window.orderBy("leads", "into")
+        sizes = sizes.withColumn("sooner", F.sum("size").over(in_order) - F.col("size")).withColumn("first", F.sum("pieces").over(in_order) - F.col("pieces"))
         whole = F.broadcast(shards.agg((F.sum("bytes") / STEPS).alias("most")))
-        return runs.join(sizes.join(whole).where("sooner <= most").select("into"), "into").select("shard", "run", "into")
+        chosen = sizes.join(whole).where((F.col("sooner") <= F.col("most")) & (F.col("first") < RUNS))
+        return runs.drop("pieces").join(chosen.select("into", "first", "pieces"), "into").select("shard", "run", "first", "pieces")
 
     def compact(self) -> int:
-        """Merges similarly sized shards, one step; returns the version then current."""
+        """Merges similarly sized shards and splits large ones, one step; returns the version then current."""
         base = self.version()
         plan = durable(self.plan(base))
-        targets, merged = plan.agg(F.count_distinct("into"), F.count(F.lit(1))).first()
-        if not merged:
+        targets = plan.agg(F.max(F.col("first") + F.col("pieces"))).first()[0]
+        if not targets:
             return base
-        runs = [r[0] for r in plan.select("run").distinct().collect()]  # one per append or compaction still in use
-        moved = self._data(runs).join(broadcast_if_small(plan.select("shard", "into")), "shard").select("row", "_bytes", F.col("into").alias("shard"))
-        added = self._write(moved.repartition(targets, "shard"))
-        return self._commit(self.manifest(base).join(plan.select("shard"), "shard", "left_anti").unionByName(added), base)
+        runs, run = [r[0] for r in plan.select("run").distinct().collect()], uuid.uuid4().hex
+        moved = self._data(runs).join(broadcast_if_small(plan.drop("run")), "shard").select("row", "_bytes", (F.col("first") + F.pmod("i", "pieces")).cast("int").alias("to"))
+        moved.repartitionById(int(targets), "to").select("row", "_bytes").write.option("compression", "zstd").parquet(f"{self.root}/data/run={run}")
+        return self._commit(self.manifest(base).join(plan.select("shard"), "shard", "left_anti").unionByName(self._stats(run)), base)
 
     def vacuum(self) -> None:
-        """Deletes shards that the newest version no longer names; readers of older versions must be done."""
-        used = {f"shard={r[0]}" for r in self.manifest().select("shard").collect()}
+        """Deletes what the newest version no longer names: whole runs, then single shards of the others; readers of older versions must be done."""
+        live = self.manifest()
+        used = {f"run={r[0]}" for r in live.select("run").distinct().collect()}
         at = self._path(f"{self.root}/data")
+        left = []
         for run in self._fs.listStatus(at) if self._fs.exists(at) else []:
-            for s in self._fs.listStatus(run.getPath()):
-                name = s.getPath().getName()
-                if name.startswith("shard=") and name not in used:
-                    self._fs.delete(s.getPath(), True)
+            if run.getPath().getName() in used:
+                left.append(run.getPath().toString())
+            else:
+                self._fs.delete(run.getPath(), True)
+        if left:
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(left)
+            shards = files.select("path", F.regexp_extract("path", r"/(run=[0-9a-f]{32}/.*)$", 1).alias("shard"))
+            for r in shards.join(live.select("shard"), "shard", "left_anti").select("path").toLocalIterator():
+                self._fs.delete(self._path(r[0]), False)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version: (row, _bytes, shard, tier, rows, bytes)."""
         m = self.manifest(version)
         data = self._data([r[0] for r in m.select("run").distinct().collect()])
-        return data.drop("run").join(broadcast_if_small(m.select("shard", "tier", "rows", "bytes")), "shard")
+        return data.drop("i").join(broadcast_if_small(m.select("shard", "tier", "rows", "bytes")), "shard")
 
 
 def shard(docs: DataFrame, root: str, arrivals: int = 4, target: int = TARGET, arrival: int = ARRIVAL, fanout: int = FANOUT) -> tuple[ShardStore, int]:
     """Appends ``docs`` as ``arrivals`` batches (by hash), compacts until nothing merges, and drops what is superseded."""
     store = ShardStore(docs.sparkSession, root, docs.schema, target, arrival, fanout)
-    batch = F.pmod(F.xxhash64("text", "doc_id"), F.lit(arrivals))
-    for b in range(arrivals):
-        store.append(docs.where(batch == b))
-    version = store.version()
+    version = store.append(docs, F.pmod(F.xxhash64("text", "doc_id"), F.lit(arrivals)).cast("int"), arrivals)
     while (new := store.compact()) != version:
         version = new
         store.vacuum()
-        release(docs)
     return store, version
 
 
