@@ -9,14 +9,16 @@ documents are summed again by their next hash digits. The last level decides eac
 remaining hash value by whether taking it brings the sum nearer to the budget.
 
 Defined cases: null text and texts without words have size 0 and take 0; the null source
-is a source of its own, after all others; a source of size 0 gets target 0; rows with
-the same id share one hash value and are taken together; an empty table gives no rows.
+is a source of its own, after all others; a source of size 0 gets target 0; rows of one
+source with the same id (null too) share one hash value and are taken together; an empty
+table gives no rows. Tables of sources (one row each, targets) are planned by windows over
+all of them; a source's own window runs over the 2**12 sums of a level at most.
 Sources are numbered by code point. The hash is MD5 of the id, so reruns agree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, durable, hash01, packed, words
@@ -65,20 +67,41 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return found
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every document."""
-    sized = durable(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), hash01(F.col("doc_id")).alias("h")))
+def _measured(text: Column, doc_id: Column) -> tuple[Column, Column]:
+    """The size and the hash that decide how often a row is taken."""
+    return F.size(words(text)).cast("bigint"), hash01(doc_id)
+
+
+def _copies(size: Column, h: Column) -> Column:
+    """How often a row is taken, by the columns ``whole`` and ``limit`` of its source's plan."""
+    return F.when(size > 0, F.col("whole") + F.when(h < F.coalesce(F.col("limit"), F.lit(0)), 1).otherwise(0)).otherwise(0).cast("int")
+
+
+def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """s, source_size, target, whole, limit: one row per source; ``sized``: source, size, h (read several times, so durable)."""
     sizes = sized.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
     goal = durable(targets(sizes, weights, share, cap).withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")))
     budgets = goal.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")).where("budget > 0")
     limits = thresholds(sized, budgets)
-    plan = durable(goal.join(limits.withColumnRenamed("source", "l"), F.col("source").eqNullSafe(F.col("l")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", "limit"))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("h") < F.coalesce(F.col("limit"), F.lit(0)), 1).otherwise(0)).otherwise(0)
-    return sized.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    return durable(goal.join(limits.withColumnRenamed("source", "l"), F.col("source").eqNullSafe(F.col("l")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", "limit"))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken for every document."""
+    size, h = _measured(F.col("text"), F.col("doc_id"))
+    sized = durable(docs.select("doc_id", "source", size.alias("size"), h.alias("h")))
+    by_source = broadcast_if_small(plan(sized, weights, share, cap))
+    copies = _copies(F.col("size"), F.col("h"))
+    return sized.join(by_source, F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The mix itself: each document's row as many times as the mix takes it (those without words or id: once)."""
-    keys = mix(docs, weights, share, cap).where("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = packed(docs).join(keys, F.col("row.doc_id") == F.col("doc_id"), "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
+    """The mix itself: each row as many times as ``mix`` takes it (rows without words: never).
+
+    A row's own source, size and hash decide, so with the plan broadcast no document is shuffled.
+    """
+    size, h = _measured(F.col("row.text"), F.col("row.doc_id"))
+    rows = packed(docs).select("row", F.col("row.source").alias("source"), size.alias("size"), h.alias("h"))
+    by_source = broadcast_if_small(plan(durable(rows.select("source", "size", "h")), weights, share, cap))
+    taken = rows.join(by_source, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies(F.col("size"), F.col("h"))).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
