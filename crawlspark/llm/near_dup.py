@@ -8,18 +8,23 @@ PERMUTATIONS`` values costs half the hash evaluations. Bands of ``ROWS`` values
 
 Documents with equal sets become one class first. In each bucket of several classes
 every class is compared with one centre; then, where a bucket still spans several
-components, with a centre drawn for that bucket; then what still is apart in a bucket
-is compared exactly: small buckets pair by pair; in larger ones all that are outside the
-main component meet everyone, in pairs of blocks of bounded size. So no candidate pair of
-a bucket is left out unless both already are in one component, and no group is gathered
-in one task. A comparison computes the exact Jaccard similarity of the whole sets.
-Components grow by alternating large-star and small-star steps on written tables.
+components, with a centre drawn for that bucket. What still is apart is compared exactly:
+small buckets pair by pair; the classes of larger ones by prefix filtering, which needs
+no pair of a bucket to be formed. There the shingles of a class are put in order, rare
+ones first, and two sets can only be similar if they share one of the first ``n -
+ceil(0.8 n) + 1``, so classes meet at those shingles alone, if their sizes allow it. Only where very
+many classes have the same rare shingle do those outside the main component of it meet
+the others of a similar size, as hashed sets in pairs of blocks of bounded size. So no
+candidate pair of a bucket is left out unless both already are in one component, and no
+group is gathered in one task. A comparison computes the exact Jaccard similarity of the
+whole sets. Components grow by alternating large-star and small-star steps on written tables.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing;
-a text with fewer words than a shingle is one shingle. An id names one document: where
-rows repeat an id with other texts, each row is counted by its own text and one of the
-texts stands for the id when classes are compared. Rows without id keep a null component
-and are ``kept``. Extra columns are ignored.
+a text with fewer words than a shingle is one shingle. A class is named by a number, not
+by a document's id: where rows repeat an id with other texts, each row is judged by its
+own text. Rows without id keep a null component and are ``kept``. ``deduplicated`` keeps
+of each component the least (id, hash of the text), and rows that repeat both only once.
+Extra columns are ignored (kept by ``deduplicated``).
 """
 
 from __future__ import annotations
@@ -36,10 +41,13 @@ from .common import broadcast_if_small, durable, packed
 PERMUTATIONS, ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
-PAIRS = 16  # buckets of up to so many classes are compared pair by pair
-BLOCK = 256  # classes on one side of a block of a larger bucket
+PAIRS = 16  # groups of up to so many classes are compared pair by pair
+BLOCK = 256  # classes on one side of a block of a larger group
+SIZES = 1.26  # sets of similar size are in one step of this factor or in neighbouring ones (it must exceed DEN / NUM)
 CHUNK = 4096  # shingles hashed at once
 
+FITS = f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)"  # sizes n and m that a link allows
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,20 +122,38 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(width: int):
+    """(doc_id, th, text) -> the size, two digests and the band keys of each set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n, d1, d2, keys = [], [], [], []
-                for text in part.column(1):
+                for text in part.column(2):
                     s = shingle_set(text.as_py(), width)
                     n.append(s.size)
                     d1.append(int(_mix(s * _M).sum(dtype=np.uint64).view(np.int64)) if s.size else None)
                     d2.append(int(_mix(s ^ _M).sum(dtype=np.uint64).view(np.int64)) if s.size else None)
                     keys.append(bands(signature(s)) if s.size else np.zeros(0, np.int64))
-                offsets = np.cumsum([0] + [k.size for k in keys]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], ["doc_id", "n", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), _lists(keys)], ["doc_id", "th", "n", "d1", "d2", "bands"])
+
+    return run
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0] + [a.size for a in arrays]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def _hashed(width: int):
+    """(rep, n, comp, text) -> (rep, n, comp, h): the hashed set in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(sets)], ["rep", "n", "comp", "h"])
 
     return run
 
@@ -181,11 +207,11 @@ class _Forest:
         self.up[self.root(i)] = self.root(j)
 
 
-def _block_pairs(width: int):
-    """Rows (key, left, rep, comp, text), sorted by key -> links between members of different components."""
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, side, rep, comp, hashed set), sorted by key -> links between members of different components."""
 
-    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        sets = [shingle_set(r[3], width) for r in rows]
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        sets = [r[3] for r in rows]
         forest, links = _Forest([r[2] for r in rows]), []
         sides = [[i for i, r in enumerate(rows) if r[0] == side] for side in (1, 2)]
         for i in sides[0]:
@@ -193,25 +219,19 @@ def _block_pairs(width: int):
                 if rows[i][1] != rows[j][1] and forest.root(i) != forest.root(j) and similar(sets[i], sets[j]):
                     forest.join(i, j)
                     links.append((rows[i][1], rows[j][1]))
-        return links
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key and rows:
-                    yield out(solve(rows))
-                    rows = []
-                key = k
-                rows.append(tuple(row))
-        if rows:
-            yield out(solve(rows))
-
-    return run
+    key, rows = None, []
+    for batch in batches:
+        sets = (x.values.to_numpy(zero_copy_only=False).view(np.uint64).copy() for x in batch.column(4))
+        for k, *row, own in zip(*(c.to_pylist() for c in batch.columns[:4]), sets, strict=True):
+            if k != key and rows:
+                yield solve(rows)
+                rows = []
+            key = k
+            rows.append((*row, own))
+    if rows:
+        yield solve(rows)
 
 
 def _open_nodes(edges: DataFrame) -> int:
@@ -236,24 +256,22 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = durable(texts.mapInArrow(_signed(width), "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"))
+def _grouped(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, th (hash of the text), n, least for every row; least is the least (doc_id, th) of the row's component, null where it takes no part."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    signed = durable(texts.mapInArrow(_signed(width), "doc_id bigint, th bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"))
     whole = signed.where("n > 0 and doc_id is not null")
-    classes = durable(whole.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")))
-    reps = whole.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["d1", "d2"])
-    posted = reps.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket"))
+    classes = whole.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = durable(classes.withColumn("rep", F.monotonically_increasing_id()))
+    posted = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     full = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.min(F.struct(F.xxhash64("rep", "bucket"), "rep"))["rep"].alias("drawn")).where("size > 1")
     posted = durable(posted.join(full, "bucket"))
-    involved = posted.select("rep").distinct()
-    held = durable(texts.join(broadcast_if_small(durable(involved)), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"))
-
-    fits = f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)"
+    involved = durable(classes.select("rep", "own.doc_id", "own.th").join(posted.select("rep").distinct(), "rep", "left_semi"))
+    held = durable(texts.join(broadcast_if_small(involved), ["doc_id", "th"]).dropDuplicates(["rep"]).select("rep", "text"))
 
     def star(posts: DataFrame, centre: str) -> DataFrame:
         size = posts.where(F.col("rep") == F.col(centre)).select("bucket", F.col("n").alias("m"), F.col("comp").alias("c"))
-        near = posts.where(F.col("rep") != F.col(centre)).join(size, "bucket").where(fits).where("comp <> c")
+        near = posts.where(F.col("rep") != F.col(centre)).join(size, "bucket").where(FITS).where("comp <> c")
         return near.select(F.least("rep", centre).alias("a"), F.greatest("rep", centre).alias("b")).distinct()
 
     posts, comp = posted.withColumn("comp", F.col("rep")), None
@@ -268,37 +286,79 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
             posts = durable(posts.join(apart, "bucket"))
             if not posts.take(1):
                 break
-    comp = (posts.select("rep", "comp").limit(0) if comp is None else comp.toDF("rep", "comp"))
-    named = classes.join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = classes.select("rep", "d1", "d2", F.col("own").alias("least"))
+    if comp is not None:
+        linked = comp.toDF("rep", "comp")
+        lowest = linked.join(named, "rep").groupBy("comp").agg(F.min("least").alias("lowest"))
+        named = named.join(linked.join(lowest, "comp").select("rep", "lowest"), "rep", "left").select("d1", "d2", F.coalesce("lowest", "least").alias("least"))
+    return signed.select("doc_id", "th", "n", "d1", "d2").join(named.select("d1", "d2", "least"), ["d1", "d2"], "left").select("doc_id", "th", "n", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("least"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    out = _grouped(docs, width).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _rest(posts: DataFrame, held: DataFrame, width: int) -> DataFrame:
     """Links between different components of one bucket, by comparing all that the stars left open."""
     sizes = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"))
     once = sizes.groupBy("k", "members").agg(F.min("bucket").alias("bucket"))  # buckets with the same members are one
-    posts = durable(posts.join(once.select("bucket", "k"), "bucket").select("bucket", "k", "rep", "n", "comp"))
-    small, large = posts.where(F.col("k") <= PAIRS), posts.where(F.col("k") > PAIRS)
-    other = small.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
-    pairs = small.withColumnRenamed("rep", "a").join(other, "bucket").where("a < b and comp <> c").where(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)").select("a", "b").distinct()
-    found = _linked(pairs, held, width)
-    # in a larger bucket, all outside its main component meet everyone, in blocks of both sides
-    main = large.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"))
-    large = large.join(main.select("bucket", F.col("top.comp").alias("main"), (F.col("top.c")).alias("c")), "bucket")
-    many = lambda n: F.ceil(n / BLOCK).cast("int")
-    every, few = many(F.col("k")), many(F.greatest(F.col("k") - F.col("c"), F.lit(1)))
-    block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    left = large.where("comp <> main").select("bucket", block(few).alias("i"), F.explode(F.sequence(F.lit(0), every - 1)).alias("j"), F.lit(1).alias("side"), "rep", "comp")
-    right = large.select("bucket", F.explode(F.sequence(F.lit(0), few - 1)).alias("i"), block(every).alias("j"), F.lit(2).alias("side"), "rep", "comp")
-    spread = left.unionByName(right).select(F.concat_ws("/", "bucket", "i", "j").alias("key"), "side", "rep", "comp")
-    spread = spread.join(held, "rep").select("key", "side", "rep", "comp", "text").repartition("key").sortWithinPartitions("key")
-    return found.unionByName(spread.mapInArrow(_block_pairs(width), "a bigint, b bigint"))
+    posts = durable(posts.join(once.select("bucket", "k"), "bucket").select(F.col("bucket").alias("g"), "k", "rep", "n", "comp"))
+    pairs = _small_pairs(posts.where(F.col("k") <= PAIRS))
+    loose = posts.where(F.col("k") > PAIRS).select("rep", "n", "comp").distinct()
+    sets = durable(loose.join(held, "rep").select("rep", "n", "comp", "text").mapInArrow(_hashed(width), "rep bigint, n bigint, comp bigint, h array<bigint>"))
+    met = durable(_prefixes(sets))
+    pairs = pairs.unionByName(_small_pairs(met.where(F.col("k") <= PAIRS))).distinct()
+    return _linked(pairs, held, width).unionByName(_blocks(met.where(F.col("k") > PAIRS), sets))
+
+
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each small group ``g`` whose sizes fit and whose components differ."""
+    other = members.select("g", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("c"))
+    return members.withColumnRenamed("rep", "a").join(other, "g").where("a < b and comp <> c").where(FITS).select("a", "b").distinct()
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """g (a shingle), k (how many classes meet there), rep, n, comp: the shingles that lead a set, rare ones first, where others meet it.
+
+    Shingles of one class alone come first in every order, so they are only counted.
+    """
+    uses = sets.select("rep", F.explode("h").alias("h"))
+    common = uses.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = uses.join(common, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))  # at most the class's own shingles
+    least = F.floor((F.lit(NUM) * F.col("n") + DEN - 1) / DEN)
+    lead = (F.col("n") - least + 1 - (F.col("n") - F.size("s"))).cast("int")
+    posts = sets.select("rep", "n", "comp").join(shared, "rep").where(lead > 0).select("rep", "n", "comp", F.explode(F.slice("s", F.lit(1), lead)).alias("x")).select(F.col("x.h").alias("g"), "rep", "n", "comp")
+    many = posts.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("g", "k")
+    return posts.join(many, "g")
+
+
+def _blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of large groups: all outside a group's main component meet everyone of a similar size, in blocks of both sides."""
+    main = large.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
+    sized = large.join(main, "g").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES))).cast("int"))
+    left = sized.where("comp <> main").select("g", "step", "rep", "comp")
+    right = sized.select("g", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "rep", "comp")
+    many = left.groupBy("g", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rows")).join(right.groupBy("g", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cols")), ["g", "step"])
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.join(many, ["g", "step"]).select("g", "step", block("rows").alias("i"), over("cols").alias("j"), F.lit(1).alias("side"), "rep", "comp")
+    two = right.join(many, ["g", "step"]).select("g", "step", over("rows").alias("i"), block("cols").alias("j"), F.lit(2).alias("side"), "rep", "comp")
+    spread = one.unionByName(two).select(F.concat_ws("/", "g", "step", "i", "j").alias("key"), "side", "rep", "comp")
+    spread = spread.join(sets.select("rep", "h"), "rep").select("key", "side", "rep", "comp", "h").repartition("key").sortWithinPartitions("key")
+    return spread.mapInArrow(_block_pairs, "a bigint, b bigint")
 
 
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, the one of least id."""
-    gone = durable(near_duplicates(docs, width).where("not kept").select("doc_id").distinct())
-    one = packed(docs).join(broadcast_if_small(gone), F.col("row.doc_id") == F.col("doc_id"), "left_anti").select("row.*")
-    return one.where("doc_id is null").unionByName(one.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """``docs`` with one document of each component, the one of least id (then hash of its text); rows without id stay."""
+    rows = durable(_grouped(docs, width).where("doc_id is not null").select("doc_id", "th", "least"))
+    gone = durable(rows.where("doc_id <> least.doc_id or th <> least.th").select("doc_id", "th").distinct())
+    twice = durable(rows.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"))
+    marked = packed(docs).select("row", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("th"))
+    kept = marked.join(broadcast_if_small(gone), ["doc_id", "th"], "left_anti")
+    if not twice.take(1):
+        return kept.select("row.*")
+    repeated = broadcast_if_small(twice)
+    one = kept.join(repeated, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    return kept.join(repeated, ["doc_id", "th"], "left_anti").unionByName(one).select("row.*")
