@@ -3,19 +3,34 @@
 Method: a page is a sequence of words and tags. Words score positive and tags negative,
 with weights learned from labelled pages, and one linear scan finds the contiguous region
 with the greatest sum. Labelled pages are those that mark their content themselves with
-exactly one ``article`` element: a tag costs more the more of its uses lie outside
-articles, a word gains the share of words that lie inside. The sample of labelled pages
-is bounded by ``LABELLED`` (a documented bound of the fit; extraction covers every page).
-
-Elements that by name, role or class are never main text (scripts, styles, navigation,
-forms, asides, footers, notices, adverts, reader comments) are cut whole before the scan and count as
-tags; an element that is not closed is not cut. Text of the region is split into blocks
-at block tags; character references are decoded, white space in a block becomes one
-space, blocks are joined by one line feed.
+exactly one ``article`` element; the sample is bounded by ``LABELLED`` (a documented bound
+of the fit; extraction covers every page).
+
+Features of an element are its name with each of its class and id words and its role (as
+``div.ad``, ``div#menu``, ``div@search``, and ``.ad`` for any name), and its name alone where it
+has none of these or is a side element by its meaning (``nav``). What lies outside the article counts for the outermost element that
+holds it but not the article, so ``li`` is not blamed for ``nav``; what lies inside counts
+for every element around it. The weight of a feature is the log of its words inside to
+those outside. A word whose context has a negative weight (the least of all elements around
+it counts) scores that weight, any other word the general gain of words; the tags of an element
+cost more the more of the uses of a feature lie outside. Words of negative score within the best region
+(an advert in the middle of an article) are no main text. Evidence against an element that
+holds an ``article`` or ``main`` is set aside, and so are class, id and role (and ``form``) of
+one that holds most words of the page: such an element is a wrapper.
+
+Labelled pages cannot show every kind of side element, so the counts start from those of
+``PRIOR``: a few words outside for elements and names that are side elements by their
+meaning. What is learned outweighs it. Scripts, styles, titles and other raw text are no
+words at all, up to the end of the page where they are not closed.
+
+Text of the region is split into blocks at block tags; character references are decoded,
+white space in a block becomes one space, blocks are joined by one line feed.
 
 Defined cases: null html is empty; a page without words gives an empty text; equal sums
-go to the longer region that starts first; unclosed or stray tags are plain tags. Rows
-keep their multiplicity; extra columns are ignored.
+go to the longer region that starts first; an element that is not closed gives no context,
+and a ``<`` that starts no tag is text. Rows keep their multiplicity (repeated page ids
+too); extra columns are ignored. All steps are linear in the page but for a sort of its
+side elements.
 """
 
 from __future__ import annotations
@@ -25,6 +40,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,107 +48,181 @@ from pyspark.sql import functions as F
 
 LABELLED = 400
 WORD_LEAST, TAG_LEAST, TAG_MOST = 0.2, 0.1, 12.0
-
-# Elements whose content is no text of the page
-HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "textarea", "select", "button", "canvas", "audio", "video", "math")
-# Elements that hold no main text
-SIDE = ("nav", "footer", "aside", "form", "menu", "dialog")
-# Words in class, id or role that tell the same
-SIDE_WORDS = "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer login masthead menu modal nav navbar navigation newsletter notice paywall popup promo promotion related search share sharing sidebar signup site-header skip social sponsor sponsored subscribe tags toolbar widget contentinfo complementary".split()
+STRONG, WEAK = 50, 10  # words outside that the prior stands for
+
+# Elements whose content is raw text, no words of the page
+RAW = ("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes")
+# Elements that by their meaning hold no main text
+SIDE = "nav footer header aside form menu dialog head noscript template svg math object select button canvas audio video".split()
+# Class, id and role words that tell the same
+SIDE_WORDS = "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer login masthead menu modal nav navbar navigation newsletter notice paywall popup promo promotion related search share sharing sidebar signup site-header skip social sponsor sponsored subscribe tags toolbar widget contentinfo complementary hidden".split()
 # Elements that start and end a block
 BLOCK = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN_ATTR = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
-_SIDE_WORDS = frozenset(SIDE_WORDS)
-
-
-def _side(name: str, attrs: str) -> bool:
-    if name in SIDE or name in HIDDEN:
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
-    return bool(_HIDDEN_ATTR.search(attrs)) or any(w in _SIDE_WORDS or any(p in _SIDE_WORDS for p in re.split(r"[-_]", w)) for m in _NAMED.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").lower().split())
-
-
-def tokens(page: str) -> list[tuple[str, str]]:
-    """The page as ("text", raw text) and ("tag", name or /name); side elements are one tag ``-name``."""
-    parts, at = [], 0
-    limit = len(page)
-    while at < limit:
-        m = _TOKEN.search(page, at)
-        if not m:
+#: Words that count as seen outside the article before any page is read, by feature.
+PRIOR = {name: STRONG for name in SIDE} | {f"{mark}{w}": WEAK for mark in ".#@" for w in SIDE_WORDS}
+
+_SIDE = frozenset(SIDE)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_ATTR = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
+
+
+def _features(name: str, attrs: str) -> list[str]:
+    """What is learned about an element: its name with each class, id and role word; its name alone where it has none, or tells by itself."""
+    found: list[str] = []
+    for m in _ATTR.finditer(attrs) if attrs.strip() else ():
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        mark = {"class": ".", "id": "#", "role": "@"}.get(key)
+        if mark:
+            found += [f for w in value.split() for f in (mark + w, name + mark + w)]
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            found.append(".hidden")
+    return [*found, name] if name in _SIDE or not found else found
+
+
+def tokens(page: str) -> list[tuple[str, str, str]]:
+    """The page as ("text", raw text, "") and ("tag", name or /name, attributes), without comments, declarations and raw text."""
+    parts: list[tuple[str, str, str]] = []
+    at, begun, size, last = 0, 0, len(page), page.rfind(">")
+
+    def text(upto: int) -> None:
+        if upto > begun:
+            parts.append(("text", page[begun:upto], ""))
+
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            text(at)
+            end = page.find("-->", at + 2)
+            at = begun = end + 3 if end >= 0 else size
+            continue
+        if at > last:  # no tag ends from here on
             break
-        if m.start() > at:
-            parts.append(("text", page[at : m.start()], ""))
-        at = m.end()
-        if not m[2]:
+        if page.startswith(("<!", "<?"), at):
+            text(at)
+            end = page.find("]]>", at) + 3 if page.startswith("<![CDATA[", at) else 0
+            at = begun = end if end > 2 else page.find(">", at) + 1
             continue
-        name, attrs = m[2].lower(), m[3]
-        parts.append(("tag", m[1] + name, attrs))
-        if not m[1] and name in _RAW and not attrs.rstrip().endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if end:
-                at = end.end()
-                parts.append(("tag", "/" + name, ""))
-    if at < limit:
-        parts.append(("text", page[at:], ""))
-    close = _closings(parts)
-    out, i = [], 0
-    while i < len(parts):
-        kind, name, attrs = parts[i]
-        inside = i in close
-        if kind == "tag" and inside and (_side(name, attrs) or name == "header" and not _within_article(parts, i)):
-            out.append(("tag", "-" + name))
-            i = close[i]
-        else:
-            out.append((kind, name))
-        i += 1
-    return out
-
-
-def _within_article(parts: list[tuple[str, str, str]], at: int) -> bool:
-    return any(p[0] == "tag" and p[1] in ("article", "main") for p in parts[:at])
-
-
-def _closings(parts: list[tuple[str, str, str]]) -> dict[int, int]:
-    """Where each closed element ends: open tags by name, closed by the next unmatched end tag of that name."""
-    open_: dict[str, list[int]] = {}
-    found = {}
-    for i, (kind, name, _) in enumerate(parts):
-        if kind != "tag":
+        m = _TAG.match(page, at)
+        if not m:
+            at += 1
             continue
-        if name[0] == "/":
-            if open_.get(name[1:]):
-                found[open_[name[1:]].pop()] = i
-        elif name not in VOID:
-            open_.setdefault(name, []).append(i)
-    return found
+        text(at)
+        at = begun = m.end()
+        name, closing = m[1].lower(), page[m.start() + 1] == "/"
+        parts.append(("tag", "/" + name if closing else name, m[2]))
+        if not closing and name in _RAW_END and not m[2].rstrip().endswith("/"):
+            end_tag = _RAW_END[name].search(page, at)
+            at = begun = end_tag.end() if end_tag else size
+            parts.append(("tag", "/" + name, ""))
+    text(size)
+    return parts
+
+
+class _Page:
+    """Tokens with their word counts, and the closed elements as (first, last, features)."""
+
+    def __init__(self, page: str):
+        self.parts = tokens(page)
+        self.words = [len(v.split()) if k == "text" else 0 for k, v, _ in self.parts]
+        self.upto = [0, *accumulate(self.words)]
+        ends: dict[int, int] = {}
+        open_: dict[str, list[int]] = {}
+        for i, (kind, name, _) in enumerate(self.parts):
+            if kind == "tag" and name[0] == "/":
+                if open_.get(name[1:]):
+                    ends[open_[name[1:]].pop()] = i
+            elif kind == "tag" and name not in VOID:
+                open_.setdefault(name, []).append(i)
+        marks = [i for i in sorted(ends) if self.parts[i][1] in ("article", "main")]
+        self.articles = [(i, ends[i]) for i in marks]
+        self.elements, reach, m = [], -1, 0
+        for i in sorted(ends):
+            name, attrs = self.parts[i][1], self.parts[i][2]
+            within = i < reach
+            if name in ("article", "main"):
+                reach = max(reach, ends[i])
+            while m < len(marks) and marks[m] < i:
+                m += 1
+            holds = m < len(marks) and marks[m] <= ends[i]
+            features = _features(name, attrs)
+            if name == "header" and within:  # that of the article, not of the page
+                features[-1] = "header in article"
+            self.elements.append((i, ends[i], features, holds))
+
+    def count(self, first: int, end: int) -> int:
+        return self.upto[end] - self.upto[first]
 
 
 class Weights:
-    """The gain of a word and the cost of each tag."""
-
-    def __init__(self, inside: Counter, outside: Counter):
-        words = (inside[""] + 1) / (inside[""] + outside[""] + 2)
-        self.word = max(WORD_LEAST, math.log(words / 0.5) if words > 0.5 else 0)
-        self.tag = {t: -min(TAG_MOST, max(TAG_LEAST, math.log((outside[t] + 0.5) / (inside[t] + 0.5)) + TAG_LEAST)) for t in {*inside, *outside} if t}
+    """The gain of a word, the weight of each context and the cost of each tag."""
+
+    def __init__(self, inside: Counter, outside: Counter, tag_in: Counter, tag_out: Counter, prior: dict[str, int] = PRIOR):
+        share = (inside[""] + 1) / (inside[""] + outside[""] + 2)
+        self.word = max(WORD_LEAST, math.log(share / 0.5) if share > 0.5 else 0)
+        weights = {f: math.log((inside[f] + 1) / (outside[f] + prior.get(f, 0) + 1)) for f in {*inside, *outside, *prior} if f}
+        self.context = {f: w for f, w in weights.items() if w < 0}
+        self.tag = {t: -min(TAG_MOST, max(TAG_LEAST, math.log((tag_out[t] + 0.5) / (tag_in[t] + 0.5)) + TAG_LEAST)) for t in {*tag_in, *tag_out}}
         self.unknown = -TAG_LEAST  # nothing is known against it
 
     @classmethod
-    def learned(cls, pages: list[str]) -> Weights:
-        inside, outside = Counter(), Counter()
-        for page in pages:
-            within = False
-            for kind, value in tokens(page):
-                if kind == "tag" and value in ("article", "/article"):
-                    within = value == "article"
+    def learned(cls, pages: list[str], prior: dict[str, int] = PRIOR) -> Weights:
+        inside, outside, tag_in, tag_out = Counter(), Counter(), Counter(), Counter()
+        for html in pages:
+            page = _Page(html)
+            marked = [(a, b) for a, b in page.articles if page.parts[a][1] == "article"]
+            if len(marked) != 1:
+                continue
+            (a, b), done = marked[0], -1
+            inside[""] += page.count(a, b)
+            outside[""] += page.upto[-1] - page.count(a, b)
+            for i, end, features, _ in page.elements:
+                if i == a:
                     continue
-                (inside if within else outside)["" if kind == "text" else value] += len(value.split()) if kind == "text" else 1
-        return cls(inside, outside)
+                if i > a and end < b:
+                    for f in features:
+                        inside[f] += page.count(i, end)
+                    tag_in.update(features)
+                elif i < a and end > b:
+                    for f in features:
+                        inside[f] += page.count(a, b)
+                elif i > done:  # the outermost element beside the article
+                    done = end
+                    for f in features:
+                        outside[f] += page.count(i, end)
+                    tag_out.update(features)
+        return cls(inside, outside, tag_in, tag_out, prior)
+
+    def scores(self, page: _Page) -> list[float]:
+        """The score of every token of a page."""
+        found = [self.word * n if k == "text" else self.unknown for (k, _, _), n in zip(page.parts, page.words, strict=True)]
+        against = []
+        for i, end, features, holds in page.elements:
+            found[i] = found[end] = min(self.tag.get(f, self.unknown) for f in features)
+            if holds:
+                continue
+            if 2 * page.count(i, end) > page.upto[-1]:  # only what the element means by itself
+                features = [f for f in features if f == page.parts[i][1] != "form"]
+            w = min((self.context.get(f, 0.0) for f in features), default=0.0)
+            if w < 0:
+                against.append((w, i, end))
+        # the least weight first; each token is set once, later ones skip over it
+        free = list(range(len(found) + 1))
+        for w, i, end in sorted(against):
+            at = i
+            while True:
+                root = at
+                while free[root] != root:
+                    root = free[root]
+                while free[at] != root:
+                    free[at], at = root, free[at]
+                if root >= end:
+                    break
+                if page.words[root]:
+                    found[root] = w * page.words[root]
+                free[root] = at = root + 1
+        return found
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -147,21 +237,23 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    seq = tokens(page or "")
-    first, end = best_region([weights.word * len(v.split()) if k == "text" else weights.tag.get(v, weights.unknown) for k, v in seq])
+def main_text(html: str | None, weights: Weights) -> str:
+    page = _Page(html or "")
+    scores = weights.scores(page)
+    first, end = best_region(scores)
     blocks, held = [], []
-    for kind, value in [*seq[first:end], ("tag", "p")]:
+    for (kind, value, _), score in [*zip(page.parts[first:end], scores[first:end], strict=True), (("tag", "p", ""), 0.0)]:
         if kind == "text":
-            held.append(value)
-        elif value.lstrip("-/") in BLOCK:
+            if score >= 0:
+                held.append(value)
+        elif value.lstrip("/") in BLOCK:
             if text := " ".join(entities.unescape("".join(held)).split()):
                 blocks.append(text)
             held = []
     return "\n".join(blocks)
 
 
-def fit(pages: DataFrame, labelled: int = LABELLED) -> Weights:
+def fit(pages: DataFrame, labelled: int = LABELLED, prior: dict[str, int] = PRIOR) -> Weights:
     """Weights from at most ``labelled`` pages that mark their content themselves: those of least hash.
 
     Only pages under a hash threshold are looked at. It starts where some ``4 * labelled`` of
@@ -173,7 +265,7 @@ def fit(pages: DataFrame, labelled: int = LABELLED) -> Weights:
         below = pages if share >= 1 else pages.where(drawn < F.lit(int(share * 2**64) - 2**63))
         marked = below.where(F.regexp_count("html", F.lit(r"(?i)<article[\s>]")) == 1).select("html").orderBy(drawn).limit(labelled).collect()
         if len(marked) == labelled or share >= 1:
-            return Weights.learned(sorted(r["html"] for r in marked))
+            return Weights.learned(sorted(r["html"] for r in marked), prior)
         share *= 8
 
 
