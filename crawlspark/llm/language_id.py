@@ -10,11 +10,15 @@ documents that are labelled rightly, ``MOST`` at most.
 
 Training sample (the documented bound): about ``PER_LANGUAGE`` documents of each language,
 drawn by a hash of their id, and ``WINDOWS`` windows spread over the whole of each, whatever
-the size of the corpus. Prediction reads every byte of every text, in pieces of at most
-``PIECE`` bytes that are run side by side. Letters are lower-cased beforehand.
+the size of the corpus; more than ``MAX_LANGUAGES`` values of lang are refused. Prediction
+reads every byte of every text, in pieces of at most ``PIECE`` bytes that are run side by
+side: states start anew in each piece (which may begin inside a character), so a position
+sees at most its piece, as in training it sees at most a window of ``WINDOW`` bytes.
+Letters are lower-cased beforehand.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no
-labelled text at all everything is ``und``; a null language and ``und`` teach nothing; the
+labelled text at all everything is ``und`` (and ``accepted``, which then has nothing to
+judge by, keeps all texts with a letter); a null language and ``und`` teach nothing; the
 score of a text rejected by the network is that of its best language. Rows keep
 their multiplicity; extra columns are ignored.
 """
@@ -193,14 +197,16 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> GatedNetwork | None:
     """A network trained on the bounded sample of labelled documents that are not held out; None without any."""
     labelled = docs.where((F.col("lang") != UNKNOWN) & ~held_out(F.col("doc_id")) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return None
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; is lang a language?")
     share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, PER_LANGUAGE / n))])
     drawn = labelled.where(hash01(F.col("doc_id")) < share[F.col("lang")] * float(1 << 60))
     width = F.greatest(F.lit(0), F.length("text") - WINDOW)
     windows = F.array(*[F.substring("text", F.floor(width * (i / max(1, WINDOWS - 1))).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS)])
-    sample = sorted((r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, *r["w"]) for r in drawn.select("lang", "doc_id", windows.alias("w")).limit(2 * PER_LANGUAGE * len(counts)).collect())
+    sample = sorted((r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, *r["w"]) for r in drawn.select("lang", "doc_id", windows.alias("w")).orderBy(hash01(F.col("doc_id")), "w").limit(2 * PER_LANGUAGE * len(counts)).collect())
     languages = sorted({r[0] for r in sample})
     if not languages:
         return None
@@ -275,9 +281,9 @@ def identify(docs: DataFrame, net: GatedNetwork | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, net: GatedNetwork | None, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of at least ``least``."""
+    """The rows of ``docs`` whose language the network knows (see ``least`` of the network), with a score of at least ``least``."""
     if net is None:
-        return docs.where(F.lit(False))
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     lettered = F.when(F.col("row.text").rlike(r"\p{L}"), F.col("row.text")).cast("string")
     rows = packed(docs).select("row", lettered.alias("text"))
 
