@@ -8,13 +8,14 @@ documents of which ``k`` would be rejected, the cell passes if
 ``P(Binomial(n, risk / n_rules) <= k) <= confidence / nominees``, that is, if the
 Clopper-Pearson upper bound is under the rule's share of the risk at a level that
 Bonferroni corrects for every nominee. The strictest passing cutoff of a rule is used;
-a stratum without a passing cell rejects nothing beyond the base rules.
+a stratum without a passing cell rejects nothing beyond the base rules. The tail takes
+documents for independent, so repeated rows and equal texts of a stratum count once.
 
 Defined cases: null text counts as no words (so ``base_failed``); null language is a
 stratum of its own; a document without label only gets judged; several labels of one
 document count as good only if all are good; labels of unknown documents and null
 labels are ignored; with no labels at all only the base rules act. Rows keep their
-multiplicity. Extra columns are ignored.
+multiplicity. Equal texts of a stratum are good only if all their labels are. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,9 +54,10 @@ def features(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, stratum, the counts of the base rules and the four scores, one row per document."""
     t = F.coalesce(F.col("text"), F.lit(""))
     worded = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.select("doc_id", F.col("lang").alias("stratum"), t.alias("t"), words(F.col("text")).alias("w"), worded.alias("lines")).select(
+    counted = docs.select("doc_id", F.col("lang").alias("stratum"), t.alias("t"), F.md5(t).alias("text_key"), words(F.col("text")).alias("w"), worded.alias("lines")).select(
         "doc_id",
         "stratum",
+        "text_key",
         F.size("w").cast("bigint").alias("n_words"),
         (F.length("t") - F.regexp_count("t", F.lit(r"[\x20\x09-\x0D]"))).cast("bigint").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -104,7 +106,9 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(feats: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE, grid: tuple = GRID) -> DataFrame:
     """stratum and the certified cutoff of each rule (null: none); one row per stratum with any."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
-    judged = feats.where("not base_failed").select("doc_id", "stratum", *RULES).join(known, "doc_id").withColumn("holdout", hash01(F.col("doc_id")) % 2 == 0)
+    judged = feats.where("not base_failed").select("doc_id", "stratum", "text_key", *RULES).join(known, "doc_id")
+    judged = judged.groupBy("stratum", "text_key").agg(F.min("doc_id").alias("doc_id"), F.bool_and("good").alias("good"), *[F.first(r).alias(r) for r in RULES])
+    judged = judged.withColumn("holdout", hash01(F.col("doc_id")) % 2 == 0)
     cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), (F.col(r) > c).alias("hit")) for r in RULES for c in grid])
     counts = (
         judged.select("stratum", "good", "holdout", F.explode(cells).alias("c"))

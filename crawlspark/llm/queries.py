@@ -85,11 +85,12 @@ twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g
 rep AS (SELECT doc_id, count(DISTINCT i + k) n FROM twice, unnest([0, 1, 2, 3, 4]) AS k(k) GROUP BY doc_id),
 f AS (SELECT l.doc_id, lang AS stratum, len(w)::BIGINT n_words, (length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')))::BIGINT word_chars,
  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT n_dup_lines, coalesce(rep.n, 0)::BIGINT n_repeat_words,
- len(lines) n_lines, len(regexp_extract_all(t, '[A-Z]')) n_upper FROM l LEFT JOIN rep USING (doc_id)),
+ len(lines) n_lines, len(regexp_extract_all(t, '[A-Z]')) n_upper, t FROM l LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
  [n_symbols / greatest(word_chars, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), n_upper / greatest(word_chars, 1)] s FROM f),
 lab AS (SELECT doc_id, min(quality) >= 1 good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-j AS (SELECT stratum, s, good, {HASH_SQL.format("doc_id")} % 2 = 0 holdout FROM b JOIN lab USING (doc_id) WHERE NOT base_failed),
+u AS (SELECT stratum, md5(t) k, min(doc_id) doc_id, bool_and(good) good, any_value(s) s FROM b JOIN lab USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+j AS (SELECT stratum, s, good, {HASH_SQL.format("doc_id")} % 2 = 0 holdout FROM u),
 cell AS (SELECT stratum, r, c, count(*) FILTER (holdout AND good) n, count(*) FILTER (holdout AND good AND s[r] > c) k, count(*) FILTER (NOT holdout AND NOT good AND s[r] > c) caught
  FROM j, unnest([1, 2, 3, 4]) AS rr(r), unnest({list(quality_rules.GRID)}::DOUBLE[]) AS cc(c) GROUP BY ALL HAVING caught > 0),
 tail AS (SELECT stratum, r, c, (SELECT count(*) FROM cell) m, coalesce((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125) + (n - i) * ln(0.9875))) FROM unnest(generate_series(0, k)) AS u(i)), 1) p, k, n FROM cell),
