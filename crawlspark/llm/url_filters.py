@@ -6,10 +6,11 @@ the whole digest, and the longest confirmed rule decides (among equal lengths th
 with the longer host, then block before allow).
 
 Path prefixes are those that end in ``/`` plus, where the rule table has paths that do
-not end in ``/``, prefixes of exactly those lengths, so any rule path is met. Rules are
-broadcast up to ``BROADCAST_ROWS`` rows; beyond that both sides are shuffled on the
-hash prefix, with the prefixes that no rule has dropped first and the URL side of a
-common prefix split by AQE.
+not end in ``/``, prefixes of exactly those lengths, so any rule path is met; prefixes
+longer than any rule's path are left out. Rules are broadcast if they are few (see
+``broadcast_if_small``); beyond that both sides are shuffled on the hash prefix, and the
+URL side of a common prefix is split by AQE. Only confirmed hits go on: the best rule of
+each (host, path) is a combinable maximum and is joined back to the rows.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule
 and is allowed; a URL that fits none is allowed (``default``). A URL without path does
@@ -46,11 +47,11 @@ def keyed_rules(rules: DataFrame) -> DataFrame:
     return rules.where("rule is not null and verdict is not null").select("verdict", "rule", F.substring(digest, 1, 2 * PREFIX_BYTES).alias("prefix"), digest.alias("digest"))
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every ``host suffix + path prefix`` of one URL as an array of strings."""
+def expressions(host: Column, path: Column, lengths: list[int], longest: int) -> Column:
+    """Every ``host suffix + path prefix`` of one URL as an array of strings; no prefix is longer than ``longest``."""
     labels = F.split(host, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(path, "/")
+    parts = F.split(F.substring(path, 1, longest), "/")
     slashed = F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i < F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
     exact = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
     paths = F.array_distinct(F.concat(slashed, exact))
@@ -61,14 +62,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """page_id, host, path, rule, verdict for every row of ``pages``. ``rules``: see ``rule_table``."""
     path_len = F.length("rule") - F.instr("rule", "/") + 1
     lengths = sorted(r[0] for r in rules.where("rule not like '%/'").select(path_len.alias("n")).distinct().collect())
-    rules = broadcast_if_small(rules)
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("row"))
-    looked = urls.select("page_id", "host", "path", "row", F.explode_outer(expressions(F.col("host"), F.col("path"), lengths)).alias("expr"))
+    longest = rules.agg(F.max(path_len)).first()[0] or 0
+    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    looked = urls.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths, longest)).alias("expr"))
     looked = looked.withColumn("full", F.sha2("expr", 256)).withColumn("prefix", F.substring("full", 1, 2 * PREFIX_BYTES))
-    hits = looked.join(rules, "prefix", "left").withColumn("hit", F.col("full") == F.col("digest"))
-    best = F.max(F.when(F.col("hit"), F.struct(F.length("rule").alias("n"), F.instr("rule", "/").alias("h"), (F.col("verdict") == "block").alias("b"), F.col("rule").alias("rule"), F.col("verdict").alias("verdict"))))
-    return (
-        hits.groupBy("row")
-        .agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
-        .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
-    )
+    hits = looked.join(broadcast_if_small(rules), "prefix").where(F.col("full") == F.col("digest"))
+    best = F.max(F.struct(F.length("rule").alias("n"), F.instr("rule", "/").alias("h"), (F.col("verdict") == "block").alias("b"), F.col("rule").alias("rule"), F.col("verdict").alias("verdict")))
+    ruled = hits.groupBy("host", "path").agg(best.alias("best"))
+    return urls.join(ruled, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
