@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .base import let
+from .urls import IMAGE_EXTENSIONS
 
 # The attribute that holds the link of each tag, and the type of the link
 LINK_TAGS = {
@@ -32,20 +33,28 @@ def attribute(tag: Column, name: str) -> Column:
     return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(single, F.lit("")), bare)
 
 
+def visible(html: Column) -> Column:
+    """``html`` without comments and the bodies of scripts, whose text holds no tags."""
+    bare = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
+    return F.when(html.rlike(r"(?i)<!--|<script"), F.regexp_replace(bare, r"(?is)(<script\b[^>]*>).*?(?:</script\s*>|$)", "$1")).otherwise(html)
+
+
 def start_tags(html: Column, names: list[str]) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is)(<(?:{'|'.join(names)})\b[^>]*>)"), F.lit(1))
 
 
-def html_links(html: Column) -> Column:
-    """array<struct<type, url>> of the page's links in order, distinct; anchors also give their page."""
+def html_links(html: Column, tags: dict[str, tuple[str, str]] = LINK_TAGS) -> Column:
+    """array<struct<type, url>> of the page's links in order, distinct; anchors also give their page.
+
+    ``tags`` is the table of tags with the attribute and the type of their links, which may be extended.
+    """
 
     def one(tag: Column) -> Column:
         name = F.lower(F.regexp_extract(tag, r"^<(\w+)", 1))
-        value = F.coalesce(*[F.when(name == t, attribute(tag, a)) for t, (a, _) in LINK_TAGS.items()])
+        value = F.coalesce(*[F.when(name == t, attribute(tag, a)) for t, (a, _) in tags.items()])
         rel = F.lower(attribute(tag, "rel"))
-        typ = F.coalesce(F.when(name == "link", F.when(rel == "stylesheet", "stylesheet").otherwise("generic")), *[F.when(name == t, F.lit(k)) for t, (_, k) in LINK_TAGS.items()])
-        value = F.trim(value)
-        return let(F.struct(typ.alias("t"), value.alias("v"), name.alias("n")), lambda x: _typed(x))
+        typ = F.coalesce(F.when(name == "link", F.when(rel == "stylesheet", "stylesheet").otherwise("generic")), *[F.when(name == t, F.lit(k)) for t, (_, k) in tags.items()])
+        return let(F.struct(typ.alias("t"), F.trim(value).alias("v"), name.alias("n")), _typed)
 
     def _typed(x: Column) -> Column:
         link = lambda t, v: F.struct(t.alias("type"), v.alias("url"))
@@ -53,14 +62,35 @@ def html_links(html: Column) -> Column:
         page = F.regexp_extract(x["v"], r"(?i)^(.*\.html?)#", 1)
         plain = F.array(link(F.when(x["n"] == "a", F.lit("generic")).otherwise(x["t"]), x["v"]))
         both = F.when(page != "", F.array(link(F.lit("anchor"), x["v"]), link(F.lit("webpage"), page))).otherwise(F.array(link(F.lit("anchor"), x["v"])))
-        return F.when(x["v"] == "", F.array().cast("array<struct<type:string,url:string>>")).otherwise(F.when(anchored, both).otherwise(plain))
+        return F.when(x["v"] == "", no_links()).otherwise(F.when(anchored, both).otherwise(plain))
+
+    return F.array_distinct(F.flatten(F.transform(start_tags(visible(html), list(tags)), one)))
+
 
-    return F.array_distinct(F.flatten(F.transform(start_tags(html, list(LINK_TAGS)), one)))
+def no_links() -> Column:
+    return F.array().cast("array<struct<type:string,url:string>>")
+
+
+def all_links(html: Column, tags: dict[str, tuple[str, str]] = LINK_TAGS, images: bool = True, javascript: bool = True, applets: bool = True) -> Column:
+    """array<struct<type, url>>: script redirects, then the refresh target, tags and applets, images last.
+
+    Without ``images`` links of type image go, and so do others whose extension is that of an image.
+    """
+    typed = lambda urls, t: F.transform(urls, lambda u: F.struct(F.lit(t).alias("type"), u.alias("url")))
+    refresh = F.when(meta_refresh(html).isNotNull(), typed(F.array(meta_refresh(html)), "generic")).otherwise(no_links())
+    found = html_links(html, tags) if javascript else F.filter(html_links(html, tags), lambda x: x["type"] != "javascript")
+    parts = [typed(js_redirects(html), "webpage"), refresh, F.filter(found, lambda x: ~x["type"].isin("image", "base"))]
+    if applets:
+        parts.append(typed(applet_links(html), "javaapplet"))
+    if images:
+        return F.array_distinct(F.concat(*parts, F.filter(found, lambda x: x["type"] == "image")))
+    pattern = r"(?i)(?:" + "|".join(e.replace(".", r"\.") for e in IMAGE_EXTENSIONS) + ")$"
+    return F.array_distinct(F.filter(F.concat(*parts), lambda x: ~x["url"].rlike(pattern)))
 
 
 def hrefs(html: Column) -> Column:
-    """The ``href`` of every ``a`` tag, in order."""
-    return F.regexp_extract_all(html, F.lit(r'(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"'), F.lit(1))
+    """The ``href`` of every ``a`` tag that has one, in order."""
+    return F.filter(F.transform(start_tags(visible(html), ["a"]), lambda t: attribute(t, "href")), lambda v: v != "")
 
 
 def meta_refresh(html: Column) -> Column:
@@ -105,8 +135,15 @@ def feed_links(xml: Column) -> Column:
     return F.array_distinct(F.xpath(xml, F.lit("//link/text()")))
 
 
-def kept_link(url: Column, page_title: Column, query_links: bool = True) -> Column:
-    """False for script, mail and news links, sort links of index pages, and query links where they are off."""
-    sort = page_title.startswith("Index of") & url.rlike(r"\?[A-Za-z]=[A-Za-z]")
+# Sort links of index pages, as older versions list them
+INDEX_LINKS = ("?m=a", "?n=d", "?s=a", "?d=a")
+
+
+def kept_link(url: Column, page_title: Column, query_links: bool = True, by_list: bool = False) -> Column:
+    """False for script, mail and news links, sort links of index pages (``by_list``: by a fixed list, on any page), and query links where they are off."""
+    if by_list:
+        sort = F.lower(F.regexp_extract(url, r"(\?.*)$", 1)).isin(*INDEX_LINKS)
+    else:
+        sort = page_title.startswith("Index of") & url.rlike(r"\?[A-Za-z]=[A-Za-z]")
     keep = ~url.rlike(r"^(?i)(javascript|mailto|news):") & ~F.coalesce(sort, F.lit(False))
     return keep if query_links else keep & (F.instr(url, "?") == 0)

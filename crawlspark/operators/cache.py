@@ -32,6 +32,40 @@ def retry_set(log: DataFrame, key: str = "url") -> DataFrame:
     return log.groupBy(key).agg(F.bool_or(~F.col("ok")).alias("failed"), F.bool_or("ok").alias("done"), F.bool_or("fatal").alias("dead"), F.bool_or("seed").alias("start")).where("failed and not done and not dead and not start").select(key)
 
 
+def retried(log: DataFrame, key: str = "url") -> DataFrame:
+    """Keys that failed at first and are no longer failed: their retry succeeded; ``log``: key, ok."""
+    return log.groupBy(key).agg(F.bool_or(~F.col("ok")).alias("failed"), F.bool_or("ok").alias("done")).where("failed and done").select(key)
+
+
+def any_updated(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row: whether any key of ``new`` is missing from ``old`` or has another value there."""
+    before = old.select(*keys, F.col(value).alias("_old"))
+    changed = ~F.col(value).eqNullSafe(F.col("_old"))
+    return new.join(before, keys, "left").agg(F.coalesce(F.bool_or(changed), F.lit(False)).alias("updated"))
+
+
+def with_servers(urls: DataFrame, servers: DataFrame) -> DataFrame:
+    """``urls`` (domain) with what is known of their servers (domain, accept_ranges): ``accepts_ranges`` is false where nothing is."""
+    known = servers.select("domain", (F.lower("accept_ranges") == "bytes").alias("_r"))
+    return urls.join(known, "domain", "left").withColumn("accepts_ranges", F.coalesce("_r", F.lit(False))).drop("_r")
+
+
+def with_headers(cache: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
+    """``cache`` whose map ``headers`` takes up the newly seen ones (a seen header replaces the kept one)."""
+    seen = headers.select(*keys, F.col("headers").alias("_new"))
+    none = F.create_map().cast("map<string,string>")
+    old, new = F.coalesce("headers", none), F.coalesce("_new", none)
+    merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+    return cache.join(seen, keys, "left").withColumn("headers", merged).drop("_new")
+
+
+def part_totals(parts: DataFrame) -> DataFrame:
+    """url, percent, rate, eta over the parts (url, n_bytes, done_bytes, seconds) of each file; eta is null where nothing came yet."""
+    sums = parts.groupBy("url").agg(F.sum("n_bytes").alias("n"), F.sum("done_bytes").alias("d"), F.max("seconds").alias("s"))
+    rate = F.when(F.col("s") > 0, F.col("d") / F.col("s"))
+    return sums.select("url", F.when(F.col("n") > 0, 100.0 * F.col("d") / F.col("n")).alias("percent"), rate.alias("rate"), F.when(rate > 0, (F.col("n") - F.col("d")) / rate).alias("eta"))
+
+
 def range_parts(length: Column, parts: Column) -> Column:
     """array<struct<part, start, end>> of a byte range in equal parts; the last gets the rest; ends are inclusive."""
     size = F.floor(length / parts)

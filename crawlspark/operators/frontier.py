@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import durable
+
 
 def parse_priorities(text: str) -> dict[str, int]:
     """``key+n,key-n`` with n from -5 to 5; keys are lower-cased, other parts are ignored."""
@@ -41,18 +41,6 @@ def slice_links(df: DataFrame, source: str, ordinal: str, start: int = 0, end: i
     return df.withColumn("_n", n).withColumn("_stop", stop).where((F.col(ordinal) >= start) & (F.col(ordinal) < F.col("_stop"))).drop("_n", "_stop")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the shared folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="crawlspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/crawlspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bfs(seeds: DataFrame, edges: DataFrame, max_generation: int | None = None, contexts: list[str] | None = None) -> DataFrame:
     """(node, generation) for all that can be reached: generation is that of the nearest seed plus one per hop.
 
@@ -61,12 +49,12 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_generation: int | None = None, c
     """
     if contexts is not None:
         edges = edges.where(F.col("context").isin(*contexts))
-    last = _written(seeds.select("node", F.lit(0).alias("generation")).distinct())
+    last = durable(seeds.select("node", F.lit(0).alias("generation")).distinct())
     known, hop = last, 0
     while max_generation is None or hop < max_generation:
         hop += 1
         reached = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        last = _written(reached.join(known, "node", "left_anti").withColumn("generation", F.lit(hop)))
+        last = durable(reached.join(known, "node", "left_anti").withColumn("generation", F.lit(hop)))
         if not last.take(1):
             break
         known = known.unionByName(last)
@@ -74,16 +62,23 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_generation: int | None = None, c
 
 
 def redirect_chains(redirects: DataFrame, max_hops: int = 20) -> DataFrame:
-    """(url, target, hops, loop) by following redirects(src, dst) at most ``max_hops`` times; src is unique."""
+    """(url, target, hops, loop, cut) by following redirects(src, dst) at most ``max_hops`` times; src is unique.
+
+    ``loop``: the target was passed before; ``cut``: the chain goes on beyond ``max_hops``.
+    """
     step = redirects.select(F.col("src").alias("s"), F.col("dst").alias("d"))
     at = redirects.select(F.col("src").alias("url"), F.col("dst").alias("target"), F.lit(1).alias("hops"), F.array("src").alias("path"))
     done = None
-    for _ in range(max_hops):
+    for hop in range(1, max_hops + 1):
         moved = at.join(step, F.col("target") == F.col("s"), "left")
-        looped = F.array_contains("path", F.col("target"))
-        end = moved.where(F.col("s").isNull() | looped).select("url", "target", "hops", F.coalesce(looped, F.lit(False)).alias("loop"))
+        looped = F.coalesce(F.array_contains("path", F.col("target")), F.lit(False))
+        last = F.col("s").isNull() | looped
+        ends = (last if hop < max_hops else F.lit(True)) & F.col("url").isNotNull()
+        end = moved.where(ends).select("url", "target", "hops", looped.alias("loop"), (~last).alias("cut"))
         done = end if done is None else done.unionByName(end)
-        at = _written(moved.where(F.col("s").isNotNull() & ~looped).select("url", F.col("d").alias("target"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("target")).alias("path")))
+        if hop == max_hops:
+            break
+        at = durable(moved.where(~last).select("url", F.col("d").alias("target"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("target")).alias("path")))
         if not at.take(1):
-            return done
-    return done.unionByName(at.select("url", "target", "hops", F.lit(True).alias("loop")))
+            break
+    return done

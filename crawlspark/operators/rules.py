@@ -11,17 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import any_of
-
-# Domains that serve advertisements or statistics (a list of one's own can be passed)
-JUNK_DOMAINS = ("a.tribalfusion.com", "stats.webtrendslive.com", "cyberclick.net", "doubleclick.net")
-# Path patterns of advertisements (a list of one's own can be passed)
-JUNK_PATTERNS = (
-    r"/*.*/(.*[-_.])?ads?[0-9]?(/|[-_.].*|\.(gif|jpe?g))",
-    r"/htmlad/",
-    r"/.*nbclogo\.gif",
-    r"/*.*/siteads/",
-    r"/*.*/(sponsor|banner)s?[0-9]?/",
-)
+from .junk_lists import DOMAINS, PATTERNS
 
 
 def compile_filter(text: str) -> tuple[list[str], list[str]]:
@@ -40,9 +30,16 @@ def compile_filter(text: str) -> tuple[list[str], list[str]]:
     return include, exclude
 
 
-def url_filter_blocks(url: Column, text: str) -> Column:
-    """An include list lets only its matches pass; without one, an exclude list blocks its matches."""
+def url_filter_blocks(url: Column, text: str, precedence: str = "include") -> Column:
+    """An include list lets only its matches pass; without one, an exclude list blocks its matches.
+
+    Where a URL matches both, ``precedence`` decides: ``include`` lets it pass, ``order`` goes by the first matching part of the text.
+    """
     include, exclude = compile_filter(text)
+    if precedence == "order" and include and exclude:
+        ordered = [(sign == "-", p) for sign, body in re.findall(r"([+-])([^+-]+)", text) for ps in compile_filter(sign + body) for p in ps]
+        first = F.coalesce(*[F.when(url.rlike(p), blocks) for blocks, p in ordered])
+        return F.coalesce(first, F.lit(True))
     if include:
         return ~any_of([url.rlike(p) for p in include])
     return any_of([url.rlike(p) for p in exclude])
@@ -56,7 +53,7 @@ def server_filter_blocks(domain: Column, text: str, compat: bool = False) -> Col
     return url_filter_blocks(domain, text)
 
 
-def junk_reason(url: Column, domain: Column, base: Column, domains=JUNK_DOMAINS, patterns=JUNK_PATTERNS) -> Column:
+def junk_reason(url: Column, domain: Column, base: Column, domains=DOMAINS, patterns=PATTERNS) -> Column:
     """domain, base-domain or pattern (in that order); null for a URL that is none."""
     return F.when(domain.isin(*domains), "domain").when(base.isin(*domains), "base-domain").when(url.rlike("|".join(f"(?:{p})" for p in patterns)), "pattern")
 
@@ -66,10 +63,17 @@ def same_server(a: Column, b: Column, base_a: Column, base_b: Column, subdomains
     return bare(a) == bare(b) if subdomains_differ else F.lower(base_a) == F.lower(base_b)
 
 
-def external(level: int, *, under_start: Column, same: Column, parent_same: Column, parent_in_start_dir: Column, typ: Column, page_links: bool = True, server_links: bool = False, images: bool = True, styles: bool = True) -> Column:
-    """Whether a link leaves the crawl's scope, by fetch level 0..4."""
-    on_server = F.lit(level == 0 or not (page_links or level in (1, 2) or level > 3)) if level != 3 else ~parent_in_start_dir
-    elsewhere = F.lit(True) if level in (0, 1) else ~parent_same if level in (2, 3) else F.lit(False)
+def external(level: int, *, under_start: Column, same: Column, parent_same: Column, parent_in_start_dir: Column, typ: Column, page_links: bool = True, server_links: bool = False, images: bool = True, styles: bool = True, server_blocked: Column | None = None, too_deep: Column | None = None) -> Column:
+    """Whether a link leaves the crawl's scope, by fetch level 0..4.
+
+    Levels over 0 allow pages beside the start directory (``page_links`` is for none of them then), levels over 3 other servers
+    (and so for ``server_links``); both only as far as ``too_deep`` and, for servers, ``server_blocked`` let them.
+    """
+    no = F.lit(False)
+    checks = too_deep if too_deep is not None else no
+    on_server = F.lit(True) if level == 0 else ~parent_in_start_dir if level == 3 else checks | F.lit(not (page_links or level > 0))
+    other = checks | (server_blocked if server_blocked is not None else no) | F.lit(not (server_links or level > 3))
+    elsewhere = F.lit(True) if level in (0, 1) else ~parent_same if level in (2, 3) else other
     asset = (typ == "stylesheet") & F.lit(styles) | (typ == "image") & F.lit(images)
     return F.when(under_start | asset, False).when(same, on_server).otherwise(elsewhere)
 
@@ -81,19 +85,30 @@ def beyond_depth(depth: Column, limit: int) -> Column:
 def admitted(df: DataFrame, key: str, order: list[str], limit: int, compat: bool = False) -> DataFrame:
     """``df`` with ``admitted``: rows of the first ``limit`` keys in order of first sight.
 
-    ``compat`` lets key ``limit + 1`` pass except for its first row. The rank is taken over one row per key.
+    ``compat`` lets key ``limit + 1`` pass except for its first row. Of all keys only the first ``limit + 1`` are ordered, as a top-k.
     """
     if not limit:
         return df.withColumn("admitted", F.lit(True))
     first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    ranked = first.withColumn("_rank", F.row_number().over(Window.orderBy("_first"))).where(F.col("_rank") <= limit + 1)
-    joined = df.join(ranked, key, "left")
+    ahead = first.orderBy("_first").limit(limit + 1)
+    ranked = ahead.withColumn("_rank", F.row_number().over(Window.orderBy("_first")))
+    joined = df.join(F.broadcast(ranked), key, "left")  # limit + 1 rows
     ok = F.col("_rank") <= limit
     if compat:
         ok = ok | ((F.col("_rank") == limit + 1) & (F.struct(*order) > F.col("_first")))
     return joined.withColumn("admitted", F.coalesce(ok, F.lit(False))).drop("_first", "_rank")
 
 
+def size_allowed(length: Column, most: int) -> Column:
+    return length <= most
+
+
+def type_allowed(typ: Column, *, images: bool = True, javascript: bool = True, applets: bool = True, html: bool = True) -> Column:
+    """Whether links and pages of a type are wanted at all."""
+    off = [t for t, on in (("image", images), ("javascript", javascript), ("javaapplet", applets), ("webpage", html)) if not on]
+    return ~typ.isin(*off) if off else F.lit(True)
+
+
 def word_filter(text: Column, pattern: str) -> Column:
     return text.rlike("(?i)" + pattern) if pattern else F.lit(False)
 

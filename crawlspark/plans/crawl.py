@@ -1,43 +1,243 @@
-"""The offline crawl as one plan: links of pages, resolved, classified, filtered and deduplicated."""
+"""The offline crawl as a plan: pages to links, links to verdicts, accepted links to the next generation, until nothing is new.
+
+Links are taken from all pages and resolved once, into a table of edges without html; a
+generation is a join of the frontier with it. Of the rules only those that depend on where
+a crawl came from (start, parent, limits) are judged again in each generation. Every
+generation is a written table, so nothing is computed twice and a lost executor costs at
+most one step; with ``state`` they are kept in a folder and a crawl can be resumed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import links, urls
-from ..operators import rules
+from ..operators import cache, reports, robots, rules
+from ..operators import frontier as fr
 from ..sources.config import CrawlConfig
+from ..sources.scratch import durable
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, page_url, ordinal, link_type, link) for every link of every page."""
-    found = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(links.html_links(F.col("html"))).alias("ordinal", "l"))
-    return found.select("page_id", "page_url", "ordinal", F.col("l.type").alias("link_type"), F.col("l.url").alias("link"))
+def page_links(pages: DataFrame, config: CrawlConfig | None = None, tags: dict[str, tuple[str, str]] = links.LINK_TAGS) -> DataFrame:
+    """``pages`` (url, html, ...) without html, with base_url (of the page's base element, else its own), ordinal, link_type, link and cgi for every link.
+
+    Type gates, the link filter, nofollow and the slice of links of ``config`` apply; without one, all links are taken.
+    """
+    html, kept = F.col("html"), F.col("_found")
+    if config is None:
+        staged = pages.withColumn("_found", links.all_links(html, tags))
+    else:
+        staged = pages.withColumn("_title", links.title(html)).withColumn("_found", links.all_links(html, tags, config.images, config.javascript, config.javaapplet))
+        kept = F.filter(kept, lambda x: links.kept_link(x["url"], F.col("_title"), config.querylinks))
+        if config.robots:
+            kept = F.when(links.meta_robots(html)["nofollow"], links.no_links()).otherwise(kept)
+    staged = staged.withColumn("_base", links.base_href(html)).withColumn("_kept", kept).drop("_found", "_title", "html")
+    if config is not None and (config.offset_start, config.offset_end) != (0, -1):
+        stop = F.lit(config.offset_end) if config.offset_end >= 0 else F.size("_kept") + config.offset_end + 1
+        staged = staged.withColumn("_kept", F.slice("_kept", F.lit(config.offset_start + 1), F.greatest(stop - config.offset_start, F.lit(0))))
+    based = urls.resolved(staged, F.col("_base"), F.lit("base"), F.col("url"), "_b")
+    folder = F.when(F.col("_base").endswith("/"), F.lit(f"/{urls.DEFAULT_FILE}")).otherwise("")  # a base that ends in / is a directory
+    based = based.withColumn("base_url", F.when(F.col("_base").isNotNull(), F.concat(F.rtrim(F.col("_b.full_url"), F.lit("/")), folder)).otherwise(F.col("url"))).drop("_b", "_base")
+    found = based.select("*", F.posexplode("_kept").alias("ordinal", "_l")).drop("_kept")
+    return found.withColumns({"link_type": F.col("_l.type"), "link": F.col("_l.url"), "cgi": urls.is_cgi(F.col("_l.url"), F.col("_l.type"))}).drop("_l")
 
 
 def resolved_links(found: DataFrame) -> DataFrame:
-    """``found`` with the resolved URL struct ``u`` and the page's own struct ``p``."""
-    return found.withColumn("u", urls.resolve(F.col("link"), F.col("link_type"), F.col("page_url"))).withColumn("p", urls.parse(F.col("page_url")))
-
-
-def judged_links(resolved: DataFrame, config: CrawlConfig) -> DataFrame:
-    """``resolved`` with ``reject_reason`` under ``config`` (each page is its own start)."""
-    u, p = F.col("u"), F.col("p")
-    base_u, base_p = urls.base_domain(u["domain"]), urls.base_domain(p["domain"])
-    same = rules.same_server(u["domain"], p["domain"], base_u, base_p, config.subdomain)
-    under = F.col("u.full_url").startswith(urls.url_directory(p))
-    outside = rules.external(config.fetchlevel, under_start=under, same=same, parent_same=F.lit(True), parent_in_start_dir=F.lit(True), typ=F.col("link_type"), page_links=config.extpagelinks, server_links=config.extserverlinks)
-    return resolved.withColumn(
-        "reject_reason",
-        rules.reject_reason(
-            F.col("link_type"),
-            skip_types=config.skipruletypes,
-            known_bad=F.lit(False),
-            filtered=rules.url_filter_blocks(u["full_url"], config.urlfilter),
-            junk=rules.junk_reason(u["full_url"], u["domain"], base_u).isNotNull() if config.junkfilter else F.lit(False),
-            outside=outside,
-            robots=F.lit(False),
-            deep=rules.beyond_depth(F.size(u["dirpath"]) - F.size(p["dirpath"]), config.depth),
-        ),
+    """``found`` with the resolved URL struct ``u`` and the place of its page: page_domain, page_directory."""
+    at = urls.parsed(urls.resolved(found, F.col("link"), F.col("link_type"), F.col("base_url"), "u"), F.col("url"), "_p")
+    return at.withColumns({"page_domain": F.col("_p.domain"), "page_directory": urls.url_directory(F.col("_p"))}).drop("_p")
+
+
+def judged_links(resolved: DataFrame, config: CrawlConfig, robots_files: DataFrame | None = None, known_bad: DataFrame | None = None, agent: str = "*", junk_lists: tuple | None = None) -> DataFrame:
+    """``resolved`` with ``reject_reason`` (null: may be fetched) and ``same`` (on the start's server).
+
+    ``start_domain`` and ``start_directory`` say where the crawl began; without them each page is its own start.
+    ``robots_files``: host (with the port where it isn't the default), robots_txt, http_status; ``known_bad``: url.
+    """
+    if "start_domain" not in resolved.columns:
+        resolved = resolved.withColumns({"start_domain": F.col("page_domain"), "start_directory": F.col("page_directory")})
+    u, start, page = F.col("u"), F.col("start_domain"), F.col("page_domain")
+    base_of = urls.base_domain
+    placed = resolved.withColumns({
+        "_dir": urls.url_directory(u),
+        "same": rules.same_server(u["domain"], start, base_of(u["domain"]), base_of(start), config.subdomain),
+        "_parent": rules.same_server(page, start, base_of(page), base_of(start), config.subdomain),
+        "_bad": F.lit(False),
+        "_robots": F.lit(False),
+    })
+    if known_bad is not None:
+        bad = known_bad.select(F.col("url").alias("_url")).distinct()
+        placed = placed.join(bad, F.col("u.full_url") == F.col("_url"), "left").withColumn("_bad", F.col("_url").isNotNull()).drop("_url")
+    if robots_files is not None and config.robots:
+        asked = placed.withColumns({"host": urls.domain_with_port(u), "path": urls.relative_url(u)})
+        placed = robots.apply(asked, robots_files, agent).withColumn("_robots", ~F.col("robots_allowed")).drop("robots_allowed", "host", "path")
+    lists = junk_lists or (rules.DOMAINS, rules.PATTERNS)
+    outside = rules.external(
+        config.fetchlevel,
+        under_start=F.col("_dir").startswith(F.col("start_directory")),
+        same=F.col("same"),
+        parent_same=F.col("_parent"),
+        parent_in_start_dir=F.col("page_directory") == F.col("start_directory"),
+        typ=F.col("link_type"),
+        page_links=config.extpagelinks,
+        server_links=config.extserverlinks,
+        images=config.imagelinks,
+        styles=config.stylesheetlinks,
+        server_blocked=rules.server_filter_blocks(u["domain"], config.serverfilter),
+        too_deep=rules.beyond_depth(F.size(u["dirpath"]), config.extdepth or -1),
+    )
+    reason = rules.reject_reason(
+        F.col("link_type"),
+        skip_types=config.skipruletypes,
+        known_bad=F.col("_bad"),
+        filtered=rules.url_filter_blocks(u["full_url"], config.urlfilter),
+        junk=rules.junk_reason(u["full_url"], u["domain"], base_of(u["domain"]), *lists).isNotNull() if config.junkfilter else F.lit(False),
+        outside=outside,
+        robots=F.col("_robots"),
+        deep=rules.beyond_depth(urls.relative_depth(F.col("_dir"), F.col("start_directory")), config.depth),
     )
+    return placed.withColumn("reject_reason", reason).drop("_dir", "_parent", "_bad", "_robots")
+
+
+def _limited(judged: DataFrame, key: Column, counts: Column, limit: int, admitted: DataFrame | None, reason: str) -> tuple[DataFrame, DataFrame]:
+    """``judged`` with accepted rows that ``counts`` rejected beyond the first ``limit`` keys, and the keys (so many at most) that are in."""
+    keyed = judged.withColumn("_key", F.when(counts & F.col("reject_reason").isNull(), key))
+    first = keyed.where("_key is not null").groupBy("_key").agg(F.min(F.struct("url", "ordinal")).alias("_first"))
+    room = limit
+    if admitted is not None:
+        first = first.join(F.broadcast(admitted), "_key", "left_anti")
+        room -= admitted.count()
+    new = first.orderBy("_first").limit(max(0, room)).select("_key")
+    inside = durable(new if admitted is None else new.unionByName(admitted))
+    marked = keyed.join(F.broadcast(inside.withColumn("_in", F.lit(True))), "_key", "left")
+    late = F.col("_key").isNotNull() & F.col("_in").isNull()
+    return marked.withColumn("reject_reason", F.when(late, F.lit(reason)).otherwise(F.col("reject_reason"))).drop("_key", "_in"), inside
+
+
+@dataclass(frozen=True)
+class Crawl:
+    """``ledger``: one row per URL that the crawl takes; ``verdicts``: one row per link that it judged."""
+
+    ledger: DataFrame
+    verdicts: DataFrame
+
+
+class _State:
+    """The tables of each generation: in a folder of the user's, where a crawl can go on, or as scratch tables."""
+
+    def __init__(self, spark, root: str | None):
+        self.spark, self.root = spark, root and root.rstrip("/")
+
+    def put(self, name: str, generation: int, df: DataFrame) -> DataFrame:
+        if not self.root:
+            return durable(df)
+        path = f"{self.root}/{name}/{generation:06d}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self, name: str) -> list[DataFrame]:
+        """The tables that were written whole, by generation."""
+        if not self.root:
+            return []
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = path(f"{self.root}/{name}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        return [self.spark.read.parquet(f"{self.root}/{name}/{n}") for n in names if fs.exists(path(f"{self.root}/{name}/{n}/_SUCCESS"))]
+
+
+def crawl(pages: DataFrame, seeds: DataFrame, config: CrawlConfig = CrawlConfig(), robots_files: DataFrame | None = None, known_bad: DataFrame | None = None, agent: str = "*", state: str | None = None) -> Crawl:
+    """Follows the links of ``pages`` (url, html and, where known, status) from ``seeds`` (url) by the rules of ``config`` to the fixpoint.
+
+    Of pages with one canonical URL the least counts. Seeds are exempt from the rules. Pages with an HTTP status that
+    says so join the known-bad list. ``maxfiles`` (below 0: no limit) takes the first URLs by generation, priority and URL; ``timelimit`` seconds
+    after its begin a crawl starts no further generation. With ``state``, a folder, every generation stays there, and a call with
+    the same folder goes on after the last whole one.
+    """
+    begun, kept = time.monotonic(), _State(pages.sparkSession, state)
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    named = urls.parsed(pages.select("url", "html", status.cast("int").alias("status")), F.col("url"), "p").withColumn("full_url", urls.full_url(F.col("p")))
+    site = named.groupBy("full_url").agg(F.min(F.struct("url", "html", "status")).alias("x")).select(F.col("full_url").alias("url"), "x.html", "x.status")
+    site = durable(site.where(F.col("html").isNotNull()))
+    size = F.octet_length("html")
+    facts = durable(site.select("url", size.alias("n_bytes"), rules.size_allowed(size, config.maxfilesize).alias("fits"), rules.word_filter(F.col("html"), config.wordfilter).alias("worded"), rules.error_action(F.col("status"))[1].alias("action")))
+    bad = facts.where("action = 'add_to_filter'").select("url")
+    known_bad = bad if known_bad is None else bad.unionByName(known_bad.select("url"))
+    edges = site.where(rules.size_allowed(size, config.maxfilesize)).drop("status")
+    edges = durable(resolved_links(page_links(edges, config)))
+
+    frontiers, judgements = kept.all("frontier"), kept.all("verdicts")
+    if not frontiers:
+        first = urls.parsed(seeds.select(urls.fix_seed(F.col("url")).alias("url")), F.col("url"), "p").withColumn("full_url", urls.full_url(F.col("p")))
+        first = first.groupBy("full_url").agg(F.min(F.struct(F.col("p.domain").alias("d"), urls.url_directory(F.col("p")).alias("t"), F.col("p.filename").alias("f"))).alias("s"))
+        first = first.select(F.col("full_url").alias("url"), F.lit(0).alias("generation"), F.lit(0).alias("priority"), F.lit(None).cast("string").alias("parent_url"), F.lit("generic").alias("link_type"), F.col("s.f").alias("filename"), F.col("full_url").alias("start_url"), F.col("s.d").alias("start_domain"), F.col("s.t").alias("start_directory"))
+        frontiers = [kept.put("frontier", 0, first)]
+    generation = len(frontiers) - 1
+    servers = directories = None
+    count = sum(f.count() for f in frontiers)
+    while (config.maxfiles < 0 or count < config.maxfiles) and (config.timelimit < 0 or time.monotonic() - begun < config.timelimit) and frontiers[-1].take(1):
+        generation += 1
+        last = frontiers[-1].select("url", F.col("generation").alias("from"), "start_url", "start_domain", "start_directory")
+        judged = judged_links(edges.join(last, "url"), config, robots_files, known_bad, agent)
+        if config.maxextservers:
+            judged, servers = _limited(judged, F.col("u.domain"), ~F.col("same"), config.maxextservers, servers, "ext_servers")
+        if config.maxextdirs:
+            beside = F.col("same") & ~urls.url_directory(F.col("u")).startswith(F.col("start_directory"))
+            judged, directories = _limited(judged, urls.url_directory(F.col("u")), beside, config.maxextdirs, directories, "ext_dirs")
+        u = F.col("u")
+        kind = urls.kind(u["filename"], F.col("link_type"))
+        judged = judged.select(F.lit(generation).alias("generation"), F.col("url").alias("page_url"), "ordinal", "link_type", "link", u["full_url"].alias("url"), u["filename"].alias("filename"), fr.priority(F.col("from"), kind == "webpage", urls.extension(u["filename"]), u["domain"], config.urlpriority, config.serverpriority).alias("priority"), "reject_reason", "start_url", "start_domain", "start_directory")
+        judged = kept.put("verdicts", generation, judged)
+        judgements.append(judged)
+        best = F.min(F.struct("priority", "page_url", "ordinal", "link_type", "filename", "start_url", "start_domain", "start_directory")).alias("x")
+        fresh = judged.where("reject_reason is null").groupBy("url").agg(best)
+        known = reduce(DataFrame.unionByName, [f.select("url") for f in frontiers])
+        fresh = fresh.join(known, "url", "left_anti").select("url", F.lit(generation).alias("generation"), "x.priority", F.col("x.page_url").alias("parent_url"), "x.link_type", "x.filename", "x.start_url", "x.start_domain", "x.start_directory")
+        frontiers.append(kept.put("frontier", generation, fresh))
+        count += frontiers[-1].count()
+
+    ledger = reduce(DataFrame.unionByName, frontiers)
+    if 0 <= config.maxfiles < count:
+        ledger = fr.max_files(ledger, ["generation", "priority", "url"], config.maxfiles)
+    ledger = ledger.join(facts, "url", "left")
+    kind = urls.kind(F.col("filename"), F.col("link_type"))
+    fetched = F.coalesce("fits", F.lit(False))
+    wanted = rules.type_allowed(kind, html=config.html, images=config.images) & ((F.col("generation") == 0) | ~F.coalesce("worded", F.lit(False)))
+    saved = fetched & wanted & F.lit(not config.simulate)
+    ledger = ledger.select("url", "generation", "priority", "parent_url", "start_url", "link_type", kind.alias("kind"), fetched.alias("fetched"), saved.alias("saved"), "n_bytes")
+    columns = "generation bigint, page_url string, ordinal int, link_type string, link string, url string, reject_reason string"
+    none = pages.sparkSession.createDataFrame([], columns)
+    return Crawl(ledger, reduce(DataFrame.unionByName, [j.select(*none.columns) for j in judgements], none))
+
+
+def localised(pages: DataFrame, saved: DataFrame, config: CrawlConfig = CrawlConfig(), renamed: DataFrame | None = None, root: str = "") -> DataFrame:
+    """``pages`` (url, html) whose links point to the files of saved URLs (``saved``: url), or else to absolute URLs.
+
+    Mode 0 leaves html as it is, mode 1 names files by ``file://`` under ``root``, mode 2 relative to the page's own file.
+    ``renamed`` (old, new) overrides file names; forms and queries of scripts are left alone, anchors keep their fragment.
+    """
+    if not config.localise:
+        return pages
+    found = resolved_links(page_links(pages.select("url", "html"))).where(~F.col("cgi"))
+    known = saved.select(F.col("url").alias("_u")).distinct().withColumn("_saved", F.lit(True))
+    joined = found.join(known, F.col("u.full_url") == F.col("_u"), "left").withColumn("_file", F.col("u.full_filename"))
+    if renamed is not None:
+        joined = joined.join(renamed.select(F.col("old").alias("_old"), F.col("new").alias("_new")), F.col("_file") == F.col("_old"), "left").withColumn("_file", F.coalesce("_new", "_file"))
+    own = urls.parsed(joined, F.col("url"), "_p").withColumn("_own", urls.full_filename(F.col("_p")))
+    local = F.concat(F.lit(f"file://{root}/"), F.col("_file")) if config.localise == 1 else urls.relative_filename(F.col("_file"), F.col("_own"))
+    target = F.concat(F.when(F.col("_saved"), local).otherwise(F.col("u.full_url")), F.col("u.anchor"))
+    children = own.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.col("link").alias("original"), target.alias("replacement")))), lambda c: F.struct(c["original"].alias("original"), c["replacement"].alias("replacement"))).alias("_children"))
+    empty = F.array().cast("array<struct<original:string,replacement:string>>")
+    return pages.join(children, "url", "left").withColumn("html", reports.localise(F.col("html"), F.coalesce("_children", empty))).drop("_children")
+
+
+def file_parts(files: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:
+    """url, part, start, end: the byte ranges in which files (url, n_bytes, accepts_ranges) are fetched; one where the server takes no ranges."""
+    n = F.when(F.col("accepts_ranges"), F.lit(config.numparts)).otherwise(1)
+    return files.where("n_bytes > 0").select("url", F.explode(cache.range_parts(F.col("n_bytes"), n)).alias("p")).select("url", "p.part", "p.start", "p.end")
+

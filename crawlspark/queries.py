@@ -1,7 +1,8 @@
 """Registered queries of the crawl library and their SQL.
 
-Facts that the test tables lack (frames, robots files, junk, redirects) come from small
-inline tables, given to both engines as the same VALUES.
+Facts that the test tables lack are given to both engines alike: golden cases (frames,
+junk, robots files) as the same VALUES, and over all pages by one expression that adds
+them to each page's html (``RICH``) or makes the pages a site of linked names (``SITE``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from .functions import links, urls
 from .operators import cache, dedupe, frontier, reports, robots, rules
 from .plans import crawl, stages
 from .sources import tables
+from .sources.config import CrawlConfig
+from .sources.scratch import durable
 from .streaming import frontier as streaming
 
 QUERIES: dict = {}
@@ -44,6 +47,32 @@ PARTS = r"""p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) ho
 HREFS = r"""a AS (SELECT page_id, host, scheme, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1)) href FROM pages JOIN p USING (page_id))"""
 
 
+# Both engines: pages with a script redirect, a refresh, a stylesheet, an image, a deep link, a link elsewhere, and tags in comments and scripts
+RICH = """concat('<!-- <a href="/hidden">x</a> --><script>var s = "<a href=/script>"; location.href = "', regexp_extract(html, '<a href="([^"]*)"', 1), '";</script><meta http-equiv="refresh" content="5; URL=next', page_id, '.html"><link rel="stylesheet" href="s.css"><img src="pic.png"><a href="sub/a/b/c/d/page.html">x</a><a href="http://far.example.org/x">y</a>', html)"""
+# Both engines: each page is named by its first link, so that the pages link to one another
+SITE = """concat('http://site.example.com', regexp_extract(html, '<a href="([^"]*)"', 1))"""
+# SQL: the directory of each page; the links of rich pages in order; what they resolve to
+DIRS = r"""h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) origin, list_filter(string_split(regexp_replace(regexp_replace(url, '/$', ''), '^[a-z]+://[^/?#]*', ''), '/'), lambda s: trim(s) <> '') q FROM pages),
+g AS (SELECT page_id, url, origin, regexp_extract(origin, '://(.*)$', 1) host, origin || '/' || array_to_string(list_transform(CASE WHEN len(q) > 0 AND (instr(q[-1], '.') = 0 OR (instr(q[-1], '.') > 1 AND instr(q[-1], '.') < length(q[-1]))) THEN q[:-2] ELSE q END, lambda s: s || '/'), '') dir FROM h)"""
+LINKS = r"""x AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) h FROM pages),
+l AS (SELECT page_id, list_concat([{'t': 'webpage', 'u': h[1]}, {'t': 'generic', 'u': 'next' || page_id || '.html'}, {'t': 'stylesheet', 'u': 's.css'}, {'t': 'generic', 'u': 'sub/a/b/c/d/page.html'}, {'t': 'generic', 'u': 'http://far.example.org/x'}],
+ list_transform(h, lambda v: {'t': CASE WHEN contains(v, '#') THEN 'anchor' ELSE 'generic' END, 'u': v}), [{'t': 'image', 'u': 'pic.png'}]) a FROM x),
+e AS (SELECT page_id, unnest(a) l, generate_subscripts(a, 1) o FROM l), d AS (SELECT page_id, l.t t, l.u u, min(o) o FROM e GROUP BY ALL),
+links AS (SELECT page_id, t, u, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 ordinal FROM d)"""
+RESOLVED = DIRS + ", " + LINKS + r""", c AS (SELECT links.*, g.* EXCLUDE (page_id), rtrim(replace(replace(replace(CASE WHEN t = 'anchor' THEN regexp_extract(u, '^[^#]*', 0) ELSE u END, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) k FROM links JOIN g USING (page_id)),
+n AS (SELECT *, CASE WHEN starts_with(k, '/') THEN substr(k, 2) END w FROM c),
+r AS (SELECT * EXCLUDE (k, w), CASE WHEN w IS NOT NULL THEN origin || '/' || w || CASE WHEN instr(w, '.') = 0 OR (instr(w, '.') > 1 AND instr(w, '.') < length(w)) THEN '' ELSE '/' END WHEN starts_with(k, 'http') THEN k ELSE dir || k END full_url FROM n)"""
+
+
+def _rich(spark, d):
+    return _t(spark, d, "pages").select("page_id", "url", F.expr(RICH).alias("html"))
+
+
+def _site(spark, d):
+    named = _t(spark, d, "pages").select("page_id", F.expr(SITE).alias("url"), "html")
+    return named.groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("x")).select("x.page_id", "url", "x.html")
+
+
 @query(rf"""WITH {PARTS}, {HREFS}, u AS (SELECT DISTINCT host, scheme, href FROM a)
 SELECT host, count(*) AS n_links, count(*) FILTER (starts_with(href, '/')) AS n_internal FROM u GROUP BY host""")
 def link_summary_by_host(spark, d):
@@ -70,6 +99,7 @@ def url_dirs_depth(spark, d):
     return _t(spark, d, "pages").select("page_id", urls.parse(F.col("url")).alias("u")).select("page_id", urls.url_directory(F.col("u")).alias("directory"), F.size("u.dirpath").alias("depth"), F.col("u.filename").alias("filename"))
 
 
+# Golden cases of URL resolution
 RESOLVE = """(0, 'http://www.yahoo.com/photos/my photo.gif', 'generic', ''), (3, '/sports/2003/jun/25beck1.htm', 'generic', 'http://www.rediff.com'), (5, 'http://www.python.org/doc/2.3b2/', 'generic', ''),
 (6, '//images.sourceforge.net/div.png', 'image', 'http://sourceforge.net'), (13, '#anchor', 'anchor', 'http://www.foo.com/bar/index.html'), (15, '../icons/up.png', 'image', 'http://www.python.org/doc/current/tut/node2.html'),
 (17, 'fileadmin/dz.gov.si/templates/../../../index.php', 'generic', 'http://www.dz-rs.si'), (19, 'http://arstechnica.com/reviews/os/macosx-10.4.ars', 'generic', ''), (20, 'http://www.fylkesmannen.no/../fmt_hoved.asp', 'generic', 'http://www.fylkesmannen.no/osloogakershu')"""
@@ -112,37 +142,70 @@ def title_extract(spark, d):
     return _t(spark, d, "pages").select("page_id", links.title(F.col("html")).alias("title"))
 
 
-HTML = """(1, '<a href="p.html#s">x</a><img src="i.png"><link rel="stylesheet" href="s.css"><a href="p.html#s">again</a>'), (2, '<meta http-equiv="refresh" content="5; URL=next.html"><meta name="robots" content="noindex,nofollow">'), (3, '<applet codebase="lib/" code="a.class"></applet><frame src="f.html">'), (4, '<script>location.href = "go.html"; window.location.replace("z.html"); location.replace("bad);</script>')"""
+# Golden pages
+HTML = """(1, '<a href="p.html#s">x</a><img src="i.png"><link rel="stylesheet" href="s.css"><a href="p.html#s">again</a>'), (2, '<meta http-equiv="refresh" content="5; URL=next.html"><meta name="robots" content="noindex,nofollow">'), (3, '<applet codebase="lib/" code="a.class"></applet><frame src="f.html">'), (4, '<script>location.href = "go.html"; window.location.replace("z.html"); location.replace("bad);</script>'), (5, '<!-- <a href="no.html"> --><script>x = "<img src=no.png>"</script><a href=bare.html><a href=\\'single.html\\'>')"""
 
 
-@query("SELECT * FROM (VALUES (1, 'anchor', 'p.html#s', 0), (1, 'webpage', 'p.html', 1), (1, 'image', 'i.png', 2), (1, 'stylesheet', 's.css', 3), (3, 'frame', 'f.html', 0)) t(id, type, url, ordinal)")
+@query("SELECT * FROM (VALUES (1, 'anchor', 'p.html#s', 0), (1, 'webpage', 'p.html', 1), (1, 'image', 'i.png', 2), (1, 'stylesheet', 's.css', 3), (3, 'frame', 'f.html', 0), (5, 'generic', 'bare.html', 0), (5, 'generic', 'single.html', 1)) t(id, type, url, ordinal)")
 def anchor_split(spark, d):
     return _values(spark, HTML, "id, html").select("id", F.posexplode(links.html_links(F.col("html"))).alias("ordinal", "l")).select("id", "l.type", "l.url", "ordinal")
 
 
-@query("SELECT * FROM (VALUES (2, 'next.html')) t(id, url)")
+@query(f"WITH {LINKS} SELECT page_id, ordinal, t AS link_type, u AS link FROM links")
+def page_link_union(spark, d):
+    return crawl.page_links(_rich(spark, d)).select("page_id", "ordinal", "link_type", "link")
+
+
+@query(f"WITH {RESOLVED} SELECT page_id, ordinal, full_url, NOT starts_with(u, 'http') AS is_rel FROM r")
+def page_links_resolved(spark, d):
+    return crawl.resolved_links(crawl.page_links(_rich(spark, d))).select("page_id", "ordinal", "u.full_url", "u.is_rel")
+
+
+@query(rf"""WITH {DIRS} SELECT page_id, origin || '/b/c/s.css' AS full_url FROM g""")
+def base_href_applied(spark, d):
+    based = _t(spark, d, "pages").withColumn("html", F.lit('<html><base href="/b/c/x.html"><link rel=stylesheet href=s.css>')).select("page_id", "url", "html")
+    return crawl.resolved_links(crawl.page_links(based)).select("page_id", "u.full_url")
+
+
+@query("SELECT page_id, 'next' || page_id || '.html' AS url FROM pages")
 def meta_refresh(spark, d):
-    return _values(spark, HTML, "id, html").select("id", links.meta_refresh(F.col("html")).alias("url")).where("url is not null")
+    return _rich(spark, d).select("page_id", links.meta_refresh(F.col("html")).alias("url"))
 
 
-@query("SELECT * FROM (VALUES (1, false, false), (2, true, true), (3, false, false), (4, false, false)) t(id, nofollow, noindex)")
+@query("SELECT page_id, contains(url, '/en/') AS nofollow, NOT contains(url, '/en/') AS noindex FROM pages")
 def meta_robots(spark, d):
-    return _values(spark, HTML, "id, html").select("id", links.meta_robots(F.col("html")).alias("m")).select("id", "m.nofollow", "m.noindex")
+    says = F.when(F.col("url").contains("/en/"), "nofollow").otherwise("noindex")
+    tagged = F.concat(F.lit('<meta name="robots" content="'), says, F.lit('">'), F.col("html"))
+    return _t(spark, d, "pages").select("page_id", links.meta_robots(tagged).alias("m")).select("page_id", "m.nofollow", "m.noindex")
 
 
-@query("SELECT * FROM (VALUES (4, 'go.html'), (4, 'z.html')) t(id, url)")
+@query("""SELECT page_id, regexp_extract(html, '<a href="([^"]*)"', 1) AS url FROM pages""")
 def js_redirects(spark, d):
+    return _rich(spark, d).select("page_id", F.explode(links.js_redirects(F.col("html"))).alias("url"))
+
+
+@query("SELECT * FROM (VALUES (4, 'go.html'), (4, 'z.html')) t(id, url)")
+def js_redirect_cases(spark, d):
     return _values(spark, HTML, "id, html").select("id", F.explode(links.js_redirects(F.col("html"))).alias("url"))
 
 
-@query("SELECT * FROM (VALUES (3, 'lib/a.class')) t(id, url)")
+@query("SELECT page_id, 'lib/p' || page_id || '.class' AS url FROM pages")
 def applet_links(spark, d):
-    return _values(spark, HTML, "id, html").select("id", F.explode(links.applet_links(F.col("html"))).alias("url"))
+    tagged = F.concat(F.lit('<applet codebase="lib/" code="p'), F.col("page_id").cast("string"), F.lit('.class"></applet>'), F.col("html"))
+    return _t(spark, d, "pages").select("page_id", F.explode(links.applet_links(tagged)).alias("url"))
 
 
-@query("SELECT * FROM (VALUES ('a.css'), ('b.css'), ('b.css'), ('i.png')) t(url)")
+@query("SELECT page_id, unnest(['a' || page_id || '.css', 'b.css', 'b.css', 'i.png']) AS url FROM pages")
 def css_urls(spark, d):
-    return _values(spark, """('@import "a.css"; @import url(b.css); p{background:url(i.png)}')""", "css").select(F.explode(links.css_urls(F.col("css"))).alias("url"))
+    css = F.concat(F.lit('@import "a'), F.col("page_id").cast("string"), F.lit('.css"; @import url(b.css); p{background:url(i.png)}'))
+    return _t(spark, d, "pages").select("page_id", F.explode(links.css_urls(css)).alias("url"))
+
+
+@query(f"""WITH {LINKS}, k AS (SELECT page_id AS source, CASE WHEN t = 'stylesheet' THEN 'style' ELSE 'page' END context, u, min(ordinal) o FROM links GROUP BY ALL)
+SELECT source, context, count(*) AS n, string_agg(u, ' ' ORDER BY o) AS children FROM k GROUP BY source, context""")
+def link_collections(spark, d):
+    found = crawl.page_links(_rich(spark, d)).select(F.col("page_id").alias("source"), F.lit("webpage").alias("source_type"), F.col("link_type").alias("type"), F.col("link").alias("child"), "ordinal")
+    return reports.collections(found).withColumn("children", F.array_join("children", " "))
 
 
 CONTEXTS = "(1, 'webpage', 'stylesheet'), (2, 'stylesheet', 'stylesheet'), (3, 'webpage', 'image'), (4, 'stylesheet', 'image'), (5, 'webpage', 'frame')"
@@ -159,6 +222,7 @@ def url_filter_truth(spark, d):
     return _t(spark, d, "pages").select("page_id", rules.url_filter_blocks(u, "+example-/en/").alias("include_only"), rules.url_filter_blocks(u, "-/en/").alias("exclude_only"))
 
 
+# Golden cases of the junk filter
 JUNK = "(1, 'http://a.tribalfusion.com/images/1.gif', 'domain'), (2, 'http://stats.webtrendslive.com/cgi-bin/stats.pl', 'domain'), (3, 'http://stats.cyberclick.net/cgi-bin/stats.pl', 'base-domain'), (4, 'http://m.doubleclick.net/images/anim.gif', 'base-domain'), (5, 'http://www.foo.com/popupads/ad.gif', 'pattern'), (6, 'http://www.foo.com/htmlad/1.html', 'pattern'), (7, 'http://www.foo.com/logos/nbclogo.gif', 'pattern'), (8, 'http://www.foo.com/bar/siteads/1.ad', 'pattern'), (9, 'http://www.foo.com/banners/world-banners/banner.gif', 'pattern'), (10, 'http://ads.foo.com/', 'pattern'), (11, 'http://www.foo.com/doc/logo.gif', ''), (12, 'http://www.foo.org/bar/vodka/pattern.html', '')"
 
 
@@ -168,6 +232,7 @@ def junk_filter(spark, d):
     return v.select("id", rules.junk_reason(F.col("url"), F.col("p.domain"), urls.base_domain(F.col("p.domain"))).alias("reason"))
 
 
+# Golden cases of robots exclusion
 ROBOTS = r"""(1, '', 401, 'x', '/x/', false), (2, '', 404, 'x', '/x/', true), (3, 'User-agent: *\nDisallow: /search', 200, 'spam', '/search', false), (4, 'User-agent: *\nDisallow: /search', 200, 'spam', '/Musician/me', true), (5, 'User-agent: CherryPickerSE\nDisallow: /', 200, 'CherryPickerSE/1.0', '/cgi-bin/event-search', false), (6, 'User-agent: ExtractorPro\nDisallow: /', 200, 'extractorpro', '/blubba', false), (7, 'User-agent: *\nAllow: /a/b\nDisallow: /a', 200, 'x', '/a/b', true), (8, 'User-agent: foo\nDisallow: /', 200, 'bar', '/', true), (9, 'User-agent: *\nDisallow: /p # note', 200, 'x', '/p', false), (10, 'User-agent: *\nDisallow:', 200, 'x', '/', true), (11, 'User-agent: *\nAllow: /', 200, 'x', '/', true)"""
 
 
@@ -177,21 +242,27 @@ def robots_verdict(spark, d):
     return v.select("id", robots.allowed(robots.parse(F.col("txt")), F.col("status"), F.col("agent"), F.col("path")).alias("allowed"))
 
 
-SCOPE = "(1, true, true, 'image'), (2, false, true, 'generic'), (3, false, false, 'generic'), (4, false, false, 'image'), (5, false, false, 'stylesheet')"
+# SQL: every link with its page (the parent) and with the start of the page: the first page of its base domain
+SCOPE = RESOLVED + r""", b AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') bd FROM g), s AS (SELECT bd, min(page_id) page_id FROM b GROUP BY bd),
+st AS (SELECT s.bd, b.host s_host, b.dir s_dir FROM s JOIN b USING (page_id)), j AS (SELECT r.*, s_host, s_dir, regexp_replace(regexp_extract(full_url, '://([^/]*)', 1), '^www\.', '') u_host FROM r JOIN b USING (page_id) JOIN st USING (bd)),
+k AS (SELECT page_id, ordinal, t, starts_with(full_url, s_dir) under, u_host = regexp_replace(s_host, '^www\.', '') same, regexp_replace(host, '^www\.', '') = regexp_replace(s_host, '^www\.', '') parent_same, r_dir = s_dir in_start_dir FROM (SELECT *, dir r_dir FROM j))"""
 
 
 def _scope(level: int):
     def run(spark, d):
-        v = _values(spark, SCOPE, "id, under, same, typ")
-        yes = F.lit(True)
-        return v.select("id", rules.external(level, under_start=F.col("under"), same=F.col("same"), parent_same=yes, parent_in_start_dir=yes, typ=F.col("typ")).alias("is_external"))
+        found = crawl.resolved_links(crawl.page_links(_rich(spark, d))).withColumn("_base", urls.base_domain(F.col("page_domain")))
+        places = urls.parsed(_t(spark, d, "pages").select("page_id", "url"), F.col("url"), "p")
+        starts = places.groupBy(urls.base_domain(F.col("p.domain")).alias("_base")).agg(F.min(F.struct("page_id", F.col("p.domain").alias("d"), urls.url_directory(F.col("p")).alias("t"))).alias("s"))
+        placed = found.join(starts.select("_base", F.col("s.d").alias("start_domain"), F.col("s.t").alias("start_directory")), "_base")
+        judged = crawl.judged_links(placed, CrawlConfig.of(fetchlevel=level, junkfilter=False, depth=-1))
+        return judged.select("page_id", "ordinal", (F.col("reject_reason").eqNullSafe("external")).alias("is_external"))
 
     return run
 
 
-for _level, (_same, _other) in enumerate([("true", "true"), ("false", "true"), ("false", "false"), ("false", "false"), ("false", "false")]):
+for _level, (_same, _other) in enumerate([("true", "true"), ("false", "true"), ("false", "NOT parent_same"), ("NOT in_start_dir", "NOT parent_same"), ("false", "false")]):
     QUERIES[f"scope_fetchlevel_{_level}"] = _scope(_level)
-    ORACLE[f"scope_fetchlevel_{_level}"] = f"SELECT id, CASE WHEN under OR typ IN ('image', 'stylesheet') THEN false WHEN same THEN {_same} ELSE {_other} END AS is_external FROM (VALUES {SCOPE}) t(id, under, same, typ)"
+    ORACLE[f"scope_fetchlevel_{_level}"] = f"WITH {SCOPE} SELECT page_id, ordinal, CASE WHEN under OR t IN ('image', 'stylesheet') THEN false WHEN same THEN {_same} ELSE {_other} END AS is_external FROM k"
 
 
 @query(r"SELECT page_id, len(list_filter(string_split(regexp_replace(regexp_replace(url, '/$', ''), '^.*?://[^/]*', ''), '/'), lambda s: s <> '')) > 2 AS beyond FROM pages")
@@ -216,17 +287,36 @@ def word_filter_bool(spark, d):
     return _t(spark, d, "documents").select("doc_id", rules.boolean_word_filter(F.col("text"), "the & (idiot | !of)").alias("matched"))
 
 
-@query(r"""WITH x AS (SELECT unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1)) href, page_id FROM pages), y AS (SELECT DISTINCT page_id, href FROM x)
-SELECT CASE WHEN regexp_matches(href, '(?i)the') THEN 'url_filter' WHEN false THEN 'junk' ELSE 'accepted' END AS reason, count(*) AS n FROM y GROUP BY 1""")
+@query(rf"""WITH {RESOLVED} SELECT CASE WHEN ends_with(full_url, 'a') THEN 'known_bad' WHEN regexp_matches(full_url, '(?i)the') THEN 'url_filter' WHEN regexp_matches(full_url, 'spam-farm|/on$') THEN 'junk'
+ WHEN t NOT IN ('image', 'stylesheet') AND starts_with(full_url, 'http://far.') AND host <> 'far.example.org' THEN 'external' WHEN regexp_matches(full_url, '^[a-z]+://[^/]*example\.net/t') THEN 'robots' WHEN contains(full_url, '/sub/a/b/c/d/') THEN 'depth' ELSE 'accepted' END AS reason, count(*) AS n FROM r GROUP BY 1""")
 def reject_funnel(spark, d):
-    from .sources.config import CrawlConfig
-
-    found = crawl.page_links(_t(spark, d, "pages")).where("link_type = 'generic'").select("page_id", "page_url", "link_type", "link").distinct()
-    path_only = crawl.resolved_links(found).withColumn("u", F.col("u").withField("full_url", F.col("link")))
-    judged = crawl.judged_links(path_only, CrawlConfig.of(fetchlevel=4, urlfilter="-the", junkfilter=False, depth=-1))
+    found = crawl.resolved_links(crawl.page_links(_rich(spark, d)))
+    hosts = urls.parsed(_t(spark, d, "pages").select("url"), F.col("url"), "p").select(F.col("p.domain").alias("host")).distinct()
+    files = hosts.where("host like '%example.net'").select("host", F.lit("User-agent: *\nDisallow: /t").alias("robots_txt"), F.lit(200).alias("http_status"))
+    bad = found.select(F.col("u.full_url").alias("url")).where(F.col("url").endswith("a"))
+    judged = crawl.judged_links(found, CrawlConfig.of(fetchlevel=1, urlfilter="-the", depth=4), files, bad, junk_lists=(("nowhere.example",), ("spam-farm", "/on$")))
     return judged.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# SQL: the site's pages by name, and its links as far as the rules of the crawl allow
+SITE_SQL = rf"""n AS (SELECT {SITE} url, min(page_id) page_id FROM pages GROUP BY 1), x AS (SELECT n.url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) h FROM n JOIN pages USING (page_id)),
+k AS (SELECT url, rtrim(replace(replace(replace(regexp_extract(h, '^[^#]*', 0), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) w FROM x),
+e AS (SELECT url, 'http://site.example.com' || w || CASE WHEN instr(substr(w, 2), '.') = 0 OR (instr(substr(w, 2), '.') > 1 AND instr(substr(w, 2), '.') < length(w) - 1) THEN '' ELSE '/' END dst FROM k),
+p AS (SELECT *, regexp_extract(rtrim(replace(replace(replace(url, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '[^/]*$', 0) f FROM n), c AS (SELECT url, 'http://site.example.com/' || f || CASE WHEN instr(f, '.') = 0 OR (instr(f, '.') > 1 AND instr(f, '.') < length(f)) THEN '' ELSE '/' END src FROM p),
+a AS (SELECT DISTINCT src, dst FROM e JOIN c USING (url) WHERE NOT regexp_matches(dst, '(?i)ment')), s AS (SELECT src FROM c JOIN n USING (url) ORDER BY page_id LIMIT 1)"""
+
+
+def _crawled(spark, d):
+    site = _site(spark, d)
+    seeds = site.orderBy("page_id").limit(1).select("url")
+    return crawl.crawl(site.select("url", "html"), seeds, CrawlConfig.of(fetchlevel=0, urlfilter="-ment", junkfilter=False, maxfiles=-1))
+
+
+@query(f"WITH RECURSIVE {SITE_SQL}, r AS (SELECT src url, 0 AS generation FROM s UNION SELECT dst, generation + 1 FROM r JOIN a ON src = r.url WHERE generation < 40) SELECT url, min(generation) AS generation, coalesce(bool_or(src IS NOT NULL), false) AS fetched FROM r LEFT JOIN (SELECT DISTINCT src FROM c) ON src = url GROUP BY url")
+def crawl_fixpoint(spark, d):
+    return _crawled(spark, d).ledger.select("url", "generation", "fetched")
+
+
 @query("WITH h AS (SELECT doc_id, source, text FROM documents), f AS (SELECT text, min(doc_id) o, arg_min(source, doc_id) s FROM h GROUP BY text) SELECT doc_id, doc_id > o AND h.source IS NOT DISTINCT FROM f.s AS is_dup FROM h JOIN f USING (text)")
 def content_dup_same_domain(spark, d):
     return dedupe.content_duplicates(_t(spark, d, "documents").select("doc_id", "source", "text"), "text", "source", "doc_id").select("doc_id", "is_dup")
@@ -238,9 +328,9 @@ def url_dedupe(spark, d):
     return dedupe.distinct_urls(p).groupBy("host").agg(F.count(F.lit(1)).alias("n_urls"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def seen_anti(spark, d):
-    return dedupe.unseen(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return dedupe.unseen(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -259,16 +349,12 @@ def frontier_topk(spark, d):
     return frontier.max_files(_t(spark, d, "pages").select("page_id", F.length("url").alias("priority")), ["priority", "page_id"], 20)
 
 
-BFS_SQL = """WITH RECURSIVE e AS (SELECT o_custkey src, o_custkey + 7 dst FROM orders WHERE o_custkey % 3 = 1 UNION SELECT o_custkey, o_custkey - 2 FROM orders WHERE o_custkey % 3 = 2 UNION SELECT o_custkey, o_custkey + 1 FROM orders WHERE o_custkey % 3 = 0),
-r AS (SELECT 1::BIGINT AS node, 0 AS generation UNION SELECT dst, generation + 1 FROM r JOIN e ON src = node WHERE generation < 12) SELECT node, min(generation) AS generation FROM r GROUP BY node"""
-
-
-@query(BFS_SQL)
+@query(f"WITH RECURSIVE {SITE_SQL}, r AS (SELECT src node, 0 AS generation FROM s UNION SELECT dst, generation + 1 FROM r JOIN a ON src = node WHERE generation < 40) SELECT node, min(generation) AS generation FROM r GROUP BY node")
 def bfs_levels(spark, d):
-    o = _t(spark, d, "orders").select("o_custkey")
-    step = lambda r, n: o.where(f"o_custkey % 3 = {r}").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + n).alias("dst"))
-    edges = step(1, 7).unionByName(step(2, -2)).unionByName(step(0, 1)).distinct()
-    return frontier.bfs(spark.range(1, 2).select(F.col("id").alias("node")), edges, 12)
+    found = urls.parsed(crawl.resolved_links(crawl.page_links(_site(spark, d))), F.col("url"), "p")
+    edges = durable(found.select(urls.full_url(F.col("p")).alias("src"), F.col("u.full_url").alias("dst")).where("dst not rlike '(?i)ment'").distinct())
+    first = urls.parsed(_site(spark, d), F.col("url"), "p").orderBy("page_id").limit(1).select(urls.full_url(F.col("p")).alias("node"))
+    return frontier.bfs(first, edges)
 
 
 @query(rf"WITH {PARTS}, {HREFS}, o AS (SELECT host url, count(*) n_out FROM a GROUP BY host), i AS (SELECT href url, count(*) n_in FROM a GROUP BY href) SELECT url, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM o FULL JOIN i USING (url)")
@@ -277,12 +363,14 @@ def link_in_out_degree(spark, d):
     return reports.link_degrees(found)
 
 
-@query("""WITH n AS (SELECT o_orderkey k, o_orderstatus b, o_orderdate m FROM orders WHERE o_orderkey % 2 = 0), c AS (SELECT o_orderkey k, sha1(o_orderstatus) s, o_orderdate + INTERVAL 1 DAY m2 FROM orders WHERE o_orderkey % 3 = 0)
-SELECT k AS url, CASE WHEN s IS NULL THEN 'written' ELSE 'up_to_date' END AS outcome FROM n LEFT JOIN c USING (k)""")
+@query("""WITH n AS (SELECT o_orderkey k, CASE WHEN o_orderpriority LIKE '1%' THEN 304 ELSE 200 END status, CASE WHEN o_orderpriority LIKE '2%' THEN '' WHEN o_orderpriority NOT LIKE '1%' THEN o_orderstatus END b, o_orderdate m FROM orders),
+c AS (SELECT o_orderkey k, CASE WHEN o_orderstatus = 'F' THEN sha1('F') ELSE sha1('other') END s, CASE WHEN o_totalprice > 200000 THEN o_orderdate ELSE o_orderdate - INTERVAL 1 DAY END m2, CASE WHEN o_totalprice < 150000 THEN 'kept' END data FROM orders WHERE o_totalprice > 50000)
+SELECT k AS url, CASE WHEN status = 304 OR coalesce(m2 >= m, false) OR coalesce(s = sha1(b), false) THEN CASE WHEN data IS NOT NULL AND b IS NULL THEN 'restored' ELSE 'up_to_date' END WHEN coalesce(length(b), 0) = 0 THEN CASE WHEN data IS NOT NULL THEN 'restored' ELSE 'empty' END ELSE 'written' END AS outcome FROM n LEFT JOIN c USING (k)""")
 def cache_freshness(spark, d):
     o = _t(spark, d, "orders")
-    fetched = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("url"), F.lit(200).alias("status"), F.col("o_orderdate").alias("modified"), F.col("o_orderstatus").alias("body"))
-    cached = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("url"), F.sha1("o_orderstatus").alias("cached_sha"), F.expr("o_orderdate + INTERVAL 1 DAY").alias("cached_modified"), F.lit(None).cast("string").alias("cached_data"))
+    first, body = F.col("o_orderpriority"), F.col("o_orderstatus")
+    fetched = o.select(F.col("o_orderkey").alias("url"), F.when(first.startswith("1"), 304).otherwise(200).alias("status"), F.col("o_orderdate").alias("modified"), F.when(first.startswith("2"), "").when(~first.startswith("1"), body).alias("body"))
+    cached = o.where("o_totalprice > 50000").select(F.col("o_orderkey").alias("url"), F.when(body == "F", F.sha1(F.lit("F"))).otherwise(F.sha1(F.lit("other"))).alias("cached_sha"), F.when(F.col("o_totalprice") > 200000, F.col("o_orderdate")).otherwise(F.expr("o_orderdate - INTERVAL 1 DAY")).alias("cached_modified"), F.when(F.col("o_totalprice") < 150000, "kept").alias("cached_data"))
     return cache.freshness(fetched, cached, ["url"]).select("url", "outcome")
 
 
@@ -292,11 +380,46 @@ def cache_upsert(spark, d):
     return cache.upsert(o, o.where("url % 5 = 0").withColumn("checksum", F.col("checksum") * 2), ["url"])
 
 
-@query("SELECT user_id AS url FROM events GROUP BY user_id HAVING bool_or(event_type = 'error') AND NOT bool_or(event_type = 'purchase') AND NOT bool_or(event_type = 'error' AND value > 90) AND user_id <> 0")
+# Both engines: a fetch log, one fetch per line item
+LOG = "l_orderkey AS url, l_returnflag = 'A' AS ok, l_returnflag <> 'A' AND l_quantity > 48 AS fatal, l_suppkey = 1 AS seed"
+
+
+@query(f"WITH l AS (SELECT {LOG} FROM lineitem) SELECT url FROM l GROUP BY url HAVING bool_or(NOT ok) AND NOT bool_or(ok) AND NOT bool_or(fatal) AND NOT bool_or(seed)")
 def retry_set(spark, d):
-    e = _t(spark, d, "events")
-    log = e.select(F.col("user_id").alias("url"), F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False).alias("ok"), ((F.col("event_type") == "error") & (F.col("value") > 90)).alias("fatal"), (F.col("user_id") == 0).alias("seed"))
-    return cache.retry_set(log.where("ok is not null"), "url")
+    return cache.retry_set(_t(spark, d, "lineitem").selectExpr(*LOG.split(", ")), "url")
+
+
+@query(f"WITH l AS (SELECT {LOG} FROM lineitem) SELECT url FROM l GROUP BY url HAVING bool_or(NOT ok) AND bool_or(ok)")
+def retried(spark, d):
+    return cache.retried(_t(spark, d, "lineitem").selectExpr(*LOG.split(", ")), "url")
+
+
+@query("SELECT bool_or(n.o_totalprice > 100000) AS updated FROM orders n")
+def cache_any_updated(spark, d):
+    old = _t(spark, d, "orders").select(F.col("o_orderkey").alias("url"), F.col("o_totalprice").alias("v"))
+    return cache.any_updated(old, old.withColumn("v", F.when(F.col("v") > 100000, -F.col("v")).otherwise(F.col("v"))), ["url"], "v")
+
+
+@query("SELECT o_orderkey AS url, o_orderpriority AS domain, o_orderpriority IN ('1-URGENT', '2-HIGH') AS accepts_ranges FROM orders")
+def range_support(spark, d):
+    files = _t(spark, d, "orders").select(F.col("o_orderkey").alias("url"), F.col("o_orderpriority").alias("domain"))
+    return cache.with_servers(files, _values(spark, "('1-URGENT', 'bytes'), ('2-HIGH', 'Bytes'), ('5-LOW', 'none')", "domain, accept_ranges"))
+
+
+@query("SELECT l_orderkey AS url, round(100 * sum(l_linenumber) / sum(l_linenumber + 10), 6) AS percent, round(sum(l_linenumber) / max(l_linenumber), 6) AS rate FROM lineitem GROUP BY l_orderkey")
+def part_totals(spark, d):
+    parts = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("url"), (F.col("l_linenumber") + 10).alias("n_bytes"), F.col("l_linenumber").alias("done_bytes"), F.col("l_linenumber").alias("seconds"))
+    return cache.part_totals(parts).select("url", F.round("percent", 6).alias("percent"), F.round("rate", 6).alias("rate"))
+
+
+@query("SELECT user_id AS fetcher, max(value) AS waited FROM events GROUP BY user_id ORDER BY max(value) DESC, user_id LIMIT 1")
+def longest_block(spark, d):
+    return reports.longest_block(_t(spark, d, "events").groupBy(F.col("user_id").alias("fetcher")).agg(F.max("value").alias("waited")))
+
+
+@query("WITH l AS (SELECT user_id AS project, max(ts) m FROM events GROUP BY user_id) SELECT project, m + INTERVAL 6 HOUR AS ended FROM l WHERE (SELECT max(ts) FROM events) - INTERVAL 6 HOUR > m")
+def project_timeout(spark, d):
+    return streaming.quiet(_t(spark, d, "events").withColumnRenamed("user_id", "project"), "6 HOUR")
 
 
 STATUSES = "(200), (304), (401), (404), (407), (500), (503), (504), (418)"
@@ -342,8 +465,15 @@ def range_reassemble(spark, d):
 @query(r"""WITH x AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1) h FROM pages), y AS (SELECT page_id, url, unnest(h) c, generate_subscripts(h, 1) o FROM x), z AS (SELECT page_id, any_value(url) url, c, min(o) o FROM y GROUP BY page_id, c)
 SELECT any_value(url) AS url, any_value(url) || string_agg(chr(10) || chr(9) || c, '' ORDER BY o) AS tree FROM z GROUP BY page_id""")
 def url_tree_text(spark, d):
-    found = _t(spark, d, "pages").select("url", F.posexplode(links.hrefs(F.col("html"))).alias("o", "c"))
-    return reports.url_tree(found, "url", "c", "o")
+    found = _t(spark, d, "pages").select("page_id", "url", F.posexplode(links.hrefs(F.col("html"))).alias("o", "c"))
+    return reports.url_tree(found, "url", "c", "o", key="page_id").select("url", "tree")
+
+
+@query(r"""WITH x AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1) h FROM pages), y AS (SELECT page_id, url, unnest(h) c, generate_subscripts(h, 1) o FROM x), z AS (SELECT page_id, any_value(url) url, c, min(o) o FROM y GROUP BY page_id, c)
+SELECT any_value(url) AS url, '<li>' || any_value(url) || '<ul>' || string_agg('<li>' || c || '</li>', '' ORDER BY o) || '</ul></li>' AS tree FROM z GROUP BY page_id""")
+def url_tree_html(spark, d):
+    found = _t(spark, d, "pages").select("page_id", "url", F.posexplode(links.hrefs(F.col("html"))).alias("o", "c"))
+    return reports.url_tree(found, "url", "c", "o", html=True, key="page_id").select("url", "tree")
 
 
 @query("SELECT 'url:' || source || ',files:' || count(*) || ',links:' || count(DISTINCT lang) AS line FROM documents GROUP BY source")
@@ -364,7 +494,12 @@ def inverted_index(spark, d):
 
 @query("WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x IN ('license', 'mit')) t FROM documents) SELECT doc_id, len(t)::BIGINT AS uses FROM t WHERE len(list_distinct(t)) = 2")
 def term_search(spark, d):
-    return reports.term_search(_t(spark, d, "documents"), "doc_id", "text", ["license", "mit"])
+    return reports.term_search(reports.postings(_t(spark, d, "documents"), "doc_id", "text"), "doc_id", ["license", "mit"])
+
+
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') a FROM documents), u AS (SELECT doc_id, unnest(a) term, generate_subscripts(a, 1) - 1 p FROM t) SELECT term, doc_id, count(*) AS uses, min(p) AS \"first\" FROM u WHERE term LIKE 'l%' GROUP BY ALL")
+def index_postings(spark, d):
+    return reports.postings(_t(spark, d, "documents"), "doc_id", "text").where("term like 'l%'")
 
 
 @query("""SELECT page_id, md5(CASE WHEN instr(html, 'href="/the"') > 0 THEN substr(html, 1, instr(html, 'href="/the"') - 1) || 'href="the.html"' || substr(html, instr(html, 'href="/the"') + 11) ELSE html END) AS html_md5 FROM pages""")
@@ -397,15 +532,21 @@ def fetch_sessions(spark, d):
 REDIRECTS = "('a', 'b'), ('b', 'c'), ('c', 'd'), ('x', 'y'), ('y', 'x'), ('s', 's')"
 
 
-@query("SELECT * FROM (VALUES ('a', 'd', 3, false), ('b', 'd', 2, false), ('c', 'd', 1, false), ('x', 'x', 2, true), ('y', 'y', 2, true), ('s', 's', 1, true)) t(url, target, hops, loop)")
+@query("SELECT * FROM (VALUES ('a', 'd', 3, false, false), ('b', 'd', 2, false, false), ('c', 'd', 1, false, false), ('x', 'x', 2, true, false), ('y', 'y', 2, true, false), ('s', 's', 1, true, false)) t(url, target, hops, loop, cut)")
 def redirect_chain(spark, d):
     return frontier.redirect_chains(_values(spark, REDIRECTS, "src, dst"))
 
 
-@query("SELECT page_id FROM pages WHERE page_id % 2 = 0 AND length(url) > 35")
+@query("WITH RECURSIVE e AS (SELECT o_orderkey s, min(o_custkey) d FROM orders GROUP BY 1), r AS (SELECT s url, d target, 1 hops, [s] path FROM e UNION ALL SELECT url, d, hops + 1, list_append(path, target) FROM r JOIN e ON e.s = target WHERE hops < 5 AND NOT list_contains(path, target)) SELECT url, arg_max(target, hops) AS target, max(hops) AS hops FROM r GROUP BY url")
+def redirect_orders(spark, d):
+    moved = _t(spark, d, "orders").groupBy(F.col("o_orderkey").alias("src")).agg(F.min("o_custkey").alias("dst"))
+    return frontier.redirect_chains(moved, 5).select("url", "target", "hops")
+
+
+@query("SELECT page_id FROM pages WHERE starts_with(url, 'https') AND length(url) > 35")
 def hooked_stage(spark, d):
     plan = stages.Plan([("scan", lambda df: df.select("page_id", "url")), ("keep", lambda df: df.where("length(url) > 20"))])
-    plan.before("keep", lambda df: df.where("page_id % 2 = 0")).replace("keep", lambda df: df.where("length(url) > 35")).after("keep", lambda out, given: out.select("page_id"))
+    plan.before("keep", lambda df: df.where("url like 'https%'")).replace("keep", lambda df: df.where("length(url) > 35")).after("keep", lambda out, given: out.select("page_id"))
     return plan.run(_t(spark, d, "pages"))
 
 

@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import json
 import xml.etree.ElementTree as ET
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 
 _WORDS = {"true": True, "yes": True, "on": True, "1": True, "false": False, "no": False, "off": False, "0": False}
 
 
 @dataclass(frozen=True)
 class CrawlConfig:
-    """Options that change results; names and defaults are the crawler's."""
+    """Options that change results; names and defaults are the crawler's. ``plans.crawl`` acts on every one of them."""
 
+    html: bool = True
+    images: bool = True
+    javascript: bool = True
+    javaapplet: bool = True
+    imagelinks: bool = True
+    stylesheetlinks: bool = True
+    offset_start: int = 0
+    offset_end: int = -1
     fetchlevel: int = 0
     extserverlinks: bool = False
     extpagelinks: bool = True
@@ -33,7 +41,7 @@ class CrawlConfig:
     junkfilter: bool = True
     querylinks: bool = False
     skipruletypes: tuple[str, ...] = ()
-    retries: int = 1
+    simulate: bool = False
     localise: int = 2
     numparts: int = 4
 
@@ -63,6 +71,14 @@ class CrawlConfig:
     def to_json(self) -> str:
         return json.dumps(asdict(self))
 
+    def browsing(self) -> CrawlConfig:
+        """The preset of a user who looks at one page with what it shows."""
+        return replace(self, depth=0, fetchlevel=2, skipruletypes=("image", "stylesheet"))
+
+    def simulated(self) -> CrawlConfig:
+        """The preset of a run that saves nothing."""
+        return replace(self, simulate=True)
+
 
 def _coerced(value: object, kind: type) -> object:
     if kind is tuple:

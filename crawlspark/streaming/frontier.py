@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,18 +21,32 @@ def dedupe(urls: DataFrame, key: str = "full_url", ts: str = "ts", delay: str =
     return urls.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def paced(urls: DataFrame, domain: str = "domain", per_batch: int = 5) -> DataFrame:
-    """(domain, full_url, turn): each domain's URLs numbered across batches, ``per_batch`` to a turn, so no domain takes more than its share of a turn."""
+def paced(urls: DataFrame, domain: str = "domain", per_batch: int = 5, delay: float = 1.0, idle: str = "1 hour") -> DataFrame:
+    """(domain, full_url, turn, due): each domain's URLs numbered across batches, ``per_batch`` to a turn, so no domain takes more than its share of a turn.
+
+    ``due`` is when a URL may be fetched, in seconds since the epoch: ``delay`` after the turn before it. A domain that is silent for ``idle`` is forgotten.
+    """
+    number, unit = idle.split()
+    forget = int(float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, free = state.get if state.exists else (0, 0.0)
+        now = time.time()
         for pdf in frames:
             pdf = pdf.sort_values("full_url")
-            yield pd.DataFrame({"domain": key[0], "full_url": pdf["full_url"].to_numpy(), "turn": (n + pd.RangeIndex(len(pdf)).to_numpy()) // per_batch})
+            turn = (n + pd.RangeIndex(len(pdf)).to_numpy()) // per_batch
+            begun = max(now, free)
+            due = begun + delay * (turn - n // per_batch)
+            yield pd.DataFrame({"domain": key[0], "full_url": pdf["full_url"].to_numpy(), "turn": turn, "due": due})
             n += len(pdf)
-        state.update((n,))
+            free = begun + delay * (n // per_batch - (n - len(pdf)) // per_batch)
+        state.update((n, free))
+        state.setTimeoutDuration(forget)
 
-    return urls.groupBy(domain).applyInPandasWithState(run, "domain string, full_url string, turn bigint", "n bigint", "append", GroupStateTimeout.NoTimeout)
+    return urls.groupBy(domain).applyInPandasWithState(run, "domain string, full_url string, turn bigint, due double", "n bigint, free double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def telemetry(events: DataFrame, width: str = "1 hour", slide: str | None = None, ts: str = "ts", delay: str | None = None) -> DataFrame:
@@ -47,3 +62,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", t
     if delay:
         events = events.withWatermark(ts, delay)
     return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events")).select(key, F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n_events")
+
+
+def quiet(events: DataFrame, limit: str = "30 minutes", key: str = "project", ts: str = "ts") -> DataFrame:
+    """(key, ended): projects whose last operation lies more than ``limit`` before the newest of all; they have timed out."""
+    last = events.groupBy(key).agg(F.max(ts).alias("last"))
+    newest = events.agg(F.max(ts).alias("now"))
+    return last.join(F.broadcast(newest)).where(F.expr(f"now - INTERVAL {limit} > last")).select(key, F.expr(f"last + INTERVAL {limit}").alias("ended"))
