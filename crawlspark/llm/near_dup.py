@@ -10,14 +10,17 @@ Documents with equal sets become one class first. In each bucket of several clas
 every class is compared with one centre; then, where a bucket still spans several
 components, with a centre drawn for that bucket. What still is apart is compared exactly:
 small buckets pair by pair; the classes of larger ones by prefix filtering, which needs
-no pair of a bucket to be formed. There the shingles of a class are put in order, rare
-ones first, and two sets can only be similar if they share one of the first ``n -
-ceil(0.8 n) + 1``, so classes meet at those shingles alone, if their sizes allow it. Only where very
-many classes have the same rare shingle do those outside the main component of it meet
-the others of a similar size, as hashed sets in pairs of blocks of bounded size. So no
-candidate pair of a bucket is left out unless both already are in one component, and no
-group is gathered in one task. A comparison computes the exact Jaccard similarity of the
-whole sets. Components grow by alternating large-star and small-star steps on written tables.
+no pair of a bucket to be formed. There the shingles of a class are put in one order, frequent
+ones (by a bounded sample) last, and two sets can only be similar if they share one of the
+first ``n - ceil(0.8 n) + 1``, so classes meet at those shingles alone, if their sizes allow
+it: pair by pair where few meet. Classes that meet in a crowd (texts around one common
+passage) are compared in their bucket, all outside its main component with those of a similar size, in
+pairs of blocks of bounded size; there sketches of one byte for each value of the signature
+go first, and sets are compared only if ``AGREE`` bytes agree (a similar pair has fewer with
+a probability of about 1e-7). So no candidate pair of a bucket is left out unless both
+already are in one component, and no group is gathered in one task. A comparison computes
+the exact Jaccard similarity of the whole sets. Components grow by alternating large-star and
+small-star steps on written tables.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing;
 a text with fewer words than a shingle is one shingle. A class is named by a number, not
@@ -43,6 +46,9 @@ BANDS = 2 * PERMUTATIONS // ROWS
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
 PAIRS = 16  # groups of up to so many classes are compared pair by pair
 BLOCK = 256  # classes on one side of a block of a larger group
+AGREE = 130  # so many of the 200 bytes of two sketches agree where sets are similar (160 are expected, 130 is over 5 standard deviations less)
+HELD = 8 << 20  # bytes of sets on one side of a block of pairs
+SAMPLE, FREQUENT = 2_000, 65_536  # sets that tell which shingles are frequent, and how many of these are told apart
 SIZES = 1.26  # sets of similar size are in one step of this factor or in neighbouring ones (it must exceed DEN / NUM)
 CHUNK = 4096  # shingles hashed at once
 
@@ -58,6 +64,7 @@ _A = (_RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).ast
 _B = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
 _BAND = _RNG.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _M = np.uint64(0x9E3779B97F4A7C15)
+_ORDER = np.arange(2 * PERMUTATIONS).reshape(2, PERMUTATIONS).T.reshape(-1)  # minimum and maximum of a permutation side by side
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -113,9 +120,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate((low, high))
 
 
-_ORDER = np.arange(2 * PERMUTATIONS).reshape(2, PERMUTATIONS).T.reshape(-1)  # minimum and maximum of a permutation side by side
-
-
 def bands(sig: np.ndarray) -> np.ndarray:
     rows = sig[_ORDER].astype(np.uint64).reshape(ROWS, BANDS).T  # a band holds values of ROWS different permutations
     return _mix((_mix(rows + _BAND) * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _M).view(np.int64)
@@ -146,14 +150,14 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _hashed(width: int):
-    """(rep, n, comp, text) -> (rep, n, comp, h): the hashed set in place of the text."""
+    """(rep, n, comp, k, text) -> (rep, n, comp, k, h, sketch): the hashed set, and one byte of each value of its signature, in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(sets)], ["rep", "n", "comp", "h"])
+                sets = [shingle_set(t.as_py(), width) for t in part.column(4)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], _lists([x.view(np.int64) for x in sets]), pa.array([signature(x).astype(np.uint8).tobytes() for x in sets], pa.binary())], ["rep", "n", "comp", "k", "h", "sketch"])
 
     return run
 
@@ -191,6 +195,21 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_compared(width), "a bigint, b bigint")
 
 
+def _similar_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, kind, a, b, h), sorted by key and kind: first the sets h of the classes a, then pairs -> the similar pairs."""
+    key, sets = None, {}
+    for batch in batches:
+        found = []
+        for i, (k, kind, a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
+            if k != key:
+                key, sets = k, {}
+            if kind == 0:
+                sets[a] = batch.column(4)[i].values.to_numpy(zero_copy_only=False).view(np.uint64).copy()
+            elif similar(sets[a], sets[b]):
+                found.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+
 class _Forest:
     """Union-find over the few members of two blocks."""
 
@@ -207,29 +226,31 @@ class _Forest:
         self.up[self.root(i)] = self.root(j)
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, side, rep, comp, hashed set), sorted by key -> links between members of different components."""
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, side, rep, n, comp, h, sketch), sorted by key -> links between members of different components of both sides."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        sets = [r[3] for r in rows]
-        forest, links = _Forest([r[2] for r in rows]), []
-        sides = [[i for i, r in enumerate(rows) if r[0] == side] for side in (1, 2)]
-        for i in sides[0]:
-            for j in sides[1]:
-                if rows[i][1] != rows[j][1] and forest.root(i) != forest.root(j) and similar(sets[i], sets[j]):
+        n, forest, links = np.array([r[2] for r in rows]), _Forest([r[3] for r in rows]), []
+        sketches = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), 2 * PERMUTATIONS)
+        side = np.array([r[0] for r in rows])
+        two = np.flatnonzero(side == 2)
+        for i in np.flatnonzero(side == 1):
+            fit = two[DEN * np.minimum(n[i], n[two]) >= NUM * np.maximum(n[i], n[two])]
+            for j in fit[(sketches[fit] == sketches[i]).sum(1) >= AGREE]:
+                if rows[i][1] != rows[j][1] and forest.root(i) != forest.root(j) and similar(rows[i][4], rows[j][4]):
                     forest.join(i, j)
                     links.append((rows[i][1], rows[j][1]))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     key, rows = None, []
     for batch in batches:
-        sets = (x.values.to_numpy(zero_copy_only=False).view(np.uint64).copy() for x in batch.column(4))
-        for k, *row, own in zip(*(c.to_pylist() for c in batch.columns[:4]), sets, strict=True):
+        sets = (x.values.to_numpy(zero_copy_only=False).view(np.uint64).copy() for x in batch.column(5))
+        for k, s, rep, n, comp, own, sketch in zip(*(c.to_pylist() for c in batch.columns[:5]), sets, batch.column(6).to_pylist(), strict=True):
             if k != key and rows:
                 yield solve(rows)
                 rows = []
             key = k
-            rows.append((*row, own))
+            rows.append((s, rep, n, comp, own, sketch))
     if rows:
         yield solve(rows)
 
@@ -305,12 +326,23 @@ def _rest(posts: DataFrame, held: DataFrame, width: int) -> DataFrame:
     sizes = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"))
     once = sizes.groupBy("k", "members").agg(F.min("bucket").alias("bucket"))  # buckets with the same members are one
     posts = durable(posts.join(once.select("bucket", "k"), "bucket").select(F.col("bucket").alias("g"), "k", "rep", "n", "comp"))
-    pairs = _small_pairs(posts.where(F.col("k") <= PAIRS))
-    loose = posts.where(F.col("k") > PAIRS).select("rep", "n", "comp").distinct()
-    sets = durable(loose.join(held, "rep").select("rep", "n", "comp", "text").mapInArrow(_hashed(width), "rep bigint, n bigint, comp bigint, h array<bigint>"))
-    met = durable(_prefixes(sets))
-    pairs = pairs.unionByName(_small_pairs(met.where(F.col("k") <= PAIRS))).distinct()
-    return _linked(pairs, held, width).unionByName(_blocks(met.where(F.col("k") > PAIRS), sets))
+    open_ = posts.groupBy("rep", "n", "comp").agg(F.max("k").alias("k")).join(held, "rep")
+    sets = durable(open_.select("rep", "n", "comp", "k", "text").mapInArrow(_hashed(width), "rep bigint, n bigint, comp bigint, k bigint, h array<bigint>, sketch binary"))
+    met = durable(_prefixes(sets.where(F.col("k") > PAIRS)))
+    pairs = _small_pairs(posts.where(F.col("k") <= PAIRS)).unionByName(_small_pairs(met.where(F.col("k") <= PAIRS)))
+    crowded = met.where(F.col("k") > PAIRS).select("rep").distinct()
+    return _verified(durable(pairs.distinct()), sets).unionByName(_blocks(posts.where(F.col("k") > PAIRS).join(crowded, "rep"), sets))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Both ends are dealt to blocks of HELD bytes of sets, so a set goes once to each pair of blocks that needs it and not once to each pair."""
+    parts = max(1, -(-8 * (sets.agg(F.sum("n")).first()[0] or 0) // HELD))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    keyed = pairs.select((block("a") * parts + block("b")).alias("key"), "a", "b")
+    needed = keyed.select("key", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    own = needed.join(sets.select("rep", "h"), "rep").select("key", F.lit(0).alias("kind"), F.col("rep").alias("a"), F.lit(0).cast("bigint").alias("b"), "h")
+    both = own.unionByName(keyed.select("key", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<bigint>").alias("h")))
+    return both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_similar_pairs, "a bigint, b bigint")
 
 
 def _small_pairs(members: DataFrame) -> DataFrame:
@@ -319,17 +351,40 @@ def _small_pairs(members: DataFrame) -> DataFrame:
     return members.withColumnRenamed("rep", "a").join(other, "g").where("a < b and comp <> c").where(FITS).select("a", "b").distinct()
 
 
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT shingles that most sets of a sample have, ordered, and how many sets have each."""
+    every = max(1, sets.count() // SAMPLE)
+    uses = sets.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    rows = uses.where("c > 1").orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
+    h, c = np.array([r["h"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def _leading(frequent: np.ndarray, counts: np.ndarray):
+    """(rep, n, comp, h) -> (g, rep, n, comp) for each shingle g that leads the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads = []
+            for x in batch.column(3):
+                h = x.values.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(frequent, h), max(0, frequent.size - 1))
+                c = np.where(frequent[at] == h, counts[at], 0) if frequent.size else np.zeros(h.size, np.int64)
+                leads.append(h[np.lexsort((h, c))[: h.size - (NUM * h.size + DEN - 1) // DEN + 1]])
+            owner = np.repeat(np.arange(batch.num_rows), [x.size for x in leads])
+            rest = [c.take(pa.array(owner)) for c in batch.columns[:3]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *leads])), *rest], ["g", "rep", "n", "comp"])
+
+    return run
+
+
 def _prefixes(sets: DataFrame) -> DataFrame:
     """g (a shingle), k (how many classes meet there), rep, n, comp: the shingles that lead a set, rare ones first, where others meet it.
 
-    Shingles of one class alone come first in every order, so they are only counted.
+    Any one order of the shingles serves; the sample that tells the frequent ones decides how few classes meet, not which links are found.
     """
-    uses = sets.select("rep", F.explode("h").alias("h"))
-    common = uses.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = uses.join(common, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))  # at most the class's own shingles
-    least = F.floor((F.lit(NUM) * F.col("n") + DEN - 1) / DEN)
-    lead = (F.col("n") - least + 1 - (F.col("n") - F.size("s"))).cast("int")
-    posts = sets.select("rep", "n", "comp").join(shared, "rep").where(lead > 0).select("rep", "n", "comp", F.explode(F.slice("s", F.lit(1), lead)).alias("x")).select(F.col("x.h").alias("g"), "rep", "n", "comp")
+    posts = durable(sets.select("rep", "n", "comp", "h").mapInArrow(_leading(*_frequent(sets)), "g bigint, rep bigint, n bigint, comp bigint"))
     many = posts.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("g", "k")
     return posts.join(many, "g")
 
@@ -337,17 +392,17 @@ def _prefixes(sets: DataFrame) -> DataFrame:
 def _blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of large groups: all outside a group's main component meet everyone of a similar size, in blocks of both sides."""
     main = large.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    sized = large.join(main, "g").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES))).cast("int"))
-    left = sized.where("comp <> main").select("g", "step", "rep", "comp")
-    right = sized.select("g", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "rep", "comp")
+    sized = durable(large.join(main, "g").select("g", "rep", "comp", "main", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZES))).cast("int").alias("step")))
+    left = sized.where("comp <> main").select("g", "step", "rep")
+    right = sized.select("g", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "rep")
     many = left.groupBy("g", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rows")).join(right.groupBy("g", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cols")), ["g", "step"])
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = left.join(many, ["g", "step"]).select("g", "step", block("rows").alias("i"), over("cols").alias("j"), F.lit(1).alias("side"), "rep", "comp")
-    two = right.join(many, ["g", "step"]).select("g", "step", over("rows").alias("i"), block("cols").alias("j"), F.lit(2).alias("side"), "rep", "comp")
-    spread = one.unionByName(two).select(F.concat_ws("/", "g", "step", "i", "j").alias("key"), "side", "rep", "comp")
-    spread = spread.join(sets.select("rep", "h"), "rep").select("key", "side", "rep", "comp", "h").repartition("key").sortWithinPartitions("key")
-    return spread.mapInArrow(_block_pairs, "a bigint, b bigint")
+    one = left.join(many, ["g", "step"]).select("g", "step", block("rows").alias("i"), over("cols").alias("j"), F.lit(1).alias("side"), "rep")
+    two = right.join(many, ["g", "step"]).select("g", "step", over("rows").alias("i"), block("cols").alias("j"), F.lit(2).alias("side"), "rep")
+    spread = one.unionByName(two).select(F.concat_ws("/", "g", "step", "i", "j").alias("key"), "side", "rep")
+    spread = spread.join(sets.select("rep", "n", "comp", "h", "sketch"), "rep").select("key", "side", "rep", "n", "comp", "h", "sketch").repartition("key").sortWithinPartitions("key")
+    return spread.mapInArrow(_block_links, "a bigint, b bigint")
 
 
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
