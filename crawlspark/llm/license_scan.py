@@ -10,7 +10,8 @@ about 1e-6. Only windows that hold some shingle of a template can meet in a band
 of one value, so others are not hashed. Every retrieved window is verified by exact containment of
 the template's shingles.
 
-Templates are broadcast with the task (a parameter of the call, at most ``TEMPLATES``
+The templates are notices by which a license is declared, common wordings, and whole
+texts of short licenses. They are broadcast with the task (a parameter of the call, at most ``TEMPLATES``
 of at most ``TEMPLATE_WORDS`` words). Words are lower-cased runs of letters, digits and
 bytes beyond ASCII.
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
 from .near_dup import _mix
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -97,7 +99,7 @@ def _wordings() -> dict[str, str]:
     return {f"{name}-wording-{i}": text for name, texts in found.items() for i, text in enumerate(texts, 1)}
 
 
-NOTICES |= _wordings()
+NOTICES |= _wordings() | {f"{name}-text": text for name, text in TEXTS.items()}
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
