@@ -9,7 +9,7 @@ network's ``least`` is ``und``. That threshold is the ``MISSED`` quantile of the
 documents that are labelled rightly, ``MOST`` at most.
 
 Training sample (the documented bound): about ``PER_LANGUAGE`` documents of each language,
-drawn by a hash of their id, and ``WINDOWS`` windows spread over the whole of each, whatever
+drawn by a hash of their id (rows that repeat an id count once), and ``WINDOWS`` windows spread over the whole of each, whatever
 the size of the corpus; more than ``MAX_LANGUAGES`` values of lang are refused. Prediction
 reads every byte of every text, in pieces of at most ``PIECE`` bytes that are run side by
 side: states start anew in each piece (which may begin inside a character), so a position
@@ -206,7 +206,9 @@ def fit(docs: DataFrame) -> GatedNetwork | None:
     drawn = labelled.where(hash01(F.col("doc_id")) < share[F.col("lang")] * float(1 << 60))
     width = F.greatest(F.lit(0), F.length("text") - WINDOW)
     windows = F.array(*[F.substring("text", F.floor(width * (i / max(1, WINDOWS - 1))).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS)])
-    sample = sorted((r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, *r["w"]) for r in drawn.select("lang", "doc_id", windows.alias("w")).orderBy(hash01(F.col("doc_id")), "w").limit(2 * PER_LANGUAGE * len(counts)).collect())
+    # rows of one id count once, so that the sample stays bounded whatever is repeated
+    once = drawn.select("lang", "doc_id", windows.alias("w")).groupBy("lang", "doc_id").agg(F.min("w").alias("w"))
+    sample = sorted((r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, *r["w"]) for r in once.collect())
     languages = sorted({r[0] for r in sample})
     if not languages:
         return None
