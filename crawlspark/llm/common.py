@@ -6,82 +6,22 @@ maximal run of anything else, in every operator of this subpackage.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, durable, keep, scratch, shared_dir  # noqa: F401  the operators take them from here
+
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]"
 
 #: Tables of at most so many rows and bytes may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
-#: Spark's own setting by which an execution deletes its shuffle files when it ends
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-_scopes: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; one of our own only in local mode (tests), deleted at the end."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="crawlspark-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends in files that outlive any executor.
-
-    The shuffle files of the writing are deleted as soon as it is done: nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/crawlspark/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    table_ = spark.read.schema(df.schema).parquet(path)
-    table_.stored_at = path
-    if _scopes:
-        _scopes[-1].append(table_)
-    return table_
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``durable`` whose every reader's result has been written by now."""
-    for t in tables:
-        for scope in _scopes:
-            scope[:] = [x for x in scope if x is not t]
-        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Deletes at its end every table that ``durable`` wrote inside it; what is to stay is written after it or outside."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        discard(*_scopes.pop())  # nothing else knows them
-
-
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` (cheap to read: durable or tiny) with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes as text.
 
