@@ -77,15 +77,17 @@ def all_links(html: Column, tags: dict[str, tuple[str, str]] = LINK_TAGS, images
     Without ``images`` links of type image go, and so do others whose extension is that of an image.
     """
     typed = lambda urls, t: F.transform(urls, lambda u: F.struct(F.lit(t).alias("type"), u.alias("url")))
-    refresh = F.when(meta_refresh(html).isNotNull(), typed(F.array(meta_refresh(html)), "generic")).otherwise(no_links())
-    found = html_links(html, tags) if javascript else F.filter(html_links(html, tags), lambda x: x["type"] != "javascript")
-    parts = [typed(js_redirects(html), "webpage"), refresh, F.filter(found, lambda x: ~x["type"].isin("image", "base"))]
-    if applets:
-        parts.append(typed(applet_links(html), "javaapplet"))
-    if images:
-        return F.array_distinct(F.concat(*parts, F.filter(found, lambda x: x["type"] == "image")))
-    pattern = r"(?i)(?:" + "|".join(e.replace(".", r"\.") for e in IMAGE_EXTENSIONS) + ")$"
-    return F.array_distinct(F.filter(F.concat(*parts), lambda x: ~x["url"].rlike(pattern)))
+    refresh = let(meta_refresh(html), lambda r: F.when(r.isNotNull(), typed(F.array(r), "generic")).otherwise(no_links()))
+    before, after = [typed(js_redirects(html), "webpage"), refresh], [typed(applet_links(html), "javaapplet")] if applets else []
+
+    def joined(found: Column) -> Column:
+        plain = F.concat(*before, F.filter(found, lambda x: ~x["type"].isin("image", "base", *(() if javascript else ("javascript",)))), *after)
+        if images:
+            return F.array_distinct(F.concat(plain, F.filter(found, lambda x: x["type"] == "image")))
+        pattern = r"(?i)(?:" + "|".join(e.replace(".", r"\.") for e in IMAGE_EXTENSIONS) + ")$"
+        return F.array_distinct(F.filter(plain, lambda x: ~x["url"].rlike(pattern)))
+
+    return let(html_links(html, tags), joined)
 
 
 def hrefs(html: Column) -> Column:

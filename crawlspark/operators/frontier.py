@@ -73,8 +73,7 @@ def redirect_chains(redirects: DataFrame, max_hops: int = 20) -> DataFrame:
         moved = at.join(step, F.col("target") == F.col("s"), "left")
         looped = F.coalesce(F.array_contains("path", F.col("target")), F.lit(False))
         last = F.col("s").isNull() | looped
-        ends = (last if hop < max_hops else F.lit(True)) & F.col("url").isNotNull()
-        end = moved.where(ends).select("url", "target", "hops", looped.alias("loop"), (~last).alias("cut"))
+        end = (moved.where(last) if hop < max_hops else moved).select("url", "target", "hops", looped.alias("loop"), (~last).alias("cut"))
         done = end if done is None else done.unionByName(end)
         if hop == max_hops:
             break

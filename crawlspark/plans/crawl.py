@@ -40,9 +40,10 @@ def page_links(pages: DataFrame, config: CrawlConfig | None = None, tags: dict[s
     if config is not None and (config.offset_start, config.offset_end) != (0, -1):
         stop = F.lit(config.offset_end) if config.offset_end >= 0 else F.size("_kept") + config.offset_end + 1
         staged = staged.withColumn("_kept", F.slice("_kept", F.lit(config.offset_start + 1), F.greatest(stop - config.offset_start, F.lit(0))))
-    based = urls.resolved(staged, F.col("_base"), F.lit("base"), F.col("url"), "_b")
-    folder = F.when(F.col("_base").endswith("/"), F.lit(f"/{urls.DEFAULT_FILE}")).otherwise("")  # a base that ends in / is a directory
-    based = based.withColumn("base_url", F.when(F.col("_base").isNotNull(), F.concat(F.rtrim(F.col("_b.full_url"), F.lit("/")), folder)).otherwise(F.col("url"))).drop("_b", "_base")
+    base = F.col("_base")
+    whole = F.when(base.rlike("^[a-zA-Z]+://"), base).otherwise(urls.resolve(base, F.lit("base"), F.col("url"))["full_url"])
+    folder = F.when(base.endswith("/"), F.lit(f"/{urls.DEFAULT_FILE}")).otherwise("")  # a base that ends in / is a directory
+    based = staged.withColumn("base_url", F.when(base.isNotNull(), F.concat(F.rtrim(whole, F.lit("/")), folder)).otherwise(F.col("url"))).drop("_base")
     found = based.select("*", F.posexplode("_kept").alias("ordinal", "_l")).drop("_kept")
     return found.withColumns({"link_type": F.col("_l.type"), "link": F.col("_l.url"), "cgi": urls.is_cgi(F.col("_l.url"), F.col("_l.type"))}).drop("_l")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import links, urls
+from .scratch import durable
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -51,17 +52,11 @@ def lines(spark: SparkSession, path: str) -> list[str]:
 def clash_free(df: DataFrame, folder: tuple[str, ...] = ("domain", "directory"), name: str = "filename", order: str = "url", slices: int = 64) -> DataFrame:
     """``df`` with ``saved_name``: the first row of a name in its folder, by ``order``, keeps it; later ones get .1, .2, ...
 
-    Names are numbered by slices of the order (cut at quantiles of the whole table), each from the count of the slices before, so a
-    name that a third of all rows bear is not sorted in one task.
+    Rows are dealt by ranges of (folder, name, order) and numbered in each range from the count of the ranges before, so a name that a
+    third of all rows bear is not sorted in one task.
     """
-    at = F.xxhash64(F.col(order)) if dict(df.dtypes)[order] == "string" else F.col(order)
-    if dict(df.dtypes)[order] == "string":
-        at = F.conv(F.hex(F.substring(F.encode(F.rpad(F.col(order), 64, " "), "UTF-8"), 1, 7)), 16, 10).cast("bigint")  # keeps the order
-    cuts = df.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    cut = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(at > c, 1).otherwise(0)) if cuts else F.lit(0)
     keys = [*folder, name]
-    sliced = df.withColumn("_slice", cut)
+    sliced = durable(df.repartitionByRange(slices, *keys, order).withColumn("_slice", F.spark_partition_id()))
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most ``slices`` rows
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"), "_before")

@@ -21,10 +21,11 @@ def dedupe(urls: DataFrame, key: str = "full_url", ts: str = "ts", delay: str =
     return urls.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def paced(urls: DataFrame, domain: str = "domain", per_batch: int = 5, delay: float = 1.0, idle: str = "1 hour") -> DataFrame:
+def paced(urls: DataFrame, domain: str = "domain", per_batch: int = 5, delay: float = 1.0, ts: str | None = None, idle: str = "1 hour") -> DataFrame:
     """(domain, full_url, turn, due): each domain's URLs numbered across batches, ``per_batch`` to a turn, so no domain takes more than its share of a turn.
 
-    ``due`` is when a URL may be fetched, in seconds since the epoch: ``delay`` after the turn before it. A domain that is silent for ``idle`` is forgotten.
+    ``due`` is when a URL may be fetched, in seconds since the epoch: ``delay`` after the turn before it. With an event time ``ts`` a
+    domain that is silent for ``idle`` is forgotten, and time is that of the events; without one its count stays, and time is the clock's.
     """
     number, unit = idle.split()
     forget = int(float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000)
@@ -34,19 +35,21 @@ def paced(urls: DataFrame, domain: str = "domain", per_batch: int = 5, delay: fl
             state.remove()
             return
         n, free = state.get if state.exists else (0, 0.0)
-        now = time.time()
+        latest = 0.0
         for pdf in frames:
             pdf = pdf.sort_values("full_url")
-            turn = (n + pd.RangeIndex(len(pdf)).to_numpy()) // per_batch
-            begun = max(now, free)
-            due = begun + delay * (turn - n // per_batch)
-            yield pd.DataFrame({"domain": key[0], "full_url": pdf["full_url"].to_numpy(), "turn": turn, "due": due})
+            latest = max(latest, pdf[ts].max().timestamp()) if ts else time.time()
+            turn, begun = (n + pd.RangeIndex(len(pdf)).to_numpy()) // per_batch, max(latest, free)
+            yield pd.DataFrame({"domain": key[0], "full_url": pdf["full_url"].to_numpy(), "turn": turn, "due": begun + delay * (turn - n // per_batch)})
+            free = begun + delay * ((n + len(pdf)) // per_batch - n // per_batch)
             n += len(pdf)
-            free = begun + delay * (n // per_batch - (n - len(pdf)) // per_batch)
         state.update((n, free))
-        state.setTimeoutDuration(forget)
+        if ts:
+            state.setTimeoutTimestamp(max(int(latest * 1000), state.getCurrentWatermarkMs()) + forget)
 
-    return urls.groupBy(domain).applyInPandasWithState(run, "domain string, full_url string, turn bigint, due double", "n bigint, free double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = urls.withWatermark(ts, idle) if ts else urls
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    return kept.groupBy(domain).applyInPandasWithState(run, "domain string, full_url string, turn bigint, due double", "n bigint, free double", "append", timeout)
 
 
 def telemetry(events: DataFrame, width: str = "1 hour", slide: str | None = None, ts: str = "ts", delay: str | None = None) -> DataFrame:

@@ -103,9 +103,11 @@ def test_streaming_frontier(spark, tmp_path):
     q = streaming.dedupe(stream).writeStream.format("memory").queryName("deduped").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("deduped").count() == 7
-    q = streaming.paced(stream.select("domain", "full_url")).writeStream.format("memory").queryName("turns").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert sorted(r.turn for r in spark.table("turns").collect()) == [0] * 5 + [1] * 5 + [2] * 4
+    for name, given in (("turns", {}), ("timed_turns", {"ts": "ts"})):
+        q = streaming.paced(stream, delay=2.0, **given).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+        got = sorted((r.turn, r.due) for r in spark.table(name).collect())
+        assert [t for t, _ in got] == [0] * 5 + [1] * 5 + [2] * 4 and got[5][1] - got[0][1] == got[10][1] - got[5][1] == 2.0
 
 
 def test_saved_names_do_not_clash(spark, tmp_path):
