@@ -49,8 +49,8 @@ HREFS = r"""a AS (SELECT page_id, host, scheme, unnest(regexp_extract_all(html,
 
 # Both engines: pages with a script redirect, a refresh, a stylesheet, an image, a deep link, a link elsewhere, and tags in comments and scripts
 RICH = """concat('<!-- <a href="/hidden">x</a> --><script>var s = "<a href=/script>"; location.href = "', regexp_extract(html, '<a href="([^"]*)"', 1), '";</script><meta http-equiv="refresh" content="5; URL=next', page_id, '.html"><link rel="stylesheet" href="s.css"><img src="pic.png"><a href="sub/a/b/c/d/page.html">x</a><a href="http://far.example.org/x">y</a>', html)"""
-# Both engines: each page is named by its first link, so that the pages link to one another
-SITE = """concat('http://site.example.com', regexp_extract(html, '<a href="([^"]*)"', 1))"""
+# Both engines: each page is named by its second link, so that the pages link to one another
+SITE = """concat('http://site.example.com', regexp_extract(html, '</li><li><a href="([^"]*)"', 1))"""
 # SQL: the directory of each page; the links of rich pages in order; what they resolve to
 DIRS = r"""h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) origin, list_filter(string_split(regexp_replace(regexp_replace(url, '/$', ''), '^[a-z]+://[^/?#]*', ''), '/'), lambda s: trim(s) <> '') q FROM pages),
 g AS (SELECT page_id, url, origin, regexp_extract(origin, '://(.*)$', 1) host, origin || '/' || array_to_string(list_transform(CASE WHEN len(q) > 0 AND (instr(q[-1], '.') = 0 OR (instr(q[-1], '.') > 1 AND instr(q[-1], '.') < length(q[-1]))) THEN q[:-2] ELSE q END, lambda s: s || '/'), '') dir FROM h)"""
