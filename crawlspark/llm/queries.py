@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_main_text, language_id, license_scan, mixing, near_dup, quality_rules, repeated_bytes, sharding, url_filters
+from . import decontaminate, html_main_text, language_id, license_scan, mixing, near_dup, personal_data, quality_rules, repeated_bytes, sharding, spelling, url_filters, whitening
 from .common import shared_dir, table
 
 #: The rules that op3 judges by.
@@ -57,6 +57,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +82,9 @@ QUERIES = {
         op8_license_scan,
         op9_sharding,
         op10_decontamination,
+        op11_spelling_variants,
+        op12_embedding_whitening,
+        op13_personal_data,
     )
 }
 
@@ -131,4 +146,18 @@ sd AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') g FROM d,
 n AS (SELECT item_id, count(*) n_item FROM si GROUP BY item_id)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(n_item)::BIGINT AS n_item, count(*) / any_value(n_item) AS containment
 FROM si JOIN sd USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)""",
+    "op11_spelling_variants": """
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) ORDER BY i) t FROM range(256) r(i)),
+r AS (SELECT doc_id, translate(u.run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low, count(*) k FROM documents, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS u(run) WHERE length(u.run) >= 5 GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || low, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END)) bytes FROM r),
+h AS (SELECT low, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]))) h FROM b, crc),
+c AS (SELECT CASE WHEN h % 97 = 0 THEN substr(low, 1, (h % length(low))::INT) || substr(low, (h % length(low))::INT + 2) ELSE low END word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT n FROM c WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+d AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) short FROM w, unnest(generate_series(1, length(word))) AS u(i)),
+s AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) gap FROM w, unnest(generate_series(1, length(word))) AS u(i)),
+p AS (SELECT d.word, w.word near, w.n near_n FROM d JOIN w ON w.word = short UNION ALL SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = short UNION ALL SELECT x.word, y.word, y.n FROM s x JOIN s y USING (gap) WHERE x.word <> y.word),
+g AS (SELECT word, count(*) n_near, min({'m': -near_n, 'w': near}) best FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT n_near, CASE WHEN -best.m >= 2 * w.n THEN best.w END form, CASE WHEN -best.m >= 2 * w.n THEN (-best.m)::BIGINT END form_n FROM w LEFT JOIN g USING (word)),
+e AS (SELECT word, form AS top, 1 AS k FROM f WHERE form IS NOT NULL UNION ALL SELECT e.word, f.form, k + 1 FROM e JOIN f ON f.word = e.top WHERE f.form IS NOT NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN (SELECT word, arg_max(top, k) root FROM e GROUP BY word) USING (word)""",
 }
