@@ -4,9 +4,10 @@ Method: one recurrent layer reads the bytes of a text forwards, one backwards; t
 joined states label every byte position with language probabilities, and a document's
 probabilities are the mean over all its positions. The network is trained in numpy by
 backpropagation through time with Adam. One more label, ``und``, is trained on letters of
-no learned language (``foreign``): a document whose languages together have less than the
-network's ``least`` is ``und``. That threshold is the ``MISSED`` quantile of the sampled
-documents that are labelled rightly, ``MOST`` at most.
+no learned language (``foreign``), and takes its share of a document's probability: ``accepted`` rejects a document whose
+languages together have less than the network's ``least``. That threshold is the ``MISSED`` quantile of the sampled
+documents that are labelled rightly, ``MOST`` at most. ``identify`` rejects nothing: a text with a letter
+gets the learned language that is most probable, with its probability as score.
 
 Training sample (the documented bound): about ``PER_LANGUAGE`` documents of each language,
 drawn by a hash of their id (rows that repeat an id count once), and ``WINDOWS`` windows spread over the whole of each, whatever
@@ -18,8 +19,7 @@ Letters are lower-cased beforehand.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no
 labelled text at all everything is ``und`` (and ``accepted``, which then has nothing to
-judge by, keeps all texts with a letter); a null language and ``und`` teach nothing; the
-score of a text rejected by the network is that of its best language. Rows keep
+judge by, keeps all texts with a letter); a null language and ``und`` teach nothing. Rows keep
 their multiplicity; extra columns are ignored.
 """
 
@@ -235,8 +235,8 @@ def _least(net: GatedNetwork, pieces: list[tuple[int, np.ndarray, int]], n: int)
     return min(MOST, float(np.quantile(right, MISSED))) if right.size else 0.0
 
 
-def _predicted(net: GatedNetwork):
-    """(doc_id, held_out, text) -> (doc_id, held_out, lang_pred, score)."""
+def _predicted(net: GatedNetwork, reject: bool = False):
+    """(doc_id, held_out, text) -> (doc_id, held_out, lang_pred, score); with ``reject``, und for what the network doesn't know."""
 
     learned = [k for k, name in enumerate(net.languages) if name != UNKNOWN]
 
@@ -266,7 +266,7 @@ def _predicted(net: GatedNetwork):
             p = total[:, learned] / np.maximum(size, 1)[:, None]
             best = p.argmax(1)
             score = np.clip(p[np.arange(best.size), best], 0, 1)
-            known = (size > 0) & (p.sum(1) >= net.least)
+            known = (size > 0) & ((p.sum(1) >= net.least) | (not reject))
             lang = [net.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(np.where(size > 0, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -292,7 +292,7 @@ def accepted(docs: DataFrame, net: GatedNetwork | None, least: float = 0.0) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nothing = pa.nulls(batch.num_rows, pa.bool_())
-            judged = next(_predicted(net)(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), nothing, batch.column(1)], ["doc_id", "held_out", "text"])])))
+            judged = next(_predicted(net, reject=True)(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), nothing, batch.column(1)], ["doc_id", "held_out", "text"])])))
             keep = [p != UNKNOWN and s >= least for p, s in zip(judged.column(2).to_pylist(), judged.column(3).to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["row"])
 

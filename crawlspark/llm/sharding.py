@@ -3,11 +3,11 @@
 Method: arrivals are appended as small immutable shards; compaction groups shards of
 similar size (tiers of a factor ``fanout``) in order into runs of about ``target`` bytes
 and rewrites each run as one shard; every change is one new version of the manifest. A
-version is one small file that names its manifest table, created exclusively, so a reader
-sees the old version or the new one whole, and of two writers of one version exactly one
-wins; the other gets ``RuntimeError`` and has to retry. (The file system must create
-files exclusively: HDFS does, local ones do by ``O_EXCL``, object stores where they have
-conditional writes.)
+version is one small file that names its manifest table and appears whole under its name, so a reader
+sees the old version or the new one, and of two writers of one version exactly one
+wins; the other gets ``RuntimeError`` and has to retry (see ``sources.versions``). A writer
+announces its run in a file before it writes and takes that back after its commit;
+``vacuum`` spares announced runs for ``ABANDONED`` seconds, after which their writer counts as dead.
 
 A shard is one file. An arrival is written as it lies, one shard for each of its
 partitions and batches, in one scan without a shuffle. A compaction sends the rows of one
@@ -16,30 +16,32 @@ number, so a task holds less than ``SPLIT * target`` bytes, or one row. No sourc
 decides where a row goes. The manifest is a table (one row per shard) and is planned as one;
 only numbers and the names of runs (one per append or compaction in use) come to the driver.
 
-Layout under ``root``: ``data/run=<run>/.../part-*.parquet``, ``manifest/<name>`` and ``versions/<version>``.
+Layout under ``root``: ``data/run=<run>/.../part-*.parquet``, ``manifest/<name>``, ``writing/<run>`` and ``versions/<version>``.
 
 Defined cases: any columns, nulls and repeated rows are carried through unchanged (the
 row is stored as a struct, so no name can clash); null text weighs 0 bytes; an empty
-arrival adds no shard; a compaction with nothing to merge commits nothing; a version
-whose file is empty is being committed (or its writer died) and is refused.
+arrival adds no shard; a compaction with nothing to merge commits nothing.
 """
 
 from __future__ import annotations
 
-import os
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.versions import Versions
 from .common import broadcast_if_small, durable, shared_dir
 
 TARGET, ARRIVAL, FANOUT = 64 << 20, 8 << 20, 4
 FULL = 0.75  # a shard of this share of the target is left as it is
 SPLIT = 2  # a shard of so many targets is split (a run of shards under FULL never gets there)
 STEPS, RUNS = 4, 10_000  # a compaction rewrites about 1 / STEPS of the store and RUNS shards at most; the next one goes on
+ABANDONED = 7 * 86400  # seconds after which an announced run that was never committed is nobody's
 MANIFEST = "shard string, run string, tier int, rows bigint, bytes bigint"
 
 
@@ -51,49 +53,35 @@ class ShardStore:
         self.target, self.arrival, self.fanout = target, arrival, fanout
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._versions = Versions(spark, f"{self.root}/versions")
 
     # --- manifest
 
     def version(self) -> int:
         """The newest version; 0 before the first commit."""
-        at = self._path(f"{self.root}/versions")
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return max((int(n) for n in names if n.isdigit()), default=0)
+        return self._versions.newest()
 
     def manifest(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
         if not v:
             return self.spark.createDataFrame([], MANIFEST)
-        stream = self._fs.open(self._at(v))
-        try:
-            name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        if not name:
-            raise RuntimeError(f"version {v} is being committed by another writer; if that writer died, delete versions/{v:08d}")
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{name}")
-
-    def _at(self, version: int):
-        return self._path(f"{self.root}/versions/{version:08d}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/{self._versions.text(v)}")
 
     def _commit(self, manifest: DataFrame, base: int) -> int:
         name = uuid.uuid4().hex
         manifest.select("shard", "run", "tier", "rows", "bytes").write.parquet(f"{self.root}/manifest/{name}")
-        at = self._at(base + 1)
-        self._fs.mkdirs(at.getParent())
+        return self._versions.commit(name, base)
+
+    @contextmanager
+    def _announced(self) -> Iterator[str]:
+        """A new run, announced before its first file is written and until it is committed (or failed: then its files are nobody's)."""
+        run = uuid.uuid4().hex
+        at = self._path(f"{self.root}/writing/{run}")
+        self._fs.create(at, False).close()
         try:
-            if self._fs.getUri().getScheme() == "file":
-                with os.fdopen(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
-                    f.write(name)
-            else:
-                out = self._fs.create(at, False)
-                out.write(name.encode())
-                out.close()
-        except (FileExistsError, Py4JJavaError) as e:
-            if isinstance(e, Py4JJavaError) and "AlreadyExists" not in e.java_exception.getClass().getName():
-                raise
-            raise RuntimeError(f"version {base + 1} was committed by another writer; read the manifest again and retry") from e
-        return base + 1
+            yield run
+        finally:
+            self._fs.delete(at, False)
 
     def _tier(self, size: Column) -> Column:
         return F.when(size <= self.arrival, 0).otherwise(F.floor(F.log(float(self.fanout), size / self.arrival))).cast("int")
@@ -117,13 +105,14 @@ class ShardStore:
 
         With ``batch`` (a number under ``batches``) the batches of one scan are committed one after the other.
         """
-        base, run = self.version(), uuid.uuid4().hex
+        base = self.version()
         rows = df.select(F.struct(*[F.col(f"`{c}`") for c in self.schema.names]).alias("row"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("_bytes"), (F.lit(0) if batch is None else batch).alias("batch"))
-        rows.write.option("compression", "zstd").partitionBy("batch").parquet(f"{self.root}/data/run={run}")
-        added = durable(self._stats(run).withColumn("batch", F.regexp_extract("shard", r"/batch=(\d+)/", 1).cast("int")))
-        before = self.manifest(base)
-        for b in range(batches):
-            self._commit(before.unionByName(added.where(F.col("batch") <= b).drop("batch")), base + b)
+        with self._announced() as run:
+            rows.write.option("compression", "zstd").partitionBy("batch").parquet(f"{self.root}/data/run={run}")
+            added = durable(self._stats(run).withColumn("batch", F.regexp_extract("shard", r"/batch=(\d+)/", 1).cast("int")))
+            before = self.manifest(base)
+            for b in range(batches):
+                self._commit(before.unionByName(added.where(F.col("batch") <= b).drop("batch")), base + b)
         return base + batches
 
     def plan(self, version: int) -> DataFrame:
@@ -153,21 +142,28 @@ class ShardStore:
         targets = plan.agg(F.max(F.col("first") + F.col("pieces"))).first()[0]
         if not targets:
             return base
-        runs, run = [r[0] for r in plan.select("run").distinct().collect()], uuid.uuid4().hex
+        runs = [r[0] for r in plan.select("run").distinct().collect()]
         moved = self._data(runs).join(broadcast_if_small(plan.drop("run")), "shard").select("row", "_bytes", (F.col("first") + F.pmod("i", "pieces")).cast("int").alias("to"))
-        moved.repartitionById(int(targets), "to").select("row", "_bytes").write.option("compression", "zstd").parquet(f"{self.root}/data/run={run}")
-        return self._commit(self.manifest(base).join(plan.select("shard"), "shard", "left_anti").unionByName(self._stats(run)), base)
+        with self._announced() as run:
+            moved.repartitionById(int(targets), "to").select("row", "_bytes").write.option("compression", "zstd").parquet(f"{self.root}/data/run={run}")
+            return self._commit(self.manifest(base).join(plan.select("shard"), "shard", "left_anti").unionByName(self._stats(run)), base)
 
     def vacuum(self) -> None:
-        """Deletes what the newest version no longer names: whole runs, then single shards of the others; readers of older versions must be done."""
+        """Deletes what the newest version no longer names: whole runs, then single shards of the others; readers of older versions must be done.
+
+        Runs that are being written stay. What is there is listed first, then what is announced, then what is
+        committed: a run that is neither announced nor committed by then had ended before the listing, or never will.
+        """
+        found = self._listed("data")
+        writing = {s.getPath().getName() for s in self._listed("writing") if s.getModificationTime() > (time.time() - ABANDONED) * 1000}
         live = self.manifest()
-        used = {f"run={r[0]}" for r in live.select("run").distinct().collect()}
-        at = self._path(f"{self.root}/data")
+        used = {r[0] for r in live.select("run").distinct().collect()}
         left = []
-        for run in self._fs.listStatus(at) if self._fs.exists(at) else []:
-            if run.getPath().getName() in used:
+        for run in found:
+            name = run.getPath().getName().removeprefix("run=")
+            if name in used:
                 left.append(run.getPath().toString())
-            else:
+            elif name not in writing:
                 self._fs.delete(run.getPath(), True)
         if left:
             files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(left)
@@ -175,6 +171,10 @@ class ShardStore:
             for r in shards.join(live.select("shard"), "shard", "left_anti").select("path").toLocalIterator():
                 self._fs.delete(self._path(r[0]), False)
 
+    def _listed(self, folder: str) -> list:
+        at = self._path(f"{self.root}/{folder}")
+        return list(self._fs.listStatus(at)) if self._fs.exists(at) else []
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version: (row, _bytes, shard, tier, rows, bytes)."""
         m = self.manifest(version)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import os
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crawlspark.llm import personal_data, spelling, whitening
+from crawlspark.llm import language_id, personal_data, sharding, spelling, whitening
 from crawlspark.llm.common import table
 
 DIR = "/root/testdata/sf0.001"
@@ -289,3 +290,52 @@ def test_personal_data_defined_cases(spark):
     rows = [(1, None), (1, ""), (None, "a@b.co"), (None, "a@b.co"), (2, " \t"), (3, "é" * 100_000 + " x@y.zz")]
     got = personal_data.personal_data(odd(spark.createDataFrame(rows, DOCS))).collect()
     assert Counter((r.doc_id, r.spans) for r in got) == Counter({(1, ""): 2, (None, "email:0:6"): 2, (2, ""): 1, (3, "email:100001:100007"): 1}) and sum(r.base_sha256 == empty for r in got) == 3
+
+
+# --- language answers and the shard store
+
+
+def test_texts_with_a_letter_get_a_learned_language(spark):
+    docs = table(spark, DIR, "documents")
+    net = language_id.fit(docs)
+    rows = ["все люди рождаются свободными", "όλοι οι άνθρωποι", "xq zvw kkp", "Call 555 2234, 99 Oak St, AB 1234", "a", None, "", "12 34", "\n"]
+    got = [r.lang_pred for r in language_id.identify(spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], "doc_id bigint, text string, lang string"), net).orderBy("doc_id").collect()]
+    learned = {r.lang for r in docs.select("lang").distinct().collect()}
+    assert set(got[:5]) <= learned - {None, "und"} and got[5:] == ["und"] * 4
+
+
+def test_vacuum_spares_what_is_being_written(spark, tmp_path, monkeypatch):
+    docs = table(spark, DIR, "documents")
+    store = sharding.ShardStore(spark, str(tmp_path), docs.schema, target=200_000, arrival=20_000)
+    store.append(docs.where("doc_id < 50"))
+    commit, other = store._commit, sharding.ShardStore(spark, str(tmp_path), docs.schema)
+
+    def late(manifest, base):
+        other.vacuum()  # after the data are written, before they are committed
+        return commit(manifest, base)
+
+    store._commit = late
+    store.append(docs.where("doc_id >= 50").repartition(8))
+    store.compact()
+    assert sorted(r.doc_id for r in other.read().select("row.doc_id").collect()) == sorted(r.doc_id for r in docs.collect())
+    assert not os.listdir(tmp_path / "writing") or all(f.endswith(".crc") for f in os.listdir(tmp_path / "writing"))
+    store._commit = lambda manifest, base: (_ for _ in ()).throw(RuntimeError("died"))
+    with pytest.raises(RuntimeError):
+        store.append(docs)
+    runs = len(os.listdir(tmp_path / "data"))
+    (tmp_path / "writing" / max(os.listdir(tmp_path / "data"), key=lambda f: os.path.getmtime(tmp_path / "data" / f)).removeprefix("run=")).touch()
+    other.vacuum()
+    monkeypatch.setattr(sharding, "ABANDONED", -10)
+    assert len(os.listdir(tmp_path / "data")) >= 2
+    other.vacuum()
+    assert len(os.listdir(tmp_path / "data")) < runs and other.read().count() == docs.count()
+
+
+def test_a_version_is_seen_whole_or_not_at_all(spark, tmp_path):
+    docs = table(spark, DIR, "documents").limit(20)
+    store = sharding.ShardStore(spark, str(tmp_path), docs.schema)
+    store.append(docs)
+    (tmp_path / "versions" / ".abc").touch()  # a writer that died before it published
+    assert store.version() == 1 and store.read().count() == 20
+    store.append(docs)
+    assert store.version() == 2 and store.read().count() == 40
