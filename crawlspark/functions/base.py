@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,18 @@ def strings(*values: str) -> Column:
 def named(**fields: Column) -> Column:
     """A struct whose field names survive wherever the expression is moved."""
     return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
+def remembered(f):
+    """``f`` (of hashable arguments), whose Columns are built once in an application: they name no DataFrame, and building a large one takes thousands of calls to the JVM."""
+    known: dict = {}
+
+    @wraps(f)
+    def call(*args):
+        session = SparkSession.getActiveSession()
+        key = (session and session.sparkContext.applicationId, *args)
+        if key not in known:
+            known[key] = f(*args)
+        return known[key]
+
+    return call

@@ -14,7 +14,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import let, named, strings
+from .base import let, named, remembered, strings
 
 # Schemes with their default ports
 PORTS = {"http://": 80, "ftp://": 21, "https://": 443, "file://": 0}
@@ -25,12 +25,22 @@ DIRECTORY_EXTENSIONS = (".ars",)
 IMAGE_EXTENSIONS = (".bmp", ".gif", ".ico", ".jpeg", ".jpg", ".png", ".svg", ".tif", ".tiff", ".webp", ".xbm")
 WEBPAGE_EXTENSIONS = ("", ".asp", ".aspx", ".cfm", ".cgi", ".htm", ".html", ".jsp", ".php", ".php3", ".php4", ".pl", ".py", ".shtml", ".xhtml")
 DOCUMENT_EXTENSIONS = (".doc", ".pdf", ".ppt", ".ps", ".rtf", ".tex", ".txt", ".xls")
-ENTITIES = {"lt": "<", "gt": ">", "amp": "&", "quot": '"'} | {n: chr(c) for n, c in sorted(name2codepoint.items()) if 160 <= c <= 255}
+MARKUP = {"lt": "<", "gt": ">", "amp": "&"}
+ENTITIES = {"quot": '"'} | {n: chr(c) for n, c in sorted(name2codepoint.items()) if 160 <= c <= 255}
 
 
 def decode_entities(url: Column) -> Column:
-    """Named references replaced in turn; the Latin-1 ones come from the standard table."""
-    return F.when(F.instr(url, "&") == 0, F.rtrim(url)).otherwise(reduce(lambda u, e: F.replace(u, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), F.rtrim(url)))
+    """Named references decoded: those of markup in turn, then the others (the Latin-1 ones come from the standard table) in one pass over the pieces between ``&``."""
+    plain = reduce(lambda u, e: F.replace(u, F.lit(f"&{e[0]};"), F.lit(e[1])), MARKUP.items(), F.rtrim(url))
+    known = F.map_from_arrays(F.split(F.lit(" ".join(ENTITIES)), " "), F.split(F.lit(",".join(ENTITIES.values())), ","))
+
+    def decoded(piece: Column, i: Column) -> Column:
+        end = F.instr(piece, ";")
+        found = F.when((i > 0) & (end > 1), F.try_element_at(known, F.substring(piece, F.lit(1), end - 1)))
+        return F.when(found.isNotNull(), F.concat(found, F.substring(piece, end + 1, F.length(piece)))).when(i > 0, F.concat(F.lit("&"), piece)).otherwise(piece)
+
+    named_ = let(plain, lambda p: F.when(F.instr(p, "&") == 0, p).otherwise(F.array_join(F.transform(F.split(p, "&"), decoded), "")))
+    return F.when(F.instr(url, "&") == 0, F.rtrim(url)).otherwise(named_)
 
 
 def percent_decoded(s: Column) -> Column:
@@ -119,16 +129,28 @@ def _staged_column(given: dict[str, Column], stages: list) -> Column:
     return F.transform(at, lambda y: stages[-1][1](y))[0]
 
 
-def _staged_frame(df: DataFrame, given: dict[str, Column], stages: list, into: str) -> DataFrame:
-    """The last stage is a generated column: a filter on it then stays above instead of being moved down with all stages written out in it."""
-    at = f"_{into}_"
-    staged = df.withColumns({at + k: c for k, c in given.items()})
-    known = list(given)
-    for name, f in stages[:-1]:
-        staged = staged.withColumn(at + name, f({k: F.col(at + k) for k in known}))
+def _staged_frame(df: DataFrame, given: dict[str, Column], stages, into: str) -> DataFrame:
+    """The last stage is a generated column: a filter on it then stays above instead of being moved down with all stages written out in it.
+
+    ``stages``, a function without arguments, gives the stages; their Columns are built once in an application.
+    """
+    staged = df.withColumns({STAGE + k: c for k, c in given.items()})
+    columns = _stage_columns(stages, tuple(given))
+    for name, column in columns[:-1]:
+        staged = staged.withColumn(STAGE + name, column)
+    return staged.select(*[F.col(f"`{c}`") for c in df.columns if c != into], F.explode(F.array(columns[-1][1])).alias(into))
+
+
+STAGE = "_stage_"
+
+
+@remembered
+def _stage_columns(stages, given: tuple[str, ...]) -> list[tuple[str, Column]]:
+    known, found = list(given), []
+    for name, f in stages():
+        found.append((name, f({k: F.col(STAGE + k) for k in known})))
         known.append(name)
-    last = stages[-1][1]({k: F.col(at + k) for k in known})
-    return staged.select(*[F.col(f"`{c}`") for c in df.columns if c != into], F.explode(F.array(last)).alias(into))
+    return found
 
 
 def _parsing(url: str, to: str) -> list:
@@ -144,6 +166,10 @@ def _parsing(url: str, to: str) -> list:
     ]
 
 
+def _parsing_urls() -> list:
+    return _parsing("url", "b")
+
+
 def _resolving() -> list:
     """The stages from ``url``, ``typ`` and ``base`` to the resolved struct."""
 
@@ -231,7 +257,7 @@ def parse(url: Column) -> Column:
 
 def parsed(df: DataFrame, url: Column, into: str) -> DataFrame:
     """``df`` with ``parse(url)`` as the column ``into``, in stages."""
-    return _staged_frame(df, {"url": url}, _parsing("url", "b"), into)
+    return _staged_frame(df, {"url": url}, _parsing_urls, into)
 
 
 def resolve(url: Column, url_type: Column, base: Column) -> Column:
@@ -241,7 +267,7 @@ def resolve(url: Column, url_type: Column, base: Column) -> Column:
 
 def resolved(df: DataFrame, url: Column, url_type: Column, base: Column, into: str) -> DataFrame:
     """``df`` with ``resolve(url, url_type, base)`` as the column ``into``, in stages."""
-    return _staged_frame(df, {"url": url, "typ": url_type, "base": base}, _resolving(), into)
+    return _staged_frame(df, {"url": url, "typ": url_type, "base": base}, _resolving, into)
 
 
 def base_domain(domain: Column) -> Column:

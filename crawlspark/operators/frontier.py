@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import durable
+from ..sources.scratch import discard, durable, passed_on, scratch
 
 
 def parse_priorities(text: str) -> dict[str, int]:
@@ -81,3 +81,63 @@ def redirect_chains(redirects: DataFrame, max_hops: int = 20) -> DataFrame:
         if not at.take(1):
             break
     return done
+
+
+def _doubled(step: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((url, target, hops) of those whose chain ends, (url, dst) of the others) for step(url, dst), url unique: pointers double their reach until no more ends are found."""
+    at = durable(step.select("url", F.col("dst").alias("target"), F.lit(1).cast("bigint").alias("hops"), F.lit(False).alias("done")))
+    left = at.count()
+    while left:
+        ahead = at.select(F.col("url").alias("target"), F.col("target").alias("next"), F.col("hops").alias("more"), F.col("done").alias("ended"))
+        moved = at.where("not done").join(ahead, "target", "left").select("url", F.coalesce("next", "target").alias("target"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("ended", F.lit(True)).alias("done"))
+        before, at = at, durable(at.where("done").unionByName(moved))
+        discard(before)
+        was, left = left, at.where("not done").count()
+        if left == was:
+            break
+    return at.where("done").select("url", "target", "hops"), step.join(at.where("not done").select("url"), "url", "left_semi")
+
+
+def contracted(redirects: DataFrame) -> DataFrame:
+    """(url, target, hops, loop, cycle) of every src of redirects(src, dst), src unique, in as many rounds as the longest chain has binary digits.
+
+    A chain that ends: its last URL and the redirects to it. A chain that doesn't: ``loop``, the first URL of its cycle (itself
+    on the cycle, after 0 redirects) and the length of the cycle. Cycles are what is left of repeated images; their length is
+    counted by their least URL, which pointers carry around.
+    """
+    with scratch():
+        step = durable(redirects.select(F.col("src").alias("url"), "dst"))
+        ended, looping = _doubled(step)
+        ended, looping = durable(ended), durable(looping)
+        plain = ended.select("url", "target", "hops", F.lit(False).alias("loop"), F.lit(None).cast("bigint").alias("cycle"))
+        if not looping.take(1):
+            return passed_on(durable(plain))
+        image, size = looping, -1
+        while True:
+            reached = durable(image.select(F.col("dst").alias("url")).distinct())
+            if reached.count() == size:
+                break
+            size = reached.count()
+            image = durable(image.join(image.select(F.col("url").alias("dst"), F.col("dst").alias("next")), "dst").select("url", F.col("next").alias("dst")))
+        on = durable(looping.join(reached, "url", "left_semi").select("url", "dst", F.least("url", "dst").alias("low")))
+        ring = on
+        while True:
+            ahead = on.select(F.col("url").alias("dst"), F.col("dst").alias("next"), F.col("low").alias("low2"))
+            on = durable(on.join(ahead, "dst").select("url", F.col("next").alias("dst"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed")))
+            if not on.where("changed").take(1):
+                break
+        cycles = durable(on.join(on.groupBy("low").agg(F.count(F.lit(1)).alias("cycle")), "low").select(F.col("url").alias("target"), "cycle"))
+        tails, _ = _doubled(looping.join(ring.select("url"), "url", "left_anti"))
+        looped = tails.unionByName(cycles.select(F.col("target").alias("url"), "target", F.lit(0).cast("bigint").alias("hops"))).join(cycles, "target")
+        return passed_on(durable(plain.unionByName(looped.select("url", "target", "hops", F.lit(True).alias("loop"), "cycle"))))
+
+
+def redirects_followed(chains: DataFrame, repeats: int = 4, most: int = 20) -> DataFrame:
+    """``contracted`` chains with ``followed`` (redirects until it ends or is refused) and ``refused``.
+
+    A redirect is refused that leads to a URL met ``repeats`` times before, or when ``most`` different ones were met.
+    """
+    before = F.greatest(F.col("hops") - 1, F.lit(0))  # different URLs that are met ahead of the cycle
+    loops = F.when(before + F.col("cycle") >= most, F.lit(most)).otherwise(before + repeats * F.col("cycle"))
+    followed = F.when(F.col("loop"), loops).otherwise(F.least("hops", F.lit(most))).cast("bigint")
+    return chains.withColumns({"followed": followed, "refused": F.col("loop") | (F.col("hops") > most)})

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import links, urls
+from ..functions.base import remembered
 from ..operators import cache, reports, robots, rules
 from ..operators import frontier as fr
 from ..sources.config import CrawlConfig
@@ -28,26 +29,44 @@ def page_links(pages: DataFrame, config: CrawlConfig | None = None, tags: dict[s
 
     Type gates, the link filter, nofollow and the slice of links of ``config`` apply; without one, all links are taken.
     """
-    html, kept = F.col("html"), F.col("_found")
-    if config is None:
-        staged = pages.withColumn("_found", links.all_links(html, tags))
-    else:
-        staged = pages.withColumn("_title", links.title(html)).withColumn("_found", links.all_links(html, tags, config.images, config.javascript, config.javaapplet))
+    kept = F.col("_found")
+    images, scripts, applets = (True, True, True) if config is None else (config.images, config.javascript, config.javaapplet)
+    read = _reading(tuple(tags.items()), images, scripts, applets)
+    if config is not None:
         kept = F.filter(kept, lambda x: links.kept_link(x["url"], F.col("_title"), config.querylinks))
         if config.robots:
-            kept = F.when(links.meta_robots(html)["nofollow"], links.no_links()).otherwise(kept)
-    staged = staged.withColumn("_base", links.base_href(html)).withColumn("_kept", kept).drop("_found", "_title", "html")
-    if config is not None and (config.offset_start, config.offset_end) != (0, -1):
-        stop = F.lit(config.offset_end) if config.offset_end >= 0 else F.size("_kept") + config.offset_end + 1
-        staged = staged.withColumn("_kept", F.slice("_kept", F.lit(config.offset_start + 1), F.greatest(stop - config.offset_start, F.lit(0))))
+            kept = F.when(read["_robots"]["nofollow"], links.no_links()).otherwise(kept)
+    staged = pages.withColumns({k: read[k] for k in ("_title", "_found", "_base")}).withColumn("_kept", _sliced(kept, config)).drop("_found", "_title", "html")
     base = F.col("_base")
-    whole = F.when(base.rlike("^[a-zA-Z]+://"), base).otherwise(urls.resolve(base, F.lit("base"), F.col("url"))["full_url"])
+    located = urls.resolved(staged, base, F.lit("base"), F.col("url"), "_b")
+    whole = F.when(base.rlike("^[a-zA-Z]+://"), base).otherwise(F.col("_b.full_url"))
     folder = F.when(base.endswith("/"), F.lit(f"/{urls.DEFAULT_FILE}")).otherwise("")  # a base that ends in / is a directory
-    based = staged.withColumn("base_url", F.when(base.isNotNull(), F.concat(F.rtrim(whole, F.lit("/")), folder)).otherwise(F.col("url"))).drop("_base")
+    based = located.withColumn("base_url", F.when(base.isNotNull(), F.concat(F.rtrim(whole, F.lit("/")), folder)).otherwise(F.col("url"))).drop("_base", "_b")
     found = based.select("*", F.posexplode("_kept").alias("ordinal", "_l")).drop("_kept")
     return found.withColumns({"link_type": F.col("_l.type"), "link": F.col("_l.url"), "cgi": urls.is_cgi(F.col("_l.url"), F.col("_l.type"))}).drop("_l")
 
 
+@remembered
+def _reading(tags: tuple, images: bool, scripts: bool, applets: bool) -> dict[str, Column]:
+    html = F.col("html")
+    return {"_title": links.title(html), "_found": links.all_links(html, dict(tags), images, scripts, applets), "_base": links.base_href(html), "_robots": links.meta_robots(html)}
+
+
+def _sliced(found: Column, config: CrawlConfig | None) -> Column:
+    """The links of a page or stylesheet that the slice of ``config`` takes."""
+    if config is None or (config.offset_start, config.offset_end) == (0, -1):
+        return found
+    stop = F.lit(config.offset_end) if config.offset_end >= 0 else F.size(found) + config.offset_end + 1
+    return F.slice(found, F.lit(config.offset_start + 1), F.greatest(stop - config.offset_start, F.lit(0)))
+
+
+def sheet_links(sheets: DataFrame, config: CrawlConfig | None = None) -> DataFrame:
+    """As ``page_links``, for stylesheets (url, html: their text): imports and other urls, distinct; their own URL is the base."""
+    held = sheets.withColumn("_kept", _sliced(F.array_distinct(links.css_urls(F.col("html"))), config)).drop("html")
+    found = held.select("*", F.col("url").alias("base_url"), F.posexplode("_kept").alias("ordinal", "link")).drop("_kept")
+    return found.withColumns({"link_type": urls.css_child_type(F.col("link")), "cgi": F.lit(False)})
+
+
 def resolved_links(found: DataFrame) -> DataFrame:
     """``found`` with the resolved URL struct ``u`` and the place of its page: page_domain, page_directory."""
     at = urls.parsed(urls.resolved(found, F.col("link"), F.col("link_type"), F.col("base_url"), "u"), F.col("url"), "_p")
@@ -152,39 +171,126 @@ class _State:
         return [self.spark.read.parquet(f"{self.root}/{name}/{n}") for n in names if fs.exists(path(f"{self.root}/{name}/{n}/_SUCCESS"))]
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, config: CrawlConfig = CrawlConfig(), robots_files: DataFrame | None = None, known_bad: DataFrame | None = None, agent: str = "*", state: str | None = None) -> Crawl:
+def one_page(named: DataFrame, key: str) -> DataFrame:
+    """One row of ``named`` per ``key``, the least of those that share it; only these few are sorted and sent with their html."""
+    shared = durable(named.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key))
+    rest = [c for c in named.columns if c != key]
+    least = named.join(shared, key, "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("_x")).select(key, *[F.col(f"_x.{c}").alias(c) for c in rest])
+    return named.join(shared, key, "left_anti").select(key, *rest).unionByName(least)
+
+
+def canonical(df: DataFrame, url: str = "url") -> DataFrame:
+    """``df`` with the URL struct ``p`` and ``full_url``."""
+    return urls.parsed(df, F.col(url), "p").withColumn("full_url", urls.full_url(F.col("p")))
+
+
+def redirect_chains(redirects: DataFrame, most: int = 20) -> DataFrame:
+    """(url, target, failed) of redirects(src, dst): canonical URLs, dst as seen from src; ``failed`` where no page is reached (a loop, or more than ``most`` redirects)."""
+    here = canonical(redirects.select(F.col("src").alias("url"), F.col("dst").alias("_dst"))).select(F.col("full_url").alias("src"), "_dst")
+    there = urls.resolved(here, F.col("_dst"), F.lit("generic"), F.col("src"), "t").select("src", F.col("t.full_url").alias("dst")).where("src <> dst")
+    chains = fr.redirects_followed(fr.contracted(there.groupBy("src").agg(F.min("dst").alias("dst"))), most=most)
+    return chains.select("url", "target", F.col("refused").alias("failed"))
+
+
+def redirected(edges: DataFrame, chains: DataFrame) -> DataFrame:
+    """Resolved ``edges`` with ``hop`` 0 as linked (``moved``: leads elsewhere; ``failed``: to no page), and once more with hop 1 and the URL that is reached."""
+    found = chains.select(F.col("url").alias("_from"), F.col("target").alias("_target"), F.col("failed").alias("_failed"))
+    joined = durable(edges.join(found, F.col("u.full_url") == F.col("_from"), "left").drop("_from"))
+    failed = F.coalesce(F.col("_failed"), F.lit(False))
+    here = joined.withColumns({"hop": F.lit(0), "moved": F.col("_target").isNotNull() & ~failed, "failed": failed})
+    there = urls.reresolved(joined.where(F.col("_target").isNotNull() & ~failed), F.col("_target")).drop("u_old", "reresolved")
+    there = there.withColumns({"hop": F.lit(1), "moved": F.lit(False), "failed": F.lit(False)})
+    return here.unionByName(there).drop("_target", "_failed")
+
+
+def _arrived(judged: DataFrame) -> DataFrame:
+    """Of the verdicts on ``redirected`` edges those that count: on the link where it stays or is rejected, else on the URL that it leads to."""
+    judged = durable(judged.withColumn("reject_reason", F.when(F.col("failed") & F.col("reject_reason").isNull(), "redirect").otherwise(F.col("reject_reason"))))
+    key = ["url", "ordinal", "sheet", "start_url"]
+    stopped = judged.where("hop = 0 and moved and reject_reason is not null").select(*key)
+    return judged.where("hop = 0 and (not moved or reject_reason is not null)").unionByName(judged.where("hop = 1").join(stopped, key, "left_anti"))
+
+
+class _Bodies:
+    """Which pages repeat the content of an earlier one of their own domain, generation by generation.
+
+    Only the first domain of a content is remembered. Pages whose content no other page of their domain has can't repeat one and are left out at once.
+    """
+
+    def __init__(self, facts: DataFrame, seen: list[DataFrame]):
+        shared = facts.groupBy("sha", "domain").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha").distinct()
+        self.pages = durable(facts.join(shared, "sha", "left_semi").select("url", "sha", "domain"))
+        self.any = bool(self.pages.take(1))
+        self.seen = reduce(DataFrame.unionByName, seen) if seen else self.pages.sparkSession.createDataFrame([], "sha string, owner string")
+
+    def take(self, generation: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """((url) of the pages of ``generation`` (url, priority) that repeat a content, (sha, owner) of what is new)."""
+        met = durable(generation.join(self.pages, "url"))
+        first = met.groupBy("sha").agg(F.min(F.struct("priority", "url", "domain")).alias("f")).join(self.seen, "sha", "left")
+        first = durable(first.select("sha", F.coalesce("owner", "f.domain").alias("owner"), F.when(F.col("owner").isNull(), F.col("f.url")).alias("first")))
+        repeats = met.join(first, "sha").where((F.col("domain") == F.col("owner")) & ~F.col("url").eqNullSafe(F.col("first"))).select("url")
+        new = first.where("first is not null").select("sha", "owner")
+        self.seen = self.seen.unionByName(new)
+        return repeats, new
+
+
+def crawl(pages: DataFrame, seeds: DataFrame, config: CrawlConfig = CrawlConfig(), robots_files: DataFrame | None = None, known_bad: DataFrame | None = None, agent: str = "*", state: str | None = None, redirects: DataFrame | None = None) -> Crawl:
     """Follows the links of ``pages`` (url, html and, where known, status) from ``seeds`` (url) by the rules of ``config`` to the fixpoint.
 
     Of pages with one canonical URL the least counts. Seeds are exempt from the rules. Pages with an HTTP status that
     says so join the known-bad list. ``maxfiles`` (below 0: no limit) takes the first URLs by generation, priority and URL; ``timelimit`` seconds
     after its begin a crawl starts no further generation. With ``state``, a folder, every generation stays there, and a call with
     the same folder goes on after the last whole one.
+
+    A page that is linked as a stylesheet, or named like one, is read as one: its imports and other URLs are its links. The links of a page whose content
+    was met before on the same domain (earlier by generation, priority and URL) are not taken. ``redirects`` (src, dst): a link
+    that leads elsewhere is judged as it stands and then by the URL it reaches, which takes its place; a loop or a chain of over 20 is rejected.
     """
     begun, kept = time.monotonic(), _State(pages.sparkSession, state)
     status = F.col("status") if "status" in pages.columns else F.lit(200)
-    named = urls.parsed(pages.select("url", "html", status.cast("int").alias("status")), F.col("url"), "p").withColumn("full_url", urls.full_url(F.col("p")))
-    site = named.groupBy("full_url").agg(F.min(F.struct("url", "html", "status")).alias("x")).select(F.col("full_url").alias("url"), "x.html", "x.status")
-    site = durable(site.where(F.col("html").isNotNull()))
+    named = canonical(pages.select("url", "html", status.cast("int").alias("status"))).select("full_url", "url", "html", "status", F.col("p.domain").alias("domain"))
+    site = durable(one_page(named, "full_url").where(F.col("html").isNotNull()).select(F.col("full_url").alias("url"), "html", "status", "domain"))
     size = F.octet_length("html")
-    facts = durable(site.select("url", size.alias("n_bytes"), rules.size_allowed(size, config.maxfilesize).alias("fits"), rules.word_filter(F.col("html"), config.wordfilter).alias("worded"), rules.error_action(F.col("status"))[1].alias("action")))
+    facts = durable(site.select("url", "domain", F.sha1("html").alias("sha"), size.alias("n_bytes"), rules.size_allowed(size, config.maxfilesize).alias("fits"), rules.word_filter(F.col("html"), config.wordfilter).alias("worded"), rules.error_action(F.col("status"))[1].alias("action")))
     bad = facts.where("action = 'add_to_filter'").select("url")
     known_bad = bad if known_bad is None else bad.unionByName(known_bad.select("url"))
-    edges = site.where(rules.size_allowed(size, config.maxfilesize)).drop("status")
-    edges = durable(resolved_links(page_links(edges, config)))
-
-    frontiers, judgements = kept.all("frontier"), kept.all("verdicts")
+    bodies, by_name = site.where(rules.size_allowed(size, config.maxfilesize)).select("url", "html"), F.lower("url").endswith(".css")
+    edges = durable(resolved_links(page_links(bodies.where(~by_name), config)).withColumn("sheet", F.lit(False)))
+    linked = edges.where("link_type = 'stylesheet'").select(F.col("u.full_url").alias("url")).distinct()
+    sheets = durable(bodies.where(by_name).unionByName(bodies.where(~by_name).join(linked, "url", "left_semi")))
+    if sheets.take(1):
+        edges = durable(edges.unionByName(resolved_links(sheet_links(sheets, config)).withColumn("sheet", F.lit(True))))
+    chains = None if redirects is None else durable(redirect_chains(redirects))
+    if chains is not None:
+        edges = durable(redirected(edges, chains))
+
+    frontiers = kept.all("frontier")
+    judgements, repeats, seen = (kept.all(name)[: max(0, len(frontiers) - 1)] for name in ("verdicts", "repeats", "seen"))  # what a generation wrote before it was cut off is written again
     if not frontiers:
-        first = urls.parsed(seeds.select(urls.fix_seed(F.col("url")).alias("url")), F.col("url"), "p").withColumn("full_url", urls.full_url(F.col("p")))
+        first = canonical(seeds.select(urls.fix_seed(F.col("url")).alias("url")))
+        if chains is not None:
+            first = canonical(first.select("full_url").join(chains.where("not failed").select(F.col("url").alias("full_url"), "target"), "full_url", "left").select(F.coalesce("target", "full_url").alias("url")))
         first = first.groupBy("full_url").agg(F.min(F.struct(F.col("p.domain").alias("d"), urls.url_directory(F.col("p")).alias("t"), F.col("p.filename").alias("f"))).alias("s"))
         first = first.select(F.col("full_url").alias("url"), F.lit(0).alias("generation"), F.lit(0).alias("priority"), F.lit(None).cast("string").alias("parent_url"), F.lit("generic").alias("link_type"), F.col("s.f").alias("filename"), F.col("full_url").alias("start_url"), F.col("s.d").alias("start_domain"), F.col("s.t").alias("start_directory"))
         frontiers = [kept.put("frontier", 0, first)]
     generation = len(frontiers) - 1
+    contents = _Bodies(facts.where("fits"), seen)
     servers = directories = None
     count = sum(f.count() for f in frontiers)
     while (config.maxfiles < 0 or count < config.maxfiles) and (config.timelimit < 0 or time.monotonic() - begun < config.timelimit) and frontiers[-1].take(1):
         generation += 1
-        last = frontiers[-1].select("url", F.col("generation").alias("from"), "start_url", "start_domain", "start_directory")
-        judged = judged_links(edges.join(last, "url"), config, robots_files, known_bad, agent)
+        sheet = (F.col("link_type") == "stylesheet") | F.lower("url").endswith(".css")
+        last = frontiers[-1].withColumn("sheet", sheet)
+        if contents.any:
+            webpage = ~F.col("sheet") & (urls.kind(F.col("filename"), F.col("link_type")) == "webpage")
+            again, new = contents.take(last.where(webpage).select("url", "priority"))
+            repeats.append(kept.put("repeats", generation, again))
+            kept.put("seen", generation, new)
+            last = last.join(repeats[-1], "url", "left_anti")
+        last = last.select("url", "sheet", F.col("generation").alias("from"), "start_url", "start_domain", "start_directory")
+        judged = judged_links(edges.join(last, ["url", "sheet"]), config, robots_files, known_bad, agent)
+        if chains is not None:
+            judged = _arrived(judged)
         if config.maxextservers:
             judged, servers = _limited(judged, F.col("u.domain"), ~F.col("same"), config.maxextservers, servers, "ext_servers")
         if config.maxextdirs:
@@ -192,7 +298,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, config: CrawlConfig = CrawlConfig(
             judged, directories = _limited(judged, urls.url_directory(F.col("u")), beside, config.maxextdirs, directories, "ext_dirs")
         u = F.col("u")
         kind = urls.kind(u["filename"], F.col("link_type"))
-        judged = judged.select(F.lit(generation).alias("generation"), F.col("url").alias("page_url"), "ordinal", "link_type", "link", u["full_url"].alias("url"), u["filename"].alias("filename"), fr.priority(F.col("from"), kind == "webpage", urls.extension(u["filename"]), u["domain"], config.urlpriority, config.serverpriority).alias("priority"), "reject_reason", "start_url", "start_domain", "start_directory")
+        context = reports.context(F.when(F.col("sheet"), "stylesheet").otherwise("webpage"), F.col("link_type"))
+        judged = judged.select(F.lit(generation).alias("generation"), F.col("url").alias("page_url"), "ordinal", "link_type", context.alias("context"), "link", u["full_url"].alias("url"), u["filename"].alias("filename"), fr.priority(F.col("from"), kind == "webpage", urls.extension(u["filename"]), u["domain"], config.urlpriority, config.serverpriority).alias("priority"), "reject_reason", "start_url", "start_domain", "start_directory")
         judged = kept.put("verdicts", generation, judged)
         judgements.append(judged)
         best = F.min(F.struct("priority", "page_url", "ordinal", "link_type", "filename", "start_url", "start_domain", "start_directory")).alias("x")
@@ -205,13 +312,15 @@ def crawl(pages: DataFrame, seeds: DataFrame, config: CrawlConfig = CrawlConfig(
     ledger = reduce(DataFrame.unionByName, frontiers)
     if 0 <= config.maxfiles < count:
         ledger = fr.max_files(ledger, ["generation", "priority", "url"], config.maxfiles)
-    ledger = ledger.join(facts, "url", "left")
+    ledger = ledger.join(facts.drop("domain", "sha"), "url", "left")
+    repeated = reduce(DataFrame.unionByName, repeats, pages.sparkSession.createDataFrame([], "url string"))
+    ledger = ledger.join(repeated.withColumn("repeats", F.lit(True)), "url", "left")
     kind = urls.kind(F.col("filename"), F.col("link_type"))
     fetched = F.coalesce("fits", F.lit(False))
     wanted = rules.type_allowed(kind, html=config.html, images=config.images) & ((F.col("generation") == 0) | ~F.coalesce("worded", F.lit(False)))
     saved = fetched & wanted & F.lit(not config.simulate)
-    ledger = ledger.select("url", "generation", "priority", "parent_url", "start_url", "link_type", kind.alias("kind"), fetched.alias("fetched"), saved.alias("saved"), "n_bytes")
-    columns = "generation bigint, page_url string, ordinal int, link_type string, link string, url string, reject_reason string"
+    ledger = ledger.select("url", "generation", "priority", "parent_url", "start_url", "link_type", kind.alias("kind"), fetched.alias("fetched"), saved.alias("saved"), "n_bytes", F.coalesce("repeats", F.lit(False)).alias("repeats"))
+    columns = "generation bigint, page_url string, ordinal int, link_type string, context string, link string, url string, reject_reason string"
     none = pages.sparkSession.createDataFrame([], columns)
     return Crawl(ledger, reduce(DataFrame.unionByName, [j.select(*none.columns) for j in judgements], none))
 

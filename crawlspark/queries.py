@@ -7,15 +7,17 @@ them to each page's html (``RICH``) or makes the pages a site of linked names (`
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import links, urls
 from .operators import cache, dedupe, frontier, reports, robots, rules
-from .plans import crawl, stages
+from .plans import crawl, recrawl, stages
 from .sources import tables
 from .sources.config import CrawlConfig
-from .sources.scratch import durable
+from .sources.scratch import durable, shared_dir
 from .streaming import frontier as streaming
 
 QUERIES: dict = {}
@@ -564,3 +566,79 @@ SELECT page_id, mirror_url FROM r WHERE k <= 2""")
 def mirror_pick(spark, d):
     found = urls.mirror_urls(F.col("url"), {"https://": ["http://m1.net/a/", "http://m2.net/b/", "http://m3.net/"]})
     return _t(spark, d, "pages").select("page_id", F.explode(urls.pick_mirrors(found, 2, F.col("url"))).alias("mirror_url"))
+
+
+# Both engines: the site with a stylesheet on each page; stylesheets import each other and name pictures
+STYLED = """concat('<link rel="stylesheet" href="/css/s', page_id % 7, '.css">', html)"""
+SHEETS_SQL = """t AS (SELECT DISTINCT page_id % 7 k FROM pages), sheets AS (SELECT 'http://site.example.com/css/s' || k || '.css' src, 'http://site.example.com/css/t' || k || '.css' dst FROM t UNION ALL
+SELECT 'http://site.example.com/css/s' || k || '.css', 'http://site.example.com/css/bg' || k || '.png' FROM t UNION ALL SELECT 'http://site.example.com/css/t' || k || '.css', 'http://site.example.com/css/s' || ((k + 1) % 7) || '.css' FROM t UNION ALL
+SELECT 'http://site.example.com/css/t' || k || '.css', 'http://site.example.com/pic/' || k || '.gif' FROM t)"""
+
+
+def _styled(spark, d):
+    """The pages of the site and its stylesheets as (url, html)."""
+    site = _site(spark, d)
+    kinds = _t(spark, d, "pages").select((F.col("page_id") % 7).alias("k")).distinct()
+    k = F.col("k").cast("string")
+    s = kinds.select(F.concat(F.lit("http://site.example.com/css/s"), k, F.lit(".css")).alias("url"), F.concat(F.lit('@import "t'), k, F.lit('.css";\nbody { background: url(bg'), k, F.lit(".png) }")).alias("html"))
+    t = kinds.select(F.concat(F.lit("http://site.example.com/css/t"), k, F.lit(".css")).alias("url"), F.concat(F.lit("@import url('s"), ((F.col("k") + 1) % 7).cast("string"), F.lit(".css');\np { background: url(/pic/"), k, F.lit(".gif) }")).alias("html"))
+    return site, site.select("url", F.expr(STYLED).alias("html")).unionByName(s).unionByName(t)
+
+
+@query(f"""WITH RECURSIVE {SITE_SQL}, {SHEETS_SQL}, o AS (SELECT DISTINCT src, 'http://site.example.com/css/s' || (page_id % 7) || '.css' dst FROM c JOIN n USING (url)),
+every AS (SELECT src, dst FROM a UNION SELECT src, dst FROM o UNION SELECT src, dst FROM sheets),
+r AS (SELECT src url, 0 AS generation FROM s UNION SELECT dst, generation + 1 FROM r JOIN every ON src = r.url WHERE generation < 40), g AS (SELECT url, min(generation) AS generation FROM r GROUP BY url)
+SELECT g.url, generation, g.url IN (SELECT src FROM c UNION SELECT src FROM sheets) AS fetched,
+ CASE WHEN EXISTS (SELECT 1 FROM sheets WHERE dst = g.url AND src IN (SELECT url FROM g)) THEN CASE WHEN ends_with(g.url, '.css') THEN 'css2' ELSE 'css' END END AS sheet_context FROM g""")
+def crawl_css(spark, d):
+    """The crawl through stylesheets: what it takes, and the context in which a stylesheet leads there."""
+    site, pages = _styled(spark, d)
+    done = crawl.crawl(pages, site.orderBy("page_id").limit(1).select("url"), CrawlConfig.of(fetchlevel=0, urlfilter="-ment", junkfilter=False, maxfiles=-1))
+    by_sheet = done.verdicts.where("context IN ('css', 'css2')").select("url", F.col("context").alias("sheet_context")).distinct()
+    return done.ledger.select("url", "generation", "fetched").join(by_sheet, "url", "left")
+
+
+@query("""WITH x AS (SELECT 'http://h' || (page_id % 3) || '.example.org/d' || page_id url, page_id % 3 h, page_id % 5 body FROM pages),
+f AS (SELECT body, arg_min(h, url || '/index.html') h, min(url || '/index.html') first FROM x GROUP BY body),
+y AS (SELECT url, x.h = f.h AND url || '/index.html' <> first AS repeats FROM x JOIN f USING (body))
+SELECT url || '/index.html' AS url, 0 AS generation, repeats FROM y UNION ALL SELECT url || '/kid.html', 1, false FROM y WHERE NOT repeats""")
+def crawl_dedup(spark, d):
+    """Pages of three servers with five contents: only the first of a content on the first server that shows it is followed there."""
+    at = F.concat(F.lit("http://h"), (F.col("page_id") % 3).cast("string"), F.lit(".example.org/d"), F.col("page_id").cast("string"), F.lit("/index.html"))
+    pages = _t(spark, d, "pages").select(at.alias("url"), F.concat(F.lit("<p>"), (F.col("page_id") % 5).cast("string"), F.lit('</p><a href="kid.html">k</a>')).alias("html"))
+    done = crawl.crawl(pages, pages.select("url"), CrawlConfig.of(junkfilter=False, maxfiles=-1))
+    return done.ledger.select("url", "generation", "repeats")
+
+
+# Both engines: orders redirect to nearby keys of their block of 64; the low ones of some blocks lead up again
+MOVED = "o_orderkey - o_orderkey % 64 + CASE WHEN o_orderkey % 64 > o_custkey % 3 THEN o_orderkey % 64 - 1 - o_custkey % 3 ELSE 5 + o_custkey % 40 END"
+MOVES = "o_orderkey % 64 > o_custkey % 3 OR o_orderkey // 64 % 2 = 0"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT o_orderkey s, min({MOVED}) d FROM orders WHERE {MOVES} GROUP BY 1),
+r AS (SELECT s url, [s] path, d nxt FROM e UNION ALL SELECT url, list_append(path, nxt), d FROM r JOIN e ON s = nxt WHERE NOT list_contains(path, nxt)),
+z AS (SELECT url, arg_max(path, len(path)) path, arg_max(nxt, len(path)) nxt FROM r GROUP BY url),
+y AS (SELECT url, len(path) n, nxt, list_position(path, nxt) p, path FROM z)
+SELECT url, nxt AS target, CASE WHEN p IS NULL THEN n ELSE p - 1 END::BIGINT AS hops, p IS NOT NULL AS loop, CASE WHEN p IS NOT NULL THEN n - p + 1 END::BIGINT AS cycle,
+ CASE WHEN p IS NULL THEN least(n, 20) WHEN greatest(p - 2, 0) + n - p + 1 >= 20 THEN 20 ELSE greatest(p - 2, 0) + 4 * (n - p + 1) END::BIGINT AS followed, p IS NOT NULL OR n > 20 AS refused FROM y""")
+def redirect_contracted(spark, d):
+    """Redirect chains over orders by pointer doubling, with loops and the limits of repeats and redirects."""
+    moved = _t(spark, d, "orders").where(MOVES.replace("o_orderkey // 64", "o_orderkey div 64")).groupBy(F.col("o_orderkey").alias("src")).agg(F.min(F.expr(MOVED)).alias("dst"))
+    return frontier.redirects_followed(frontier.contracted(moved))
+
+
+@query(f"""WITH RECURSIVE {SITE_SQL}, r AS (SELECT src url, 0 AS generation FROM s UNION SELECT dst, generation + 1 FROM r JOIN a ON src = r.url WHERE generation < 40),
+m AS (SELECT src, arg_min(page_id, url) page_id, arg_min(html, url) html FROM c JOIN n USING (url) JOIN (SELECT page_id, html FROM pages) USING (page_id) GROUP BY src)
+SELECT DISTINCT r.url, CASE WHEN m.src IS NULL THEN 0 WHEN page_id % 3 = 2 THEN 1 WHEN page_id % 5 = 0 THEN 4 ELSE 3 END AS code, md5(CASE WHEN page_id % 3 = 2 THEN html || '<p>new</p>' ELSE html END) AS data_md5, page_id % 3 = 2 AS cached_anew FROM r LEFT JOIN m ON m.src = r.url""")
+def crawl_recrawl(spark, d):
+    """Two crawls in a row: the second gets a third of the pages as unmodified without data, a third unchanged and a third changed; some files are gone."""
+    site, options = _site(spark, d), CrawlConfig.of(fetchlevel=0, urlfilter="-ment", junkfilter=False, maxfiles=-1)
+    seeds, store = site.orderBy("page_id").limit(1).select("url"), f"{shared_dir(spark)}/crawlspark/recrawl-{uuid.uuid4().hex}"
+    first = site.select("url", "html", F.lit(200).alias("status"), F.timestamp_seconds(F.when(F.col("page_id") % 3 != 1, 1000)).alias("modified"))
+    recrawl.recrawl(first, seeds, store, options)
+    k = F.col("page_id") % 3
+    then = site.select("page_id", "url", F.when(k == 1, F.col("html")).when(k == 2, F.concat("html", F.lit("<p>new</p>"))).alias("html"), F.when(k == 0, 304).otherwise(200).alias("status"), F.timestamp_seconds(F.when(k == 2, 2000)).alias("modified"))
+    kept = crawl.canonical(site.where("page_id % 5 <> 0")).select(F.col("full_url").alias("url"))
+    done = recrawl.recrawl(then, seeds, store, options, on_disk=kept)
+    new = recrawl.read_cache(spark, store, done.version).join(recrawl.read_cache(spark, store, done.version - 1).select("url", F.col("sha").alias("before")), "url").select("url", (F.col("sha") != F.col("before")).alias("cached_anew"))
+    return done.outcomes.join(new, "url", "left").select("url", "code", F.md5("data").alias("data_md5"), "cached_anew")
