@@ -10,17 +10,21 @@ Features of an element are its name with each of its class and id words and its
 ``div.ad``, ``div#menu``, ``div@search``, and ``.ad`` for any name), and its name alone where it
 has none of these or is a side element by its meaning (``nav``). What lies outside the article counts for the outermost element that
 holds it but not the article, so ``li`` is not blamed for ``nav``; what lies inside counts
-for every element around it. The weight of a feature is the log of its words inside to
-those outside. A word whose context has a negative weight (the least of all elements around
-it counts) scores that weight, any other word the general gain of words; the tags of an element
-cost more the more of the uses of a feature lie outside. Words of negative score within the best region
-(an advert in the middle of an article) are no main text. Evidence against an element that
-holds an ``article`` or ``main`` is set aside, and so are class, id and role (and ``form``) of
-one that holds most words of the page: such an element is a wrapper.
+for every element around it, the article too. The weight of a feature is the log of its words inside to
+those outside. One more feature, ``BESIDE``, is that of words outside the only ``article`` of a page.
+
+A word scores the least negative weight of its features, the element nearest the bottom of the scale deciding; where none is negative,
+the general gain of words and the greatest weight around it. A tag costs what its name tells: the log of its share of all tokens outside to
+that inside, so links and lists are dear where articles hold few of them; in the scan for the region, side elements cost and give nothing. Within the best region the scan is repeated for
+the words alone, for the stretch of least sum, and what it finds (an advert in the middle of an article) is cut out, until nothing is below zero.
+
+What an element means is set aside where it encloses the main text by its structure: it holds the
+``article`` or ``main`` of the page, or, where there is none, the ``h1`` and a paragraph behind it, or every word
+of the page (for a ``form`` that nothing else speaks against: every word that is in no other side element). How much of a page an element holds otherwise makes no difference: comments may be longer than the article.
 
 Labelled pages cannot show every kind of side element, so the counts start from those of
-``PRIOR``: a few words outside for elements and names that are side elements by their
-meaning. What is learned outweighs it. Scripts, styles, titles and other raw text are no
+``PRIOR`` and ``PRIOR_TAGS``: a few words outside for elements and names that are side elements by their
+meaning, and a few tags of links, lists and controls. What is learned outweighs it. Scripts, styles, titles and other raw text are no
 words at all, up to the end of the page where they are not closed.
 
 Text of the region is split into blocks at block tags; character references are decoded,
@@ -38,6 +42,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -47,7 +52,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELLED = 400
-WORD_LEAST, TAG_LEAST, TAG_MOST = 0.2, 0.1, 12.0
+WORD_LEAST, TAG_LEAST, TAG_MOST = 0.2, 0.1, 2.0
+BESIDE = "beside the article"
 STRONG, WEAK = 50, 10  # words outside that the prior stands for
 
 # Elements whose content is raw text, no words of the page
@@ -63,6 +69,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words that count as seen outside the article before any page is read, by feature.
 PRIOR = {name: STRONG for name in SIDE} | {f"{mark}{w}": WEAK for mark in ".#@" for w in SIDE_WORDS}
 
+# Tags of links, lists and controls
+PRIOR_TAGS = {name: STRONG for name in "a li ul ol input option select label".split()}
+
 _SIDE = frozenset(SIDE)
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _ATTR = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
@@ -121,7 +130,7 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
 
 
 class _Page:
-    """Tokens with their word counts, and the closed elements as (first, last, features)."""
+    """Tokens with their word counts, and the closed elements as (first, last, features, whether the element encloses the main text)."""
 
     def __init__(self, page: str):
         self.parts = tokens(page)
@@ -135,83 +144,103 @@ class _Page:
                     ends[open_[name[1:]].pop()] = i
             elif kind == "tag" and name not in VOID:
                 open_.setdefault(name, []).append(i)
-        marks = [i for i in sorted(ends) if self.parts[i][1] in ("article", "main")]
-        self.articles = [(i, ends[i]) for i in marks]
-        self.elements, reach, m = [], -1, 0
-        for i in sorted(ends):
-            name, attrs = self.parts[i][1], self.parts[i][2]
-            within = i < reach
-            if name in ("article", "main"):
-                reach = max(reach, ends[i])
-            while m < len(marks) and marks[m] < i:
-                m += 1
-            holds = m < len(marks) and marks[m] <= ends[i]
-            features = _features(name, attrs)
-            if name == "header" and within:  # that of the article, not of the page
+        starts = sorted(ends)
+        marks = [i for i in starts if self.parts[i][1] in ("article", "main")]
+        heads = [] if marks else [i for i in starts if self.parts[i][1] == "h1"]
+        paragraphs = [i for i, (kind, name, _) in enumerate(self.parts) if kind == "tag" and name == "p"]
+        self.articles = [(i, ends[i]) for i in marks if self.parts[i][1] == "article"]
+        self.elements, reach, aside, side = [], -1, -1, set()
+        for i in starts:
+            name, end = self.parts[i][1], ends[i]
+            features = _features(name, self.parts[i][2])
+            if name == "header" and i < reach:  # that of the article, not of the page
                 features[-1] = "header in article"
-            self.elements.append((i, ends[i], features, holds))
+            if name in ("article", "main"):
+                reach = max(reach, end)
+                if i < aside:
+                    side.add(i)
+            if name in _SIDE:
+                aside = max(aside, end)
+            encloses = _first(marks, i) <= end
+            if heads and (head := _first(heads, i)) <= end and name not in _SIDE:
+                encloses = _first(paragraphs, head) <= end
+            self.elements.append((i, end, features, encloses or self.count(i, end) == self.upto[-1]))
+        only = [a for a in self.articles if a[0] not in side]
+        self.article = only[0] if len(only) == 1 and len(self.articles) == 1 else None
 
     def count(self, first: int, end: int) -> int:
         return self.upto[end] - self.upto[first]
 
 
+def _first(places: list[int], at: int) -> float:
+    """The first of some rising places from ``at`` on."""
+    k = bisect_left(places, at)
+    return places[k] if k < len(places) else math.inf
+
+
 class Weights:
-    """The gain of a word, the weight of each context and the cost of each tag."""
-
-    def __init__(self, inside: Counter, outside: Counter, tag_in: Counter, tag_out: Counter, prior: dict[str, int] = PRIOR):
-        share = (inside[""] + 1) / (inside[""] + outside[""] + 2)
-        self.word = max(WORD_LEAST, math.log(share / 0.5) if share > 0.5 else 0)
-        weights = {f: math.log((inside[f] + 1) / (outside[f] + prior.get(f, 0) + 1)) for f in {*inside, *outside, *prior} if f}
-        self.context = {f: w for f, w in weights.items() if w < 0}
-        self.tag = {t: -min(TAG_MOST, max(TAG_LEAST, math.log((tag_out[t] + 0.5) / (tag_in[t] + 0.5)) + TAG_LEAST)) for t in {*tag_in, *tag_out}}
+    """The gain of a word, the weight of each feature and the cost of each tag."""
+
+    def __init__(self, inside: Counter, outside: Counter, tag_in: Counter, tag_out: Counter, prior: dict[str, int] = PRIOR, prior_tags: dict[str, int] = PRIOR_TAGS):
+        self.context = {f: math.log((inside[f] + 1) / (outside[f] + prior.get(f, 0) + 1)) for f in {*inside, *outside, *prior, BESIDE} if f}
+        tag_out = tag_out + Counter(prior_tags)
+        n_in, n_out = inside[""] + tag_in.total() + 1, outside[""] + tag_out.total() + 1
+        share = math.log((inside[""] + 1) / n_in / ((outside[""] + 1) / n_out))
+        self.word = max(WORD_LEAST, share)
+        self.tag = {t: -min(TAG_MOST, max(TAG_LEAST, math.log((tag_out[t] + 1) / n_out / ((tag_in[t] + 1) / n_in)))) for t in {*tag_in, *tag_out}}
         self.unknown = -TAG_LEAST  # nothing is known against it
 
     @classmethod
-    def learned(cls, pages: list[str], prior: dict[str, int] = PRIOR) -> Weights:
+    def learned(cls, pages: list[str], prior: dict[str, int] = PRIOR, prior_tags: dict[str, int] = PRIOR_TAGS) -> Weights:
         inside, outside, tag_in, tag_out = Counter(), Counter(), Counter(), Counter()
         for html in pages:
             page = _Page(html)
-            marked = [(a, b) for a, b in page.articles if page.parts[a][1] == "article"]
-            if len(marked) != 1:
+            if len(page.articles) != 1:
                 continue
-            (a, b), done = marked[0], -1
-            inside[""] += page.count(a, b)
-            outside[""] += page.upto[-1] - page.count(a, b)
+            (a, b), done = page.articles[0], -1
+            n = page.count(a, b)
+            inside[""] += n
+            outside[""] += page.upto[-1] - n
+            outside[BESIDE] += page.upto[-1] - n
+            for i, (kind, name, _) in enumerate(page.parts):
+                if kind == "tag":
+                    (tag_in if a <= i <= b else tag_out)[name.lstrip("/")] += 1
             for i, end, features, _ in page.elements:
-                if i == a:
-                    continue
-                if i > a and end < b:
+                if a <= i and end <= b:
                     for f in features:
                         inside[f] += page.count(i, end)
-                    tag_in.update(features)
                 elif i < a and end > b:
                     for f in features:
-                        inside[f] += page.count(a, b)
+                        inside[f] += n
                 elif i > done:  # the outermost element beside the article
                     done = end
                     for f in features:
                         outside[f] += page.count(i, end)
-                    tag_out.update(features)
-        return cls(inside, outside, tag_in, tag_out, prior)
-
-    def scores(self, page: _Page) -> list[float]:
-        """The score of every token of a page."""
-        found = [self.word * n if k == "text" else self.unknown for (k, _, _), n in zip(page.parts, page.words, strict=True)]
-        against = []
-        for i, end, features, holds in page.elements:
-            found[i] = found[end] = min(self.tag.get(f, self.unknown) for f in features)
-            if holds:
-                continue
-            if 2 * page.count(i, end) > page.upto[-1]:  # only what the element means by itself
-                features = [f for f in features if f == page.parts[i][1] != "form"]
-            w = min((self.context.get(f, 0.0) for f in features), default=0.0)
-            if w < 0:
+        return cls(inside, outside, tag_in, tag_out, prior, prior_tags)
+
+    def scores(self, page: _Page) -> tuple[list[float], list[float]]:
+        """The score of every token of a page; the same for the scan for the best region, which passes over side elements at no cost."""
+        found = [self.word * n if k == "text" else self.tag.get(v.lstrip("/"), self.unknown) for (k, v, _), n in zip(page.parts, page.words, strict=True)]
+        against, gains, forms = [], [0.0] * (len(found) + 1), set()
+        for i, end, features, encloses in page.elements:
+            weights = [self.context.get(f, 0.0) for f in features]
+            if not encloses and (w := min(weights)) < 0:
                 against.append((w, i, end))
+                if page.parts[i][1] == "form" and min((w for f, w in zip(features, weights, strict=True) if f != "form"), default=0.0) >= 0:
+                    forms.add(against[-1])
+        if page.article:
+            against += [(self.context[BESIDE], 0, page.article[0]), (self.context[BESIDE], page.article[1], len(found))]
+            if (w := self.context.get("article", 0.0)) > 0:
+                gains[page.article[0] : page.article[1]] = [w] * (page.article[1] - page.article[0])
+        found = [x + g * n for x, g, n in zip(found, gains, page.words, strict=False)]
+        if forms and not _uncovered(page.words, against):  # a form around all that is in no other side element
+            against = [x for x in against if x not in forms]
+        passed = list(found)
         # the least weight first; each token is set once, later ones skip over it
         free = list(range(len(found) + 1))
         for w, i, end in sorted(against):
             at = i
-            while True:
+            while w < 0:
                 root = at
                 while free[root] != root:
                     root = free[root]
@@ -219,10 +248,21 @@ class Weights:
                     free[at], at = root, free[at]
                 if root >= end:
                     break
+                passed[root] = 0.0
                 if page.words[root]:
                     found[root] = w * page.words[root]
                 free[root] = at = root + 1
-        return found
+        return found, passed
+
+
+def _uncovered(words: list[int], spans: list[tuple[float, int, int]]) -> bool:
+    """Whether a word lies in none of some spans (weight, first, end)."""
+    upto = -1
+    for _, first, end in sorted(spans, key=lambda x: x[1]):
+        if any(words[max(upto, 0) : first]):
+            return True
+        upto = max(upto, end)
+    return any(words[max(upto, 0) :])
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -237,14 +277,41 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def stretches(scores: list[float]) -> list[tuple[int, int]]:
+    """The contiguous stretch of least sum, and again those of what is left on both sides of it, until no sum is below zero; (first, end) in order.
+
+    One scan: the stretches so far lie on a stack, and a new one takes in those back to the last that began higher, if it ends lower. Each knows that one, so nothing is passed twice.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # first, end, sum before it, sum after it, the last one that began higher
+    total = 0.0
+    for i, s in enumerate(scores):
+        before, total = total, total + s
+        if s >= 0:
+            continue
+        new = (i, i + 1, before, total)
+        while True:
+            k = len(found) - 1
+            while k >= 0 and found[k][2] <= new[2]:
+                k = found[k][4]
+            if k < 0 or found[k][3] <= new[3]:
+                found.append((*new, k))
+                break
+            new = (found[k][0], new[1], found[k][2], new[3])
+            del found[k:]
+    return [f[:2] for f in found]
+
+
 def main_text(html: str | None, weights: Weights) -> str:
     page = _Page(html or "")
-    scores = weights.scores(page)
-    first, end = best_region(scores)
+    scores, passed = weights.scores(page)
+    first, end = best_region(passed)
+    parts = page.parts[first:end]
+    said = [k for k, (kind, _, _) in enumerate(parts) if kind == "text" and page.words[first + k]]
+    cut = {k for a, b in stretches([scores[first + k] for k in said]) for k in said[a:b]}
     blocks, held = [], []
-    for (kind, value, _), score in [*zip(page.parts[first:end], scores[first:end], strict=True), (("tag", "p", ""), 0.0)]:
+    for k, (kind, value, _) in enumerate([*parts, ("tag", "p", "")]):
         if kind == "text":
-            if score >= 0:
+            if k not in cut:
                 held.append(value)
         elif value.lstrip("/") in BLOCK:
             if text := " ".join(entities.unescape("".join(held)).split()):

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crawlspark.llm import language_id, personal_data, sharding, spelling, whitening
+from crawlspark.llm import html_main_text, language_id, personal_data, sharding, spelling, whitening
 from crawlspark.llm.common import table
 
 DIR = "/root/testdata/sf0.001"
@@ -339,3 +339,65 @@ def test_a_version_is_seen_whole_or_not_at_all(spark, tmp_path):
     assert store.version() == 1 and store.read().count() == 20
     store.append(docs)
     assert store.version() == 2 and store.read().count() == 40
+
+
+# --- main text by scans
+
+
+def brute_stretches(scores):
+    """By the definition: the least contiguous sum (the shortest, then first of equals), then both sides."""
+    best = min(((sum(scores[a:b]), b - a, a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0, 0, 0))
+    if best[0] >= 0:
+        return []
+    a, b = best[2], best[2] + best[1]
+    return brute_stretches(scores[:a]) + [(a, b)] + [(x + b, y + b) for x, y in brute_stretches(scores[b:])]
+
+
+def test_stretches_equal_their_definition():
+    rnd = random.Random(3)
+    for _ in range(400):
+        scores = [rnd.uniform(-3, 3) for _ in range(rnd.randint(0, 14))]
+        assert html_main_text.stretches(scores) == brute_stretches(scores)
+    assert len(html_main_text.stretches([-1.0, 2.0] * 100_000)) == 100_000
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return html_main_text.fit(table(spark, "/root/testdata/sf0.01", "pages"))
+
+
+SENTENCE = "The quick brown fox jumps over the lazy dog near the river bank today."
+BODY = "".join(f"<p>{SENTENCE} {i}</p>" for i in range(4))
+TEXT = "\n".join(f"{SENTENCE} {i}" for i in range(4))
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div class='story'>{}</div>", "{}", "<main>{}</main>"])
+@pytest.mark.parametrize("learned", [True, False])
+@pytest.mark.parametrize("n", [1, 4, 5, 30, 300])
+def test_comments_and_menus_longer_than_the_article_stay_out(weights, wrap, learned, n):
+    w = weights if learned else html_main_text.Weights.learned([])
+    comments = "".join(f"<div class='comment'><b>Reader {i}</b><p>I do not agree with this at all, said the man from far away.</p></div>" for i in range(n))
+    menu = "<div class='menu'>" + "word and word again " * 2 * n + "</div>"
+    for page in (wrap.format(BODY) + f"<div class='comments'>{comments}</div>", menu + wrap.format(BODY), f"<body>{menu}{wrap.format(BODY)}<section id='comments'>{comments}</section><footer>{'legal words ' * n}</footer></body>"):
+        assert html_main_text.main_text(page, w) == TEXT
+
+
+def test_wrappers_by_structure_and_unknown_side_blocks(weights):
+    main_text = html_main_text.main_text
+    assert main_text(f"<form id='f'><div class='ad page'><h1>Head</h1>{BODY}</div><nav>a b</nav></form>", weights) == f"Head\n{TEXT}"  # holds the heading and paragraphs
+    assert main_text(f"<body class='comments'>{BODY}</body>", weights) == TEXT  # holds every word
+    box = "<div class='taboola-box'>" + "<a href='x'>You will not believe it</a> " * 9 + "</div>"
+    bottom = f"<div class='page-bottom'>{SENTENCE * 9}</div>"
+    assert main_text(f"{box}<article>{BODY}</article>{bottom}", weights) == TEXT
+    links = "<ul class='zz'>" + "<li><a href='x'>Old story</a></li>" * 9 + "</ul>"
+    assert main_text(f"{links}<div>{BODY}</div>{links}", weights) == TEXT  # the scan, as nothing is known of zz
+    assert main_text(f"<article><p>{SENTENCE} 0</p><div class='ad'>Buy {SENTENCE * 20}</div>" + "".join(f"<p>{SENTENCE} {i}</p>" for i in (1, 2, 3)) + "</article>", weights) == TEXT
+    assert main_text("<nav>a b c</nav><footer>d</footer>", weights) == "" and main_text("<div class='comments'><p>one two</p></div><nav>x</nav>", weights) == ""
+
+
+def test_the_scan_decides(spark, weights, monkeypatch):
+    """With the whole page in place of the best region, link lists outside come out on pages without article."""
+    html = [re.sub(r"(?i)<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", r.html) for r in table(spark, "/root/testdata/sf0.01", "pages").select("html").collect()]
+    by_scan = [html_main_text.main_text(h, weights) for h in html]
+    monkeypatch.setattr(html_main_text, "best_region", lambda scores: (0, len(scores)))
+    assert sum(a != html_main_text.main_text(h, weights) for a, h in zip(by_scan, html, strict=True)) > 0.9 * len(html)
