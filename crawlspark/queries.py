@@ -499,9 +499,9 @@ def term_search(spark, d):
     return reports.term_search(reports.postings(_t(spark, d, "documents"), "doc_id", "text"), "doc_id", ["license", "mit"])
 
 
-@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') a FROM documents), u AS (SELECT doc_id, unnest(a) term, generate_subscripts(a, 1) - 1 p FROM t) SELECT term, doc_id, count(*) AS uses, min(p) AS \"first\" FROM u WHERE term LIKE 'l%' GROUP BY ALL")
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') a FROM documents), u AS (SELECT doc_id, unnest(a) term, generate_subscripts(a, 1) - 1 p FROM t) SELECT term, doc_id, count(*) AS uses, min(p) AS \"first\" FROM u GROUP BY ALL")
 def index_postings(spark, d):
-    return reports.postings(_t(spark, d, "documents"), "doc_id", "text").where("term like 'l%'")
+    return reports.postings(_t(spark, d, "documents"), "doc_id", "text")
 
 
 @query("""SELECT page_id, md5(CASE WHEN instr(html, 'href="/the"') > 0 THEN substr(html, 1, instr(html, 'href="/the"') - 1) || 'href="the.html"' || substr(html, instr(html, 'href="/the"') + 11) ELSE html END) AS html_md5 FROM pages""")
@@ -642,3 +642,62 @@ def crawl_recrawl(spark, d):
     done = recrawl.recrawl(then, seeds, store, options, on_disk=kept)
     new = recrawl.read_cache(spark, store, done.version).join(recrawl.read_cache(spark, store, done.version - 1).select("url", F.col("sha").alias("before")), "url").select("url", (F.col("sha") != F.col("before")).alias("cached_anew"))
     return done.outcomes.join(new, "url", "left").select("url", "code", F.md5("data").alias("data_md5"), "cached_anew")
+
+
+def _listed(values, key: str) -> str:
+    """SQL of both engines: the value that a key picks from a fixed list, in turn."""
+    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"CASE {key} % {len(values)} {whens} END"
+
+
+# Both engines: every link of a page as a URL on a junk server, below one, or on the page's own server in one of some folders
+_FOLDERS = ("/", "/popupads/", "/htmlad/", "/banners/world-banners/", "/doc/", "/bar/siteads/")
+JUNK_HOST = f"CASE page_id % 3 WHEN 0 THEN {_listed(rules.DOMAINS, 'page_id')} WHEN 1 THEN concat('a.', {_listed(rules.DOMAINS, 'page_id')}) ELSE concat('www.site', page_id, '.org') END"
+JUNK_URL = f"concat('http://', host, {_listed(_FOLDERS, 'page_id')}, ltrim(href, '/'))"
+_IN_DOMAINS = ", ".join(f"'{x}'" for x in rules.DOMAINS)
+
+
+@query(rf"""WITH x AS (SELECT page_id, {JUNK_HOST} host, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1)) href FROM pages),
+u AS (SELECT DISTINCT page_id, host, {JUNK_URL} url, CASE WHEN len(string_split(host, '.')) > 2 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END base FROM x)
+SELECT page_id, url, CASE WHEN host IN ({_IN_DOMAINS}) THEN 'domain' WHEN base IN ({_IN_DOMAINS}) THEN 'base-domain' WHEN {' OR '.join(f"regexp_matches(url, '{p}')" for p in rules.PATTERNS)} THEN 'pattern' END AS reason FROM u""")
+def junk_links(spark, d):
+    """Every link of the pages against the whole lists of junk servers and patterns."""
+    found = _t(spark, d, "pages").select("page_id", F.expr(JUNK_HOST).alias("host"), F.explode(links.hrefs(F.col("html"))).alias("href"))
+    u = found.select("page_id", "host", F.expr(JUNK_URL.replace("ltrim(href, '/')", "ltrim('/', href)")).alias("url")).distinct()
+    return u.select("page_id", "url", rules.junk_reason(F.col("url"), F.col("host"), urls.base_domain(F.col("host"))).alias("reason"))
+
+
+_NAMES = (".GIF", ".pdf", ".css", "", ".html", ".jpg", ".xyz", ".txt", ".php", ".svg")
+_TYPES = ("generic", "image", "anchor", "stylesheet", "document", "frame", "webpage")
+_ENDS = lambda xs: " OR ".join(f"ends_with(lower(name), '{x}')" for x in xs)
+
+
+@query(f"""WITH x AS (SELECT page_id, 'f' || page_id || {_listed(_NAMES, 'page_id')} AS name, {_listed(_TYPES, 'page_id')} AS typ FROM pages)
+SELECT page_id, CASE WHEN typ IN ('image', 'stylesheet', 'document', 'webpage') THEN typ WHEN typ IN ('anchor', 'frame') THEN 'webpage' WHEN {_ENDS(urls.IMAGE_EXTENSIONS)} THEN 'image' WHEN {_ENDS(urls.DOCUMENT_EXTENSIONS)} THEN 'document' ELSE 'webpage' END AS kind FROM x""")
+def page_kinds(spark, d):
+    """The kind of a file for every page, by link type and extension."""
+    x = _t(spark, d, "pages").select("page_id", F.expr(f"concat('f', page_id, {_listed(_NAMES, 'page_id')})").alias("name"), F.expr(_listed(_TYPES, "page_id")).alias("typ"))
+    return x.select("page_id", urls.kind(F.col("name"), F.col("typ")).alias("kind"))
+
+
+_MIMES = ("text/html; charset=utf-8", "image/png", " Text/CSS", "", "application/pdf", "application/zip", "application/javascript", "application/xhtml+xml")
+_STATUSES = ("200", "304", "401", "404", "407", "418", "500", "502", "503", "504", "301")
+
+
+@query(f"""WITH x AS (SELECT event_id, lower(trim(string_split({_listed(_MIMES, 'event_id')}, ';')[1])) m, ({_listed(_STATUSES, 'event_id')})::INT status FROM events)
+SELECT event_id, CASE WHEN m = '' THEN 'webpage' WHEN starts_with(m, 'image/') THEN 'image' WHEN m = 'text/css' THEN 'stylesheet' WHEN contains(m, 'javascript') THEN 'javascript' WHEN contains(m, 'html') THEN 'webpage' WHEN m = 'application/pdf' THEN 'document' ELSE 'file' END AS kind,
+ status IN (401, 404, 407) OR status BETWEEN 500 AND 504 AS fatal, CASE WHEN status < 300 THEN 'ok' WHEN status = 304 THEN 'not_modified' WHEN status IN (404, 503, 504) THEN 'add_to_filter' WHEN status = 401 THEN 'stop' WHEN status = 407 THEN 'proxy' WHEN status BETWEEN 500 AND 502 THEN 'give_up' ELSE 'retry' END AS action FROM x""")
+def response_classify(spark, d):
+    """Kind by MIME type, and what follows from the status, for every event taken as a response."""
+    x = _t(spark, d, "events").select("event_id", F.expr(_listed(_MIMES, "event_id")).alias("m"), F.expr(_listed(_STATUSES, "event_id")).cast("int").alias("status"))
+    fatal, action = rules.error_action(F.col("status"))
+    return x.select("event_id", urls.mime_kind(F.col("m"), F.lit("webpage")).alias("kind"), fatal.alias("fatal"), action.alias("action"))
+
+
+@query(rf"""WITH {PARTS}, x AS (SELECT page_id, 'http://' || host || '/d' || page_id || '.ars' AS ars, url || ' and  more' AS spaced FROM p)
+SELECT page_id, ars || '/' AS ars_url, CASE WHEN regexp_matches(spaced, '\w+\s+\w+') THEN regexp_replace(spaced, '\s', '%20', 'g') ELSE spaced END AS valid FROM x""")
+def url_ars_and_spaces(spark, d):
+    """A directory by its extension, and white space within a URL, for every page."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    p = urls.parsed(_t(spark, d, "pages"), F.concat(F.lit("http://"), host, F.lit("/d"), F.col("page_id").cast("string"), F.lit(".ars")), "p")
+    return p.select("page_id", urls.full_url(F.col("p")).alias("ars_url"), urls.valid_url(F.concat("url", F.lit(" and  more"))).alias("valid"))
