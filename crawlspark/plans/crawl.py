@@ -341,7 +341,7 @@ def localised(pages: DataFrame, saved: DataFrame, config: CrawlConfig = CrawlCon
     own = urls.parsed(joined, F.col("url"), "_p").withColumn("_own", urls.full_filename(F.col("_p")))
     local = F.concat(F.lit(f"file://{root}/"), F.col("_file")) if config.localise == 1 else urls.relative_filename(F.col("_file"), F.col("_own"))
     target = F.concat(F.when(F.col("_saved"), local).otherwise(F.col("u.full_url")), F.col("u.anchor"))
-    children = own.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.col("link").alias("original"), target.alias("replacement")))), lambda c: F.struct(c["original"].alias("original"), c["replacement"].alias("replacement"))).alias("_children"))
+    children = own.groupBy("url").agg(F.transform(F.array_sort(F.collect_set(F.struct("ordinal", F.col("link").alias("original"), target.alias("replacement")))), lambda c: F.struct(c["original"].alias("original"), c["replacement"].alias("replacement"))).alias("_children"))
     empty = F.array().cast("array<struct<original:string,replacement:string>>")
     return pages.join(children, "url", "left").withColumn("html", reports.localise(F.col("html"), F.coalesce("_children", empty))).drop("_children")
 

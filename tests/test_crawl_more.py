@@ -100,3 +100,10 @@ def test_the_second_crawl_reads_the_cache(spark, tmp_path):
 def test_one_page_takes_the_least_of_each_key(spark):
     df = spark.createDataFrame([("k", "b", 1), ("k", "a", 2), ("l", "z", 3)], "key string, url string, n int")
     assert {tuple(r) for r in crawl.one_page(df, "key").select("key", "url", F.col("n")).collect()} == {("k", "a", 2), ("l", "z", 3)}
+
+
+def test_rows_that_repeat_a_page_are_localised_alike(spark):
+    pages = site(spark, {"d/i.html": '<a href="x.html">1</a><a href="y.html">2</a>'})
+    saved = site(spark, {"d/x.html": ""})
+    got = [r.html for r in crawl.localised(pages.unionByName(pages), saved).collect()]
+    assert len(got) == 2 and set(got) == {r.html for r in crawl.localised(pages, saved).collect()} == {'<a href="x.html">1</a><a href="http://a.org/d/y.html">2</a>'}
