@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import links, urls
-from .operators import cache, dedupe, frontier, reports, robots, rules
+from .operators import cache, dedupe, frontier, reports, robots, rules, search
 from .plans import crawl, recrawl, stages
 from .sources import tables
 from .sources.config import CrawlConfig
@@ -504,6 +504,38 @@ def index_postings(spark, d):
     return reports.postings(_t(spark, d, "documents"), "doc_id", "text")
 
 
+# SQL: the index of the documents and the terms of the benchmark's items
+INDEX = r"""a AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') t FROM documents), l AS (SELECT doc_id, len(t) n FROM a WHERE len(t) > 0),
+i AS (SELECT doc_id, term, count(*) uses FROM (SELECT doc_id, unnest(t) term FROM a) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term FROM benchmark))"""
+
+
+@query(rf"""WITH {INDEX}, z AS (SELECT count(*) n, avg(n) mean FROM l), w AS (SELECT term, ln(1 + (any_value(z.n) - count(*) + 0.5) / (count(*) + 0.5)) idf FROM i, z WHERE term IN (SELECT term FROM q) GROUP BY term),
+p AS (SELECT item_id, doc_id, term, idf * uses * 2.2 / (uses + 1.2 * (0.25 + 0.75 * l.n / mean)) x FROM q JOIN w USING (term) JOIN i USING (term) JOIN l USING (doc_id), z),
+s AS (SELECT item_id, doc_id, round(list_sum(list(x ORDER BY term)), 9) score FROM p GROUP BY ALL)
+SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
+def ranked_search(spark, d):
+    """The ten documents that answer each item of the benchmark best."""
+    wanted = search.asked(_t(spark, d, "benchmark"), "item_id", "text")
+    best = search.ranked(durable(search.index(_t(spark, d, "documents"), "doc_id", "text")), "doc_id", wanted, "item_id", 10)
+    return best.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '  ') || ' ' t FROM documents), q AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '  ') || ' ' p FROM benchmark)
+SELECT item_id, doc_id, (len(t) - len(replace(t, p, ''))) // len(p) AS uses FROM q JOIN a ON contains(t, p)""")
+def phrase_search(spark, d):
+    """The documents that hold the words of a benchmark item one after the other, and how often."""
+    wanted = search.asked(_t(spark, d, "benchmark"), "item_id", "text")
+    return search.phrases(durable(search.index(_t(spark, d, "documents"), "doc_id", "text")), "doc_id", wanted, "item_id")
+
+
+@query()
+def stemmed_index(spark, d):
+    """How many documents and uses each stem has, stop words excluded."""
+    held = search.index(_t(spark, d, "documents"), "doc_id", "text", reports.STOP_WORDS, stemmed=True)
+    return held.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("uses").alias("n_uses"))
+
+
 @query("""SELECT page_id, md5(CASE WHEN instr(html, 'href="/the"') > 0 THEN substr(html, 1, instr(html, 'href="/the"') - 1) || 'href="the.html"' || substr(html, instr(html, 'href="/the"') + 11) ELSE html END) AS html_md5 FROM pages""")
 def localise_links(spark, d):
     child = F.array(F.struct(F.lit("/the").alias("original"), F.lit("the.html").alias("replacement")))
