@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import markup
 from .base import let
 from .urls import IMAGE_EXTENSIONS
 
@@ -52,11 +53,27 @@ def html_links(html: Column, tags: dict[str, tuple[str, str]] = LINK_TAGS) -> Co
     def one(tag: Column) -> Column:
         name = F.lower(F.regexp_extract(tag, r"^<(\w+)", 1))
         value = F.coalesce(*[F.when(name == t, attribute(tag, a)) for t, (a, _) in tags.items()])
-        rel = F.lower(attribute(tag, "rel"))
-        typ = F.coalesce(F.when(name == "link", F.when(rel == "stylesheet", "stylesheet").otherwise("generic")), *[F.when(name == t, F.lit(k)) for t, (_, k) in tags.items()])
-        return let(F.struct(typ.alias("t"), F.trim(value).alias("v"), name.alias("n")), _typed)
+        return _link(name, value, attribute(tag, "rel"), tags)
 
-    def _typed(x: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(start_tags(visible(html), list(tags)), one)))
+
+
+def strict_links(html: Column, tags: dict[str, tuple[str, str]] = LINK_TAGS) -> Column:
+    """As ``html_links``, from the tokenizer of ``markup``: it also reads markup that expressions take wrongly."""
+
+    def one(tag: Column) -> Column:
+        held = lambda a: F.coalesce(F.try_element_at(tag["attributes"], F.lit(a)), F.lit(""))
+        value = F.coalesce(*[F.when(tag["name"] == t, held(a)) for t, (a, _) in tags.items()])
+        return _link(tag["name"], value, held("rel"), tags)
+
+    return F.array_distinct(F.flatten(F.transform(markup.strict_tags(html, list(tags)), one)))
+
+
+def _link(name: Column, value: Column, rel: Column, tags: dict[str, tuple[str, str]]) -> Column:
+    """The links of one tag: none, one, or the two of an anchor."""
+    typ = F.coalesce(F.when(name == "link", F.when(F.lower(rel) == "stylesheet", "stylesheet").otherwise("generic")), *[F.when(name == t, F.lit(k)) for t, (_, k) in tags.items()])
+
+    def typed(x: Column) -> Column:
         link = lambda t, v: F.struct(t.alias("type"), v.alias("url"))
         anchored = (x["n"] == "a") & (F.instr(x["v"], "#") > 0)
         page = F.regexp_extract(x["v"], r"(?i)^(.*\.html?)#", 1)
@@ -64,17 +81,17 @@ def html_links(html: Column, tags: dict[str, tuple[str, str]] = LINK_TAGS) -> Co
         both = F.when(page != "", F.array(link(F.lit("anchor"), x["v"]), link(F.lit("webpage"), page))).otherwise(F.array(link(F.lit("anchor"), x["v"])))
         return F.when(x["v"] == "", no_links()).otherwise(F.when(anchored, both).otherwise(plain))
 
-    return F.array_distinct(F.flatten(F.transform(start_tags(visible(html), list(tags)), one)))
+    return let(F.struct(typ.alias("t"), F.trim(value).alias("v"), name.alias("n")), typed)
 
 
 def no_links() -> Column:
     return F.array().cast("array<struct<type:string,url:string>>")
 
 
-def all_links(html: Column, tags: dict[str, tuple[str, str]] = LINK_TAGS, images: bool = True, javascript: bool = True, applets: bool = True) -> Column:
+def all_links(html: Column, tags: dict[str, tuple[str, str]] = LINK_TAGS, images: bool = True, javascript: bool = True, applets: bool = True, strict: bool = False) -> Column:
     """array<struct<type, url>>: script redirects, then the refresh target, tags and applets, images last.
 
-    Without ``images`` links of type image go, and so do others whose extension is that of an image.
+    Without ``images`` links of type image go, and so do others whose extension is that of an image. ``strict`` takes the tags from the tokenizer.
     """
     typed = lambda urls, t: F.transform(urls, lambda u: F.struct(F.lit(t).alias("type"), u.alias("url")))
     refresh = let(meta_refresh(html), lambda r: F.when(r.isNotNull(), typed(F.array(r), "generic")).otherwise(no_links()))
@@ -87,7 +104,7 @@ def all_links(html: Column, tags: dict[str, tuple[str, str]] = LINK_TAGS, images
         pattern = r"(?i)(?:" + "|".join(e.replace(".", r"\.") for e in IMAGE_EXTENSIONS) + ")$"
         return F.array_distinct(F.filter(plain, lambda x: ~x["url"].rlike(pattern)))
 
-    return let(html_links(html, tags), joined)
+    return let(strict_links(html, tags) if strict else html_links(html, tags), joined)
 
 
 def hrefs(html: Column) -> Column:
@@ -95,19 +112,27 @@ def hrefs(html: Column) -> Column:
     return F.filter(F.transform(start_tags(visible(html), ["a"]), lambda t: attribute(t, "href")), lambda v: v != "")
 
 
+def _meta(html: Column, by: str, value: str) -> Column:
+    """The content of the first ``meta`` whose attribute ``by`` has this value, in any order of its attributes; null where there is none."""
+    fitting = F.filter(start_tags(html, ["meta"]), lambda t: F.lower(attribute(t, by)) == value)
+    return let(F.get(fitting, 0), lambda t: F.when(t.isNotNull(), attribute(t, "content")))
+
+
 def meta_refresh(html: Column) -> Column:
     """The URL of ``<meta http-equiv=refresh content="n; URL=x">`` with exactly one semicolon."""
-    return F.nullif(F.regexp_extract(html, r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh[^>]*content\s*=\s*[\"'][^\"';]*;\s*url\s*=\s*([^\"';]+)[\"']", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_meta(html, "http-equiv", "refresh"), r"(?is)^[^\"';]*;\s*url\s*=\s*([^\"';]+)$", 1), F.lit(""))
 
 
 def meta_robots(html: Column) -> Column:
     """struct(nofollow, noindex)."""
-    content = F.lower(F.regexp_extract(html, r"(?is)<meta\b[^>]*name\s*=\s*[\"']?robots[\"']?[^>]*content\s*=\s*[\"']([^\"']*)", 1))
+    content = F.coalesce(F.lower(_meta(html, "name", "robots")), F.lit(""))
     return F.struct((F.instr(content, "nofollow") > 0).alias("nofollow"), (F.instr(content, "noindex") > 0).alias("noindex"))
 
 
 def title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>([^<]*)", 1))
+    """The text up to ``</title>``, markup in it included; up to the next tag where the end tag is missing."""
+    closed = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    return F.trim(F.when(closed != "", closed).otherwise(F.regexp_extract(html, r"(?is)<title\b[^>]*>([^<]*)", 1)))
 
 
 def base_href(html: Column) -> Column:

@@ -44,8 +44,8 @@ def decode_entities(url: Column) -> Column:
 
 
 def percent_decoded(s: Column) -> Column:
-    """Every ``%xx`` decoded, other characters (``+`` too) kept; a bad escape leaves the string as it is."""
-    guarded = F.replace(s, F.lit("+"), F.lit("%2B"))
+    """Every ``%xx`` decoded; other characters (``+`` and a ``%`` without two hex digits too) are kept."""
+    guarded = F.replace(F.regexp_replace(s, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
     return F.when(F.instr(s, "%") == 0, s).otherwise(F.coalesce(F.try_url_decode(guarded), s))
 
 
@@ -371,6 +371,26 @@ def image_signature(content: Column) -> Column:
     return F.when(at(1, 6).isin("GIF87a", "GIF89a"), "gif").when(at(7, 4) == "JFIF", "jpeg").when(at(1, 3) == "BM6", "bmp")
 
 
+def content_length(headers: Column, body: Column) -> Column:
+    """The announced length: the first of a comma list, as it stands; the body's own length where none is announced. ``headers``: map of lower-case names."""
+    told = F.trim(F.split_part(F.try_element_at(headers, F.lit("content-length")), F.lit(","), F.lit(1)))
+    return F.coalesce(told, F.length(F.coalesce(body, F.lit(""))).cast("string"))
+
+
+def content_type(headers: Column) -> Column:
+    """The announced type up to a semicolon; empty where none is announced, and as it stands where nothing is before the semicolon."""
+    told = F.coalesce(F.try_element_at(headers, F.lit("content-type")), F.lit(""))
+    return F.coalesce(F.nullif(F.split_part(told, F.lit(";"), F.lit(1)), F.lit("")), told)
+
+
+def content_encoding(headers: Column) -> Column:
+    return F.coalesce(F.try_element_at(headers, F.lit("content-encoding")), F.lit("plain"))
+
+
+def last_modified(headers: Column) -> Column:
+    return F.coalesce(F.try_element_at(headers, F.lit("last-modified")), F.lit(""))
+
+
 def http_date(text: Column) -> Column:
     """``Sun, 06 Nov 1994 08:49:37 GMT`` as a timestamp; null where it is none."""
     return F.try_to_timestamp(F.substring(text, 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
@@ -401,7 +421,12 @@ def eta_label(left: Column, rate: Column) -> Column:
     return F.when(rate > 0, F.format_string("%d:%02d:%02d", F.floor(t / 3600), F.floor(t / 60) % 60, t % 60)).otherwise("")
 
 
-def is_mirror(domain: Column, hosts: list[str]) -> Column:
+# The download hosts of one project whose files are on mirrors, and the mirrors
+DOWNLOAD_HOSTS = ("downloads.sourceforge.net", "prdownloads.sourceforge.net")
+MIRRORS = tuple(f"{m}.dl.sourceforge.net" for m in "umn jaist mesh superb-west superb-east keihanna optusnet kent ufpr ovh switch nchc heanet surfnet easynews belnet puzzle internap".split())
+
+
+def is_mirror(domain: Column, hosts: tuple[str, ...] | list[str] = DOWNLOAD_HOSTS + MIRRORS) -> Column:
     """Whether a host is one of a project's download hosts or mirrors."""
     return F.lower(domain).isin([h.lower() for h in hosts])
 

@@ -31,7 +31,7 @@ def page_links(pages: DataFrame, config: CrawlConfig | None = None, tags: dict[s
     """
     kept = F.col("_found")
     images, scripts, applets = (True, True, True) if config is None else (config.images, config.javascript, config.javaapplet)
-    read = _reading(tuple(tags.items()), images, scripts, applets)
+    read = _reading(tuple(tags.items()), images, scripts, applets, config is not None and config.htmlparser == 1)
     if config is not None:
         kept = F.filter(kept, lambda x: links.kept_link(x["url"], F.col("_title"), config.querylinks))
         if config.robots:
@@ -47,9 +47,9 @@ def page_links(pages: DataFrame, config: CrawlConfig | None = None, tags: dict[s
 
 
 @remembered
-def _reading(tags: tuple, images: bool, scripts: bool, applets: bool) -> dict[str, Column]:
+def _reading(tags: tuple, images: bool, scripts: bool, applets: bool, strict: bool) -> dict[str, Column]:
     html = F.col("html")
-    return {"_title": links.title(html), "_found": links.all_links(html, dict(tags), images, scripts, applets), "_base": links.base_href(html), "_robots": links.meta_robots(html)}
+    return {"_title": links.title(html), "_found": links.all_links(html, dict(tags), images, scripts, applets, strict), "_base": links.base_href(html), "_robots": links.meta_robots(html)}
 
 
 def _sliced(found: Column, config: CrawlConfig | None) -> Column:

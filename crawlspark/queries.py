@@ -163,6 +163,32 @@ def page_links_resolved(spark, d):
     return crawl.resolved_links(crawl.page_links(_rich(spark, d))).select("page_id", "ordinal", "u.full_url", "u.is_rel")
 
 
+@query(r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) h FROM pages),
+l AS (SELECT page_id, list_concat([{'t': 'stylesheet', 'u': 's.css'}, {'t': 'image', 'u': 'pic.png'}, {'t': 'generic', 'u': 'sub/a/b/c/d/page.html'}, {'t': 'generic', 'u': 'http://far.example.org/x'}, {'t': 'generic', 'u': 'a>b.html'}], list_transform(h, lambda v: {'t': CASE WHEN contains(v, '#') THEN 'anchor' ELSE 'generic' END, 'u': v})) a FROM x),
+e AS (SELECT page_id, unnest(a) l, generate_subscripts(a, 1) o FROM l), d AS (SELECT page_id, l.t t, l.u u, min(o) o FROM e GROUP BY ALL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS ordinal, t AS link_type, u AS link FROM d""")
+def strict_links(spark, d):
+    """The links of rich pages by the tokenizer; a tag in a text area, one in a quoted value and a quoted ``>`` are added, which expressions take wrongly."""
+    told = F.regexp_replace(F.expr(RICH), '<a href="http://far.example.org/x">y</a>', '<a href="http://far.example.org/x" title="<a href=no1>">y</a><textarea><a href=no2></textarea><a href="a>b.html">z</a>')
+    found = _t(spark, d, "pages").select("page_id", F.posexplode(links.strict_links(told)).alias("ordinal", "l"))
+    return found.select("page_id", "ordinal", F.col("l.type").alias("link_type"), F.col("l.url").alias("link"))
+
+
+# Both engines: the headers that a server sends with a page
+HEADERS = ["CASE page_id % 3 WHEN 0 THEN '12, 34' WHEN 1 THEN ' 56 ' END AS len", "CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'image/png' WHEN 2 THEN '; charset=x' END AS typ", "CASE WHEN page_id % 5 = 0 THEN 'gzip' END AS enc", "CASE WHEN page_id % 2 = 0 THEN 'Sun, 06 Nov 1994 08:49:37 GMT' END AS since"]
+
+
+@query(f"""WITH h AS (SELECT page_id, length(html) n, {", ".join(HEADERS)} FROM pages) SELECT page_id, CASE page_id % 3 WHEN 0 THEN '12' WHEN 1 THEN '56' ELSE n::VARCHAR END AS content_length,
+ CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 3 THEN '' ELSE typ END AS content_type, coalesce(enc, 'plain') AS content_encoding, coalesce(since, '') AS last_modified FROM h""")
+def header_fields(spark, d):
+    """What the headers of a response say of its body."""
+    sent = _t(spark, d, "pages").selectExpr("page_id", "html", *HEADERS)
+    named = F.create_map(F.lit("content-length"), "len", F.lit("content-type"), "typ", F.lit("content-encoding"), "enc", F.lit("last-modified"), "since")
+    told = sent.select("page_id", "html", F.map_filter(named, lambda k, v: v.isNotNull()).alias("h"))
+    h = F.col("h")
+    return told.select("page_id", urls.content_length(h, F.col("html")).alias("content_length"), urls.content_type(h).alias("content_type"), urls.content_encoding(h).alias("content_encoding"), urls.last_modified(h).alias("last_modified"))
+
+
 @query(rf"""WITH {DIRS} SELECT page_id, origin || '/b/c/s.css' AS full_url FROM g""")
 def base_href_applied(spark, d):
     based = _t(spark, d, "pages").withColumn("html", F.lit('<html><base href="/b/c/x.html"><link rel=stylesheet href=s.css>')).select("page_id", "url", "html")

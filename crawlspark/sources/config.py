@@ -14,6 +14,7 @@ class CrawlConfig:
     """Options that change results; names and defaults are the crawler's. ``plans.crawl`` acts on every one of them."""
 
     html: bool = True
+    htmlparser: int = 0  # 1: links by the tokenizer of functions.markup
     images: bool = True
     javascript: bool = True
     javaapplet: bool = True
