@@ -18,6 +18,9 @@ STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "i
 STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
+#: Scores are whole numbers of this part of one
+UNITS = 1_000_000_000
+
 # Vowels once every y that is a consonant is written Y; a measure of m asks for m changes from vowel to consonant
 _V, _C = "[aeiouy]", "[^aeiouy]"
 _SOME, _TWO, _ONE = f"^{_C}*{_V}+{_C}", f"^{_C}*{_V}+{_C}+{_V}+{_C}", f"^{_C}*{_V}+{_C}+{_V}*$"
@@ -73,20 +76,30 @@ def _final_e(w: Column) -> Column:
     return F.when(w.endswith("e"), let(_less(w, 1), lambda s: F.when(goes(s), s).otherwise(w))).otherwise(w)
 
 
-def index(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None, stemmed: bool = False) -> DataFrame:
+def index(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None, stemmed: bool = False, wanted: DataFrame | None = None, places: bool = True) -> DataFrame:
     """(term, key, uses, places, length): the places of a term in a document in order, and how many terms the document has.
 
-    A place counts the terms before it, stop words excluded. Documents without terms have no row. Rows of one key are taken as one
-    document whose places may coincide.
+    A place counts the terms before it, stop words excluded. Documents without terms have no row; ``key`` is taken to name one row, rows that share it
+    count as one document whose places may coincide. With ``wanted`` (term, ...) other terms are left out before anything is grouped, for searches without a stored
+    index; without ``places`` that column is missing. Texts are dealt by key once, and all of a document stays together from then on.
     """
-    found = docs.select(F.col(key), terms(F.col(text), stop_words).alias("_t"))
-    each = found.select(key, F.size("_t").cast("bigint").alias("length"), F.posexplode("_t").alias("_place", "term"))
-    counted = each.groupBy("term", key).agg(F.count(F.lit(1)).alias("uses"), F.array_sort(F.collect_list("_place")).alias("places"), F.max("length").alias("length"))
-    if not stemmed:
-        return counted
-    # the stem is taken once per term of a document; words that share one then share its places
-    told = counted.withColumn("term", stem(F.col("term")))
-    return told.groupBy("term", key).agg(F.sum("uses").alias("uses"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"), F.max("length").alias("length"))
+    found = docs.select(F.col(key), F.col(text).alias("_x")).repartition(F.col(key)).select(key, terms(F.col("_x"), stop_words).alias("_t"))
+    each = found.select(key, F.size("_t").cast("bigint").alias("length"), F.posexplode_outer("_t").alias("_place", "term")).where("term is not null")  # outer: the plain one would look for terms a second time, below the exchange
+    only = (lambda x: x) if wanted is None else lambda x: x.join(wanted.select("term").distinct(), "term", "left_semi")
+    held = [F.max("length").alias("length")]
+    counted = (each if stemmed else only(each)).groupBy(key, "term").agg(F.count(F.lit(1)).alias("uses"), *held, *([F.array_sort(F.collect_list("_place")).alias("places")] if places else []))
+    if stemmed:
+        # the stem is taken once per term of a document; words that share one then share its places
+        told = only(counted.withColumn("term", stem(F.col("term"))))
+        counted = told.groupBy(key, "term").agg(F.sum("uses").alias("uses"), *held, *([F.array_sort(F.flatten(F.collect_list("places"))).alias("places")] if places else []))
+    return counted.select("term", key, "uses", *(["places"] if places else []), "length")
+
+
+def sizes(docs: DataFrame, text: str, stop_words: list[str] | None = None) -> DataFrame:
+    """One row (n, mean): how many documents have a term, and how many they have on average."""
+    counted = F.size(terms(F.col(text), stop_words)) if stop_words else F.regexp_count(F.lower(F.col(text)), F.lit("[a-z0-9]+"))
+    n = docs.select(counted.alias("n")).where("n > 0")
+    return n.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean"))
 
 
 def asked(queries: DataFrame, query: str, text: str, stop_words: list[str] | None = None, stemmed: bool = False) -> DataFrame:
@@ -95,37 +108,21 @@ def asked(queries: DataFrame, query: str, text: str, stop_words: list[str] | Non
     return found.withColumn("term", stem(F.col("term"))) if stemmed else found
 
 
-def ranked(index_: DataFrame, key: str, wanted: DataFrame, query: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, key, score, rank): the ``k`` best documents of each query by BM25; equal scores (nine decimals) by the smaller key.
+def ranked(index_: DataFrame, key: str, wanted: DataFrame, query: str, sizes_: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, key, score, rank): the ``k`` best documents of each query by BM25; equal scores by the smaller key.
 
-    ``wanted``: (query, term), as ``asked`` gives it; a repeated term counts once. No term adds more than idf * (k1 + 1) to a score. The rarer half of
-    a query's terms is scored first; the k-th best of these scores is a bound. A document all of whose terms are so common that their bounds sum
-    to less can't be among the best, so common terms are scored in the other documents alone. The result is that of scoring all.
+    ``wanted``: (query, term), as ``asked`` gives it; a repeated term counts once. ``sizes_``: as ``sizes`` gives it. What a term adds is rounded to nine decimals
+    and added as an integer, so that reruns agree. A document's postings lie together in the index, so what is shuffled is one sum per query and document that
+    share a term. (Leaving out documents whose terms are too common to reach the k-th best was tried: it needs a second pass and a shuffle of postings, and cost more.)
     """
     held = durable(index_.select("term", key, "uses", "length").join(wanted.select("term").distinct(), "term", "left_semi"))
-    # a document's length stands in each of its rows: uses sum to it
-    sizes = index_.agg(F.sum("uses").alias("all"), F.count_distinct(key).alias("n")).select("n", (F.col("all") / F.col("n")).alias("mean"))
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rarest = Window.partitionBy(query).orderBy(F.desc("idf"), "term")
-    later = Window.partitionBy(query).orderBy(F.desc("idf"), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    weighed = wanted.select(query, "term").distinct().join(df, "term").crossJoin(F.broadcast(sizes)).withColumn("idf", idf)
-    weighed = weighed.select(query, "term", "idf", "mean", F.row_number().over(rarest).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy(query)).alias("_m"), (F.sum("idf").over(later) * (k1 + 1)).alias("_rest"))
-    weighed = durable(weighed)
-    part = F.col("idf") * F.col("uses") * (k1 + 1) / (F.col("uses") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-
-    def scored(postings: DataFrame) -> DataFrame:
-        # added in the order of the terms, so that reruns agree to the last bit
-        parts = F.transform(F.array_sort(F.collect_list(F.struct("term", part.alias("x")))), lambda p: p["x"])
-        return postings.groupBy(query, key).agg(F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 9).alias("score"))
-
-    best = Window.partitionBy(query).orderBy(F.desc("score"), key)
-    first = scored(held.join(weighed.where("_r <= (_m + 1) div 2"), "term")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
-    bound = first.select(query, (F.col("score") * (1 - 1e-6)).alias("_bound"))
-    judged = durable(weighed.join(bound, query, "left").withColumn("_needed", F.coalesce(F.col("_rest") >= F.col("_bound"), F.lit(True))))
-    near = held.join(judged.where("_needed"), "term")
-    common = held.join(judged.where("not _needed"), "term").join(near.select(query, key).distinct(), [query, key], "left_semi")
-    return scored(near.unionByName(common.select(near.columns))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    weighed = durable(wanted.select(query, "term").distinct().join(df, "term").crossJoin(F.broadcast(sizes_)).select(query, "term", idf.alias("idf"), "mean"))
+    part = F.round(F.col("idf") * F.col("uses") * (k1 + 1) / (F.col("uses") + k1 * (1 - b + b * F.col("length") / F.col("mean"))) * UNITS).cast("bigint")
+    scores = held.join(weighed, "term").groupBy(query, key).agg(F.sum(part).alias("_s"))
+    best = Window.partitionBy(query).orderBy(F.desc("_s"), key)
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query, key, (F.col("_s") / UNITS).alias("score"), "rank")
 
 
 def phrases(index_: DataFrame, key: str, wanted: DataFrame, query: str) -> DataFrame:

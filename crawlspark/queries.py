@@ -538,12 +538,13 @@ q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_
 
 @query(rf"""WITH {INDEX}, z AS (SELECT count(*) n, avg(n) mean FROM l), w AS (SELECT term, ln(1 + (any_value(z.n) - count(*) + 0.5) / (count(*) + 0.5)) idf FROM i, z WHERE term IN (SELECT term FROM q) GROUP BY term),
 p AS (SELECT item_id, doc_id, term, idf * uses * 2.2 / (uses + 1.2 * (0.25 + 0.75 * l.n / mean)) x FROM q JOIN w USING (term) JOIN i USING (term) JOIN l USING (doc_id), z),
-s AS (SELECT item_id, doc_id, round(list_sum(list(x ORDER BY term)), 9) score FROM p GROUP BY ALL)
+s AS (SELECT item_id, doc_id, sum(round(x * 1e9)::BIGINT) / 1e9 score FROM p GROUP BY ALL)
 SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def ranked_search(spark, d):
     """The ten documents that answer each item of the benchmark best."""
     wanted = search.asked(_t(spark, d, "benchmark"), "item_id", "text")
-    best = search.ranked(durable(search.index(_t(spark, d, "documents"), "doc_id", "text")), "doc_id", wanted, "item_id", 10)
+    docs = _t(spark, d, "documents")
+    best = search.ranked(search.index(docs, "doc_id", "text", wanted=wanted, places=False), "doc_id", wanted, "item_id", search.sizes(docs, "text"), 10)
     return best.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -552,7 +553,7 @@ SELECT item_id, doc_id, (len(t) - len(replace(t, p, ''))) // len(p) AS uses FROM
 def phrase_search(spark, d):
     """The documents that hold the words of a benchmark item one after the other, and how often."""
     wanted = search.asked(_t(spark, d, "benchmark"), "item_id", "text")
-    return search.phrases(durable(search.index(_t(spark, d, "documents"), "doc_id", "text")), "doc_id", wanted, "item_id")
+    return search.phrases(search.index(_t(spark, d, "documents"), "doc_id", "text", wanted=wanted), "doc_id", wanted, "item_id")
 
 
 @query()

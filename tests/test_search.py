@@ -106,7 +106,7 @@ def test_ranks_are_those_of_scoring_every_document(spark):
     wanted = search.asked(spark.createDataFrame(list(asked.items()), "q int, text string"), "q", "text")
     for k in (1, 7):
         got = {}
-        for r in search.ranked(built, "doc_id", wanted, "q", k).orderBy("rank").collect():
+        for r in search.ranked(built, "doc_id", wanted, "q", search.sizes(docs, "text"), k).orderBy("rank").collect():
             got.setdefault(r.q, []).append((round(r.score, 6), r.doc_id))
         want = {q: best for q, t in asked.items() if (best := _best(texts, re.findall("[a-z0-9]+", t.lower()), k))}
         assert {q: [s for s, _ in x] for q, x in got.items()} == {q: [s for s, _ in x] for q, x in want.items()}
