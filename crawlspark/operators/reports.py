@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import let
 from ..functions.links import meta_robots
+from ..sources.scratch import discard, durable
 
 
 def crawl_stats(log: DataFrame) -> DataFrame:
@@ -78,6 +79,30 @@ def terms(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(found, lambda t: ~t.isin(*stop_words)) if stop_words else found
 
 
+def runs(entries: Column, name, built) -> Column:
+    """One ``built(run)`` for each run of entries of one ``name`` in a sorted array, in linear time; null if there are none."""
+    n = F.size(entries)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (name(F.get(entries, i)) != name(F.get(entries, i - 1))))
+    each = lambda b: F.transform(b, lambda start, j: built(F.slice(entries, start + 1, F.coalesce(F.get(b, j + 1), n) - start)))
+    return F.when(n > 0, let(starts, each))
+
+
+def placed(found: Column) -> Column:
+    """array<struct<term, places>> of an array of terms, by term, the places in order. It is made within the row: a task holds one text's terms at a time."""
+    pairs = F.transform(found, lambda t, i: F.struct(t.alias("term"), i.alias("place")))
+    return let(F.sort_array(pairs), lambda x: runs(x, lambda e: e["term"], lambda run: F.struct(run[0]["term"].alias("term"), run["place"].alias("places"))))
+
+
+def by_key(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key no other row has, and those that share one (null counts as a key; None if there are none). Reads the keys once, at the call."""
+    several = durable(docs.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"))
+    if not several.take(1):
+        discard(several)
+        return docs, None
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    return docs.join(several, same, "left_anti"), docs.join(several, same, "left_semi")
+
+
 def postings(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
     """The index: (term, key, uses, first) with the number of uses of a term in a document and the place of the first."""
     found = docs.select(key, F.posexplode(terms(F.col(text), stop_words)).alias("place", "term"))

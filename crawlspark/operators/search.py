@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import let
 from ..sources.scratch import durable
-from .reports import terms
+from .reports import by_key, placed, runs, terms
 
 # The suffixes of the published stemming algorithm (Porter 1980), steps 2 to 4, and what takes their place
 STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
@@ -29,8 +29,8 @@ _DOUBLE, _CVC = f"({_C})\\1$", f"{_C}{_V}[^aeiouywxY]$"
 
 def stem(word: Column) -> Column:
     """The stem of a lower-case English word by Porter's algorithm as published; words of up to two letters, and others than a-z, stay."""
-    steps = [_plurals, _past, lambda w: F.when(w.rlike(f"{_V}.*[yY]$"), F.concat(_less(w, 1), F.lit("i"))).otherwise(w), _mapped(STEP_2), _mapped(STEP_3), _bare, _final_e, lambda w: F.when(w.endswith("ll") & w.rlike(_TWO), _less(w, 1)).otherwise(w)]
-    told = F.regexp_replace(F.regexp_replace(word, "^y", "Y"), "([aeiouy])y", "$1Y")
+    steps = [_plurals, _past, lambda w: F.when(F.right(w, F.lit(1)).isin("y", "Y") & w.rlike(f"{_V}.*[yY]$"), F.concat(_less(w, 1), F.lit("i"))).otherwise(w), _mapped(STEP_2), _mapped(STEP_3), _bare, _final_e, lambda w: F.when(w.endswith("ll") & w.rlike(_TWO), _less(w, 1)).otherwise(w)]
+    told = F.when(word.contains("y"), F.regexp_replace(F.regexp_replace(word, "^y", "Y"), "([aeiouy])y", "$1Y")).otherwise(word)
     for step in steps:
         told = let(told, step)
     return F.when(word.rlike("^[a-z]{3,}$"), F.lower(told)).otherwise(word)
@@ -52,7 +52,7 @@ def _past(w: Column) -> Column:
         return F.when(s.rlike("(?:at|bl|iz)$") | (~doubled & s.rlike(_ONE) & s.rlike(_CVC)), F.concat(s, F.lit("e"))).when(doubled, _less(s, 1)).otherwise(s)
 
     eed = F.when(_less(w, 3).rlike(_SOME), _less(w, 1)).otherwise(w)
-    return F.when(w.endswith("eed"), eed).when(w.rlike(f"{_V}.*ed$"), let(_less(w, 2), mended)).when(w.rlike(f"{_V}.*ing$"), let(_less(w, 3), mended)).otherwise(w)
+    return F.when(w.endswith("eed"), eed).when(w.endswith("ed") & w.rlike(f"{_V}.*ed$"), let(_less(w, 2), mended)).when(w.endswith("ing") & w.rlike(f"{_V}.*ing$"), let(_less(w, 3), mended)).otherwise(w)
 
 
 def _ending(w: Column, suffixes) -> Column:
@@ -61,14 +61,20 @@ def _ending(w: Column, suffixes) -> Column:
     return F.struct(F.regexp_extract(w, pattern, 1).alias("before"), F.regexp_extract(w, pattern, 2).alias("suffix"))
 
 
+def _may_end(w: Column, suffixes) -> Column:
+    """Whether the last two letters are those of a suffix; it spares most words the patterns."""
+    return F.right(w, F.lit(2)).isin(*sorted({s[-2:] for s in suffixes}))
+
+
 def _mapped(table: dict[str, str]):
     instead = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return lambda w: let(_ending(w, table), lambda e: F.when((e["suffix"] != "") & e["before"].rlike(_SOME), F.concat(e["before"], instead[e["suffix"]])).otherwise(w))
+    mapped = lambda w: let(_ending(w, table), lambda e: F.when((e["suffix"] != "") & e["before"].rlike(_SOME), F.concat(e["before"], instead[e["suffix"]])).otherwise(w))
+    return lambda w: F.when(_may_end(w, table), mapped(w)).otherwise(w)
 
 
 def _bare(w: Column) -> Column:
     goes = lambda e: (e["suffix"] != "") & e["before"].rlike(_TWO) & ((e["suffix"] != "ion") | e["before"].rlike("[st]$"))
-    return let(_ending(w, STEP_4), lambda e: F.when(goes(e), e["before"]).otherwise(w))
+    return F.when(_may_end(w, STEP_4), let(_ending(w, STEP_4), lambda e: F.when(goes(e), e["before"]).otherwise(w))).otherwise(w)
 
 
 def _final_e(w: Column) -> Column:
@@ -81,18 +87,29 @@ def index(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = N
 
     A place counts the terms before it, stop words excluded. Documents without terms have no row; ``key`` is taken to name one row, rows that share it
     count as one document whose places may coincide. With ``wanted`` (term, ...) other terms are left out before anything is grouped, for searches without a stored
-    index; without ``places`` that column is missing. Texts are dealt by key once, and all of a document stays together from then on.
+    index; without ``places`` that column is missing. Texts are dealt by key once, and the terms of a row are counted within it; only rows of one key
+    are grouped beyond that.
     """
-    found = docs.select(F.col(key), F.col(text).alias("_x")).repartition(F.col(key)).select(key, terms(F.col("_x"), stop_words).alias("_t"))
-    each = found.select(key, F.size("_t").cast("bigint").alias("length"), F.posexplode_outer("_t").alias("_place", "term")).where("term is not null")  # outer: the plain one would look for terms a second time, below the exchange
     only = (lambda x: x) if wanted is None else lambda x: x.join(wanted.select("term").distinct(), "term", "left_semi")
-    held = [F.max("length").alias("length")]
-    counted = (each if stemmed else only(each)).groupBy(key, "term").agg(F.count(F.lit(1)).alias("uses"), *held, *([F.array_sort(F.collect_list("_place")).alias("places")] if places else []))
-    if stemmed:
-        # the stem is taken once per term of a document; words that share one then share its places
-        told = only(counted.withColumn("term", stem(F.col("term"))))
-        counted = told.groupBy(key, "term").agg(F.sum("uses").alias("uses"), *held, *([F.array_sort(F.flatten(F.collect_list("places"))).alias("places")] if places else []))
-    return counted.select("term", key, "uses", *(["places"] if places else []), "length")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        each = rows.select(key, let(terms(F.col("_x"), stop_words), lambda t: F.struct(F.size(t).cast("bigint").alias("length"), (_stems if stemmed else lambda e: e)(placed(t)).alias("held"))).alias("_t"))
+        spread = each.select(key, F.col("_t.length").alias("length"), F.explode_outer("_t.held").alias("_e")).where("_e is not null")  # outer: the plain one would look for terms a second time
+        return only(spread.select(F.col("_e.term").alias("term"), key, F.size("_e.places").cast("bigint").alias("uses"), *([F.col("_e.places").alias("places")] if places else []), "length"))
+
+    alone, shared = by_key(docs.select(F.col(key), F.col(text).alias("_x")), key)
+    one = counted(alone.repartition(F.col(key)))
+    if shared is None:
+        return one
+    merged = counted(shared).groupBy("term", key).agg(F.sum("uses").alias("uses"), *([F.array_sort(F.flatten(F.collect_list("places"))).alias("places")] if places else []), F.max("length").alias("length"))
+    return one.unionByName(merged)
+
+
+def _stems(held: Column) -> Column:
+    """array<struct<term, places>> with stems for terms: each is taken once per row, and words that share one share its places."""
+    told = F.transform(held, lambda e: F.struct(stem(e["term"]).alias("term"), e["places"].alias("places")))
+    merged = lambda run: F.struct(run[0]["term"].alias("term"), F.sort_array(F.flatten(run["places"])).alias("places"))
+    return let(F.sort_array(told), lambda x: runs(x, lambda e: e["term"], merged))
 
 
 def sizes(docs: DataFrame, text: str, stop_words: list[str] | None = None) -> DataFrame:

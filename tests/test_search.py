@@ -129,3 +129,20 @@ def test_phrases_are_those_of_the_text(spark):
     stems = {(r.term, r.id): (r.uses, r.places) for r in search.index(docs, "id", "text", STOP_WORDS, stemmed=True).where("id > 5").collect()}
     assert stems == {("cat", 6): (1, [0]), ("mat", 6): (1, [1]), ("run", 7): (2, [0, 2]), ("cat", 7): (1, [1])}
     assert search.phrases(search.index(docs.limit(0), "id", "text"), "id", wanted, "q").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_within_a_row(spark):
+    """A task holds the terms of one text, not those of its partition; rows of one key (null is one) still count as one document."""
+    docs = spark.createDataFrame([(1, "b a b"), (2, "Runs, run! a"), (3, ""), (4, None)], "id int, text string")
+    for stemmed in (False, True):
+        plan = _plan(search.index(docs, "id", "text", stemmed=stemmed))
+        assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "Sort " not in plan
+    rows = lambda df: {(r.term, r.id): (r.uses, r.places, r.length) for r in df.collect()}
+    assert rows(search.index(docs, "id", "text", stemmed=True)) == {("a", 1): (1, [1], 3), ("b", 1): (2, [0, 2], 3), ("run", 2): (2, [0, 1], 3), ("a", 2): (1, [2], 3)}
+    several = docs.unionByName(spark.createDataFrame([(1, "c b"), (None, "x"), (None, "y x y"), (2, None)], "id int, text string"))
+    want = {("a", 1): (1, [1], 3), ("b", 1): (3, [0, 1, 2], 3), ("c", 1): (1, [0], 2), ("runs", 2): (1, [0], 3), ("run", 2): (1, [1], 3), ("a", 2): (1, [2], 3), ("x", None): (2, [0, 1], 3), ("y", None): (2, [0, 2], 3)}
+    assert rows(search.index(several, "id", "text")) == want
