@@ -80,17 +80,26 @@ def terms(text: Column, stop_words: list[str] | None = None) -> Column:
 
 
 def runs(entries: Column, name, built) -> Column:
-    """One ``built(run)`` for each run of entries of one ``name`` in a sorted array, in linear time; null if there are none."""
+    """``built(start, end)`` for each run of entries of one ``name`` in a sorted array, in linear time (``slice`` would copy the array for each); null if there are none."""
     n = F.size(entries)
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (name(F.get(entries, i)) != name(F.get(entries, i - 1))))
-    each = lambda b: F.transform(b, lambda start, j: built(F.slice(entries, start + 1, F.coalesce(F.get(b, j + 1), n) - start)))
-    return F.when(n > 0, let(starts, each))
+    return F.when(n > 0, let(starts, lambda b: F.transform(b, lambda start, j: built(start, F.coalesce(F.get(b, j + 1), n)))))
 
 
-def placed(found: Column) -> Column:
-    """array<struct<term, places>> of an array of terms, by term, the places in order. It is made within the row: a task holds one text's terms at a time."""
+def of_run(entries: Column, start: Column, end: Column, value) -> Column:
+    """The array of ``value(entry)`` of a run."""
+    return F.transform(F.sequence(start, end - 1), lambda k: value(F.get(entries, k)))
+
+
+def counted(found: Column, places: bool = False) -> Column:
+    """array<struct<term, uses, first>> of an array of terms, by term, on request with all places in order. It is made within the row: a task holds one text's terms at a time."""
     pairs = F.transform(found, lambda t, i: F.struct(t.alias("term"), i.alias("place")))
-    return let(F.sort_array(pairs), lambda x: runs(x, lambda e: e["term"], lambda run: F.struct(run[0]["term"].alias("term"), run["place"].alias("places"))))
+
+    def built(x: Column):
+        at = lambda start, end: [of_run(x, start, end, lambda e: e["place"]).alias("places")] if places else []
+        return lambda start, end: F.struct(F.get(x, start)["term"].alias("term"), (end - start).cast("bigint").alias("uses"), F.get(x, start)["place"].alias("first"), *at(start, end))
+
+    return let(F.sort_array(pairs), lambda x: runs(x, lambda e: e["term"], built(x)))
 
 
 def by_key(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
@@ -103,10 +112,24 @@ def by_key(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
     return docs.join(several, same, "left_anti"), docs.join(several, same, "left_semi")
 
 
+def dealt(docs: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key over all shuffle partitions; they are not merged into a few large ones, whose last would be waited for."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
+
+
 def postings(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """The index: (term, key, uses, first) with the number of uses of a term in a document and the place of the first."""
-    found = docs.select(key, F.posexplode(terms(F.col(text), stop_words)).alias("place", "term"))
-    return found.groupBy("term", key).agg(F.count(F.lit(1)).alias("uses"), F.min("place").alias("first"))
+    """The index: (term, key, uses, first) with the number of uses of a term in a document and the place of the first.
+
+    Texts are dealt by key and counted within their row; rows that share a key are grouped beyond that.
+    """
+    alone, shared = by_key(docs.select(F.col(key), F.col(text).alias("_x")), key)
+
+    def each(rows: DataFrame) -> DataFrame:
+        spread = rows.select(key, F.explode_outer(counted(terms(F.col("_x"), stop_words))).alias("_e")).where("_e is not null")  # outer: the plain one would look for terms a second time
+        return spread.select(F.col("_e.term").alias("term"), key, F.col("_e.uses").alias("uses"), F.col("_e.first").alias("first"))
+
+    one = each(dealt(alone, key))
+    return one if shared is None else one.unionByName(each(shared).groupBy("term", key).agg(F.sum("uses").alias("uses"), F.min("first").alias("first")))
 
 
 def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:

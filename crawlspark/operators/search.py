@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import let
 from ..sources.scratch import durable
-from .reports import by_key, placed, runs, terms
+from .reports import by_key, counted, dealt, of_run, runs, terms
 
 # The suffixes of the published stemming algorithm (Porter 1980), steps 2 to 4, and what takes their place
 STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
@@ -92,24 +92,31 @@ def index(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = N
     """
     only = (lambda x: x) if wanted is None else lambda x: x.join(wanted.select("term").distinct(), "term", "left_semi")
 
-    def counted(rows: DataFrame) -> DataFrame:
-        each = rows.select(key, let(terms(F.col("_x"), stop_words), lambda t: F.struct(F.size(t).cast("bigint").alias("length"), (_stems if stemmed else lambda e: e)(placed(t)).alias("held"))).alias("_t"))
-        spread = each.select(key, F.col("_t.length").alias("length"), F.explode_outer("_t.held").alias("_e")).where("_e is not null")  # outer: the plain one would look for terms a second time
-        return only(spread.select(F.col("_e.term").alias("term"), key, F.size("_e.places").cast("bigint").alias("uses"), *([F.col("_e.places").alias("places")] if places else []), "length"))
+    held = lambda t: _stems(counted(t, places), places) if stemmed else counted(t, places)
+
+    def spread(rows: DataFrame) -> DataFrame:
+        each = rows.select(key, let(terms(F.col("_x"), stop_words), lambda t: F.struct(F.size(t).cast("bigint").alias("length"), held(t).alias("held"))).alias("_t"))
+        rows = each.select(key, F.col("_t.length").alias("length"), F.explode_outer("_t.held").alias("_e")).where("_e is not null")  # outer: the plain one would look for terms a second time
+        return only(rows.select(F.col("_e.term").alias("term"), key, F.col("_e.uses").alias("uses"), *([F.col("_e.places").alias("places")] if places else []), "length"))
 
     alone, shared = by_key(docs.select(F.col(key), F.col(text).alias("_x")), key)
-    one = counted(alone.repartition(F.col(key)))
+    one = spread(dealt(alone, key))
     if shared is None:
         return one
-    merged = counted(shared).groupBy("term", key).agg(F.sum("uses").alias("uses"), *([F.array_sort(F.flatten(F.collect_list("places"))).alias("places")] if places else []), F.max("length").alias("length"))
+    merged = spread(shared).groupBy("term", key).agg(F.sum("uses").alias("uses"), *([F.array_sort(F.flatten(F.collect_list("places"))).alias("places")] if places else []), F.max("length").alias("length"))
     return one.unionByName(merged)
 
 
-def _stems(held: Column) -> Column:
-    """array<struct<term, places>> with stems for terms: each is taken once per row, and words that share one share its places."""
-    told = F.transform(held, lambda e: F.struct(stem(e["term"]).alias("term"), e["places"].alias("places")))
-    merged = lambda run: F.struct(run[0]["term"].alias("term"), F.sort_array(F.flatten(run["places"])).alias("places"))
-    return let(F.sort_array(told), lambda x: runs(x, lambda e: e["term"], merged))
+def _stems(held: Column, places: bool) -> Column:
+    """``counted`` terms with stems for terms: each is taken once per row, and words that share one share its uses and places."""
+    told = F.transform(held, lambda e: F.struct(stem(e["term"]).alias("term"), e["uses"].alias("uses"), *([e["places"].alias("places")] if places else [])))
+
+    def built(x: Column):
+        uses = lambda start, end: F.aggregate(of_run(x, start, end, lambda e: e["uses"]), F.lit(0).cast("bigint"), lambda n, m: n + m)
+        at = lambda start, end: [F.sort_array(F.flatten(of_run(x, start, end, lambda e: e["places"]))).alias("places")] if places else []
+        return lambda start, end: F.struct(F.get(x, start)["term"].alias("term"), uses(start, end).alias("uses"), *at(start, end))
+
+    return let(F.sort_array(told), lambda x: runs(x, lambda e: e["term"], built(x)))
 
 
 def sizes(docs: DataFrame, text: str, stop_words: list[str] | None = None) -> DataFrame:

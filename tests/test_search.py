@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from crawlspark.operators import search
+from crawlspark.operators import reports, search
 from crawlspark.operators.reports import STOP_WORDS
 
 DIR = "/root/testdata/sf0.001"
@@ -146,3 +146,14 @@ def test_terms_are_counted_within_a_row(spark):
     several = docs.unionByName(spark.createDataFrame([(1, "c b"), (None, "x"), (None, "y x y"), (2, None)], "id int, text string"))
     want = {("a", 1): (1, [1], 3), ("b", 1): (3, [0, 1, 2], 3), ("c", 1): (1, [0], 2), ("runs", 2): (1, [0], 3), ("run", 2): (1, [1], 3), ("a", 2): (1, [2], 3), ("x", None): (2, [0, 1], 3), ("y", None): (2, [0, 2], 3)}
     assert rows(search.index(several, "id", "text")) == want
+
+
+def test_postings_are_made_without_a_shuffle_of_terms(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None)], "id int, text string")
+    plan = _plan(reports.postings(docs, "id", "text"))
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    rows = lambda df: {(r.term, r.id): (r.uses, r.first) for r in df.collect()}
+    assert rows(reports.postings(docs, "id", "text")) == {("a", 1): (1, 1), ("b", 1): (2, 0)}
+    several = docs.unionByName(spark.createDataFrame([(1, "c a"), (None, "x"), (None, "y x y")], "id int, text string"))
+    want = {("a", 1): (2, 1), ("b", 1): (2, 0), ("c", 1): (1, 0), ("x", None): (2, 0), ("y", None): (2, 0)}
+    assert rows(reports.postings(several, "id", "text")) == want
