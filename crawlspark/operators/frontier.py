@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..sources.scratch import discard, durable, passed_on, scratch
 
 
+#: The redirects that a task joins, so that its memory stays as tables grow
+ROWS = 250_000
+
+
 def parse_priorities(text: str) -> dict[str, int]:
     """``key+n,key-n`` with n from -5 to 5; keys are lower-cased, other parts are ignored."""
     found = {}
@@ -66,18 +70,20 @@ def redirect_chains(redirects: DataFrame, max_hops: int = 20) -> DataFrame:
 
     ``loop``: the target was passed before; ``cut``: the chain goes on beyond ``max_hops``.
     """
-    step = redirects.select(F.col("src").alias("s"), F.col("dst").alias("d"))
-    at = redirects.select(F.col("src").alias("url"), F.col("dst").alias("target"), F.lit(1).alias("hops"), F.array("src").alias("path"))
+    # each hop is joined once and written; a task sorts (url, target, path) and no aggregate of what made the redirects
+    step = durable(redirects.select(F.col("src").alias("s"), F.col("dst").alias("d")))
+    parts = max(int(step.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-step.count() // ROWS))
+    at = step.select(F.col("s").alias("url"), F.col("d").alias("target"), F.lit(1).alias("hops"), F.array("s").alias("path"))
     done = None
     for hop in range(1, max_hops + 1):
-        moved = at.join(step, F.col("target") == F.col("s"), "left")
         looped = F.coalesce(F.array_contains("path", F.col("target")), F.lit(False))
-        last = F.col("s").isNull() | looped
-        end = (moved.where(last) if hop < max_hops else moved).select("url", "target", "hops", looped.alias("loop"), (~last).alias("cut"))
+        dealt = at.repartition(parts, "target").join(step.repartition(parts, "s"), F.col("target") == F.col("s"), "left")
+        moved = durable(dealt.select("url", "target", "hops", "path", "d", looped.alias("loop"), (F.col("s").isNull() | looped).alias("last")))
+        end = (moved.where("last") if hop < max_hops else moved).select("url", "target", "hops", "loop", (~F.col("last")).alias("cut"))
         done = end if done is None else done.unionByName(end)
         if hop == max_hops:
             break
-        at = durable(moved.where(~last).select("url", F.col("d").alias("target"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("target")).alias("path")))
+        at = moved.where("not last").select("url", F.col("d").alias("target"), (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("target")).alias("path"))
         if not at.take(1):
             break
     return done

@@ -115,3 +115,14 @@ def test_saved_names_do_not_clash(spark, tmp_path):
     tables.write_pages(rows, str(tmp_path / "saved"))
     saved = spark.read.parquet(str(tmp_path / "saved"))
     assert {(r["url"], r["saved_name"]) for r in saved.collect()} == {("u1", "x"), ("u2", "x.1"), ("u4", "x")}
+
+
+def test_redirect_chains_are_joined_once(spark):
+    """The result reads written hops: nothing that made the redirects is computed, or sorted beside them, again."""
+    from crawlspark.operators import frontier
+
+    moved = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (7, 7), (8, 7)], "s int, d int").groupBy("s").agg({"d": "min"}).toDF("src", "dst")
+    got = frontier.redirect_chains(moved, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert {tuple(r) for r in got.collect()} == {(1, 3, 2, False, True), (2, 4, 2, False, False), (3, 4, 1, False, False), (7, 7, 1, True, False), (8, 7, 2, True, False)}
