@@ -21,6 +21,9 @@ STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
 #: Scores are whole numbers of this part of one
 UNITS = 1_000_000_000
 
+#: The documents whose postings a task holds, so that its memory stays as tables grow
+DOCS = 4_000
+
 # Vowels once every y that is a consonant is written Y; a measure of m asks for m changes from vowel to consonant
 _V, _C = "[aeiouy]", "[^aeiouy]"
 _SOME, _TWO, _ONE = f"^{_C}*{_V}+{_C}", f"^{_C}*{_V}+{_C}+{_V}+{_C}", f"^{_C}*{_V}+{_C}+{_V}*$"
@@ -136,15 +139,58 @@ def ranked(index_: DataFrame, key: str, wanted: DataFrame, query: str, sizes_: D
     """(query, key, score, rank): the ``k`` best documents of each query by BM25; equal scores by the smaller key.
 
     ``wanted``: (query, term), as ``asked`` gives it; a repeated term counts once. ``sizes_``: as ``sizes`` gives it. What a term adds is rounded to nine decimals
-    and added as an integer, so that reruns agree. A document's postings lie together in the index, so what is shuffled is one sum per query and document that
-    share a term. (Leaving out documents whose terms are too common to reach the k-th best was tried: it needs a second pass and a shuffle of postings, and cost more.)
+    and added as an integer, so that reruns agree.
+    """
+    numbers = _numbered(wanted)
+    held = durable(index_.select("term", key, "uses", "length").join(numbers, "term").select("_t", key, "uses", "length"))
+    return _best(held, key, wanted, numbers, query, sizes_, _parts(held.select(key).distinct()), k, k1, b)
+
+
+def ranked_texts(docs: DataFrame, key: str, text: str, wanted: DataFrame, query: str, k: int = 10, k1: float = 1.2, b: float = 0.75, stop_words: list[str] | None = None) -> DataFrame:
+    """``ranked`` over texts that have no stored index (without stems): they are read once, for the uses of the wanted terms and for how many terms each has.
+
+    A term that is not wanted is dropped as it is found, before anything is sorted or grouped. The empty string ends each text that has terms and is
+    held like a term (number -1): its uses are the documents, and their lengths are added there.
+    """
+    numbers = _numbered(wanted)
+    sought = durable(numbers.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).cast("bigint").alias("_t"))))
+    ended = lambda t: F.struct(F.size(t).cast("bigint").alias("length"), F.when(F.size(t) > 0, F.concat(t, F.array(F.lit("")))).alias("terms"))
+    texts = docs.select(F.col(key), F.col(text).alias("_x"))
+    parts = _parts(texts)
+    each = texts.repartition(parts, key).select(key, let(terms(F.col("_x"), stop_words), ended).alias("_e"))
+    found = each.select(key, F.col("_e.length").alias("length"), F.explode_outer("_e.terms").alias("term"))  # outer: the plain one would look for terms a second time
+    end = F.sum(F.when(F.col("_t") == -1, F.col("length")))
+    held = durable(found.join(sought, "term").groupBy("_t", key).agg(F.count(F.lit(1)).alias("uses"), F.max("length").alias("length"), end.alias("_all")))
+    sizes_ = held.where("_t = -1").agg(F.sum("uses").alias("n"), (F.sum("_all") / F.sum("uses")).alias("mean"))
+    return _best(held.where("_t >= 0").drop("_all"), key, wanted, numbers, query, sizes_, parts, k, k1, b)
+
+
+def _numbered(wanted: DataFrame) -> DataFrame:
+    """(term, _t): the wanted terms with a number each, from 0."""
+    return durable(wanted.select("term").distinct().where("term != ''").select("term", F.monotonically_increasing_id().alias("_t")))
+
+
+def _parts(docs: DataFrame) -> int:
+    """The shuffle partitions, or more where a part would have over ``DOCS`` documents."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // DOCS))
+
+
+def _best(held: DataFrame, key: str, wanted: DataFrame, numbers: DataFrame, query: str, sizes_: DataFrame, parts: int, k: int, k1: float, b: float) -> DataFrame:
+    """``ranked`` over the postings (_t, key, uses, length) of the wanted terms.
+
+    What a term adds to a document is the same in every query, so it is worked out once per posting. Postings are dealt by key: a document's scores are added up,
+    and the best of each part taken, where they lie, and what is shuffled after that is ``k`` rows of a query and part at most. (Leaving out documents whose terms
+    are too common to reach the k-th best was tried: it needs a second pass and a shuffle of postings, and cost more.)
     """
-    held = durable(index_.select("term", key, "uses", "length").join(wanted.select("term").distinct(), "term", "left_semi"))
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = held.groupBy("_t").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = durable(wanted.select(query, "term").distinct().join(df, "term").crossJoin(F.broadcast(sizes_)).select(query, "term", idf.alias("idf"), "mean"))
-    part = F.round(F.col("idf") * F.col("uses") * (k1 + 1) / (F.col("uses") + k1 * (1 - b + b * F.col("length") / F.col("mean"))) * UNITS).cast("bigint")
-    scores = held.join(weighed, "term").groupBy(query, key).agg(F.sum(part).alias("_s"))
+    weights = durable(df.crossJoin(F.broadcast(sizes_)).select("_t", idf.alias("idf"), "mean"))
+    pairs = durable(wanted.select(query, "term").distinct().join(numbers, "term").select(query, "_t"))
+    exact = F.col("idf") * F.col("uses") * (k1 + 1) / (F.col("uses") + k1 * (1 - b + b * F.col("length") / F.col("mean"))) * UNITS
+    # half up, as ``round`` has it, without its decimals
+    part = F.floor("_x") + (F.col("_x") - F.floor("_x") >= 0.5).cast("bigint")
+    added = held.join(weights, "_t").select("_t", key, exact.alias("_x")).select("_t", key, part.alias("_p"))
+    scores = added.repartition(parts, key).join(pairs, "_t").groupBy(query, key).agg(F.sum("_p").alias("_s"))
     best = Window.partitionBy(query).orderBy(F.desc("_s"), key)
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query, key, (F.col("_s") / UNITS).alias("score"), "rank")
 

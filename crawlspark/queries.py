@@ -543,8 +543,7 @@ SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION B
 def ranked_search(spark, d):
     """The ten documents that answer each item of the benchmark best."""
     wanted = search.asked(_t(spark, d, "benchmark"), "item_id", "text")
-    docs = _t(spark, d, "documents")
-    best = search.ranked(search.index(docs, "doc_id", "text", wanted=wanted, places=False), "doc_id", wanted, "item_id", search.sizes(docs, "text"), 10)
+    best = search.ranked_texts(_t(spark, d, "documents"), "doc_id", "text", wanted, "item_id", 10)
     return best.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

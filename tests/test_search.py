@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from crawlspark import queries
 from crawlspark.operators import reports, search
 from crawlspark.operators.reports import STOP_WORDS
 
@@ -157,3 +158,33 @@ def test_postings_are_made_without_a_shuffle_of_terms(spark):
     several = docs.unionByName(spark.createDataFrame([(1, "c a"), (None, "x"), (None, "y x y")], "id int, text string"))
     want = {("a", 1): (2, 1), ("b", 1): (2, 0), ("c", 1): (1, 0), ("x", None): (2, 0), ("y", None): (2, 0)}
     assert rows(reports.postings(several, "id", "text")) == want
+
+
+def test_ranked_search_reads_texts_once_and_adds_scores_where_documents_lie(spark, monkeypatch):
+    """Only the best of each part are shuffled by query; parts hold a bounded number of documents; each text is looked at once."""
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: read.add(1) or t, "string").asNondeterministic()
+    monkeypatch.setattr(queries, "_t", lambda s, d, name: (lambda df: df.withColumn("text", seen("text")) if name == "documents" else df)(s.read.parquet(f"{d}/{name}.parquet")))
+    best = queries.QUERIES["ranked_search"](spark, DIR)
+    plan = _plan(best)
+    assert "hashpartitioning(item_id#" in plan and not re.search(r"hashpartitioning\(item_id#\w+, doc_id", plan)
+    assert best.count() == 400 and read.value == len(_texts(spark))
+    monkeypatch.undo()
+    monkeypatch.setattr(search, "DOCS", 30)
+    parted = queries.QUERIES["ranked_search"](spark, DIR)
+    assert f", {-(-len(_texts(spark)) // 30)}), REPARTITION_BY_NUM" in _plan(parted)
+    assert sorted(parted.collect()) == sorted(best.collect())
+
+
+def test_texts_without_an_index_rank_as_the_index_does(spark):
+    """Also where rows share a key (null is one), have no terms or only stop words; sums are rounded half up as the SQL does."""
+    rows = [(1, "b a b"), (2, "a the a c"), (3, ""), (4, None), (5, "the"), (6, "d"), (1, "c b"), (None, "x a"), (None, "y x y"), (2, None)]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    wanted = search.asked(spark.createDataFrame([(1, "a b a"), (2, "the x"), (3, "none"), (4, "")], "q int, text string"), "q", "text")
+    for stop_words in (None, STOP_WORDS):
+        want = search.ranked(search.index(docs, "id", "text", stop_words), "id", wanted, "q", search.sizes(docs, "text", stop_words), 3)
+        got = search.ranked_texts(docs, "id", "text", wanted, "q", 3, stop_words=stop_words)
+        assert got.schema.names == want.schema.names and len(want.take(1)) == 1
+        order = lambda df: sorted(df.collect(), key=lambda r: (r.q, r.rank))
+        assert order(got) == order(want)
+    assert search.ranked_texts(docs.limit(0), "id", "text", wanted, "q").count() == 0
